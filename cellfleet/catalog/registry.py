@@ -42,10 +42,22 @@ def query(sql: str | None = None, digits: int = DIGITS) -> Callable[[Query], Que
 
 def sql(ctes: str, source: str, keep: str, doubles: str = "", digits: int = DIGITS, tail: str = "") -> str:
     """Wrap CTEs into one statement whose double columns are rounded as in `tidy`."""
+    ctes = _plain_counts(ctes)
     cols = keep.split() + [f"round({c}::double, {digits}) + 0::double AS {c}" for c in doubles.split()]
     return f"WITH {ctes} SELECT {', '.join(cols)} FROM {source} {tail}"
 
 
+def _plain_counts(text: str) -> str:
+    """Write ``count_if(x)`` as ``count(CASE WHEN x THEN 1 END)``, whose type is BIGINT."""
+    while (at := text.find("count_if(")) >= 0:
+        depth, end = 1, at + len("count_if(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[end], 0)
+            end += 1
+        text = f"{text[:at]}count(CASE WHEN {text[at + len('count_if('):end - 1]} THEN 1 END){text[end:]}"
+    return text
+
+
 # ---------------------------------------------------------------- shared frames
 
 FIRST2 = ("last", "slope_full")

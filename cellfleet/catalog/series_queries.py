@@ -174,11 +174,13 @@ def budget_subset(spark, d):
 
 
 @query(sql(TRAJ + """, o AS (SELECT *, count(*) OVER w AS prefix_n, avg(soh_observed) OVER w AS prefix_mean, min(soh_observed) OVER w AS prefix_min,
-  max(soh_observed) OVER w AS prefix_max FROM traj WINDOW w AS (PARTITION BY trajectory_id ORDER BY reference_index ROWS UNBOUNDED PRECEDING))""",
-           "o", "trajectory_id reference_index prefix_n", "prefix_mean prefix_min prefix_max"))
+  max(soh_observed) OVER w AS prefix_max FROM traj WINDOW w AS (PARTITION BY trajectory_id ORDER BY reference_index ROWS UNBOUNDED PRECEDING)),
+  oo AS (SELECT *, prefix_mean / 0.9713::double AS prefix_mean_vs_start FROM o)""",
+           "oo", "trajectory_id reference_index prefix_n", "prefix_mean_vs_start prefix_min prefix_max"))
 def prefix_statistics(spark, d):
     """Statistics of all points up to each anchor."""
-    return W.prefix_stats(points(spark, d)).select(KEY, POS, "prefix_n", "prefix_mean", "prefix_min", "prefix_max")
+    vs = (F.col("prefix_mean") / 0.9713).alias("prefix_mean_vs_start")
+    return W.prefix_stats(points(spark, d)).select(KEY, POS, "prefix_n", vs, "prefix_min", "prefix_max")
 
 
 WIENER = TRAJ + """, inc AS (SELECT *, reference_day - lag(reference_day) OVER w AS dt, soh_observed - lag(soh_observed) OVER w AS ds
@@ -313,11 +315,11 @@ def rul_readouts(spark, d):
                                                   "warning_status", "warning_is_forecast", "rul_days", "warning_days")
 
 
-@query(sql(TRAJ + ", o AS (SELECT trajectory_id, reference_index, f.case_name AS \"case\", soh_observed / (1 + 0.004::double * f.k * (15 + reference_index % 11 - 20)) AS soh_corrected FROM traj, (VALUES ('low', 0.8::double), ('base', 1.0::double), ('high', 1.2::double)) f(case_name, k))",
-           "o", 'trajectory_id reference_index "case"', "soh_corrected"))
+@query(sql(TRAJ + ", o AS (SELECT trajectory_id, reference_index, f.case_name AS \"case\", soh_observed / (1 + 0.004::double * f.k * (15.3::double + reference_index % 11 - 20)) AS soh_corrected FROM traj, (VALUES ('low', 0.8::double), ('base', 1.0::double), ('high', 1.2::double)) f(case_name, k))",
+           "o", 'trajectory_id reference_index "case"', "soh_corrected", digits=8), digits=8)
 def temperature_correction(spark, d):
     """Temperature-corrected SOH at three coefficients in one pass."""
-    t = points(spark, d).withColumn("mean_temp_c", (15 + F.col(POS) % 11).cast("double"))
+    t = points(spark, d).withColumn("mean_temp_c", (F.lit(15.3) + F.col(POS) % 11))
     return X.temperature_corrected(t, [("low", 0.8), ("base", 1.0), ("high", 1.2)]).select(KEY, POS, "case", "soh_corrected")
 
 

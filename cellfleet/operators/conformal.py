@@ -19,12 +19,9 @@ def family_half_widths(df: DataFrame, resid: str, coverage: float, keys: Sequenc
     instead of sorting a family in one task.
     """
     k = [*keys, "family"]
-    src = df.where(F.col(resid).isNotNull()).select(*k, F.abs(F.col(resid)).alias("_r"))
-    sizes = settle(src.groupBy(*k).agg(F.count("*").alias("n")))
-    rank = F.least(F.ceil((F.col("n") + 1) * F.lit(float(coverage))), F.col("n"))
-    want = sizes.select(*k, F.lit("q").alias("tag"), rank.alias("rank"))
-    got = pick_ranks(src, k, "_r", want).select(*k, F.col("value").alias("half_width"))
-    return settle(sizes.join(settle(got), k))
+    src = df.select(*k, F.abs(F.col(resid)).alias("_r"))
+    got = pick_ranks(src, k, "_r", lambda n: F.array(F.least(F.ceil((n + 1) * F.lit(float(coverage))), n)))
+    return settle(got.select(*k, "n", F.col("value").alias("half_width")))
 
 
 def family_quantile(df: DataFrame, resid: str, coverage: float, keys: Sequence[str] = ()) -> DataFrame:

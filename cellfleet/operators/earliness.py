@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from cellfleet.functions.forecast import alarm_outcome
 from cellfleet.functions.space import EOL_SOH, WARN_SOH
 from cellfleet.plans import ranks, scan
-from cellfleet.plans.small import beside
-from cellfleet.plans.scan import KEY
+from cellfleet.plans.small import beside, cut
+from cellfleet.plans.scan import KEY, POS
 
 # Share of remaining life that counts as accurate, and its least width.
 ALPHA = 0.2
@@ -98,7 +98,11 @@ def credible_window(df: DataFrame, alpha: float = ALPHA, truth: str = "rul_days"
 
 def prognostic_records(points: DataFrame, soh: DataFrame, rul: DataFrame, warn: float = WARN_SOH,
                        eol: float = EOL_SOH, grid_floor: float = 14.0) -> DataFrame:
-    """One row per trajectory: alarm outcome, both horizons and the credible window."""
+    """One row per trajectory: alarm outcome, both horizons and the credible window.
+
+    Three operators read the remaining-life predictions, so these are evaluated once.
+    """
+    rul = cut(rul.select(KEY, POS, "reference_day", "rul_days", "pred_rul"))
     lead = lead_time(points, soh, warn)
     end = first_crossing(points, eol, out="t_eol_day")
     strict = prognostic_horizon(rul)
@@ -114,12 +118,12 @@ def prognostic_records(points: DataFrame, soh: DataFrame, rul: DataFrame, warn:
     return out.withColumn("ph_defined", F.col("ph_days").isNotNull())
 
 
-def _spread(df: DataFrame, col: str, named: dict[str, float]) -> DataFrame:
-    return ranks.percentile_columns(df, [], col, named)
-
-
 def earliness_summary(records: DataFrame) -> DataFrame:
-    """Outcome counts and rates, lead times of true positives, and horizon statistics."""
+    """Outcome counts and rates, lead times of true positives, and horizon statistics.
+
+    The record table is evaluated once and read by all parts of the summary.
+    """
+    records = cut(records)
     o = F.col("outcome")
     n = lambda word: F.count_if(o == word)
     crossed, never = F.count_if("crossed"), F.count_if(~F.col("crossed"))
@@ -141,10 +145,18 @@ def earliness_summary(records: DataFrame) -> DataFrame:
         F.min(dt).alias("dt_warn_min_days"),
         F.max(dt).alias("dt_warn_max_days"),
     )
-    tp = records.where(o == "TRUE_POSITIVE")
-    parts = [one, _spread(tp, "dt_warn_days", {"dt_warn_median_days": 0.5, "dt_warn_p10_days": 0.1, "dt_warn_p90_days": 0.9})]
-    if "ph_days" in records.columns:
-        parts += [
+    full = "ph_days" in records.columns
+    named = {"dt_warn_median_days": ("_dt", 0.5), "dt_warn_p10_days": ("_dt", 0.1), "dt_warn_p90_days": ("_dt", 0.9)}
+    parts = [one]
+    if full:
+        named |= {
+            "ph_median_days": ("ph_days", 0.5), "ph_p10_days": ("ph_days", 0.1), "ph_p90_days": ("ph_days", 0.9),
+            "ph_gridfloor_median_days": ("ph_days_gridfloor", 0.5), "ph_gridfloor_p90_days": ("ph_days_gridfloor", 0.9),
+            "credible_window_median_days": ("credible_window_days", 0.5),
+            "credible_window_p90_days": ("credible_window_days", 0.9),
+            "credible_window_lead_median_days": ("credible_window_lead_before_eol_days", 0.5),
+        }
+        parts.append(
             records.agg(
                 F.count("ph_days").alias("ph_n_defined"), F.avg("ph_days").alias("ph_mean_days"),
                 F.avg("ph_days_gridfloor").alias("ph_gridfloor_mean_days"),
@@ -155,13 +167,9 @@ def earliness_summary(records: DataFrame) -> DataFrame:
                 F.count("credible_window_days").alias("credible_window_n"),
                 F.avg("credible_window_days").alias("credible_window_mean_days"),
                 F.avg("credible_window_lead_before_eol_days").alias("credible_window_lead_mean_days"),
-            ),
-            _spread(records, "ph_days", {"ph_median_days": 0.5, "ph_p10_days": 0.1, "ph_p90_days": 0.9}),
-            _spread(records, "ph_days_gridfloor", {"ph_gridfloor_median_days": 0.5, "ph_gridfloor_p90_days": 0.9}),
-            _spread(records, "credible_window_days", {"credible_window_median_days": 0.5, "credible_window_p90_days": 0.9}),
-            _spread(records, "credible_window_lead_before_eol_days", {"credible_window_lead_median_days": 0.5}),
-        ]
-    return beside(*parts)
+            )
+        )
+    return beside(*parts, ranks.percentile_table(records.withColumn("_dt", dt), named))
 
 
 def lead_by_family(records: DataFrame) -> DataFrame:

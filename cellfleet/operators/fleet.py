@@ -149,7 +149,7 @@ def _arms(df: DataFrame, errs: dict) -> DataFrame:
 def soh_arms(df: DataFrame, ridge: DataFrame, l2sp: DataFrame, z: Sequence[str]) -> DataFrame:
     """Persistence, local trend, ridge and L2-SP under one protocol, scored in one pass."""
     y = F.col("y_delta")
-    rows = L.attach_heads(df, ridge, z, out="p_ridge").drop("alpha", "lambda")
+    rows = L.attach_heads(df, ridge, z, out="p_ridge").drop("alpha", "lam")
     rows = L.attach_heads(rows, l2sp, z, out="p_l2sp")
     errs = {
         "persistence": y,
@@ -164,10 +164,10 @@ def train_means(anchors: DataFrame) -> DataFrame:
     """Mean uncensored label of all other families, per held-out family."""
     per = settle(anchors.where(F.col("censored") == 0).groupBy("family").agg(
         F.sum("rul_days").alias("_s"), F.count("*").alias("_n")))
-    tot = per.agg(F.sum("_s").alias("_S"), F.sum("_n").alias("_N"))
-    rest = F.col("_N") - F.col("_n")
+    tot = per.agg(F.sum("_s").alias("_all_s"), F.sum("_n").alias("_all_n"))
+    rest = F.col("_all_n") - F.col("_n")
     return settle(per.join(tot, F.lit(True)).where(rest > 0).select(
-        "family", ((F.col("_S") - F.col("_s")) / rest).alias("train_mean")))
+        "family", ((F.col("_all_s") - F.col("_s")) / rest).alias("train_mean")))
 
 
 def rul_arms(anchors: DataFrame, fits: DataFrame, heads: DataFrame, z: Sequence[str]) -> DataFrame:
@@ -235,7 +235,7 @@ def own_space_arm(df: DataFrame, names: Sequence[str], alpha: float, h: int = 8)
     for (held,), parts in sorted(blocks.items()):
         coef, b = L.fit_ridge(L.total(parts), alpha)
         heads.append((held, held, float(alpha), 0.0, *map(float, coef), b))
-    ht = grid(df.sparkSession, heads, f"held {kind}, family {kind}, alpha double, lambda double, "
+    ht = grid(df.sparkSession, heads, f"held {kind}, family {kind}, alpha double, lam double, "
               + ", ".join(f"c{i} double" for i in range(len(z))) + ", c_b double")
     pred = F.col("c_b") + dot(z, [f"c{i}" for i in range(len(z))])
     return scaled.join(ht, ["held", "family"]).groupBy("held").agg(

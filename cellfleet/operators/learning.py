@@ -268,7 +268,7 @@ def selected_heads(df: DataFrame, z: Sequence[str], heads: Heads, y: str = "y_de
     spark = df.sparkSession
     chosen = select_hparam(score_candidates(score_on if score_on is not None else df, z, heads, y, keys), keys)
     outer = grid(spark, heads.outer, _head_schema(df, keys, ("held",), heads.k))
-    values = grid(spark, heads.grid, "cand int, lambda double, alpha double")
+    values = grid(spark, heads.grid, "cand int, lam double, alpha double")
     return settle(chosen.join(outer, [*keys, "held", "cand"]).join(values, "cand"))
 
 
@@ -280,7 +280,7 @@ def attach_heads(df: DataFrame, heads: DataFrame, z: Sequence[str], keys: Sequen
     """
     k = len(z)
     cols = [*[f"c{i}" for i in range(k)], "c_b"]
-    use = heads.withColumnRenamed("held", "family").select(*keys, "family", "alpha", "lambda", *cols)
+    use = heads.withColumnRenamed("held", "family").select(*keys, "family", "alpha", "lam", *cols)
     joined = df.join(F.broadcast(use), [c for c in [*keys, "family"] if c in df.columns])
     scored = joined.withColumn(out, F.col("c_b") + dot(z, cols[:k])).drop(*cols)
     if anchor is None:
@@ -304,7 +304,7 @@ def lofo_evaluate(df: DataFrame, z: Sequence[str], heads: DataFrame, keys: Seque
     scored = attach_heads(df, heads, z, keys)
     e = F.col("pred_delta") - F.col("y_delta")
     return scored.groupBy(*keys, F.col("family").alias("held")).agg(
-        F.first("alpha").alias("alpha"), F.first("lambda").alias("lambda"),
+        F.first("alpha").alias("alpha"), F.first("lam").alias("lam"),
         F.count("*").alias("n_test_rows"), F.avg(F.abs(e)).alias("mae_delta"),
         F.sqrt(F.avg(e * e)).alias("rmse_delta"),
         F.avg(F.abs(F.col("pred_soh") - F.col("target_soh_true"))).alias("mae_absolute_soh"),
@@ -334,7 +334,7 @@ def fixed_heads(df: DataFrame, z: Sequence[str], alphas: dict[int, float], per_f
             rows.append((*lead, float(alphas[h]), 0.0, m.n, m.n_traj, *map(float, coef), b))
     kinds = dict(df.dtypes)
     cols = [f"horizon {kinds['horizon']}", *([f"held {kinds['family']}"] if per_family else []), "alpha double",
-            "lambda double", "n_train_rows long", "n_train_trajectories long",
+            "lam double", "n_train_rows long", "n_train_trajectories long",
             *[f"c{i} double" for i in range(k)], "c_b double"]
     return grid(spark, rows, ", ".join(cols))
 
@@ -376,7 +376,7 @@ def adaptation_curve(df: DataFrame, z: Sequence[str], budgets: Sequence[tuple[st
     cells = lofo_evaluate(df, z, heads, keys)
     per = cells.groupBy("budget", "held").agg(
         F.avg("mae_absolute_soh").alias("_a"), F.avg("mae_delta").alias("_d"),
-        F.count("*").alias("_n"), F.count_if(F.col("lambda") == 0).alias("_z"),
+        F.count("*").alias("_n"), F.count_if(F.col("lam") == 0).alias("_z"),
     )
     curve = per.groupBy("budget").agg(
         F.sum("_n").alias("n_cells"), F.avg("_a").alias("family_macro_mae_absolute_soh"),
@@ -402,10 +402,10 @@ def fit_diagnostics(df: DataFrame, z: Sequence[str], heads: DataFrame, prior: Pr
         src = prior.at(r["horizon"]) if prior else np.zeros(k)
         scale, gap, norm = m.n / m.sw, coef - src, float(np.linalg.norm(src))
         fit = scale * (m.syy - 2 * coef @ m.b + coef @ m.g @ coef)
-        strength = r["alpha"] + r["lambda"]
+        strength = r["alpha"] + r["lam"]
         a = m.g * scale + strength * np.eye(k)
         retention = max(0.0, 1.0 - float(np.linalg.norm(gap)) / norm) if norm else None
-        objective = float(fit + r["alpha"] * coef @ coef + r["lambda"] * gap @ gap)
+        objective = float(fit + r["alpha"] * coef @ coef + r["lam"] * gap @ gap)
         rows.append((r["horizon"], r["held"], objective, float(np.linalg.cond(a)), retention,
                      float(np.linalg.norm(coef)), norm, float(4.0 * np.sqrt(1e-6 * abs(objective) / strength)) if strength > 0 else None))
     kinds = dict(df.dtypes)
@@ -535,7 +535,7 @@ def censored_heads(df: DataFrame, z: Sequence[str], alphas: Sequence[float] = AL
          f["n_uncensored"], f["n_censored"], f["objective"], *map(float, f["coef"]), f["intercept"])
         for f in fits if len(f["left_out"]) == 1
     ]
-    schema = ", ".join(["horizon int", f"held {kind}", "cand int", "alpha double", "lambda double", "iters int",
+    schema = ", ".join(["horizon int", f"held {kind}", "cand int", "alpha double", "lam double", "iters int",
                         "converged boolean", "n_active long", "n_uncensored long", "n_censored long",
                         "objective double", *[f"c{i} double" for i in range(k)], "c_b double"])
     return settle(select_hparam(scores).join(grid(spark, outer, schema), ["horizon", "held", "cand"]))

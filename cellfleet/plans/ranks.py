@@ -14,35 +14,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellfleet.plans.small import each_case, settle
+from cellfleet.plans.small import cut, each_case, settle
 
 BINS = 4096
 # Rows of one interval that one task may sort.
 SORT_ROWS = 1_000_000
 
 
-def pick_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: DataFrame, sort_rows: int | None = None) -> DataFrame:
-    """The values at 1-based ``rank`` per group.
+def _stats(src: DataFrame, keys: list[str]) -> DataFrame:
+    return settle(
+        src.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_in"))
+    )
+
+
+def _values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The two or three columns the passes need, computed once: the input may hold a big shuffle."""
+    return cut(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")))
 
-    ``ranks`` has ``keys``, ``tag`` and ``rank``. The result has ``keys``, ``tag``, ``rank`` and
-    ``value``. NULL values must have been dropped.
+
+def pick_ranks(df: DataFrame, keys: Sequence[str], value: str, rank, sort_rows: int | None = None) -> DataFrame:
+    """The values at 1-based ranks per group: ``keys``, ``n``, ``rank``, ``value``.
+
+    ``rank`` maps the group size (a column) to an array of ranks. NULL values are left out.
     """
-    sort_rows = sort_rows or SORT_ROWS
     keys = list(keys)
     if not keys:
-        one = F.lit(0)
-        got = pick_ranks(df.withColumn("_all", one), ["_all"], value, ranks.withColumn("_all", one), sort_rows)
-        return got.drop("_all")
-    src = df.select(*keys, F.col(value).cast("double").alias("_v"))
-    bounds = src.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_in")
-    )
-    want = settle(ranks.select(*keys, "tag", "rank"))
-    open_ = settle(
-        want.join(bounds, keys).select(
-            *keys, "tag", "rank", F.col("rank").alias("_r"), "_lo", "_hi", "_in"
-        )
-    )
+        return pick_ranks(df.withColumn("_all", F.lit(0)), ["_all"], value, rank, sort_rows).drop("_all")
+    src = _values(df, keys, value)
+    stats = _stats(src, keys)
+    want = stats.withColumn("rank", F.explode(F.array_distinct(rank(F.col("_in")))))
+    got = _search(src, keys, want.select(*keys, "rank", F.col("rank").alias("_r"), "_lo", "_hi", "_in"), sort_rows or SORT_ROWS)
+    return got.join(stats.select(*keys, F.col("_in").alias("n")), keys)
+
+
+def _search(src: DataFrame, keys: list[str], open_: DataFrame, sort_rows: int) -> DataFrame:
+    open_ = settle(open_)
     while True:
         big = open_.where((F.col("_in") > sort_rows) & (F.col("_lo") < F.col("_hi")))
         if big.isEmpty():
@@ -51,56 +57,60 @@ def pick_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: DataFrame,
         hit = src.join(big, keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
         width = (F.col("_hi") - F.col("_lo")) / BINS
         slot = F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(BINS - 1))
-        hist = hit.groupBy(*keys, "tag", "rank", "_r", slot.alias("_b")).agg(
+        hist = hit.groupBy(*keys, "rank", "_r", slot.alias("_b")).agg(
             F.count("*").alias("_c"), F.min("_v").alias("_l"), F.max("_v").alias("_h")
         )
-        w = Window.partitionBy(*keys, "tag", "rank").orderBy("_b")
+        w = Window.partitionBy(*keys, "rank").orderBy("_b")
         upto = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))
         narrowed = (
             hist.withColumn("_cum", upto)
             .where((F.col("_cum") >= F.col("_r")) & (F.col("_cum") - F.col("_c") < F.col("_r")))
             .select(
-                *keys, "tag", "rank", (F.col("_r") - F.col("_cum") + F.col("_c")).alias("_r"),
+                *keys, "rank", (F.col("_r") - F.col("_cum") + F.col("_c")).alias("_r"),
                 F.col("_l").alias("_lo"), F.col("_h").alias("_hi"), F.col("_c").alias("_in"),
             )
         )
         rest = open_.where(~((F.col("_in") > sort_rows) & (F.col("_lo") < F.col("_hi"))))
         open_ = settle(rest.unionByName(narrowed))
-    flat = open_.where(F.col("_lo") == F.col("_hi")).select(*keys, "tag", "rank", F.col("_lo").alias("value"))
+    flat = open_.where(F.col("_lo") == F.col("_hi")).select(*keys, "rank", F.col("_lo").alias("value"))
     todo = open_.where(F.col("_lo") < F.col("_hi"))
     # Equal values collapse in the map-side combine, so ties never reach one task as rows.
     left = (
         src.join(todo, keys)
         .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        .groupBy(*keys, "tag", "rank", "_r", "_v")
+        .groupBy(*keys, "rank", "_r", "_v")
         .agg(F.count("*").alias("_c"))
     )
-    w = Window.partitionBy(*keys, "tag", "rank").orderBy("_v")
+    w = Window.partitionBy(*keys, "rank").orderBy("_v")
     cum = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))
     found = (
         left.withColumn("_cum", cum)
         .where((F.col("_cum") >= F.col("_r")) & (F.col("_cum") - F.col("_c") < F.col("_r")))
-        .select(*keys, "tag", "rank", F.col("_v").alias("value"))
+        .select(*keys, "rank", F.col("_v").alias("value"))
     )
     return flat.unionByName(found)
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float]) -> DataFrame:
-    """Exact percentiles with linear interpolation: ``keys``, ``fraction``, ``value``."""
+    """Exact percentiles with linear interpolation: ``keys``, ``n``, ``fraction``, ``value``."""
     keys = list(keys)
     if not keys:
         return percentiles(df.withColumn("_all", F.lit(0)), ["_all"], value, fractions).drop("_all")
-    src = df.where(F.col(value).isNotNull()).select(*keys, value)
-    sizes = settle(src.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > 0))
-    spot = each_case(sizes, [(float(q),) for q in fractions], "fraction double").withColumn("_x", (F.col("_n") - 1) * F.col("fraction"))
-    spot = settle(spot.withColumns({"_f": F.floor("_x") + 1, "_g": F.ceil("_x") + 1}))
-    ranks = spot.select(*keys, F.lit("p").alias("tag"), F.explode(F.array("_f", "_g")).alias("rank")).distinct()
-    got = settle(pick_ranks(src, keys, value, ranks).select(*keys, "rank", "value"))
+
+    def near(n):
+        spots = [(n - 1) * F.lit(float(q)) for q in fractions]
+        return F.array(*[f(x) + 1 for x in spots for f in (F.floor, F.ceil)])
+
+    got = settle(pick_ranks(df, keys, value, near))
+    spot = each_case(
+        got.select(*keys, "n").distinct(), [(float(q),) for q in fractions], "fraction double"
+    ).withColumn("_x", (F.col("n") - 1) * F.col("fraction"))
+    spot = spot.withColumns({"_f": F.floor("_x") + 1, "_g": F.ceil("_x") + 1})
     lo = got.select(*keys, F.col("rank").alias("_f"), F.col("value").alias("_a"))
     hi = got.select(*keys, F.col("rank").alias("_g"), F.col("value").alias("_b"))
     step = F.col("_x") - F.floor("_x")
     return spot.join(lo, [*keys, "_f"]).join(hi, [*keys, "_g"]).select(
-        *keys, "fraction", (F.col("_a") + (F.col("_b") - F.col("_a")) * step).alias("value")
+        *keys, "n", "fraction", (F.col("_a") + (F.col("_b") - F.col("_a")) * step).alias("value")
     )
 
 
@@ -108,6 +118,16 @@ def percentile_columns(df: DataFrame, keys: Sequence[str], value: str, named: di
     """`percentiles` with one column per fraction."""
     long = percentiles(df, keys, value, sorted(set(named.values())))
     picks = [F.max(F.when(F.col("fraction") == q, F.col("value"))).alias(n) for n, q in named.items()]
-    return long.groupBy(*keys).agg(*picks)
+    return settle(long.groupBy(*keys).agg(*picks))
 
 
+def percentile_table(df: DataFrame, named: dict[str, tuple[str, float]]) -> DataFrame:
+    """Percentiles of several columns as one row, from one search: name -> (column, fraction)."""
+    cols = sorted({c for c, _ in named.values()})
+    long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in cols], "measure", "x")
+    got = percentiles(long, ["measure"], "x", sorted({q for _, q in named.values()}))
+    picks = [
+        F.max(F.when((F.col("measure") == c) & (F.col("fraction") == q), F.col("value"))).alias(n)
+        for n, (c, q) in named.items()
+    ]
+    return settle(got.agg(*picks))

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cellfleet.plans.small import cut, settle
+
 KEY = "trajectory_id"
 POS = "reference_index"
 CHUNK = 65_536
@@ -170,8 +172,8 @@ def ordered_scan(
 
 def with_ordinal(df: DataFrame, key: str | Sequence[str] = KEY, pos: str = POS, out: str = "ordinal") -> DataFrame:
     """Gapless ordinal for a table whose integer index is unique per series but has gaps."""
-    cut = halo(df, pos=pos).drop("home")
-    ctx = attach(cut, {"_c": F.count("*")}, before={"_o": F.sum("_c")}, key=key)
+    pieces = halo(df, pos=pos).drop("home")
+    ctx = attach(pieces, {"_c": F.count("*")}, before={"_o": F.sum("_c")}, key=key)
     rank = F.row_number().over(series(key, pos)) - 1
     return ctx.withColumn(out, (F.coalesce(F.col("_o"), F.lit(0)) + rank).cast("long")).drop("_o", "chunk")
 
@@ -182,14 +184,8 @@ def global_offsets(df: DataFrame, order: Sequence[str], size: str, out: str = "o
     The table is range-partitioned and sorted once and checkpointed, so the partition of every
     row is settled; sums per partition are added up on the chunk table, never over rows.
     """
-    from cellfleet.plans.small import settle
-    from cellfleet.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(df.sparkSession)
-    ranged = (
-        df.orderBy(*order)
-        .withColumn("_part", F.shiftright(F.monotonically_increasing_id(), 33))
-        .checkpoint()
+    ranged = cut(
+        df.orderBy(*order).withColumn("_part", F.shiftright(F.monotonically_increasing_id(), 33))
     )
     parts = ranged.groupBy("_part").agg(F.sum(size).alias("_s"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

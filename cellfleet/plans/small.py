@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from cellfleet.session import ensure_checkpoint_dir
+
 # Rows a collected or broadcast table may have. Above it the callers keep a shuffle join.
 SMALL_ROWS = 200_000
 
@@ -62,6 +64,15 @@ def settle(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(local_table(df.sparkSession, [tuple(r) for r in rows], df.schema))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Evaluate a frame that several jobs read, and keep it in the shared checkpoint folder.
+
+    Checkpoint files outlive executors, so a lost one costs no recomputation.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def collect_bounded(df: DataFrame, limit: int, what: str) -> list:
     """Collect a table whose size is bounded by the protocol, and refuse when it is not."""
     rows = df.limit(limit + 1).collect()
