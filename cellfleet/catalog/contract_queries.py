@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellfleet.catalog.registry import ANCHORS, TRAJ, WIN, points, query, sql, windows
+from cellfleet.catalog.registry import ANCHORS, TRAJ, WIN, points, query, sql, stored_points, windows
 from cellfleet.operators import contracts as V
 from cellfleet.operators import joins as J
 from cellfleet.operators import windows as W
@@ -111,7 +111,7 @@ def cumulative_violations(spark, d):
            "o", "trajectory_id censored declared"))
 def censor_flag_drift(spark, d):
     """V8: trajectories whose derived censoring flag differs from the manifest."""
-    p = points(spark, d)
+    p = stored_points(spark, d)
     flag = F.min((F.col("soh_true") > 0.7).cast("int"))
     man = p.groupBy(KEY).agg(F.when(F.col(KEY) % 7 == 0, F.lit(1)).otherwise(flag).alias("declared"))
     return V.flag_drift(W.rul_anchors(p), man, "censored", "declared")
@@ -128,7 +128,7 @@ def parameters_joined(spark, d):
            "o", "trajectory_id reference_index long_enough", "soh_true"))
 def short_groups_reported(spark, d):
     """Usable groups, and one row for every group left out."""
-    used, skipped = V.split_short_groups(points(spark, d), 65, KEY, POS)
+    used, skipped = V.split_short_groups(stored_points(spark, d), 65, KEY, POS)
     a = used.select(KEY, POS, "soh_true", F.lit(True).alias("long_enough"))
     b = skipped.select(KEY, F.col("n_rows").alias(POS), F.lit(0.0).alias("soh_true"), F.lit(False).alias("long_enough"))
     return J.union_all([a, b])
@@ -181,7 +181,7 @@ def calendar_join(spark, d):
            "o", "trajectory_id reference_index", "soh_true other"))
 def one_to_one_left(spark, d):
     """1:1 join on trajectory and index, left side kept whole."""
-    p = points(spark, d)
+    p = stored_points(spark, d)
     b = p.where(F.col(POS) % 5 != 0).select(KEY, POS, F.col("soh_observed").alias("other"))
     return V.checked_join(p.select(KEY, POS, "soh_true"), b, [KEY, POS], "left", "1:1")
 
@@ -190,7 +190,7 @@ def one_to_one_left(spark, d):
            "o", "n_common", "max_abs_diff"))
 def table_deviation(spark, d):
     """Largest difference of a measure between two tables on three keys."""
-    p = points(spark, d)
+    p = stored_points(spark, d)
     b = p.withColumn("soh_true", F.col("soh_observed"))
     return J.table_deviation(p, b, ["family", KEY, POS], "soh_true")
 
@@ -228,7 +228,7 @@ def file_reconcile(spark, d):
 @query(sql(TRAJ + ", o AS (SELECT trajectory_id, family, reference_index, floor(soh_observed * 1000) / 1000 AS soh_observed, soh_true FROM traj)", "o", "trajectory_id family reference_index", "soh_observed soh_true"))
 def overlay_columns(spark, d):
     """Numeric columns replaced from a second copy with the same keys."""
-    p = points(spark, d).withColumn("uid", F.concat_ws("|", KEY, POS))
+    p = stored_points(spark, d).withColumn("uid", F.concat_ws("|", KEY, POS))
     other = p.select("uid", (F.floor(F.col("soh_observed") * 1000) / F.lit(1000.0)).alias("soh_observed"))
     return J.overlay(p, other, "uid", ["soh_observed"]).select(KEY, "family", POS, "soh_observed", "soh_true")
 

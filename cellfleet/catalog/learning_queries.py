@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import functions as F
 
-from cellfleet.catalog.registry import ANCHORS, FIRST2, Z2, ZWIN, points, query, sql, windows, z_anchors, z_windows
+from cellfleet.catalog.registry import ANCHORS, FIRST2, Z2, ZWIN, points, query, sql, stored_points, windows, z_anchors, z_windows
 from cellfleet.catalog.series_queries import SLOPE_RUL, SRC, WIENER, WRUL
 from cellfleet.functions.space import Space, apply_space
 from cellfleet.operators import aggregates as A
@@ -211,7 +211,7 @@ _FC = ", ".join(
            "o", "battery_id anchor_reference_index status", "anchor_soh_observed predicted_soh_day28 predicted_soh_day56 predicted_soh_day112 baseline_predicted_soh_day112 interval_lo_day112 interval_hi_day112 rul_days", digits=8), digits=8)
 def fleet_prediction(spark, d):
     """Validated fleet forecast, one row per battery with at least 50 points."""
-    p = points(spark, d)
+    p = stored_points(spark, d)
     heads = L.deploy_heads(z_windows(spark, d), Z2, ALPHA_FIX)
     counts = p.groupBy(KEY).agg(F.count("*").alias("n")).where("n >= 50")
     req = B.requests(p.join(counts, KEY, "left_semi"))
@@ -227,7 +227,7 @@ def fleet_prediction(spark, d):
            "o", "battery_id status reason n_points n_bad_values n_order"))
 def fleet_refusals(spark, d):
     """Batteries whose requests are refused, with the reason."""
-    p, t, i = points(spark, d), F.col(KEY) % 4, F.col(POS)
+    p, t, i = stored_points(spark, d), F.col(KEY) % 4, F.col(POS)
     heads = L.deploy_heads(z_windows(spark, d), Z2, ALPHA_FIX)
     req = B.requests(p).withColumn("_t", F.col("battery_id").cast("long") % 4)
     t, i = F.col("_t"), F.col(POS)
@@ -446,7 +446,7 @@ PRE = SRC + f""", zz AS (SELECT *, (last - 0.85::double) / 0.07::double AS z1, (
 @query(sql(PRE, "o", "n_windows n_cells", "mae_in_sample alpha c0 c1 cosine_to_prior"))
 def source_pretraining(spark, d):
     """Unweighted ridge on public cells."""
-    w = apply_space(W.source_windows(B.cell_cycles(points(spark, d))), _PS)
+    w = apply_space(W.source_windows(B.cell_cycles(stored_points(spark, d))), _PS)
     w = cut(w.select("cell_id", *Z2, "y_delta"))
     return L.pretrain(w, Z2, 10.0, PRIOR)
 

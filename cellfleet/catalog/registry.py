@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cellfleet.functions.space import apply_space
 from cellfleet.operators import windows as W
+from cellfleet.plans.small import cut
 from cellfleet.sources import testbed as B
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,9 +66,15 @@ Z2 = B.SPACE2.columns()
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
+    """Reference points as a view of the events, for queries that read them once."""
     return B.trajectories(spark, d)
 
 
+def stored_points(spark: SparkSession, d: str) -> DataFrame:
+    """The same as a stored table, for queries that read them more than once."""
+    return cut(points(spark, d))
+
+
 def windows(spark: SparkSession, d: str, horizons=(2, 4, 8)) -> DataFrame:
     return W.with_target(points(spark, d), horizons)
 
@@ -77,7 +84,7 @@ def z_windows(spark: SparkSession, d: str, horizons=(2, 4, 8)) -> DataFrame:
 
 
 def z_anchors(spark: SparkSession, d: str) -> DataFrame:
-    return apply_space(W.rul_anchors(points(spark, d)), B.SPACE2)
+    return apply_space(W.rul_anchors(stored_points(spark, d)), B.SPACE2)
 
 
 # ---------------------------------------------------------------- shared SQL

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cellfleet.catalog.contract_queries import CAL, DRIVERS, calendar_tables
 from cellfleet.catalog.learning_queries import ALPHA_FIX
-from cellfleet.catalog.registry import FEAT, TRAJ, Z2, features_sql, points, query, sql, target_sql, z_windows
+from cellfleet.catalog.registry import FEAT, TRAJ, Z2, features_sql, points, query, sql, stored_points, target_sql, z_windows
 from cellfleet.catalog.report_queries import TEL, TREND8
 from cellfleet.functions.forecast import scale_drivers
 from cellfleet.functions.space import apply_space
@@ -185,14 +185,14 @@ FAULT = ASSIGN + f""", fp0 AS (SELECT t.*, asg.* EXCLUDE (family, trajectory_id)
 
 
 def _faulted(spark, d):
-    p = points(spark, d)
+    p = stored_points(spark, d)
     return D.faulted(p, D.assign_faults(p, N_FAULT))
 
 
 @query(sql(ASSIGN, "asg", "family trajectory_id fault_type", "onset_fraction"))
 def fault_assignment(spark, d):
     """Disjoint blocks of trajectories per fault class."""
-    return D.assign_faults(points(spark, d), N_FAULT).select("family", KEY, "fault_type", "onset_fraction")
+    return D.assign_faults(stored_points(spark, d), N_FAULT).select("family", KEY, "fault_type", "onset_fraction")
 
 
 @query(sql(FAULT, "fpts", "trajectory_id reference_index fault_type onset_index post_onset", "soh_true_faulted soh_observed_faulted rint_multiplier temperature_bias_c dod_event", digits=10), digits=10)
@@ -278,7 +278,7 @@ def streamed_envelope(spark, d):
 def _request_stream(spark, d):
     """Reference points written in two slices of time, read back as a stream in that order."""
     folder = R.work_folder(spark, "requests")
-    p = cut(B.requests(points(spark, d)))
+    p = cut(B.requests(stored_points(spark, d)))
     for part in (p.where(F.col(POS) < 30), p.where(F.col(POS) >= 30)):
         part.repartition(2, "battery_id").write.mode("append").parquet(folder)
     return file_stream(spark, folder, "*.parquet", p.schema, 2)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cellfleet.catalog.contract_queries import DRIVERS
 from cellfleet.catalog.registry import (
-    ANCHORS, FEATURE_NAMES, TRAJ, WIN, points, query, sql, windows,
+    ANCHORS, FEATURE_NAMES, TRAJ, WIN, points, query, sql, stored_points, windows,
 )
 from cellfleet.catalog.series_queries import HALVES, SLOPE_RUL
 from cellfleet.functions.forecast import local_trend, slope_rul
@@ -62,7 +62,7 @@ def timescale(spark, d):
     """A4: drift inside telemetry against the mean step of the grid."""
     sec = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1990-01-01 00:00:00', ts)").cast("double")
     l1 = B.telemetry(spark, d).withColumn("scenario_epoch_s", sec)
-    return A.timescale(l1, points(spark, d))
+    return A.timescale(l1, stored_points(spark, d))
 
 
 @query(sql(WIN + """, o AS (SELECT coalesce(horizon, 0) AS horizon, grouping(horizon)::tinyint AS all_horizons, count(*) AS n_rows, count(DISTINCT trajectory_id) AS n_trajectories, count(DISTINCT family) AS n_families FROM win GROUP BY GROUPING SETS ((), (horizon)))""",
@@ -78,7 +78,7 @@ def dataset_summary(spark, d):
            "o", "anchors_total anchors_uncensored anchors_censored trajectories_total trajectories_uncensored trajectories_censored degeneracy", "rul_mean_days rul_std_days rul_min_days rul_max_days"))
 def rul_label_summary(spark, d):
     """Label statistics of the remaining-life anchors."""
-    return A.rul_summary(W.rul_anchors(points(spark, d)))
+    return A.rul_summary(W.rul_anchors(stored_points(spark, d)))
 
 
 TREND = WIN + ", tr AS (SELECT *, soh_observed + slope_full * horizon AS pred_soh, soh_observed + slope_full * horizon - target_soh_true AS e, abs(soh_observed + slope_full * horizon - target_soh_true) AS err FROM win)"
@@ -144,7 +144,7 @@ def rul_correlation(spark, d):
            "o", "eol_trajectories check_1 check_2 check_3 check_4 check_5 check_6", "soh_non_increasing_frac init_mean end_mean delta_early_mean delta_late_mean obs_err_max rul_corr_mean"))
 def directionality(spark, d):
     """The six direction checks."""
-    return A.directionality(points(spark, d))
+    return A.directionality(stored_points(spark, d))
 
 
 @query(sql(TRAJ + ", c AS (SELECT trajectory_id, f.k AS factor, min(CASE WHEN soh_observed <= 0.70::double * f.k THEN reference_day END) AS day FROM traj, (VALUES (0.8::double), (1.0::double), (1.2::double)) f(k) GROUP BY 1, 2), o AS (SELECT factor, avg(day) AS mean_crossing_day, count(day) AS n_crossing FROM c GROUP BY 1)",
@@ -188,7 +188,7 @@ def family_curves(spark, d):
 @query("WITH " + " , ".join(["x AS (SELECT 1)"]) + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS feature, {i == 0 and '0.001' or '0'}::double AS max_abs_diff" for i, n in enumerate(NAMES)) + ")")
 def feature_drift(spark, d):
     """Recomputed against stored features; the stored ``last`` is off by 0.001 on purpose."""
-    p = points(spark, d)
+    p = stored_points(spark, d)
     f = W.features11(p).select(KEY, POS, *[F.col(n).alias(f"frozen_{i:02d}_{n}") for i, n in enumerate(NAMES)])
     f = f.withColumn("frozen_00_last", F.col("frozen_00_last") + 0.001)
     c = W.context_windows(p).select(KEY, POS, "ctx")
@@ -268,7 +268,7 @@ def coverage_report(spark, d):
            "o", "family n_censored n_violations", "consistent_fraction"))
 def censored_check(spark, d):
     """Censored anchors against the upper end of the slope extrapolation."""
-    a = W.rul_anchors(points(spark, d))
+    a = W.rul_anchors(stored_points(spark, d))
     a = a.withColumn("p", slope_rul(F.col("last"), F.col("slope_full")))
     return C.censored_check(a, "p", 100.0, keys=["family"])
 
@@ -291,7 +291,7 @@ LEAD = TREND8 + """, pc AS (SELECT family, trajectory_id, min(CASE WHEN soh_true
 
 def _leads(spark, d):
     t8 = local_trend(windows(spark, d, (8,))).withColumn("pred_soh", F.col("soh_observed") + F.col("pred_delta"))
-    return P.lead_time(points(spark, d), t8, 0.70)
+    return P.lead_time(stored_points(spark, d), t8, 0.70)
 
 
 @query(sql(TRAJ + ", o AS (SELECT trajectory_id, min(CASE WHEN soh_true <= 0.8::double THEN reference_day END) AS t_true_cross_day FROM traj GROUP BY 1)", "o", "trajectory_id", "t_true_cross_day"))
@@ -317,7 +317,7 @@ SLOPE_ANCHORS = ANCHORS + f", sa AS (SELECT *, least(greatest({SLOPE_RUL}, 0), 6
 
 
 def _slope_anchors(spark, d):
-    a = W.rul_anchors(points(spark, d))
+    a = W.rul_anchors(stored_points(spark, d))
     return a.withColumn("pred_rul", F.least(slope_rul(F.col("last"), F.col("slope_full")), F.lit(600.0)))
 
 
@@ -360,7 +360,7 @@ REC = LEAD + f", sa AS (SELECT f.*, e.eol_day, e.eol_day - reference_day AS rul_
 
 
 def _records(spark, d):
-    p = points(spark, d)
+    p = stored_points(spark, d)
     t8 = local_trend(W.with_target(p, (8,))).withColumn("pred_soh", F.col("soh_observed") + F.col("pred_delta"))
     return P.prognostic_records(p, t8, _slope_anchors(spark, d), warn=0.70)
 

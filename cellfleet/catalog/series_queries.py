@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellfleet.catalog.registry import (
-    ANCHORS, FEAT, FEATURE_NAMES, TRAJ, WIN, features_sql, points, query, sql, windows,
+    ANCHORS, FEAT, FEATURE_NAMES, TRAJ, WIN, features_sql, points, query, sql, stored_points, windows,
 )
 from cellfleet.functions import forecast as X
 from cellfleet.functions.space import FEATURES, apply_space, apply_space_array
@@ -24,7 +24,7 @@ IDS = "trajectory_id family reference_index"
            "o", IDS + " right_censored", "reference_day soh_true soh_observed"))
 def trajectories_with_manifest(spark, d):
     """Reference points with the censoring flag of their trajectory."""
-    pts = points(spark, d)
+    pts = stored_points(spark, d)
     dim = pts.groupBy(KEY).agg(F.min((F.col("soh_true") > 0.7).cast("int")).alias("right_censored"))
     from cellfleet.operators.joins import lookup
 
@@ -61,7 +61,7 @@ CYCLES = TRAJ + """, raw AS (
 def usable_cell_cycles(spark, d):
     """Unusable capacities are dropped and the rest re-indexed per cell."""
     bad = F.when(F.col("cycle_idx") % 10 == 3, F.lit(None)).when(F.col("cycle_idx") % 10 == 7, F.lit(0.0))
-    raw = B.cell_cycles(points(spark, d))
+    raw = B.cell_cycles(stored_points(spark, d))
     raw = raw.withColumn("capacity", bad.when(F.lit(True), F.col("capacity")))
     return usable_cycles(raw).select("cell_id", "cycle_no", "cycle_idx", "capacity")
 
@@ -99,13 +99,13 @@ SRC += ", srcw AS (SELECT *, trajectory_id AS cell_id, reference_index AS cycle_
 @query(sql(SRC, "srcw", "cell_id cycle_idx", "y_delta " + FEATURE_NAMES))
 def source_windows(spark, d):
     """Windows of public cells, relative to each cell's first capacity."""
-    return W.source_windows(B.cell_cycles(points(spark, d))).select("cell_id", "cycle_idx", "y_delta", *FEATURES)
+    return W.source_windows(B.cell_cycles(stored_points(spark, d))).select("cell_id", "cycle_idx", "y_delta", *FEATURES)
 
 
 @query(sql(ANCHORS, "anchors", IDS + " censored", "reference_day rul_days rul_lower_bound_days last slope_full"))
 def rul_anchors(spark, d):
     """Remaining-life anchors with censored trajectories kept."""
-    return W.rul_anchors(points(spark, d)).select(*IDS.split(), "censored", "reference_day", "rul_days",
+    return W.rul_anchors(stored_points(spark, d)).select(*IDS.split(), "censored", "reference_day", "rul_days",
                                                   "rul_lower_bound_days", "last", "slope_full")
 
 
@@ -114,7 +114,7 @@ def rul_anchors(spark, d):
            "o", "trajectory_id reference_index", "d_soh_true diff_soh_true sum_soh_observed"))
 def lags_and_running_sums(spark, d):
     """Differences to the previous point, and running sums."""
-    out = W.running_sum(W.with_lag(points(spark, d), ["soh_true"]), "soh_observed")
+    out = W.running_sum(W.with_lag(stored_points(spark, d), ["soh_true"]), "soh_observed")
     return out.select(KEY, POS, "d_soh_true", "diff_soh_true", "sum_soh_observed")
 
 
@@ -145,7 +145,7 @@ halves AS (SELECT trajectory_id, coalesce(avg(CASE WHEN reference_index BETWEEN
 @query(sql(HALVES, "halves", "trajectory_id", "early late"))
 def half_rates(spark, d):
     """Mean step of the first and the second half."""
-    return W.half_rates(points(spark, d))
+    return W.half_rates(stored_points(spark, d))
 
 
 @query(sql(TRAJ + ", o AS (SELECT a.trajectory_id, a.reference_index, " + ", ".join(
@@ -162,7 +162,7 @@ def wide_contexts(spark, d):
            "unc", IDS, "rul_days", tail="WHERE k % 10 = 0"))
 def every_tenth_anchor(spark, d):
     """Every tenth uncensored anchor of each family, in order."""
-    unc = W.rul_anchors(points(spark, d)).where(F.col("censored") == 0).select(*IDS.split(), "rul_days")
+    unc = W.rul_anchors(stored_points(spark, d)).where(F.col("censored") == 0).select(*IDS.split(), "rul_days")
     return W.stride(unc, 10)
 
 
@@ -170,7 +170,7 @@ def every_tenth_anchor(spark, d):
            "o", "family trajectory_id n"))
 def budget_subset(spark, d):
     """The first five trajectories of each family."""
-    return W.budget_subset(points(spark, d), 5).groupBy("family", KEY).agg(F.count("*").alias("n"))
+    return W.budget_subset(stored_points(spark, d), 5).groupBy("family", KEY).agg(F.count("*").alias("n"))
 
 
 @query(sql(TRAJ + """, o AS (SELECT *, count(*) OVER w AS prefix_n, avg(soh_observed) OVER w AS prefix_mean, min(soh_observed) OVER w AS prefix_min,
@@ -180,7 +180,7 @@ def budget_subset(spark, d):
 def prefix_statistics(spark, d):
     """Statistics of all points up to each anchor."""
     vs = (F.col("prefix_mean") / 0.9713).alias("prefix_mean_vs_start")
-    return W.prefix_stats(points(spark, d)).select(KEY, POS, "prefix_n", vs, "prefix_min", "prefix_max")
+    return W.prefix_stats(stored_points(spark, d)).select(KEY, POS, "prefix_n", vs, "prefix_min", "prefix_max")
 
 
 WIENER = TRAJ + """, inc AS (SELECT *, reference_day - lag(reference_day) OVER w AS dt, soh_observed - lag(soh_observed) OVER w AS ds
@@ -196,7 +196,7 @@ WRUL = "CASE WHEN {s} - 0.70::double <= 0 THEN 0 WHEN mu <= 0 THEN 3000 ELSE lea
            "o", "trajectory_id reference_index n_steps", "mu sigma wiener_rul", digits=6), digits=6)
 def wiener_passage(spark, d):
     """Drift and diffusion at every anchor, and the mean passage time."""
-    fit = W.wiener_fit(points(spark, d))
+    fit = W.wiener_fit(stored_points(spark, d))
     rul = X.wiener_rul(F.col("mu"), F.col("soh_observed"))
     return fit.withColumn("wiener_rul", rul).select(KEY, POS, "n_steps", "mu", "sigma", "wiener_rul")
 

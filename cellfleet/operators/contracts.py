@@ -193,7 +193,7 @@ def checked_join(left: DataFrame, right: DataFrame, on: Sequence[str] | str, how
 def split_short_groups(df: DataFrame, n: int, key: str = "cell_id", pos: str = "cycle_idx") -> tuple[DataFrame, DataFrame]:
     """Rows of long-enough groups, and the groups left out with their size."""
     cut = scan.halo(df, pos=pos).drop("home")
-    ctx = scan.attach(cut, {"_n": F.count("*")}, total={"n_rows": F.sum("_n")}, key=key)
+    ctx = scan.attach(cut, total={"n_rows": (F.count("*"), F.sum)}, key=key, pos=pos)
     used = ctx.where(F.col("n_rows") >= n).drop("n_rows", "chunk")
     skipped = df.groupBy(key).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") < n)
     return used, skipped

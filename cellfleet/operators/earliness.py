@@ -59,7 +59,7 @@ def prognostic_horizon(df: DataFrame, alpha: float = ALPHA, floor: float = 0.0,
     The entry is the first anchor after the last one outside, so no backward scan is needed.
     """
     out_day = F.max(F.when(~F.col("inside"), F.col("reference_day")))
-    ctx = scan.attach(_banded(df, alpha, floor, clamp, truth, pred), {"_o": out_day}, total={"_last_out": F.max("_o")})
+    ctx = scan.attach(_banded(df, alpha, floor, clamp, truth, pred), total={"_last_out": (out_day, F.max)})
     stays = F.col("_last_out").isNull() | (F.col("reference_day") > F.col("_last_out"))
     per = ctx.groupBy(KEY).agg(
         F.min(F.when(stays, F.col("reference_day"))).alias("ph_entry_day"),

@@ -101,8 +101,7 @@ def source_windows(cycles: DataFrame, h: int = 8) -> DataFrame:
     cut = scan.halo(src).drop("home")
     ctx = scan.attach(
         cut,
-        {"_f": first, "_i": F.min(POS), "_n": F.count("*")},
-        total={"_first": F.min_by("_f", "_i"), "n_cycles": F.sum("_n")},
+        total={"_first": (first, lambda n: F.min_by(n, "chunk")), "n_cycles": (F.count("*"), F.sum)},
     )
     soh = (
         ctx.where(F.col("n_cycles") >= CONTEXT + 1 + h)
@@ -123,15 +122,14 @@ def rul_anchors(df: DataFrame, eol: float = EOL_SOH, key=KEY) -> DataFrame:
     a NULL label and their follow-up as a lower bound.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    marks = {
-        "_n": F.count_if("home"),
-        "_e": F.min(F.when(F.col("soh_true") <= eol, F.col("reference_day"))),
-        "_l": F.max("reference_day"),
+    totals = {
+        "_points": (F.count_if("home"), F.sum),
+        "eol_day": (F.min(F.when(F.col("soh_true") <= eol, F.col("reference_day"))), F.min),
+        "last_day": (F.max("reference_day"), F.max),
     }
     # Copies at chunk borders repeat days of the same series, which changes neither extreme.
     cut = scan.halo(df, back=CONTEXT - 1)
-    totals = {"eol_day": F.min("_e"), "last_day": F.max("_l"), "_points": F.sum("_n")}
-    ctx = scan.attach(cut, marks, total=totals, key=keys)
+    ctx = scan.attach(cut, total=totals, key=keys)
     out = ctx.withColumns(feature_columns("soh_observed", keys)).where(F.col(POS) >= CONTEXT - 1)
     out = out.where(F.col("eol_day").isNull() | (F.col("reference_day") < F.col("eol_day")))
     return _done(out).withColumns(
@@ -188,7 +186,7 @@ def monotonicity(df: DataFrame, x: str = "soh_true") -> DataFrame:
 def half_rates(df: DataFrame, x: str = "soh_true") -> DataFrame:
     """Mean step in the first and in the second half; the step across the middle is in neither."""
     cut = scan.halo(df.select(KEY, POS, x), back=1)
-    ctx = scan.attach(cut, {"_n": F.count_if("home")}, total={"n": F.sum("_n")})
+    ctx = scan.attach(cut, total={"n": (F.count_if("home"), F.sum)})
     mid = F.expr("n div 2")
     step = F.col(x) - F.lag(x).over(scan.series())
     out = ctx.withColumn("step", step).where("home").withColumn("mid", mid)
@@ -273,8 +271,7 @@ def prefix_stats(df: DataFrame, x: str = "soh_observed", key=KEY) -> DataFrame:
     cut = scan.halo(df).drop("home")
     ctx = scan.attach(
         cut,
-        {"_n": F.count("*"), "_s": F.sum(v), "_lo": F.min(v), "_hi": F.max(v)},
-        before={"_n0": F.sum("_n"), "_s0": F.sum("_s"), "_lo0": F.min("_lo"), "_hi0": F.max("_hi")},
+        before={"_n0": (F.count("*"), F.sum), "_s0": (F.sum(v), F.sum), "_lo0": (F.min(v), F.min), "_hi0": (F.max(v), F.max)},
         key=key,
     )
     w = scan.running(key)
@@ -343,7 +340,7 @@ def perturb(df: DataFrame, channels: Sequence[str] = ("soh_true", "soh_observed"
     onset on and clipped to [0, 1.2]. Adds ``<channel>_faulted``, ``onset_index`` and the markers.
     """
     cut = scan.halo(df, back=1)
-    ctx = scan.attach(cut, {"_n": F.count_if("home")}, total={"n_points": F.sum("_n")}, key=key)
+    ctx = scan.attach(cut, total={"n_points": (F.count_if("home"), F.sum)}, key=key)
     n = F.col("n_points")
     k = F.least(F.greatest(F.bround(F.col("onset_fraction") * (n - 1)).cast("long"), F.lit(1)), n - 2)
     accel = (

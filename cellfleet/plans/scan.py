@@ -9,12 +9,13 @@ and ``chunk = position div CHUNK`` cuts every series into bounded pieces:
 * unbounded frames and whole-series totals are two-level scans: partial aggregates per chunk,
   a window over the chunk table, and a join back on (trajectory, chunk) (`attach`).
 
-Series shorter than a chunk, the usual case, are one group each, as with a plain window.
+Where no series is longer than a chunk, the usual case, a plan is one exchange and one sort, as
+with a plain window; a filter on ``chunk`` tells beforehand.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from cellfleet.plans.small import cut, settle
 
 KEY = "trajectory_id"
 POS = "reference_index"
-CHUNK = 65_536
+CHUNK = 1_048_576
 # A key with more rows than this is cut by its order value before the first sort.
 HOT_ROWS = 4_000_000
 
@@ -69,39 +70,67 @@ def running(key: str | Sequence[str] = KEY, pos: str = POS) -> WindowSpec:
     return series(key, pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+def whole(key: str | Sequence[str] = KEY, pos: str = POS) -> WindowSpec:
+    """All rows of the chunk, on the one shared spec."""
+    return series(key, pos).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def _long_series(df: DataFrame, keys: list[str]) -> DataFrame | None:
+    """Keys of series longer than a chunk, or None where there are none.
+
+    The filter is on a partition column, so it sinks below the windows of ``df``, and on a stored
+    table down to the index column's file statistics. At most rows / CHUNK keys come back.
+    """
+    found = df.where(F.col("chunk") >= 1).select(*keys).distinct()
+    return None if found.isEmpty() else settle(found)
+
+
+Part = tuple[Column, Callable[[str], Column]]
+
+
 def attach(
     df: DataFrame,
-    partial: dict[str, Column],
-    before: dict[str, Column] | None = None,
-    after: dict[str, Column] | None = None,
-    total: dict[str, Column] | None = None,
+    total: dict[str, Part] | None = None,
+    before: dict[str, Part] | None = None,
     key: str | Sequence[str] = KEY,
+    pos: str = POS,
 ) -> DataFrame:
-    """Attach series-level context to rows that already carry ``chunk``.
+    """Attach series-level context to rows that carry ``chunk``.
 
-    ``partial`` are aggregates per chunk. ``before``, ``after`` and ``total`` aggregate those
-    partials over the earlier, the later and all chunks of the same series.
+    Each entry is (aggregate over rows, how its partial results merge), for instance
+    ``(F.count("*"), F.sum)``. ``total`` covers the whole series and ``before`` the earlier chunks,
+    where it is NULL in the first one. Where every series is one chunk, both are settled by the
+    window over the chunk; otherwise the long series get a chunk table, joined by (key, chunk).
     """
-    keys = _keys(key)
-    table = df.groupBy(*keys, "chunk").agg(*[e.alias(n) for n, e in partial.items()])
+    keys, total, before = _keys(key), total or {}, before or {}
+    local = {n: e.over(whole(keys, pos)) for n, (e, _) in total.items()}
+    long = _long_series(df, keys)
+    if long is None:
+        none = {n: F.when(F.lit(False), e.over(whole(keys, pos))) for n, (e, _) in before.items()}
+        return df.withColumns({**local, **none})
+    parts = {**total, **before}
+    table = df.join(long, keys, "left_semi").groupBy(*keys, "chunk").agg(*[e.alias(n) for n, (e, _) in parts.items()])
     ordered = Window.partitionBy(*keys).orderBy("chunk")
     spans = (
-        (before, ordered.rowsBetween(Window.unboundedPreceding, -1)),
-        (after, ordered.rowsBetween(1, Window.unboundedFollowing)),
-        (total, ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        (total, "_t_", ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        (before, "", ordered.rowsBetween(Window.unboundedPreceding, -1)),
     )
-    context = [e.over(w).alias(n) for exprs, w in spans if exprs for n, e in exprs.items()]
-    return df.join(table.select(*keys, "chunk", *context), [*keys, "chunk"])
+    context = [m(n).over(w).alias(f"{p}{n}") for part, p, w in spans for n, (_, m) in part.items()]
+    rows = df.join(settle(table.select(*keys, "chunk", *context)), [*keys, "chunk"], "left")
+    merged = {n: F.coalesce(F.col(f"_t_{n}"), e) for n, e in local.items()}
+    return rows.withColumns(merged).drop(*[f"_t_{n}" for n in total])
 
 
-def attach_dim(df: DataFrame, dim: DataFrame, key: str = KEY, how: str = "inner") -> DataFrame:
+def attach_dim(df: DataFrame, dim: DataFrame, key: str = KEY) -> DataFrame:
     """Join a one-row-per-series table to rows that carry ``chunk``.
 
-    The dimension may be as long as the fleet, so it is not broadcast; it is spread over the
-    chunks of each series first, so that a hot series is joined chunk by chunk.
+    The dimension may be as long as the fleet, so it is not broadcast by hint. Where a series is
+    longer than a chunk, the dimension is spread over the chunks and joined chunk by chunk.
     """
+    if _long_series(df, [key]) is None:
+        return df.join(dim, key)
     pieces = df.select(key, "chunk").distinct().join(dim, key)
-    return df.join(pieces, [key, "chunk"], how)
+    return df.join(pieces, [key, "chunk"])
 
 
 def running_sums(
@@ -109,12 +138,7 @@ def running_sums(
 ) -> DataFrame:
     """Running sums over each whole series as two-level scans; ``df`` carries ``chunk``."""
     named = {n: F.col(c) if isinstance(c, str) else c for n, c in sums.items()}
-    out = attach(
-        df,
-        partial={f"_p_{n}": F.sum(c) for n, c in named.items()},
-        before={f"_b_{n}": F.sum(f"_p_{n}") for n in named},
-        key=key,
-    )
+    out = attach(df, before={f"_b_{n}": (F.sum(c), F.sum) for n, c in named.items()}, key=key, pos=pos)
     w = running(key, pos)
     cols = {n: F.coalesce(F.col(f"_b_{n}"), F.lit(0)) + F.sum(c).over(w) for n, c in named.items()}
     return out.withColumns(cols).drop(*[f"_b_{n}" for n in named])
@@ -131,49 +155,56 @@ def ordered_scan(
 ) -> DataFrame:
     """Gapless position (from 0) and running sums by ``order`` within ``key``.
 
-    ``place`` is a number that never falls along ``order``. Only keys above ``hot_rows`` are cut
-    into segments by it; there are at most rows/hot_rows of them, and the segment table has at
-    most 8 rows per hot_rows input rows, which bounds both broadcasts. All other keys go through
-    one shuffle.
+    ``place`` is a number that never falls along ``order``. Keys above ``hot_rows`` are cut into
+    segments by it. There are at most rows / hot_rows of them, so where the whole table is no
+    longer than that nothing is looked up, and elsewhere a count by key finds them first.
     """
     hot_rows = hot_rows or HOT_ROWS
     sums = sums or {}
+    plain = df.withColumn("_seg", F.lit(0).cast("long"))
+    if df.count() <= hot_rows:
+        return _positions(plain, key, order, sums, pos)
     src = df.withColumn("_place", place)
     hot = (
         src.groupBy(key)
         .agg(F.count("*").alias("_n"), F.min("_place").alias("_lo"), F.max("_place").alias("_hi"))
         .where(F.col("_n") > hot_rows)
     )
+    hot = settle(hot)
+    if hot.isEmpty():
+        return _positions(plain, key, order, sums, pos)
     cuts = F.ceil(F.col("_n") * 8 / F.lit(hot_rows))
     share = (F.col("_place") - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo") + 1)
-    src = src.join(F.broadcast(hot), key, "left").withColumn(
-        "_seg", F.coalesce(F.floor(share * cuts), F.lit(0))
-    )
+    src = src.join(hot, key, "left").withColumn("_seg", F.coalesce(F.floor(share * cuts), F.lit(0)))
     table = (
         src.where(F.col("_n").isNotNull())
         .groupBy(key, "_seg")
-        .agg(F.count("*").alias("_rows"), *[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()])
+        .agg(F.count("*").alias("_o"), *[F.sum(c).alias(f"_o_{n}") for n, c in sums.items()])
     )
     earlier = Window.partitionBy(key).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = table.select(
-        key, "_seg", F.sum("_rows").over(earlier).alias("_o"),
-        *[F.sum(f"_s_{n}").over(earlier).alias(f"_o_{n}") for n in sums],
-    )
+    names = ["_o", *[f"_o_{n}" for n in sums]]
+    offsets = settle(table.select(key, "_seg", *[F.sum(n).over(earlier).alias(n) for n in names]))
+    out = _positions(src.join(offsets, [key, "_seg"], "left"), key, order, sums, pos, shifted=True)
+    return out.drop("_place", "_n", "_lo", "_hi", *names)
+
+
+def _positions(df: DataFrame, key: str, order: Sequence[str], sums: dict[str, Column], pos: str,
+               shifted: bool = False) -> DataFrame:
     w = Window.partitionBy(key, "_seg").orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = src.join(F.broadcast(offsets), [key, "_seg"], "left").withColumns(
+    base = lambda c: F.coalesce(F.col(c), F.lit(0)) if shifted else F.lit(0)
+    return df.withColumns(
         {
-            pos: (F.coalesce(F.col("_o"), F.lit(0)) + F.row_number().over(w) - 1).cast("long"),
-            **{n: F.coalesce(F.col(f"_o_{n}"), F.lit(0)) + F.sum(c).over(upto) for n, c in sums.items()},
+            pos: (base("_o") + F.row_number().over(w) - 1).cast("long"),
+            **{n: base(f"_o_{n}") + F.sum(c).over(upto) for n, c in sums.items()},
         }
-    )
-    return out.drop("_place", "_seg", "_n", "_lo", "_hi", "_o", *[f"_o_{n}" for n in sums])
+    ).drop("_seg")
 
 
 def with_ordinal(df: DataFrame, key: str | Sequence[str] = KEY, pos: str = POS, out: str = "ordinal") -> DataFrame:
     """Gapless ordinal for a table whose integer index is unique per series but has gaps."""
     pieces = halo(df, pos=pos).drop("home")
-    ctx = attach(pieces, {"_c": F.count("*")}, before={"_o": F.sum("_c")}, key=key)
+    ctx = attach(pieces, before={"_o": (F.count("*"), F.sum)}, key=key, pos=pos)
     rank = F.row_number().over(series(key, pos)) - 1
     return ctx.withColumn(out, (F.coalesce(F.col("_o"), F.lit(0)) + rank).cast("long")).drop("_o", "chunk")
 
