@@ -103,7 +103,7 @@ def order_violations(df: DataFrame, key: str = "battery_id", index: str = "refer
 
     ``arrival`` is the position of the row as given, without gaps within the group.
     """
-    cut = scan.halo(df.select(key, index, arrival), back=1, pos=arrival)
+    cut = scan.halo(df.select(key, index, arrival), back=1, key=key, pos=arrival)
     prev = F.lag(index).over(scan.series(key, arrival))
     return (
         cut.withColumn("_bad", F.col(index) <= prev)
@@ -192,7 +192,7 @@ def checked_join(left: DataFrame, right: DataFrame, on: Sequence[str] | str, how
 
 def split_short_groups(df: DataFrame, n: int, key: str = "cell_id", pos: str = "cycle_idx") -> tuple[DataFrame, DataFrame]:
     """Rows of long-enough groups, and the groups left out with their size."""
-    cut = scan.halo(df, pos=pos).drop("home")
+    cut = scan.halo(df, key=key, pos=pos).drop("home")
     ctx = scan.attach(cut, total={"n_rows": (F.count("*"), F.sum)}, key=key, pos=pos)
     used = ctx.where(F.col("n_rows") >= n).drop("n_rows", "chunk")
     skipped = df.groupBy(key).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") < n)

@@ -26,7 +26,7 @@ def request_faults(requests: DataFrame, key: str = "battery_id") -> DataFrame:
     """Per battery: how many rows break each rule, and its length; one aggregation and one scan."""
     x, i = F.col("soh_observed"), F.col("reference_index").cast("double")
     bad = x.isNull() | F.isnan(x) | (x <= 0) | (x > V.SOH_MAX) | i.isNull() | (i != F.floor(i))
-    cut = scan.halo(requests, back=1, pos="arrival")
+    cut = scan.halo(requests, back=1, key=key, pos="arrival")
     prev = F.lag("reference_index").over(scan.series(key, "arrival"))
     flags = cut.withColumn("_o", F.coalesce(F.col("reference_index") <= prev, F.lit(False))).where("home")
     return flags.groupBy(key).agg(
@@ -60,7 +60,7 @@ def predict_fleet(requests: DataFrame, heads: DataFrame, space: Space, quantiles
     refusals = faults.where(~good).select(key, F.lit(REFUSED).alias("status"), reason.alias("reason"), "n_points",
                                           "n_bad_values", "n_order")
     # The last 20 arrivals are found per chunk, so a long history never meets in one task.
-    cut = scan.halo(requests, pos="arrival").drop("home")
+    cut = scan.halo(requests, key=key, pos="arrival", spread=False).drop("home")
     ends = cut.groupBy(key, "chunk").agg(F.count("*").alias("_c")).join(faults.where(good), key)
     tail = cut.join(ends.select(key, "chunk", "last_arrival"), [key, "chunk"]).where(
         F.col("arrival") > F.col("last_arrival") - CONTEXT

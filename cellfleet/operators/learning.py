@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from cellfleet.functions.space import dot
 from cellfleet.operators.windows import budget_members
 from cellfleet.plans.scan import KEY
-from cellfleet.plans.small import SMALL_ROWS, collect_bounded, each_case, grid, settle
+from cellfleet.plans.small import SMALL_ROWS, collect_bounded, cut, each_case, grid, settle
 
 # Grids in the order in which ties are resolved.
 ALPHAS = (1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0)
@@ -53,13 +53,12 @@ def _pairs(k: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(k) for j in range(i, k)]
 
 
-def _moment_columns(z: Sequence[str], y: str | Column) -> dict[str, Column]:
-    """Products whose sums make up the normal equations."""
-    zc, yc = [F.col(c) for c in z], F.col(y) if isinstance(y, str) else y
-    out = {f"g{i}_{j}": zc[i] * zc[j] for i, j in _pairs(len(z))}
-    out |= {f"s{i}": zc[i] for i in range(len(z))}
-    out |= {f"b{i}": zc[i] * yc for i in range(len(z))}
-    return out | {"sy": yc, "syy": yc * yc}
+def _moment_columns(z: Sequence[str], y: str) -> dict[str, str]:
+    """Products whose sums make up the normal equations, as SQL: parsing is quicker than building."""
+    out = {f"g{i}_{j}": f"`{z[i]}` * `{z[j]}`" for i, j in _pairs(len(z))}
+    out |= {f"s{i}": f"`{c}`" for i, c in enumerate(z)}
+    out |= {f"b{i}": f"`{c}` * `{y}`" for i, c in enumerate(z)}
+    return out | {"sy": f"`{y}`", "syy": f"`{y}` * `{y}`"}
 
 
 def gram(df: DataFrame, z: Sequence[str], y: str = "y_delta", keys: Sequence[str] = ("horizon",),
@@ -71,17 +70,13 @@ def gram(df: DataFrame, z: Sequence[str], y: str = "y_delta", keys: Sequence[str
     """
     k, m = list(keys), _moment_columns(z, y)
     per = df.groupBy(*k, "family", KEY).agg(
-        F.count("*").alias("_n"), *[F.sum(e).alias(f"_{n}") for n, e in m.items()]
+        F.count("*").alias("_n"), *[F.expr(f"sum({e}) AS `_{n}`") for n, e in m.items()]
     )
-    scale = 1.0 / F.col("_n") if weighted else F.lit(1.0)
-    fam = per.groupBy(*k, "family").agg(
+    share = "sum(`_{0}` / `_n`) / count(1)" if weighted else "sum(`_{0}`)"
+    return per.groupBy(*k, "family").agg(
         F.sum("_n").alias("n_rows"), F.count("*").alias("n_trajectories"),
-        F.sum(scale * F.col("_n")).alias("sw"), *[F.sum(F.col(f"_{n}") * scale).alias(n) for n in m],
+        *[F.expr(f"{share.format(n)} AS `{'sw' if n == 'n' else n}`") for n in ("n", *m)],
     )
-    if not weighted:
-        return fam
-    share = F.col("n_trajectories").cast("double")
-    return fam.withColumns({n: F.col(n) / share for n in ("sw", *m)})
 
 
 @dataclass
@@ -435,7 +430,9 @@ def fit_censored(df: DataFrame, z: Sequence[str], alphas: Sequence[float] = ALPH
     spark, k = df.sparkSession, len(z)
     unc = df.where(F.col("censored") == 0).withColumn("horizon", F.lit(0))
     blocks = moments(gram(unc, z, "rul_days"), k).get((0,), {})
-    cen = df.where(F.col("censored") == 1)
+    keep = ["family", KEY, "reference_day", "rul_lower_bound_days", "n_censored_rows", *z]
+    # Read once per round: the narrow censored rows are kept, not their lineage.
+    cen = cut(df.where(F.col("censored") == 1).select(*keep))
     counts = cen.groupBy("family", KEY).agg(F.count("*").alias("_n"))
     per_family = collect_bounded(
         counts.groupBy("family").agg(F.count("*").alias("m"), F.sum("_n").alias("n")), MAX_FAMILIES, "families"
@@ -491,12 +488,11 @@ def _active_sets(cen: DataFrame, z: Sequence[str], m: dict, k: int, table: DataF
     w = 1.0 / F.col("n_censored_rows")
     mark = F.xxhash64(KEY, "reference_day").cast("decimal(38,0)")
     rows = (
-        cen.select("family", KEY, "reference_day", "rul_lower_bound_days", "n_censored_rows", *z)
-        .join(table, "family")
+        cen.join(table, "family")
         .where(below)
         .groupBy("fit", "family")
         .agg(F.count("*").alias("n_active"), F.sum(mark).alias("mark"), F.sum(w).alias("sw"),
-             *[F.sum(e * w).alias(n) for n, e in m.items()])
+             *[F.expr(f"sum({e} / n_censored_rows) AS `{n}`") for n, e in m.items()])
     )
     out: dict = {}
     for r in collect_bounded(rows, SMALL_ROWS, "active sets"):

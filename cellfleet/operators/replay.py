@@ -85,7 +85,7 @@ def _keys(df: DataFrame) -> list[str]:
 def _with_increments(drivers: DataFrame, params: DataFrame, t_ref: float = 25.0) -> DataFrame:
     """Drivers with ``chunk``, the used parameters and both loss increments."""
     keys = _keys(drivers)
-    cut = scan.halo(drivers, back=1)
+    cut = scan.halo(drivers, back=1, spread=False)
     cut = scan.attach_dim(cut, params.select(KEY, *USED_PARAMETERS))
     c, w = F.col, scan.series(keys)
     prev = lambda n: F.coalesce(F.lag(n).over(w), F.lit(0.0))
@@ -240,7 +240,7 @@ def refine(drivers: DataFrame, params: DataFrame, reference: DataFrame, start: S
 def resistance_scale(reference: DataFrame, params: DataFrame, test_split: str = "test") -> DataFrame:
     """Closed-form growth scale of resistance over loss, on fitting splits: sum xy / sum xx."""
     dim = params.select(KEY, "initial_rint_ohm", "rint_exponent")
-    cut = scan.halo(reference.where(F.col("split") != test_split)).drop("home")
+    cut = scan.halo(reference.where(F.col("split") != test_split), spread=False).drop("home")
     rows = scan.attach_dim(cut, dim)
     x = F.pow(F.greatest(1 - F.col("soh_true_reference"), F.lit(0.0)), F.col("rint_exponent"))
     y = F.col("rint_ohm_reference") / F.col("initial_rint_ohm") - 1
@@ -270,7 +270,7 @@ def faulted(df: DataFrame, assigned: DataFrame) -> DataFrame:
     """The perturbed subset: every point of the assigned trajectories with both channels."""
     cols = [c for c in assigned.columns if c != "family"]
     # Rows of other trajectories go before any window; a hot one is joined chunk by chunk.
-    cut = scan.halo(df).drop("home")
+    cut = scan.halo(df, spread=False).drop("home")
     rows = scan.attach_dim(cut, assigned.select(*cols)).drop("chunk")
     return W.perturb(rows)
 

@@ -23,7 +23,7 @@ def _done(df: DataFrame) -> DataFrame:
 
 def context_windows(df: DataFrame, n: int = CONTEXT, x: str = "soh_observed", key=KEY) -> DataFrame:
     """The last ``n`` points up to each anchor as ``ctx``; only full windows are kept."""
-    cut = scan.halo(df, back=n - 1)
+    cut = scan.halo(df, back=n - 1, key=key)
     out = cut.withColumn("ctx", F.collect_list(x).over(scan.frame(n - 1, key=key)))
     return _done(out.where(F.col(POS) >= n - 1))
 
@@ -55,7 +55,7 @@ def features11(df: DataFrame, x: str = "soh_observed", key=KEY, ahead: int = 0,
 
     ``extra`` are further window expressions on the same spec, reaching at most ``ahead`` rows on.
     """
-    cut = scan.halo(df, back=CONTEXT - 1, ahead=ahead)
+    cut = scan.halo(df, back=CONTEXT - 1, ahead=ahead, key=key)
     out = cut.withColumns({**feature_columns(x, key), **(extra or {})})
     return _done(out.where(F.col(POS) >= CONTEXT - 1))
 
@@ -128,7 +128,7 @@ def rul_anchors(df: DataFrame, eol: float = EOL_SOH, key=KEY) -> DataFrame:
         "last_day": (F.max("reference_day"), F.max),
     }
     # Copies at chunk borders repeat days of the same series, which changes neither extreme.
-    cut = scan.halo(df, back=CONTEXT - 1)
+    cut = scan.halo(df, back=CONTEXT - 1, key=keys)
     ctx = scan.attach(cut, total=totals, key=keys)
     out = ctx.withColumns(feature_columns("soh_observed", keys)).where(F.col(POS) >= CONTEXT - 1)
     out = out.where(F.col("eol_day").isNull() | (F.col("reference_day") < F.col("eol_day")))
@@ -145,7 +145,7 @@ def rul_anchors(df: DataFrame, eol: float = EOL_SOH, key=KEY) -> DataFrame:
 
 def with_lag(df: DataFrame, cols: Sequence[str], key=KEY) -> DataFrame:
     """Difference to the previous row; the first row differs from 0 (``d_``) or is NULL (``diff_``)."""
-    cut = scan.halo(df, back=1)
+    cut = scan.halo(df, back=1, key=key)
     w = scan.series(key)
     out = {}
     for c in cols:
@@ -156,7 +156,7 @@ def with_lag(df: DataFrame, cols: Sequence[str], key=KEY) -> DataFrame:
 
 
 def running_sum(df: DataFrame, col: str, out: str | None = None, key=KEY) -> DataFrame:
-    cut = scan.halo(df).drop("home")
+    cut = scan.halo(df, key=key).drop("home")
     return scan.running_sums(cut, {out or f"sum_{col}": col}, key=key).drop("chunk")
 
 
@@ -268,7 +268,7 @@ def budget_subset(df: DataFrame, n: int, group: str = "family", key: str = KEY)
 def prefix_stats(df: DataFrame, x: str = "soh_observed", key=KEY) -> DataFrame:
     """Statistics of all points up to and including each anchor."""
     v = F.col(x)
-    cut = scan.halo(df).drop("home")
+    cut = scan.halo(df, key=key).drop("home")
     ctx = scan.attach(
         cut,
         before={"_n0": (F.count("*"), F.sum), "_s0": (F.sum(v), F.sum), "_lo0": (F.min(v), F.min), "_hi0": (F.max(v), F.max)},
@@ -291,7 +291,7 @@ def wiener_fit(df: DataFrame, x: str = "soh_observed", day: str = "reference_day
 
     One pass of running sums of ds, dt and ds^2/dt replaces a refit per anchor.
     """
-    cut = scan.halo(df, back=1)
+    cut = scan.halo(df, back=1, key=key)
     w = scan.series(key)
     dt, ds = F.col(day) - F.lag(day).over(w), F.col(x) - F.lag(x).over(w)
     step = cut.withColumns({"_dt": dt, "_ds": ds}).where("home").drop("home")
@@ -339,7 +339,7 @@ def perturb(df: DataFrame, channels: Sequence[str] = ("soh_true", "soh_observed"
     Falls after the onset are amplified and re-accumulated, then the level is scaled from the
     onset on and clipped to [0, 1.2]. Adds ``<channel>_faulted``, ``onset_index`` and the markers.
     """
-    cut = scan.halo(df, back=1)
+    cut = scan.halo(df, back=1, key=key)
     ctx = scan.attach(cut, total={"n_points": (F.count_if("home"), F.sum)}, key=key)
     n = F.col("n_points")
     k = F.least(F.greatest(F.bround(F.col("onset_fraction") * (n - 1)).cast("long"), F.lit(1)), n - 2)

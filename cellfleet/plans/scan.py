@@ -34,11 +34,20 @@ def _keys(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def halo(df: DataFrame, back: int = 0, ahead: int = 0, pos: str = POS, size: int | None = None) -> DataFrame:
+def halo(df: DataFrame, back: int = 0, ahead: int = 0, key: str | Sequence[str] = KEY, pos: str = POS,
+         size: int | None = None, spread: bool = True) -> DataFrame:
     """Add ``chunk`` and ``home``; copy border rows so that frames of that reach stay inside.
 
-    ``home`` is false on copies, which only feed frames and must be dropped afterwards.
+    ``home`` is false on copies, which only feed frames and must be dropped afterwards. Rows are
+    spread by (key, chunk) here, because windows would accept an earlier partitioning by key
+    alone, say from a join, and with it a hot key in one task. Skip it where a join or an
+    aggregation by (key, chunk) comes next.
     """
+    rows = _chunks(df, back, ahead, pos, size)
+    return rows.repartition(*_keys(key), "chunk") if spread else rows
+
+
+def _chunks(df: DataFrame, back: int, ahead: int, pos: str, size: int | None) -> DataFrame:
     size = size or CHUNK
     if back + ahead >= size:
         raise ValueError("a frame may not reach over a whole chunk")
@@ -81,8 +90,10 @@ def _long_series(df: DataFrame, keys: list[str]) -> DataFrame | None:
     The filter is on a partition column, so it sinks below the windows of ``df``, and on a stored
     table down to the index column's file statistics. At most rows / CHUNK keys come back.
     """
-    found = df.where(F.col("chunk") >= 1).select(*keys).distinct()
-    return None if found.isEmpty() else settle(found)
+    later = df.where(F.col("chunk") >= 1)
+    if later.agg(F.count("*")).first()[0] == 0:
+        return None
+    return settle(later.select(*keys).distinct())
 
 
 Part = tuple[Column, Callable[[str], Column]]
@@ -152,17 +163,19 @@ def ordered_scan(
     sums: dict[str, Column] | None = None,
     hot_rows: int | None = None,
     pos: str = POS,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Gapless position (from 0) and running sums by ``order`` within ``key``.
 
     ``place`` is a number that never falls along ``order``. Keys above ``hot_rows`` are cut into
     segments by it. There are at most rows / hot_rows of them, so where the whole table is no
     longer than that nothing is looked up, and elsewhere a count by key finds them first.
+    ``at_most`` is a known bound of the table's rows, which saves counting them.
     """
     hot_rows = hot_rows or HOT_ROWS
     sums = sums or {}
     plain = df.withColumn("_seg", F.lit(0).cast("long"))
-    if df.count() <= hot_rows:
+    if (df.count() if at_most is None else at_most) <= hot_rows:
         return _positions(plain, key, order, sums, pos)
     src = df.withColumn("_place", place)
     hot = (
@@ -203,7 +216,7 @@ def _positions(df: DataFrame, key: str, order: Sequence[str], sums: dict[str, Co
 
 def with_ordinal(df: DataFrame, key: str | Sequence[str] = KEY, pos: str = POS, out: str = "ordinal") -> DataFrame:
     """Gapless ordinal for a table whose integer index is unique per series but has gaps."""
-    pieces = halo(df, pos=pos).drop("home")
+    pieces = halo(df, key=key, pos=pos).drop("home")
     ctx = attach(pieces, before={"_o": (F.count("*"), F.sum)}, key=key, pos=pos)
     rank = F.row_number().over(series(key, pos)) - 1
     return ctx.withColumn(out, (F.coalesce(F.col("_o"), F.lit(0)) + rank).cast("long")).drop("_o", "chunk")

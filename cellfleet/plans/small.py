@@ -27,10 +27,12 @@ def local_table(spark: SparkSession, rows: Sequence, schema: T.StructType | str)
 
 
 def grid(spark: SparkSession, rows: Sequence, schema: str) -> DataFrame:
-    """A case or candidate table written down by the caller, ready to be broadcast."""
-    if len(rows) > SMALL_ROWS:
-        raise ValueError(f"a case table of {len(rows)} rows is too large to broadcast")
-    return F.broadcast(local_table(spark, rows, schema))
+    """A case or candidate table made on the driver, broadcast up to ``SMALL_ROWS`` rows.
+
+    A longer one is left without a hint, for Spark to choose the join by its known size.
+    """
+    table = local_table(spark, rows, schema)
+    return F.broadcast(table) if len(rows) <= SMALL_ROWS else table
 
 
 def each_case(df: DataFrame, rows: Sequence, schema: str, limit: int = 1_000) -> DataFrame:

@@ -17,6 +17,9 @@ def local_session(cores: int | str = "*", app: str = "cellfleet") -> SparkSessio
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        # As many partitions as cores: coalescing by bytes would leave cores idle on small tables.
+        # A cluster keeps the default and a large shuffle.partitions.
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("CELLFLEET_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")

@@ -16,8 +16,17 @@ from cellfleet.plans.small import local_table
 FAMILIES = 6
 
 
+SCHEMAS = {
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _micros(c: str) -> Column:
@@ -69,9 +78,7 @@ def drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(c("l_quantity").cast("long")).alias("_q"), (0.65 + F.avg("l_discount")).alias("mean_soc"),
         F.avg("l_quantity").alias("mean_abs_beta_deg"),
     )
-    pts = scan.with_ordinal(per, KEY, "bin", POS)
-    cut = scan.halo(pts).drop("home")
-    cum = scan.running_sums(cut, {"_efc": "_q"}).drop("chunk")
+    cum = scan.ordered_scan(per, KEY, ["bin"], c("bin"), {"_efc": c("_q")}, at_most=li.count())
     family = c(KEY) % FAMILIES
     return cum.select(
         KEY, family.alias("family"), POS, (14.0 * c(POS)).alias("age_days"), "mean_temp_c", "max_temp_c", "dod",
