@@ -136,12 +136,13 @@ def attach_dim(df: DataFrame, dim: DataFrame, key: str = KEY) -> DataFrame:
     """Join a one-row-per-series table to rows that carry ``chunk``.
 
     The dimension may be as long as the fleet, so it is not broadcast by hint. Where a series is
-    longer than a chunk, the dimension is spread over the chunks and joined chunk by chunk.
+    longer than a chunk, the dimension is spread over the chunks and joined chunk by chunk, and
+    the rows stay spread for the windows that follow.
     """
     if _long_series(df, [key]) is None:
         return df.join(dim, key)
     pieces = df.select(key, "chunk").distinct().join(dim, key)
-    return df.join(pieces, [key, "chunk"])
+    return df.join(pieces, [key, "chunk"]).repartition(key, "chunk")
 
 
 def running_sums(
