@@ -72,16 +72,17 @@ def _bad_tables(spark, d):
     """Drivers and parameters with rule-made damage."""
     drv, par = B.drivers(spark, d), B.parameters(spark, d)
     i = F.col(POS)
-    drv = drv.where(~((F.col(KEY) % 10 == 3) & (i == 0)))
-    drv = drv.unionByName(drv.where((F.col(KEY) % 10 == 4) & (i == 7)))
-    par = par.where(F.col(KEY) % 10 != 5).unionByName(par.where(F.col(KEY) % 10 == 6))
-    return drv, par.withColumn("k_cal", F.when(F.col(KEY) % 10 == 7, -F.col("k_cal")).otherwise(F.col("k_cal")))
+    drv = drv.where(~((F.col("mean_temp_c") > 20.013) & (i == 0)))
+    drv = drv.unionByName(drv.where((F.col("dod") > 0.2503) & (i == 7)))
+    q0 = F.col("q0_ah")
+    par = par.where(q0 < 42).unionByName(par.where(q0 < 40.35))
+    return drv, par.withColumn("k_cal", F.when(q0.between(41, 41.25), -F.col("k_cal")).otherwise(F.col("k_cal")))
 
 
-BAD = DRIVERS + """, d0 AS (SELECT * FROM drv WHERE NOT (trajectory_id % 10 = 3 AND reference_index = 0)),
-bdrv AS (SELECT * FROM d0 UNION ALL SELECT * FROM d0 WHERE trajectory_id % 10 = 4 AND reference_index = 7),
-p0 AS (SELECT * FROM par WHERE trajectory_id % 10 <> 5), p1 AS (SELECT * FROM p0 UNION ALL SELECT * FROM p0 WHERE trajectory_id % 10 = 6),
-bpar AS (SELECT * REPLACE (CASE WHEN trajectory_id % 10 = 7 THEN -k_cal ELSE k_cal END AS k_cal) FROM p1)"""
+BAD = DRIVERS + """, d0 AS (SELECT * FROM drv WHERE NOT (mean_temp_c > 20.013 AND reference_index = 0)),
+bdrv AS (SELECT * FROM d0 UNION ALL SELECT * FROM d0 WHERE dod > 0.2503 AND reference_index = 7),
+p0 AS (SELECT * FROM par WHERE q0_ah < 42), p1 AS (SELECT * FROM p0 UNION ALL SELECT * FROM par WHERE q0_ah < 40.35::double),
+bpar AS (SELECT * REPLACE (CASE WHEN q0_ah BETWEEN 41 AND 41.25::double THEN -k_cal ELSE k_cal END AS k_cal) FROM p1)"""
 
 
 @query(sql(BAD + """, st AS (SELECT trajectory_id, min(reference_index) AS i, arg_min(age_days, reference_index) AS a FROM bdrv GROUP BY 1), o AS (
@@ -177,12 +178,12 @@ def calendar_join(spark, d):
     return out.select(KEY, POS, F.col("mean_soc").alias("mean_soc_cal"))
 
 
-@query(sql(TRAJ + ", o AS (SELECT a.trajectory_id, a.reference_index, a.soh_true, b.soh_observed AS other FROM traj a LEFT JOIN (SELECT * FROM traj WHERE reference_index % 5 <> 0) b USING (trajectory_id, reference_index))",
+@query(sql(TRAJ + ", o AS (SELECT a.trajectory_id, a.reference_index, a.soh_true, b.soh_observed AS other FROM traj a LEFT JOIN (SELECT * FROM traj WHERE soh_observed < soh_true) b USING (trajectory_id, reference_index))",
            "o", "trajectory_id reference_index", "soh_true other"))
 def one_to_one_left(spark, d):
     """1:1 join on trajectory and index, left side kept whole."""
     p = stored_points(spark, d)
-    b = p.where(F.col(POS) % 5 != 0).select(KEY, POS, F.col("soh_observed").alias("other"))
+    b = p.where(F.col("soh_observed") < F.col("soh_true")).select(KEY, POS, F.col("soh_observed").alias("other"))
     return V.checked_join(p.select(KEY, POS, "soh_true"), b, [KEY, POS], "left", "1:1")
 
 
@@ -195,23 +196,23 @@ def table_deviation(spark, d):
     return J.table_deviation(p, b, ["family", KEY, POS], "soh_true")
 
 
-@query(sql("a AS (SELECT DISTINCT user_id AS trajectory_id FROM events WHERE event_type = 'click' AND value > 20), b AS (SELECT DISTINCT user_id AS trajectory_id FROM events WHERE event_type = 'error' AND value > 20), o AS (SELECT trajectory_id, 'right' AS missing_in FROM a ANTI JOIN b USING (trajectory_id) UNION ALL SELECT trajectory_id, 'left' FROM b ANTI JOIN a USING (trajectory_id))",
+@query(sql("a AS (SELECT DISTINCT user_id AS trajectory_id FROM events WHERE event_type = 'click' AND value > 60), b AS (SELECT DISTINCT user_id AS trajectory_id FROM events WHERE event_type = 'error' AND value > 60), o AS (SELECT trajectory_id, 'right' AS missing_in FROM a ANTI JOIN b USING (trajectory_id) UNION ALL SELECT trajectory_id, 'left' FROM b ANTI JOIN a USING (trajectory_id))",
            "o", "trajectory_id missing_in"))
 def identity_mismatch(spark, d):
     """Identities on one side only, both ways."""
-    ev = spark.read.parquet(f"{d}/events.parquet").where(F.col("value") > 20)
+    ev = spark.read.parquet(f"{d}/events.parquet").where(F.col("value") > 60)
     of = lambda t: ev.where(F.col("event_type") == t).select(F.col("user_id").alias(KEY))
     return J.id_mismatch(of("click"), of("error"))
 
 
-@query(sql("decl AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 10 = 0 THEN 'x' ELSE p_partkey::varchar END AS h FROM part WHERE p_partkey % 7 <> 0), pres AS (SELECT p_partkey AS k, p_partkey::varchar AS h FROM part WHERE p_partkey % 5 <> 0), o AS (SELECT coalesce(a.k, b.k) AS part_id, CASE WHEN b.h IS NULL THEN 'MISSING' WHEN a.h IS NULL THEN 'UNLISTED' WHEN a.h <> b.h THEN 'MISMATCH' ELSE 'OK' END AS status FROM decl a FULL JOIN pres b ON a.k = b.k)",
+@query(sql("decl AS (SELECT l_partkey AS k, count(*)::varchar AS h FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45 GROUP BY 1), pres AS (SELECT l_partkey AS k, count(*)::varchar AS h FROM lineitem WHERE l_returnflag = 'A' AND l_quantity >= 45 GROUP BY 1), o AS (SELECT coalesce(a.k, b.k) AS part_id, CASE WHEN b.h IS NULL THEN 'MISSING' WHEN a.h IS NULL THEN 'UNLISTED' WHEN a.h <> b.h THEN 'MISMATCH' ELSE 'OK' END AS status FROM decl a FULL JOIN pres b ON a.k = b.k)",
            "o", "part_id status"))
 def inventory_reconcile(spark, d):
     """Full outer reconcile of declared and present keys."""
-    p = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("part_id"))
-    digest = F.col("part_id").cast("string")
-    decl = p.where(F.col("part_id") % 7 != 0).withColumn("digest", F.when(F.col("part_id") % 10 == 0, "x").otherwise(digest))
-    return J.reconcile(decl, p.where(F.col("part_id") % 5 != 0).withColumn("digest", digest), "part_id", "digest")
+    li = spark.read.parquet(f"{d}/lineitem.parquet").where("l_quantity >= 45")
+    of = lambda flag: li.where(F.col("l_returnflag") == flag).groupBy(F.col("l_partkey").alias("part_id")).agg(
+        F.count("*").cast("string").alias("digest"))
+    return J.reconcile(of("R"), of("A"), "part_id", "digest")
 
 
 @query()
@@ -233,11 +234,11 @@ def overlay_columns(spark, d):
     return J.overlay(p, other, "uid", ["soh_observed"]).select(KEY, "family", POS, "soh_observed", "soh_true")
 
 
-@query(sql("o AS (SELECT DISTINCT user_id AS trajectory_id FROM events EXCEPT SELECT l_suppkey FROM lineitem WHERE l_suppkey < 50)", "o", "trajectory_id"))
+@query(sql("o AS (SELECT DISTINCT user_id AS trajectory_id FROM events EXCEPT SELECT l_suppkey FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1)", "o", "trajectory_id"))
 def ids_missing(spark, d):
     """Declared ids that are not present (EXCEPT)."""
     a = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias(KEY))
-    b = spark.read.parquet(f"{d}/lineitem.parquet").where("l_suppkey < 50").select(F.col("l_suppkey").alias(KEY))
+    b = spark.read.parquet(f"{d}/lineitem.parquet").where("l_quantity = 50 AND l_discount = 0.1").select(F.col("l_suppkey").alias(KEY))
     return J.missing_in(a, b)
 
 

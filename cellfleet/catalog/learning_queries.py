@@ -202,7 +202,7 @@ _FC = ", ".join(
 
 
 @query(sql(DEPLOY + f""", lp AS (SELECT trajectory_id, max(reference_index) AS last_i, count(*) AS n_points, count_if(soh_observed <= 0.6) AS low FROM traj GROUP BY 1),
-  an AS (SELECT f.*, (last - 0.85::double) / 0.07::double AS z1, (slope_full + 0.005::double) / 0.0013::double AS z2 FROM feat f JOIN lp USING (trajectory_id) WHERE reference_index = last_i AND n_points >= 50),
+  an AS (SELECT f.*, (last - 0.85::double) / 0.07::double AS z1, (slope_full + 0.005::double) / 0.0013::double AS z2 FROM feat f JOIN lp USING (trajectory_id) WHERE reference_index = last_i AND n_points >= 20),
   fc AS (SELECT trajectory_id, reference_index, last, slope_full, {_FC} FROM an, dp GROUP BY ALL),
   pth AS (SELECT *, last AS s0, last + d2 AS s1, last + d4 AS s2, last + d8 AS s3 FROM fc),
   rr AS (SELECT *, CASE WHEN s0 <= 0.7::double THEN 0 WHEN s1 <= 0.7::double THEN (s0 - 0.7::double) / (s0 - s1) * 28 WHEN s2 <= 0.7::double THEN 28 + (s1 - 0.7::double) / (s1 - s2) * 28 WHEN s3 <= 0.7::double THEN 56 + (s2 - 0.7::double) / (s2 - s3) * 56 END AS rul_days FROM pth),
@@ -210,28 +210,27 @@ _FC = ", ".join(
     last + 8 * slope_full AS baseline_predicted_soh_day112, s3 - 0.04::double AS interval_lo_day112, s3 + 0.04::double AS interval_hi_day112, rul_days, CASE WHEN rul_days IS NULL THEN 'NO_CROSSING_WITHIN_112D' ELSE 'OK' END AS status FROM rr)""",
            "o", "battery_id anchor_reference_index status", "anchor_soh_observed predicted_soh_day28 predicted_soh_day56 predicted_soh_day112 baseline_predicted_soh_day112 interval_lo_day112 interval_hi_day112 rul_days", digits=8), digits=8)
 def fleet_prediction(spark, d):
-    """Validated fleet forecast, one row per battery with at least 50 points."""
+    """Validated fleet forecast, one row per battery."""
     p = stored_points(spark, d)
     heads = L.deploy_heads(z_windows(spark, d), Z2, ALPHA_FIX)
-    counts = p.groupBy(KEY).agg(F.count("*").alias("n")).where("n >= 50")
-    req = B.requests(p.join(counts, KEY, "left_semi"))
-    out, _ = G.predict_fleet(req, heads, B.SPACE2, B.half_widths(spark))
+    out, _ = G.predict_fleet(B.requests(p), heads, B.SPACE2, B.half_widths(spark))
     return out.select("battery_id", "anchor_reference_index", "status", "anchor_soh_observed", "predicted_soh_day28",
                       "predicted_soh_day56", "predicted_soh_day112", "baseline_predicted_soh_day112", "interval_lo_day112",
                       "interval_hi_day112", "rul_days")
 
 
-@query(sql(ZWIN.split(",\nfeat_all")[0] + """, a AS (SELECT trajectory_id, reference_index AS arrival, CASE WHEN trajectory_id % 4 = 1 AND reference_index = 30 THEN 29 ELSE reference_index END AS i, CASE WHEN trajectory_id % 4 = 2 AND reference_index = 3 THEN 95 ELSE soh_observed END AS x FROM traj WHERE NOT (trajectory_id % 4 = 3 AND reference_index >= 12)),
+@query(sql(ZWIN.split(",\nfeat_all")[0] + """, a AS (SELECT trajectory_id, reference_index AS arrival, CASE WHEN trajectory_id % 4 = 1 AND reference_index = 30 THEN 29 ELSE reference_index END AS i, CASE WHEN trajectory_id % 4 = 2 AND reference_index = 3 THEN 95 ELSE soh_observed END AS x FROM traj WHERE soh_true > 0.9::double),
   l AS (SELECT *, i <= lag(i) OVER (PARTITION BY trajectory_id ORDER BY arrival) AS bad FROM a), g AS (SELECT trajectory_id, count(*) AS n_points, count_if(x > 1.5 OR x <= 0) AS n_bad_values, count_if(bad) AS n_order FROM l GROUP BY 1),
   o AS (SELECT trajectory_id::varchar AS battery_id, 'INPUT_REFUSED_BY_SCHEMA' AS status, CASE WHEN n_bad_values > 0 THEN 'VALUE_RULE' WHEN n_order > 0 THEN 'ORDER' ELSE 'SHORT_HISTORY' END AS reason, n_points, n_bad_values, n_order FROM g WHERE n_bad_values > 0 OR n_order > 0 OR n_points < 20)""",
            "o", "battery_id status reason n_points n_bad_values n_order"))
 def fleet_refusals(spark, d):
     """Batteries whose requests are refused, with the reason."""
-    p, t, i = stored_points(spark, d), F.col(KEY) % 4, F.col(POS)
+    p = stored_points(spark, d)
     heads = L.deploy_heads(z_windows(spark, d), Z2, ALPHA_FIX)
-    req = B.requests(p).withColumn("_t", F.col("battery_id").cast("long") % 4)
+    # The early life of every battery: many histories are then too short.
+    req = B.requests(p.where(F.col("soh_true") > 0.9)).withColumn("_t", F.col("battery_id").cast("long") % 4)
     t, i = F.col("_t"), F.col(POS)
-    req = req.where(~((t == 3) & (i >= 12))).withColumns({
+    req = req.withColumns({
         "soh_observed": F.when((t == 2) & (i == 3), F.lit(95.0)).otherwise(F.col("soh_observed")),
         POS: F.when((t == 1) & (i == 30), F.lit(29)).otherwise(i),
     }).drop("_t")

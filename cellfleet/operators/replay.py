@@ -16,7 +16,7 @@ from cellfleet.operators import windows as W
 from cellfleet.operators.contracts import checked_join
 from cellfleet.plans import ranks, scan
 from cellfleet.plans.scan import KEY, POS
-from cellfleet.plans.small import collect_bounded, each_case, grid
+from cellfleet.plans.small import SMALL_ROWS, collect_bounded, each_case, grid
 
 # Columns of the driver and parameter tables, and truth that may not be a driver.
 DRIVER_COLUMNS = (
@@ -253,11 +253,13 @@ def resistance_scale(reference: DataFrame, params: DataFrame, test_split: str =
 def assign_faults(df: DataFrame, n_per_fault: int, faults: Sequence[tuple] = W.FAULTS) -> DataFrame:
     """Consecutive blocks of ``n_per_fault`` ids, in id order, one block per fault class.
 
-    The first ids are a distributed top-k; only those few are numbered.
+    A few first ids are a distributed top-k; many are numbered by the range-partitioned order.
     """
-    spark, m = df.sparkSession, len(faults)
-    top = df.select("family", KEY).distinct().orderBy(KEY).limit(n_per_fault * m)
-    ids = scan.global_offsets(top.withColumn("_one", F.lit(1)), [KEY], "_one", "_o")
+    spark, wanted = df.sparkSession, n_per_fault * len(faults)
+    top = df.select("family", KEY).distinct()
+    if wanted <= SMALL_ROWS:
+        top = top.orderBy(KEY).limit(wanted)
+    ids = scan.global_offsets(top.withColumn("_one", F.lit(1)), [KEY], "_one", "_o").where(F.col("_o") < wanted)
     table = grid(spark, [(i, *f) for i, f in enumerate(faults)], "_b int, " + W.FAULT_SCHEMA)
     return (
         ids.withColumn("_b", F.floor(F.col("_o") / n_per_fault).cast("int"))

@@ -25,7 +25,7 @@ from cellfleet.plans.small import cut, settle
 
 KEY = "trajectory_id"
 POS = "reference_index"
-CHUNK = 1_048_576
+CHUNK = 131_072
 # A key with more rows than this is cut by its order value before the first sort.
 HOT_ROWS = 4_000_000
 
