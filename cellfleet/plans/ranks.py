@@ -18,7 +18,7 @@ from cellfleet.plans.small import cut, each_case, settle
 
 BINS = 4096
 # Rows of one interval that one task may sort.
-SORT_ROWS = 1_000_000
+SORT_ROWS = 20_000
 
 
 def _stats(src: DataFrame, keys: list[str]) -> DataFrame:
@@ -47,48 +47,44 @@ def pick_ranks(df: DataFrame, keys: Sequence[str], value: str, rank, sort_rows:
     return got.join(stats.select(*keys, F.col("_in").alias("n")), keys)
 
 
+def _inside(src: DataFrame, keys: list[str], open_: DataFrame) -> DataFrame:
+    """Rows in the open intervals of their group. Equal intervals of several ranks count once."""
+    spans = settle(open_.select(*keys, "_lo", "_hi").distinct())
+    return src.join(spans, keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+
+
+def _hit(counts: DataFrame, keys: list[str], order: str, open_: DataFrame) -> DataFrame:
+    """The row of ``counts`` (interval, ``order``, ``_c``) that holds each wanted rank."""
+    w = Window.partitionBy(*keys, "_lo", "_hi").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = counts.withColumn("_cum", F.sum("_c").over(w))
+    want = open_.select(*keys, "rank", "_r", "_lo", "_hi")
+    return summed.join(want, [*keys, "_lo", "_hi"]).where(
+        (F.col("_cum") >= F.col("_r")) & (F.col("_cum") - F.col("_c") < F.col("_r"))
+    )
+
+
 def _search(src: DataFrame, keys: list[str], open_: DataFrame, sort_rows: int) -> DataFrame:
     open_ = settle(open_)
     while True:
-        big = open_.where((F.col("_in") > sort_rows) & (F.col("_lo") < F.col("_hi")))
+        wide = (F.col("_in") > sort_rows) & (F.col("_lo") < F.col("_hi"))
+        big = open_.where(wide)
         if big.isEmpty():
             break
-        # Rows are matched to the open intervals of their group; every interval is histogrammed.
-        hit = src.join(big, keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
         width = (F.col("_hi") - F.col("_lo")) / BINS
         slot = F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(BINS - 1))
-        hist = hit.groupBy(*keys, "rank", "_r", slot.alias("_b")).agg(
+        hist = _inside(src, keys, big).groupBy(*keys, "_lo", "_hi", slot.alias("_b")).agg(
             F.count("*").alias("_c"), F.min("_v").alias("_l"), F.max("_v").alias("_h")
         )
-        w = Window.partitionBy(*keys, "rank").orderBy("_b")
-        upto = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))
-        narrowed = (
-            hist.withColumn("_cum", upto)
-            .where((F.col("_cum") >= F.col("_r")) & (F.col("_cum") - F.col("_c") < F.col("_r")))
-            .select(
-                *keys, "rank", (F.col("_r") - F.col("_cum") + F.col("_c")).alias("_r"),
-                F.col("_l").alias("_lo"), F.col("_h").alias("_hi"), F.col("_c").alias("_in"),
-            )
+        narrowed = _hit(hist, keys, "_b", big).select(
+            *keys, "rank", (F.col("_r") - F.col("_cum") + F.col("_c")).alias("_r"),
+            F.col("_l").alias("_lo"), F.col("_h").alias("_hi"), F.col("_c").alias("_in"),
         )
-        rest = open_.where(~((F.col("_in") > sort_rows) & (F.col("_lo") < F.col("_hi"))))
-        open_ = settle(rest.unionByName(narrowed))
+        open_ = settle(open_.where(~wide).unionByName(narrowed))
     flat = open_.where(F.col("_lo") == F.col("_hi")).select(*keys, "rank", F.col("_lo").alias("value"))
     todo = open_.where(F.col("_lo") < F.col("_hi"))
     # Equal values collapse in the map-side combine, so ties never reach one task as rows.
-    left = (
-        src.join(todo, keys)
-        .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        .groupBy(*keys, "rank", "_r", "_v")
-        .agg(F.count("*").alias("_c"))
-    )
-    w = Window.partitionBy(*keys, "rank").orderBy("_v")
-    cum = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    found = (
-        left.withColumn("_cum", cum)
-        .where((F.col("_cum") >= F.col("_r")) & (F.col("_cum") - F.col("_c") < F.col("_r")))
-        .select(*keys, "rank", F.col("_v").alias("value"))
-    )
-    return flat.unionByName(found)
+    left = _inside(src, keys, todo).groupBy(*keys, "_lo", "_hi", "_v").agg(F.count("*").alias("_c"))
+    return flat.unionByName(_hit(left, keys, "_v", todo).select(*keys, "rank", F.col("_v").alias("value")))
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float]) -> DataFrame:
