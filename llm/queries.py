@@ -5,20 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import quality_rules, simhash
+import public_tokenizers
+
+from llm import huffman, packing, pieces, quality_rules, simhash, warc
 from llm.common import table
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    found = packing.pack(table(spark, sf_dir, "documents"), path, window=1024, end_id=0)
+    return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op4_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return huffman.read(*huffman.archive(table(spark, sf_dir, "documents"), path, end_id=2))
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    found = pieces.decoded(pieces.encoded(table(spark, sf_dir, "documents"), path), path)
+    return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(table(spark, sf_dir, "documents"), shingle=4, words=1, segments=5, limit=4)
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(*warc.write(table(spark, sf_dir, "pages"))).drop("url")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judged(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                         "base_failed", "kept", F.round("quality", 6).alias("quality"))
 
 
-QUERIES = {f.__name__: f for f in (op6_simhash, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (
+    op2_packing, op4_huffman, op5_pieces, op6_simhash, op9_warc, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
