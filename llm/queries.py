@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from llm import huffman, packing, pieces, quality_rules, simhash, warc
-from llm.common import table
+from llm import huffman, nbsvm, packing, pieces, quality_rules, simhash, suffixes, toxicity, warc
+from llm.common import held_out, table
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,17 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def _predicted(scored: DataFrame, held: F.Column, threshold: float) -> DataFrame:
+    return scored.select("doc_id", held.alias("held_out"), "score",
+                         F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = nbsvm.scored(docs, nbsvm.fit(docs, labels, "quality", held_out(5) != 0))
+    return _predicted(found, held_out(5) == 0, 0.3)
+
+
 def op4_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return huffman.read(*huffman.archive(table(spark, sf_dir, "documents"), path, end_id=2))
@@ -34,6 +45,17 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.deduplicated(table(spark, sf_dir, "documents"), length=50)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = toxicity.scored(docs, toxicity.fit(docs, labels, "toxic", held_out(3) != 1))
+    return _predicted(found, held_out(3) == 1, 0.7)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(*warc.write(table(spark, sf_dir, "pages"))).drop("url")
 
@@ -45,5 +67,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_packing, op4_huffman, op5_pieces, op6_simhash, op9_warc, op10_quality_rules)}
+    op2_packing, op3_quality, op4_huffman, op5_pieces, op6_simhash, op7_suffixes, op8_toxicity, op9_warc, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
