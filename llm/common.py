@@ -75,3 +75,15 @@ def filesystem(uri: str):
 
 def held_out(mod: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
+
+
+def filtered(docs: DataFrame, keep: Callable[[list], list[bool]], column: str = "text") -> DataFrame:
+    """The rows of a frame whose ``column`` (null: empty) a function keeps; all columns pass unchanged."""
+    at = docs.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(keep([v or "" for v in batch.column(at).to_pylist()])))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from llm import huffman, nbsvm, packing, pieces, quality_rules, simhash, suffixes, toxicity, warc
+from llm import huffman, nbsvm, nearest, packing, pieces, quality_rules, simhash, suffixes, toxicity, warc
 from llm.common import held_out, table
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), queries=20, k=20)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     found = packing.pack(table(spark, sf_dir, "documents"), path, window=1024, end_id=0)
@@ -67,5 +71,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_packing, op3_quality, op4_huffman, op5_pieces, op6_simhash, op7_suffixes, op8_toxicity, op9_warc, op10_quality_rules)}
+    op1_nearest, op2_packing, op3_quality, op4_huffman, op5_pieces, op6_simhash, op7_suffixes, op8_toxicity, op9_warc, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
