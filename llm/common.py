@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that a function of Arrow batches gets at once.
+ROWS = 512
 _KEY = "spark.checkpoint.dir"
 _LOCAL: list[str] = []
 
@@ -56,8 +58,10 @@ def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], dict | None], schem
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := work(batch)) is not None:
-                yield pa.RecordBatch.from_arrays([out[n] for n in names], names)
+            # Few rows at a time: Python holds no more texts than these.
+            for at in range(0, batch.num_rows, ROWS):
+                if (out := work(batch.slice(at, ROWS))) is not None:
+                    yield pa.RecordBatch.from_arrays([out[n] for n in names], names)
 
     return df.mapInArrow(run, schema)
 
@@ -83,7 +87,8 @@ def filtered(docs: DataFrame, keep: Callable[[list], list[bool]], column: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(keep([v or "" for v in batch.column(at).to_pylist()])))
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                yield part.filter(pa.array(keep([v or "" for v in part.column(at).to_pylist()])))
 
     return docs.mapInArrow(run, docs.schema)

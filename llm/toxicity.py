@@ -27,20 +27,24 @@ STEM, CONTEXT, CAP = (4, 8), 10, 6
 _WORD = re.compile(r"[^\W\d_]+(?:[^\W_]|['’@$*!|](?=[^\W\d_]))*|[\"“”„«»]|\n")
 _QUOTES = set("\"“”„«»")
 #: Counts that the model weighs: plain and misspelt matches, both within quotation marks, and neighbours.
-FEATURES = ("exact", "near", "quoted_exact", "quoted_near", "close")
+FEATURES = ("exact", "near", "quoted_exact", "quoted_near", "close", "likely")
+#: What a word may be.
+NONE, EXACT, NEAR, LIKELY, QUOTE, LINE = range(6)
 
 
 def allowed(term: str) -> int:
-    """Errors that a term may be misspelt with: short terms none, long ones two."""
-    return 0 if len(term) < 5 else 1 if len(term) < 8 else 2
+    """Errors that a term may be misspelt with after its first letter: short terms none, long ones two."""
+    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
 @dataclass
 class Lexicon:
-    """words match whole words, stems match beginnings; cleared are words of clean documents."""
+    """words match whole words, stems match beginnings; likely terms are the weaker of both and take no
+    errors; cleared are words of clean documents, which are no misspelt terms."""
 
     words: list[str]
     stems: list[str]
+    likely: frozenset[str] = frozenset()
     cleared: frozenset[str] = frozenset()
     trie: list[dict[str, int]] = field(default_factory=list)
     limit: list[int] = field(default_factory=list)  # most errors that any term below a node allows
@@ -49,7 +53,11 @@ class Lexicon:
 
     def __post_init__(self) -> None:
         self.trie, self.limit = [{}], [0]
-        for term, ends, errors in [*((w, self.word_at, allowed(w)) for w in self.words), *((s, self.stem_at, 0) for s in self.stems)]:
+        self.weak: set[int] = set()
+        stems = tuple(self.stems)
+        terms = [*((w, self.word_at, 0 if w in self.likely or w.startswith(stems) else allowed(w)) for w in self.words),
+                 *((s, self.stem_at, 0) for s in stems)]
+        for term, ends, errors in terms:
             node = 0
             self.limit[0] = max(self.limit[0], errors)
             for c in term:
@@ -60,21 +68,23 @@ class Lexicon:
                 node = after
                 self.limit[node] = max(self.limit[node], errors)
             ends[node] = errors
+            if term in self.likely:
+                self.weak.add(node)
         self.start()
 
     def start(self) -> None:
         self.states: dict[tuple, int] = {}
         self.sets: list[tuple] = []
-        self.ends: list[int | None] = []  # least errors of a whole word that ends in the state
-        self.begun: list[bool] = []  # whether a stem ends in the state
+        self.ends: list[int] = []  # what a word is that ends in the state
+        self.begun: list[int] = []  # what a stem is that ends in the state
         self.steps: dict[tuple[int, str], int] = {}
         self.first = self.state({0: 0})
 
     def __getstate__(self) -> tuple:
-        return self.words, self.stems, self.cleared
+        return self.words, self.stems, self.likely, self.cleared
 
     def __setstate__(self, state: tuple) -> None:
-        self.words, self.stems, self.cleared = state
+        self.words, self.stems, self.likely, self.cleared = state
         self.word_at, self.stem_at = {}, {}
         self.__post_init__()
 
@@ -82,7 +92,8 @@ class Lexicon:
         """The number of a set of nodes with errors, after adding what skipped letters of terms reach."""
         todo = list(reach)
         while todo:
-            node = todo.pop()
+            if not (node := todo.pop()):
+                continue
             for after in self.trie[node].values():
                 errors = reach[node] + 1
                 if errors <= self.limit[after] and errors < reach.get(after, 99):
@@ -92,15 +103,20 @@ class Lexicon:
         if key not in self.states:
             self.states[key] = len(self.sets)
             self.sets.append(key)
-            ends = [e for n, e in key if n in self.word_at and e <= self.word_at[n]]
-            self.ends.append(min(ends) if ends else None)
-            self.begun.append(any(e == 0 and n in self.stem_at for n, e in key))
+            ends = [NEAR if e else LIKELY if n in self.weak else EXACT for n, e in key if n in self.word_at and e <= self.word_at[n]]
+            self.ends.append(EXACT if EXACT in ends else LIKELY if LIKELY in ends else NEAR if ends else NONE)
+            begun = [n for n, e in key if e == 0 and n in self.stem_at]
+            self.begun.append(NONE if not begun else LIKELY if begun[0] in self.weak else EXACT)
         return self.states[key]
 
     def step(self, at: int, c: str) -> int:
         reach: dict[int, int] = {}
         for node, errors in self.sets[at]:
             more = errors + 1
+            if not node:
+                if c in self.trie[0]:
+                    reach[self.trie[0][c]] = errors
+                continue
             if more <= self.limit[node]:  # a letter too many
                 reach[node] = min(more, reach.get(node, 99))
             for letter, after in self.trie[node].items():
@@ -109,21 +125,24 @@ class Lexicon:
                     reach[after] = min(e, reach.get(after, 99))
         return self.state(reach)
 
-    def match(self, word: str) -> int | None:
-        """Errors of the best match of a lower-cased word: 0 for a stem or exact word; None: no match."""
+    def match(self, word: str) -> int:
+        """What a lower-cased word is: EXACT, LIKELY, NEAR or NONE."""
         if len(self.sets) > STATES:
             self.start()
-        at = self.first
+        at, begun = self.first, NONE
         for c in word:
             if (to := self.steps.get((at, c))) is None:
                 to = self.steps[at, c] = self.step(at, c)
             at = to
-            if self.begun[at]:
-                return 0
+            if self.begun[at] == EXACT:
+                return EXACT
+            begun = begun or self.begun[at]
             if not self.sets[at]:
-                return None
-        errors = self.ends[at]
-        return errors if not errors or word not in self.cleared else None
+                return begun
+        end = self.ends[at]
+        if end == NEAR and word in self.cleared:
+            end = NONE
+        return end if end == EXACT else begun or end
 
 
 class Counter:
@@ -134,37 +153,35 @@ class Counter:
         self.table = Table(self._kind, limit=400_000)
 
     def _kind(self, word: str) -> int:
-        """0: nothing, 1: exact, 2: misspelt, 3: quotation mark, 4: line end."""
         if word in _QUOTES:
-            return 3
-        if word == "\n":
-            return 4
-        errors = self.lexicon.match(word.lower())
-        return 0 if errors is None else 2 if errors else 1
+            return QUOTE
+        return LINE if word == "\n" else self.lexicon.match(word.lower())
 
     def features(self, text: str) -> list[int]:
         kinds = np.array(list(map(self.table.__getitem__, _WORD.findall(text))), np.int8)
-        at = np.flatnonzero((kinds == 1) | (kinds == 2))
+        likely = int((kinds == LIKELY).sum())
+        at = np.flatnonzero((kinds == EXACT) | (kinds == NEAR))
         if not len(at):
-            return [0] * len(FEATURES)
+            return [0] * (len(FEATURES) - 1) + [likely]
         # Within a line, a word is quoted after an odd number of marks, if one more follows.
-        marks, line = np.cumsum(kinds == 3), np.cumsum(kinds == 4)
+        marks, line = np.cumsum(kinds == QUOTE), np.cumsum(kinds == LINE)
         first = np.searchsorted(line, line[at], "left")
         last = np.searchsorted(line, line[at], "right") - 1
-        before = marks[at] - np.where(kinds[first] == 3, marks[first] - 1, marks[first])
+        before = marks[at] - np.where(kinds[first] == QUOTE, marks[first] - 1, marks[first])
         quoted = (before % 2 == 1) & (marks[last] > marks[at])
-        exact = kinds[at] == 1
+        exact = kinds[at] == EXACT
         close = np.diff(at) <= CONTEXT
         return [int((exact & ~quoted).sum()), int((~exact & ~quoted).sum()), int((exact & quoted).sum()),
-                int((~exact & quoted).sum()), int(close.sum())]
+                int((~exact & quoted).sum()), int(close.sum()), likely]
 
 
-def learn_lexicon(rows: DataFrame, least: int = 5, odds: float = 20.0) -> Lexicon:
+def learn_lexicon(rows: DataFrame, least: int = 5, odds: float = 20.0, sure: float = 100.0) -> Lexicon:
     """Terms from text and label (0 or 1) of a bounded sample.
 
     A word or stem (a word's first 4 to 8 letters) is a term if at least ``least`` toxic documents have it
-    and its share among toxic documents is ``odds`` times that among clean ones. Words of clean documents
-    within the errors of a term are cleared. Both lists are bounded, the strongest first.
+    and its share among toxic documents is ``odds`` times that among clean ones; with less than ``sure``
+    times it is only likely. Words of clean documents within the errors of a term are cleared. All lists
+    are bounded, the most frequent first.
     """
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) >= STEM[0]))
     each = rows.select("label", F.explode(words).alias("w"))
@@ -179,26 +196,27 @@ def learn_lexicon(rows: DataFrame, least: int = 5, odds: float = 20.0) -> Lexico
     if not toxic or not clean:
         return Lexicon([], [])
     counts = terms.groupBy("t").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-    strong = counts.where((F.col("a") >= least) & ((F.col("a") / toxic) >= odds * (F.col("b") + 0.5) / clean))
+    ratio = (F.col("a") / toxic) / ((F.col("b") + 0.5) / clean)
+    strong = counts.where(F.col("a") >= least).select("t", "a", ratio.alias("r")).where(F.col("r") >= odds)
     found = strong.orderBy(F.desc("a"), "t").limit(TERMS * 8).collect()
-    # Of stems that begin with one another the shortest holds; a word below a stem is not needed.
-    stems: list[str] = []
-    for t in sorted((r["t"][:-1] for r in found if r["t"].endswith("*")), key=lambda s: (len(s), s)):
-        if not any(t.startswith(s) for s in stems):
-            stems.append(t)
-    words_ = [r["t"] for r in found if not r["t"].endswith("*")]
-    stem_of = {s for s in stems if sum(w.startswith(s) for w in words_) != 1}
-    # A stem with one word only is that word, which may be misspelt.
-    words_ = [w for w in words_ if not any(w.startswith(s) for s in stem_of)][:TERMS]
-    lexicon = Lexicon(sorted(words_), sorted(s for s in stem_of)[:TERMS])
+    # Of stems that begin with one another the shortest holds, sure ones first; so do stems for their words.
+    # A stem of a single word is left to that word, which may be misspelt.
+    words_ = [(r["t"], r["r"] >= sure) for r in found if not r["t"].endswith("*")]
+    stems: dict[str, bool] = {}
+    for stem, certain in sorted(((r["t"][:-1], r["r"] >= sure) for r in found if r["t"].endswith("*")), key=lambda x: (not x[1], len(x[0]), x[0])):
+        if sum(w.startswith(stem) for w, _ in words_) != 1 and not any(stem.startswith(s) for s in stems):
+            stems[stem] = certain
+    kept = {w: certain for w, certain in words_ if not any(w.startswith(s) and stems[s] >= certain for s in stems)}
+    terms_ = [dict(sorted(kept.items(), key=lambda x: not x[1])[:TERMS]), dict(list(stems.items())[:TERMS])]
+    weak = frozenset(t for d in terms_ for t, certain in d.items() if not certain)
+    lexicon = Lexicon(sorted(terms_[0]), sorted(terms_[1]), weak)
 
     def near(batch):
-        use = Lexicon(lexicon.words, lexicon.stems)
-        return {"w": pa.array([w for w in batch.column(1).to_pylist() if use.match(w)], pa.string())}
+        return {"w": pa.array([w for w in batch.column(1).to_pylist() if lexicon.match(w) == NEAR], pa.string())}
 
     seen = by_batch(each.where("label = 0"), near, "w string").groupBy("w").count()
     cleared = [r["w"] for r in seen.orderBy(F.desc("count"), "w").limit(CLEARED).collect()]
-    return Lexicon(lexicon.words, lexicon.stems, frozenset(cleared))
+    return Lexicon(lexicon.words, lexicon.stems, weak, frozenset(cleared))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.01) -> np.ndarray:
@@ -231,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, rows
     """Fit on at most ``rows`` labelled documents.
 
     Two variants of each toxic document stand for what labels hold too rarely: its matches misspelt (still
-    toxic) and its matches quoted (not toxic); they count a quarter. No toxic or no clean rows: share only.
+    toxic) and its matches quoted (not toxic); they count a tenth. No toxic or no clean rows: share only.
     """
     known = store(sample(docs, labels, label, learn_from, rows).select("text", (F.col("label") == 1).cast("int").alias("label")), "toxic")
     lexicon = learn_lexicon(known)
@@ -247,10 +265,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, rows
         return Model(lexicon, np.array([0.0] * len(FEATURES) + [-2.0]))
     x, y, n = (np.array(c, float) for c in zip(*[(r["f"], r["label"], r["count"]) for r in sorted(kinds, key=lambda r: (r["label"], r["f"]))]))
     toxic = (y == 1) & (x[:, 0] > 0)
-    misspelt, quoted = x[toxic][:, [1, 0, 3, 2, 4]], x[toxic][:, [2, 3, 0, 1, 4]]
+    misspelt, quoted = x[toxic][:, [1, 0, 3, 2, 4, 5]], x[toxic][:, [2, 3, 0, 1, 4, 5]]
     x = np.vstack([x, misspelt, quoted])
     y = np.concatenate([y, np.ones(len(misspelt)), np.zeros(len(quoted))])
-    return Model(lexicon, logistic(x, y, np.concatenate([n, n[toxic] / 4, n[toxic] / 4])))
+    return Model(lexicon, logistic(x, y, np.concatenate([n, n[toxic] / 10, n[toxic] / 10])))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
