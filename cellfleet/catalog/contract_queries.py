@@ -42,10 +42,10 @@ def value_violations(spark, d):
   l AS (SELECT *, idx <= lag(idx) OVER (PARTITION BY battery_id ORDER BY arrival) AS bad FROM a),
   o AS (SELECT battery_id, count_if(bad) AS n_bad FROM l GROUP BY 1 HAVING count_if(bad) > 0)""", "o", "battery_id n_bad"))
 def order_violations(spark, d):
-    """V4: index that does not rise in arrival order."""
+    """V4: index that does not rise in arrival order; arrivals are far apart."""
     i = F.col(POS)
     idx = F.when((F.col(KEY) % 3 == 0) & (i % 11 == 10), i - 1).otherwise(i)
-    p = points(spark, d).select(F.col(KEY).cast("string").alias("battery_id"), i.alias("arrival"), idx.alias(POS))
+    p = points(spark, d).select(F.col(KEY).cast("string").alias("battery_id"), (i * 97_003).alias("arrival"), idx.alias(POS))
     return V.order_violations(p)
 
 
@@ -75,13 +75,13 @@ def _bad_tables(spark, d):
     drv = drv.where(~((F.col("mean_temp_c") > 20.013) & (i == 0)))
     drv = drv.unionByName(drv.where((F.col("dod") > 0.2503) & (i == 7)))
     q0 = F.col("q0_ah")
-    par = par.where(q0 < 42).unionByName(par.where(q0 < 40.35))
+    par = par.where(F.col(KEY) % 5 != 0).unionByName(par.where(q0 < 40.35))
     return drv, par.withColumn("k_cal", F.when(q0.between(41, 41.25), -F.col("k_cal")).otherwise(F.col("k_cal")))
 
 
 BAD = DRIVERS + """, d0 AS (SELECT * FROM drv WHERE NOT (mean_temp_c > 20.013 AND reference_index = 0)),
 bdrv AS (SELECT * FROM d0 UNION ALL SELECT * FROM d0 WHERE dod > 0.2503 AND reference_index = 7),
-p0 AS (SELECT * FROM par WHERE q0_ah < 42), p1 AS (SELECT * FROM p0 UNION ALL SELECT * FROM par WHERE q0_ah < 40.35::double),
+p0 AS (SELECT * FROM par WHERE trajectory_id % 5 <> 0), p1 AS (SELECT * FROM p0 UNION ALL SELECT * FROM par WHERE q0_ah < 40.35::double),
 bpar AS (SELECT * REPLACE (CASE WHEN q0_ah BETWEEN 41 AND 41.25::double THEN -k_cal ELSE k_cal END AS k_cal) FROM p1)"""
 
 
@@ -196,20 +196,21 @@ def table_deviation(spark, d):
     return J.table_deviation(p, b, ["family", KEY, POS], "soh_true")
 
 
-@query(sql("a AS (SELECT DISTINCT user_id AS trajectory_id FROM events WHERE event_type = 'click' AND value > 60), b AS (SELECT DISTINCT user_id AS trajectory_id FROM events WHERE event_type = 'error' AND value > 60), o AS (SELECT trajectory_id, 'right' AS missing_in FROM a ANTI JOIN b USING (trajectory_id) UNION ALL SELECT trajectory_id, 'left' FROM b ANTI JOIN a USING (trajectory_id))",
+@query(sql("a AS (SELECT DISTINCT user_id AS trajectory_id FROM events WHERE event_type = 'click'), b AS (SELECT DISTINCT CASE WHEN event_id % 50 = 7 THEN -user_id ELSE user_id END AS trajectory_id FROM events WHERE event_type = 'error'), o AS (SELECT trajectory_id, 'right' AS missing_in FROM a ANTI JOIN b USING (trajectory_id) UNION ALL SELECT trajectory_id, 'left' FROM b ANTI JOIN a USING (trajectory_id))",
            "o", "trajectory_id missing_in"))
 def identity_mismatch(spark, d):
     """Identities on one side only, both ways."""
-    ev = spark.read.parquet(f"{d}/events.parquet").where(F.col("value") > 60)
-    of = lambda t: ev.where(F.col("event_type") == t).select(F.col("user_id").alias(KEY))
-    return J.id_mismatch(of("click"), of("error"))
+    ev, u = spark.read.parquet(f"{d}/events.parquet"), F.col("user_id")
+    damaged = F.when(F.col("event_id") % 50 == 7, -u).otherwise(u)
+    of = lambda t, key: ev.where(F.col("event_type") == t).select(key.alias(KEY))
+    return J.id_mismatch(of("click", u), of("error", damaged))
 
 
-@query(sql("decl AS (SELECT l_partkey AS k, count(*)::varchar AS h FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45 GROUP BY 1), pres AS (SELECT l_partkey AS k, count(*)::varchar AS h FROM lineitem WHERE l_returnflag = 'A' AND l_quantity >= 45 GROUP BY 1), o AS (SELECT coalesce(a.k, b.k) AS part_id, CASE WHEN b.h IS NULL THEN 'MISSING' WHEN a.h IS NULL THEN 'UNLISTED' WHEN a.h <> b.h THEN 'MISMATCH' ELSE 'OK' END AS status FROM decl a FULL JOIN pres b ON a.k = b.k)",
+@query(sql("decl AS (SELECT l_partkey AS k, count(*)::varchar AS h FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), pres AS (SELECT l_partkey AS k, count(*)::varchar AS h FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), o AS (SELECT coalesce(a.k, b.k) AS part_id, CASE WHEN b.h IS NULL THEN 'MISSING' WHEN a.h IS NULL THEN 'UNLISTED' WHEN a.h <> b.h THEN 'MISMATCH' ELSE 'OK' END AS status FROM decl a FULL JOIN pres b ON a.k = b.k)",
            "o", "part_id status"))
 def inventory_reconcile(spark, d):
     """Full outer reconcile of declared and present keys."""
-    li = spark.read.parquet(f"{d}/lineitem.parquet").where("l_quantity >= 45")
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
     of = lambda flag: li.where(F.col("l_returnflag") == flag).groupBy(F.col("l_partkey").alias("part_id")).agg(
         F.count("*").cast("string").alias("digest"))
     return J.reconcile(of("R"), of("A"), "part_id", "digest")
@@ -218,12 +219,11 @@ def inventory_reconcile(spark, d):
 @query()
 def file_reconcile(spark, d):
     """Files of the landing zone against a manifest with one stale hash and one missing file."""
-    glob = f"{d}/[r-s]*.parquet"
-    inv = S.file_inventory(spark, glob)
+    inv = S.file_inventory(spark, d)
     stale = F.when(F.col("file").startswith("region"), F.lit("stale")).otherwise(F.col("sha256"))
     gone = grid(spark, [("gone.parquet", "0")], "file string, sha256 string")
     manifest = inv.select("file", stale.alias("sha256")).unionByName(gone)
-    return S.reconcile_files(spark, glob, manifest)
+    return S.reconcile_files(spark, d, manifest)
 
 
 @query(sql(TRAJ + ", o AS (SELECT trajectory_id, family, reference_index, floor(soh_observed * 1000) / 1000 AS soh_observed, soh_true FROM traj)", "o", "trajectory_id family reference_index", "soh_observed soh_true"))
@@ -234,19 +234,19 @@ def overlay_columns(spark, d):
     return J.overlay(p, other, "uid", ["soh_observed"]).select(KEY, "family", POS, "soh_observed", "soh_true")
 
 
-@query(sql("o AS (SELECT DISTINCT user_id AS trajectory_id FROM events EXCEPT SELECT l_suppkey FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1)", "o", "trajectory_id"))
+@query(sql("o AS (SELECT DISTINCT user_id AS trajectory_id FROM events EXCEPT SELECT l_suppkey FROM lineitem)", "o", "trajectory_id"))
 def ids_missing(spark, d):
     """Declared ids that are not present (EXCEPT)."""
     a = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias(KEY))
-    b = spark.read.parquet(f"{d}/lineitem.parquet").where("l_quantity = 50 AND l_discount = 0.1").select(F.col("l_suppkey").alias(KEY))
+    b = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias(KEY))
     return J.missing_in(a, b)
 
 
-@query(sql("o AS (SELECT user_id AS trajectory_id FROM events INTERSECT SELECT l_suppkey FROM lineitem WHERE l_quantity > 25)", "o", "trajectory_id"))
+@query(sql("o AS (SELECT user_id AS trajectory_id FROM events INTERSECT SELECT l_suppkey FROM lineitem)", "o", "trajectory_id"))
 def ids_common(spark, d):
     """Ids of both tables (INTERSECT)."""
     a = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias(KEY))
-    b = spark.read.parquet(f"{d}/lineitem.parquet").where("l_quantity > 25").select(F.col("l_suppkey").alias(KEY))
+    b = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias(KEY))
     return J.common(a, b)
 
 

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellfleet.catalog.registry import (
-    ANCHORS, FEAT, FEATURE_NAMES, TRAJ, WIN, features_sql, points, query, sql, stored_points, windows,
+    ANCHORS, FEAT, FEATURE_NAMES, TRAJ, WIN, features_sql, points, query, sql, stored_points, target_sql,
+    windows,
 )
 from cellfleet.functions import forecast as X
-from cellfleet.functions.space import FEATURES, apply_space, apply_space_array
+from cellfleet.functions.space import FEATURES, Space, apply_space, apply_space_array
 from cellfleet.operators import windows as W
 from cellfleet.plans.scan import KEY, POS
-from cellfleet.plans.small import grid
+from cellfleet.plans.small import cut, grid
 from cellfleet.sources import testbed as B
-from cellfleet.sources.tables import usable_cycles
+from cellfleet.sources.tables import finite, positioned, usable_cycles
 
 IDS = "trajectory_id family reference_index"
 
@@ -109,6 +110,49 @@ def rul_anchors(spark, d):
                                                   "rul_lower_bound_days", "last", "slope_full")
 
 
+# The whole table damaged by rule: rows are missing, and some values are NULL or NaN.
+GAPS = TRAJ + """, gap AS (SELECT trajectory_id, family, reference_index AS raw_index, row_number() OVER (PARTITION BY trajectory_id ORDER BY reference_index) - 1 AS reference_index,
+    reference_day, soh_true, CASE WHEN (reference_index * 5 + trajectory_id) % 37 IN (4, 9) THEN NULL ELSE soh_observed END AS soh_observed
+  FROM traj WHERE (reference_index * 7 + trajectory_id) % 11 <> 3),""" + features_sql("gap", "gfeat")
+
+
+def gapped(spark, d):
+    """The damaged points as the reader hands them on: by position, missing values as NULL."""
+    p, i, t = stored_points(spark, d), F.col(POS), F.col(KEY)
+    hole = (i * 5 + t) % 37
+    bad = F.when(hole == 4, F.lit(float("nan"))).when(hole == 9, F.lit(None)).otherwise(F.col("soh_observed"))
+    return cut(positioned(finite(p.where((i * 7 + t) % 11 != 3).withColumn("soh_observed", bad))))
+
+
+@query(sql(GAPS, "gfeat", IDS + " raw_index", FEATURE_NAMES))
+def gapped_features(spark, d):
+    """W2 on an index with gaps and missing values: features by row position."""
+    return W.features11(gapped(spark, d)).select(*IDS.split(), "raw_index", *FEATURES)
+
+
+@query(sql(GAPS + "," + target_sql("gfeat", "gwin"), "gwin", IDS + " horizon", "target_day target_soh_true y_delta"))
+def gapped_windows(spark, d):
+    """W3 on the damaged table: the label is h rows on, and missing anchors have no difference."""
+    return W.with_target(gapped(spark, d), (2, 4, 8)).select(*IDS.split(), "horizon", "target_day", "target_soh_true", "y_delta")
+
+
+@query(sql(GAPS + """, gend AS (SELECT trajectory_id, min(CASE WHEN soh_true <= 0.70::double THEN reference_day END) AS eol_day, max(reference_day) AS last_day, count(*) AS n FROM gap GROUP BY 1),
+  o AS (SELECT f.*, eol_day - reference_day AS rul_days, last_day - reference_day AS rul_lower_bound_days, CASE WHEN eol_day IS NULL THEN 1 ELSE 0 END AS censored, n - 19 AS n_censored_rows
+    FROM gfeat f JOIN gend USING (trajectory_id) WHERE eol_day IS NULL OR reference_day < eol_day)""",
+           "o", IDS + " censored n_censored_rows", "rul_days rul_lower_bound_days last slope_full"))
+def gapped_anchors(spark, d):
+    """W5 on the damaged table."""
+    return W.rul_anchors(gapped(spark, d)).select(*IDS.split(), "censored", "n_censored_rows", "rul_days",
+                                                  "rul_lower_bound_days", "last", "slope_full")
+
+
+@query(sql(GAPS + """, o AS (SELECT *, (last - 0.85::double) / 0.07::double AS z_last, (diff1 - 0.01::double) / 0.5::double AS z_diff1 FROM gfeat)""", "o", IDS, "z_last z_diff1"))
+def missing_z_scores(spark, d):
+    """A missing feature has no z score; it is not taken for a clip bound."""
+    space = Space(("last", "diff1"), (0.0, -5.0), (2.0, 5.0), (0.85, 0.01), (0.07, 0.5))
+    return apply_space(W.features11(gapped(spark, d)), space).select(*IDS.split(), "z_last", "z_diff1")
+
+
 @query(sql(TRAJ + """, o AS (SELECT *, soh_true - coalesce(lag(soh_true) OVER w, 0) AS d_soh_true, soh_true - lag(soh_true) OVER w AS diff_soh_true,
   sum(soh_observed) OVER (w ROWS UNBOUNDED PRECEDING) AS sum_soh_observed FROM traj WINDOW w AS (PARTITION BY trajectory_id ORDER BY reference_index))""",
            "o", "trajectory_id reference_index", "d_soh_true diff_soh_true sum_soh_observed"))

@@ -38,8 +38,9 @@ class Space:
 
 
 def clip(x: Column, lo: Column | float, hi: Column | float) -> Column:
+    """``x`` within the bounds; NULL and NaN stay missing, which ``greatest`` and ``least`` would skip."""
     lo, hi = (v if isinstance(v, Column) else F.lit(float(v)) for v in (lo, hi))
-    return F.least(F.greatest(x, lo), hi)
+    return F.when(x.isNotNull() & ~F.isnan(x), F.least(F.greatest(x, lo), hi))
 
 
 def apply_space(df: DataFrame, space: Space, prefix: str = "z_") -> DataFrame:
@@ -54,7 +55,7 @@ def apply_space_array(z: Column, lo: Column, hi: Column, mean: Column, std: Colu
     """The same on array columns, for spaces that are themselves table rows."""
     return F.transform(
         z,
-        lambda x, i: (F.least(F.greatest(x, lo[i]), hi[i]) - mean[i]) / std[i],
+        lambda x, i: (clip(x, lo[i], hi[i]) - mean[i]) / std[i],
     )
 
 

@@ -101,10 +101,11 @@ def order_violations(df: DataFrame, key: str = "battery_id", index: str = "refer
                      arrival: str = "arrival") -> DataFrame:
     """Steps against arrival order whose index does not rise, per group that has any.
 
-    ``arrival`` is the position of the row as given, without gaps within the group.
+    ``arrival`` is any number that rises along the rows as given; gaps in it do not matter.
     """
-    cut = scan.halo(df.select(key, index, arrival), back=1, key=key, pos=arrival)
-    prev = F.lag(index).over(scan.series(key, arrival))
+    placed = scan.with_ordinal(df.select(key, index, arrival), key, arrival, "_at")
+    cut = scan.halo(placed, back=1, key=key, pos="_at")
+    prev = F.lag(index).over(scan.series(key, "_at"))
     return (
         cut.withColumn("_bad", F.col(index) <= prev)
         .where("home")
@@ -119,12 +120,17 @@ def short_groups(df: DataFrame, n: int = CONTEXT, key: str = "battery_id") -> Da
 
 
 def driver_violations(drivers: DataFrame, params: DataFrame, required: Sequence[str] = (),
-                      forbidden: Sequence[str] = (), positive: Sequence[str] = ()) -> DataFrame:
-    """The driver/parameter contract as (rule, n) rows; column rules raise before any job runs."""
+                      forbidden: Sequence[str] = (), positive: Sequence[str] = (),
+                      param_required: Sequence[str] = ()) -> DataFrame:
+    """The driver/parameter contract as (rule, n) rows; column rules raise before any job runs.
+
+    ``declared_contract`` has the columns that the protocol declares.
+    """
     missing = [c for c in required if c not in drivers.columns]
+    missing += [c for c in param_required if c not in params.columns]
     leaked = [c for c in forbidden if c in drivers.columns]
     if missing or leaked:
-        raise ContractError(f"driver columns missing {missing}, leaked {leaked}")
+        raise ContractError(f"driver or parameter columns missing {missing}, leaked {leaked}")
     pos_rules = {f"{c}_not_positive": F.col(c) <= 0 for c in positive}
     per_param = params.groupBy(KEY).agg(F.count("*").alias("_n"))
     per_point = drivers.groupBy(KEY, POS).agg(F.count("*").alias("_n"))

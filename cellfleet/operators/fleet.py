@@ -16,22 +16,30 @@ from cellfleet.operators import learning as L
 from cellfleet.operators import windows as W
 from cellfleet.plans import scan
 from cellfleet.plans.scan import KEY
-from cellfleet.plans.small import SMALL_ROWS, collect_bounded, each_case, grid, settle
+from cellfleet.plans.small import SMALL_ROWS, collect_bounded, cut, each_case, grid, settle
 
 # Outcome of a request, as the service reports it.
 OK, REFUSED, OPEN = "OK", "INPUT_REFUSED_BY_SCHEMA", "NO_CROSSING_WITHIN_112D"
 
 
+def placed(requests: DataFrame, key: str = "battery_id") -> DataFrame:
+    """Requests with ``_at``, their position by ``arrival``, whose values may have any gaps."""
+    return scan.with_ordinal(requests, key, "arrival", "_at")
+
+
 def request_faults(requests: DataFrame, key: str = "battery_id") -> DataFrame:
-    """Per battery: how many rows break each rule, and its length; one aggregation and one scan."""
+    """Per battery: how many rows break each rule, and its length; one aggregation and one scan.
+
+    ``_at`` is the position of a row in the order of arrival (`placed`).
+    """
     x, i = F.col("soh_observed"), F.col("reference_index").cast("double")
     bad = x.isNull() | F.isnan(x) | (x <= 0) | (x > V.SOH_MAX) | i.isNull() | (i != F.floor(i))
-    cut = scan.halo(requests, back=1, key=key, pos="arrival")
-    prev = F.lag("reference_index").over(scan.series(key, "arrival"))
+    cut = scan.halo(requests, back=1, key=key, pos="_at")
+    prev = F.lag("reference_index").over(scan.series(key, "_at"))
     flags = cut.withColumn("_o", F.coalesce(F.col("reference_index") <= prev, F.lit(False))).where("home")
     return flags.groupBy(key).agg(
         F.count("*").alias("n_points"), F.count_if(bad).alias("n_bad_values"), F.count_if("_o").alias("n_order"),
-        F.max("arrival").alias("last_arrival"),
+        F.max("_at").alias("_last"),
     )
 
 
@@ -52,6 +60,7 @@ def predict_fleet(requests: DataFrame, heads: DataFrame, space: Space, quantiles
         widths = {r["horizon"]: r["half_width"] for r in collect_bounded(hit, len(HORIZONS), "half-widths")}
         if set(HORIZONS) - set(widths):
             raise V.ContractError(f"no calibrated half-width for coverage {level}; none is interpolated")
+    requests = cut(placed(requests, key))
     faults = request_faults(requests, key)
     good = (F.col("n_bad_values") == 0) & (F.col("n_order") == 0) & (F.col("n_points") >= CONTEXT)
     reason = (
@@ -60,14 +69,14 @@ def predict_fleet(requests: DataFrame, heads: DataFrame, space: Space, quantiles
     refusals = faults.where(~good).select(key, F.lit(REFUSED).alias("status"), reason.alias("reason"), "n_points",
                                           "n_bad_values", "n_order")
     # The last 20 arrivals are found per chunk, so a long history never meets in one task.
-    cut = scan.halo(requests, key=key, pos="arrival", spread=False).drop("home")
-    ends = cut.groupBy(key, "chunk").agg(F.count("*").alias("_c")).join(faults.where(good), key)
-    tail = cut.join(ends.select(key, "chunk", "last_arrival"), [key, "chunk"]).where(
-        F.col("arrival") > F.col("last_arrival") - CONTEXT
+    chunks = scan.halo(requests, key=key, pos="_at", spread=False).drop("home")
+    ends = chunks.groupBy(key, "chunk").agg(F.count("*").alias("_c")).join(faults.where(good), key)
+    tail = chunks.join(ends.select(key, "chunk", "_last"), [key, "chunk"]).where(
+        F.col("_at") > F.col("_last") - CONTEXT
     )
     last = tail.groupBy(key).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("arrival", "soh_observed"))), lambda s: s.soh_observed).alias("ctx"),
-        F.max_by("reference_index", "arrival").alias("anchor_reference_index"),
+        F.transform(F.sort_array(F.collect_list(F.struct("_at", "soh_observed"))), lambda s: s.soh_observed).alias("ctx"),
+        F.max_by("reference_index", "_at").alias("anchor_reference_index"),
     )
     z = space.columns()
     out = apply_space(W.features_of_ctx(last), space).withColumn("anchor_soh_observed", F.col("last"))
@@ -78,9 +87,14 @@ def predict_fleet(requests: DataFrame, heads: DataFrame, space: Space, quantiles
         cols[f"predicted_delta_soh_day{d}"] = delta
         cols[f"predicted_soh_day{d}"] = F.col("anchor_soh_observed") + delta
         cols[f"baseline_predicted_soh_day{d}"] = F.col("anchor_soh_observed") + F.col("slope_full") * h
+        cols[f"alpha_day{d}"] = F.lit(float(r["alpha"]))
         if widths:
+            cols[f"interval_half_width_day{d}"] = F.lit(float(widths[h]))
             cols[f"interval_lo_day{d}"] = F.col("anchor_soh_observed") + delta - widths[h]
             cols[f"interval_hi_day{d}"] = F.col("anchor_soh_observed") + delta + widths[h]
+    cols["context_length"] = F.lit(CONTEXT)
+    if widths:
+        cols |= {"interval_coverage_nominal": F.lit(float(level)), "interval_is_per_horizon_marginal": F.lit(True)}
     keep = [key, "anchor_reference_index", "anchor_soh_observed"]
     out = out.withColumns(cols).select(*keep, *cols)
     status = F.lit(OK)

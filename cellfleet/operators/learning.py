@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cellfleet.functions.space import dot
-from cellfleet.operators.windows import budget_members
+from cellfleet.operators.windows import budget_shares
 from cellfleet.plans.scan import KEY
 from cellfleet.plans.small import SMALL_ROWS, collect_bounded, cut, each_case, grid, settle
 
@@ -28,7 +28,8 @@ from cellfleet.plans.small import SMALL_ROWS, collect_bounded, cut, each_case, g
 ALPHAS = (1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0)
 TRANSFER_ALPHAS = (1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0)
 LAMBDAS = (0.0, 1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0, 1e4)
-BUDGETS = (("10pct", 2), ("25pct", 5), ("50pct", 10), ("100pct", 20))
+# Shares of a family's trajectories, rounded up.
+BUDGETS = (("10pct", 0.10), ("25pct", 0.25), ("50pct", 0.50), ("100pct", 1.0))
 MAX_ITERATIONS = 50
 MAX_FAMILIES = 256
 
@@ -276,7 +277,8 @@ def attach_heads(df: DataFrame, heads: DataFrame, z: Sequence[str], keys: Sequen
     k = len(z)
     cols = [*[f"c{i}" for i in range(k)], "c_b"]
     use = heads.withColumnRenamed("held", "family").select(*keys, "family", "alpha", "lam", *cols)
-    joined = df.join(F.broadcast(use), [c for c in [*keys, "family"] if c in df.columns])
+    # Heads that were checked to be few carry their own hint; others are left to a shuffle join.
+    joined = df.join(use, [c for c in [*keys, "family"] if c in df.columns])
     scored = joined.withColumn(out, F.col("c_b") + dot(z, cols[:k])).drop(*cols)
     if anchor is None:
         return scored
@@ -353,18 +355,19 @@ def replay(df: DataFrame, z: Sequence[str], alphas: dict[int, float], stored: st
     )
 
 
-def adaptation_curve(df: DataFrame, z: Sequence[str], budgets: Sequence[tuple[str, int]] = BUDGETS,
+def adaptation_curve(df: DataFrame, z: Sequence[str], budgets: Sequence[tuple[str, float]] = BUDGETS,
                      alphas: Sequence[float] = TRANSFER_ALPHAS, lambdas: Sequence[float] = LAMBDAS,
                      prior: Prior | None = None) -> tuple[DataFrame, DataFrame]:
-    """The protocol at growing numbers of trajectories per family, as one keyed pass.
+    """The protocol at growing shares of the trajectories of each family, as one keyed pass.
 
     Training and inner folds use the budget's trajectories; outer tests use all rows. Returns
     the cells and the curve.
     """
-    members = each_case(budget_members(df, max(n for _, n in budgets)), budgets, "budget string, budget_n int")
-    inside = members.where(F.col("budget_rank") <= F.col("budget_n")).select("budget", "family", KEY)
-    # At most families x the largest budget trajectories.
-    train = df.join(settle(inside), ["family", KEY])
+    members = each_case(budget_shares(df), budgets, "budget string, budget_share double")
+    wanted = F.ceil(F.col("budget_share") * F.col("n_trajectories") - 1e-9)
+    inside = members.where(F.col("budget_rank") <= wanted).select("budget", "family", KEY)
+    # One row per trajectory and budget: a shuffle join, unless it is measured to be small.
+    train = df.join(cut(inside), ["family", KEY])
     keys = ["budget", "horizon"]
     blocks = moments(gram(train, z, keys=keys), len(z), keys)
     heads = selected_heads(train, z, candidate_heads(blocks, alphas, lambdas, prior, horizon_at=1), keys=keys)

@@ -38,6 +38,14 @@ TRUTH_COLUMNS = (
 POSITIVE_PARAMETERS = (
     "q0_ah", "initial_rint_ohm", "k_cal", "k_cyc", "dod_exponent", "crate_exponent", "temperature_sensitivity",
 )
+
+
+def declared_contract() -> dict[str, tuple[str, ...]]:
+    """The declared columns, as arguments of `contracts.driver_violations`."""
+    return {"required": DRIVER_COLUMNS, "forbidden": TRUTH_COLUMNS, "positive": POSITIVE_PARAMETERS,
+            "param_required": PARAMETER_COLUMNS}
+
+
 # Parameters that the replay itself reads.
 USED_PARAMETERS = (
     "q0_ah", "initial_rint_ohm", "k_cal", "k_cyc", "dod_exponent", "crate_exponent", "temperature_sensitivity",

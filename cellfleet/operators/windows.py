@@ -261,6 +261,13 @@ def budget_members(df: DataFrame, n: int, group: str = "family", key: str = KEY)
     return ids.withColumn("budget_rank", rank).where(F.col("budget_rank") <= n)
 
 
+def budget_shares(df: DataFrame, group: str = "family", key: str = KEY) -> DataFrame:
+    """Every trajectory with its rank by id in its group and the group's number of trajectories."""
+    ids = df.select(group, key).distinct()
+    count = ids.groupBy(group).agg(F.count("*").alias("n_trajectories"))
+    return ids.withColumn("budget_rank", F.row_number().over(Window.partitionBy(group).orderBy(key))).join(count, group)
+
+
 def budget_subset(df: DataFrame, n: int, group: str = "family", key: str = KEY) -> DataFrame:
     return df.join(budget_members(df, n, group, key), [group, key], "left_semi")
 

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from cellfleet.plans.small import cut, each_case, settle
 
-BINS = 4096
+BINS, MAX_PASSES = 4096, 200
 # Rows of one interval that one task may sort.
 SORT_ROWS = 20_000
 
@@ -28,8 +28,12 @@ def _stats(src: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The two or three columns the passes need, computed once: the input may hold a big shuffle."""
-    return cut(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")))
+    """The two or three columns the passes need, computed once: the input may hold a big shuffle.
+
+    Only finite values have ranks; NULL, NaN and infinity are left out.
+    """
+    x = F.col(value).cast("double")
+    return cut(df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).select(*keys, F.col(value).cast("double").alias("_v")))
 
 
 def pick_ranks(df: DataFrame, keys: Sequence[str], value: str, rank, sort_rows: int | None = None) -> DataFrame:
@@ -65,13 +69,16 @@ def _hit(counts: DataFrame, keys: list[str], order: str, open_: DataFrame) -> Da
 
 def _search(src: DataFrame, keys: list[str], open_: DataFrame, sort_rows: int) -> DataFrame:
     open_ = settle(open_)
-    while True:
+    # A pass narrows an interval at least 4096-fold or to equal values, so a double's range ends sooner.
+    for _ in range(MAX_PASSES):
         wide = (F.col("_in") > sort_rows) & (F.col("_lo") < F.col("_hi"))
         big = open_.where(wide)
         if big.isEmpty():
             break
-        width = (F.col("_hi") - F.col("_lo")) / BINS
-        slot = F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(BINS - 1))
+        # Halves keep the width of any two doubles finite; a width that underflows leaves one slot.
+        width = F.col("_hi") / BINS - F.col("_lo") / BINS
+        share = F.when(width > 0, F.col("_v") / width - F.col("_lo") / width).otherwise(F.lit(0.0))
+        slot = F.greatest(F.least(F.floor(share), F.lit(BINS - 1)), F.lit(0))
         hist = _inside(src, keys, big).groupBy(*keys, "_lo", "_hi", slot.alias("_b")).agg(
             F.count("*").alias("_c"), F.min("_v").alias("_l"), F.max("_v").alias("_h")
         )
@@ -80,6 +87,8 @@ def _search(src: DataFrame, keys: list[str], open_: DataFrame, sort_rows: int) -
             F.col("_l").alias("_lo"), F.col("_h").alias("_hi"), F.col("_c").alias("_in"),
         )
         open_ = settle(open_.where(~wide).unionByName(narrowed))
+    else:
+        raise RuntimeError("a histogram interval does not shrink")
     flat = open_.where(F.col("_lo") == F.col("_hi")).select(*keys, "rank", F.col("_lo").alias("value"))
     todo = open_.where(F.col("_lo") < F.col("_hi"))
     # Equal values collapse in the map-side combine, so ties never reach one task as rows.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellfleet.functions.space import CONTEXT, FEATURES, Space
-from cellfleet.plans.scan import KEY
+from cellfleet.plans.scan import KEY, POS, with_ordinal
 
 TRAJECTORY_SCHEMA = (
     "trajectory_id string, reference_index int, reference_day double, soh_observed double, soh_true double"
@@ -45,11 +45,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def scan(spark: SparkSession, path: str, schema: str | T.StructType, cols: Sequence[str] | None = None,
-         required: bool = True) -> DataFrame:
+         required: bool = True, optional: Sequence[str] = ()) -> DataFrame:
     """CSV, JSON or Parquet by file suffix. A leading byte-order mark in a CSV header is tolerated.
 
-    A CSV is matched to the schema by its header, as files may hold the columns in any order. An
-    optional input that is absent gives an empty table with its schema.
+    A CSV is matched to the schema by its header, as files may hold the columns in any order; a column
+    that the schema names and the header lacks is refused, or NULL if it is ``optional``. NaN and infinity become NULL. An optional
+    input that is absent gives an empty table with its schema.
     """
     kind = _struct(schema)
     if not required and not _exists(spark, path):
@@ -58,20 +59,48 @@ def scan(spark: SparkSession, path: str, schema: str | T.StructType, cols: Seque
         suffix = PurePath(path.rstrip("/")).suffix
         if suffix == ".csv":
             raw = spark.read.option("header", True).csv(path)
-            present = [f for f in kind if f.name in raw.columns]
-            df = raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in present])
+            wanted = [f for f in kind if not cols or f.name in cols]
+            if missing := [f.name for f in wanted if f.name not in raw.columns and f.name not in optional]:
+                raise ValueError(f"{path} lacks columns {missing}")
+            given = {f.name: F.col(f.name) if f.name in raw.columns else F.lit(None) for f in wanted}
+            df = raw.select(*[given[f.name].cast(f.dataType).alias(f.name) for f in wanted])
         elif suffix in (".json", ".jsonl"):
             df = spark.read.schema(kind).json(path)
         else:
             df = spark.read.schema(kind).parquet(path)
-    return df.select(*cols) if cols else df
+    return finite(df.select(*cols) if cols else df)
+
+
+def finite(df: DataFrame) -> DataFrame:
+    """NaN and infinite doubles as NULL, the engine's only missing value."""
+    inf = float("inf")
+    return df.select(*[
+        F.when(~F.isnan(c) & (F.abs(F.col(c)) < inf), F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes
+    ])
+
+
+def positioned(points: DataFrame, key: str = KEY, index: str = POS) -> DataFrame:
+    """Points by position: ``index`` counts the rows of a series from 0 in its own order.
+
+    The index as given, which may have gaps, is kept as ``raw_index``. Windows, lags and labels of the
+    operators then mean rows, not index steps.
+    """
+    raw = points.withColumnRenamed(index, "raw_index")
+    return with_ordinal(raw, key, "raw_index", index)
 
 
 def read_trajectories(spark: SparkSession, path: str, dim: DataFrame | str) -> DataFrame:
-    """Reference points with the family and censoring flag of their trajectory."""
+    """Reference points by position, with the family and censoring flag of their trajectory.
+
+    A trajectory without a manifest row, or with several, is refused.
+    """
+    from cellfleet.operators.contracts import checked_join
+
     manifest = scan(spark, dim, MANIFEST_SCHEMA) if isinstance(dim, str) else dim
     family = manifest.withColumnRenamed("environment_family_id", "family")
-    return scan(spark, path, TRAJECTORY_SCHEMA).join(family, KEY)
+    points = scan(spark, path, TRAJECTORY_SCHEMA)
+    checked_join(points.select(KEY).distinct(), family, KEY, "left", "m:1", cover=True)
+    return positioned(points).join(family, KEY)
 
 
 def read_windows(spark: SparkSession, path: str) -> DataFrame:
@@ -90,8 +119,6 @@ def usable_cycles(cycles: DataFrame) -> DataFrame:
 
     Cycle numbers are integers and unique per cell.
     """
-    from cellfleet.plans.scan import with_ordinal
-
     ok = ~F.isnan("capacity") & (F.col("capacity") > 0) & (F.col("capacity") < F.lit(float("inf")))
     src = cycles.where(ok).withColumn("cycle_no", F.col("cycle_idx").cast("long"))
     return with_ordinal(src, "cell_id", "cycle_no", "cycle_idx")
@@ -99,16 +126,25 @@ def usable_cycles(cycles: DataFrame) -> DataFrame:
 
 def read_cycles(spark: SparkSession, path: str, meta: str | None = None) -> DataFrame:
     """Discharge cycles of public cells, with one JSON line of metadata per cell if given."""
-    out = usable_cycles(scan(spark, path, CYCLE_SCHEMA))
+    out = usable_cycles(scan(spark, path, CYCLE_SCHEMA, optional=("voltage", "current", "temperature")))
     if meta is None:
         return out
     return out.join(spark.read.json(meta), "cell_id", "left")
 
 
-def read_space(path: str) -> Space:
+def read_json(spark: SparkSession, path: str) -> dict:
+    """One JSON object from any file system that Spark reads; a byte-order mark is tolerated."""
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"].removeprefix("\ufeff"))
+
+
+def read_alphas(spark: SparkSession, path: str) -> dict[int, float]:
+    """Ridge strengths per horizon from a JSON object with keys ``2`` or ``h2``."""
+    return {int(k.removeprefix("h")): float(v) for k, v in read_json(spark, path).items()}
+
+
+def read_space(spark: SparkSession, path: str) -> Space:
     """Clip and z-score parameters from a one-object JSON file."""
-    with open(path, encoding="utf-8-sig") as f:
-        d = json.load(f)
+    d = read_json(spark, path)
     names = tuple(d.get("feature_names", FEATURES))
     if len({len(d[k]) for k in ("clip_lo", "clip_hi", "scaler_mean", "scaler_std")} | {len(names)}) != 1:
         raise ValueError("space arrays differ in length")
@@ -117,9 +153,7 @@ def read_space(path: str) -> Space:
 
 def read_half_widths(spark: SparkSession, path: str) -> DataFrame:
     """Half-widths stored as ``protocol|arm|coverage|hN`` keys of one JSON object, as a table."""
-    with open(path, encoding="utf-8-sig") as f:
-        table = json.load(f)["half_widths"]
-    return half_width_table(spark, table)
+    return half_width_table(spark, read_json(spark, path)["half_widths"])
 
 
 def half_width_table(spark: SparkSession, table: dict[str, float]) -> DataFrame:
@@ -132,18 +166,22 @@ def half_width_table(spark: SparkSession, table: dict[str, float]) -> DataFrame:
     return local_table(spark, rows, "protocol string, arm string, coverage double, horizon int, half_width double")
 
 
-def file_inventory(spark: SparkSession, glob: str) -> DataFrame:
-    """Name, size and SHA-256 of every file of a landing zone."""
-    name = F.element_at(F.split("path", "/"), -1)
-    return spark.read.format("binaryFile").load(glob).select(
+def file_inventory(spark: SparkSession, root: str) -> DataFrame:
+    """Path below ``root``, size and SHA-256 of every file under it, at any depth.
+
+    Spark's file source reads a file as one value, so a file may have 2 GB at most.
+    """
+    base = "/" + root.split("://", 1)[-1].strip("/") + "/"
+    name = F.substring_index("path", base, -1)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(
         name.alias("file"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256")
     )
 
 
-def reconcile_files(spark: SparkSession, glob: str, manifest: DataFrame) -> DataFrame:
+def reconcile_files(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
     """Declared against present files: OK, MISMATCH, MISSING or UNLISTED."""
     from cellfleet.operators.joins import reconcile
 
-    return reconcile(manifest, file_inventory(spark, glob), "file", "sha256")
+    return reconcile(manifest, file_inventory(spark, root), "file", "sha256")
 
 

@@ -108,7 +108,7 @@ def cell_cycles(points: DataFrame) -> DataFrame:
 
 def requests(points: DataFrame) -> DataFrame:
     return points.select(
-        F.col(KEY).cast("string").alias("battery_id"), POS, "soh_observed", F.col(POS).alias("arrival")
+        F.col(KEY).cast("string").alias("battery_id"), POS, "soh_observed", (F.col(POS) * 97_003 + 5).alias("arrival")
     )
 
 

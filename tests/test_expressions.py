@@ -12,7 +12,9 @@ from cellfleet.operators import contracts as V
 from cellfleet.operators import earliness as P
 from cellfleet.operators import fleet as G
 from cellfleet.operators import joins as J
+from cellfleet.functions.space import clip
 from cellfleet.operators import windows as W
+from cellfleet.operators.replay import declared_contract
 from cellfleet.plans.small import collect_bounded, local_table, settle
 from cellfleet.sources import sinks, tables
 from cellfleet.sources import testbed as B
@@ -191,11 +193,50 @@ def test_small_tables_are_checked(spark):
 
 def test_csv_with_byte_order_mark_and_other_column_order(spark, tmp_path):
     f = tmp_path / "l2.csv"
-    f.write_bytes("﻿reference_index,trajectory_id,soh_true,reference_day,soh_observed\n3,a,0.9,42,0.91\n".encode("utf-8"))
+    f.write_bytes("﻿reference_index,trajectory_id,soh_true,reference_day,soh_observed\n3,a,0.9,42,0.91\n7,a,0.8,98,NaN\n".encode("utf-8"))
     m = tmp_path / "m.csv"
     m.write_text("trajectory_id,environment_family_id,right_censored_on_soh_true\na,f1,1\n")
-    r = tables.read_trajectories(spark, str(f), str(m)).first()
-    assert (r.trajectory_id, r.reference_index, r.soh_true, r.family) == ("a", 3, 0.9, "f1")
+    got = tables.read_trajectories(spark, str(f), str(m)).orderBy("reference_index").collect()
+    r = got[0]
+    assert (r.trajectory_id, r.reference_index, r.raw_index, r.soh_true, r.family) == ("a", 0, 3, 0.9, "f1")
+    assert (got[1].reference_index, got[1].raw_index, got[1].soh_observed) == (1, 7, None)
+    m.write_text("trajectory_id,environment_family_id,right_censored_on_soh_true\nb,f1,1\n")
+    with pytest.raises(ValueError, match="cover"):
+        tables.read_trajectories(spark, str(f), str(m))
+    m.write_text("trajectory_id,right_censored_on_soh_true\na,1\n")
+    with pytest.raises(ValueError, match="environment_family_id"):
+        tables.read_trajectories(spark, str(f), str(m))
+
+
+def test_clip_keeps_missing_values_missing(spark):
+    df = spark.createDataFrame([(None,), (float("nan"),), (-3.0,), (9.0,), (0.5,)], "x double")
+    assert [r.c for r in df.select(clip(F.col("x"), 0.1, 0.9).alias("c")).collect()] == [None, None, 0.1, 0.9, 0.5]
+
+
+def test_alphas_and_files_below_a_folder(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"h2": 0.1, "4": 1}')
+    assert tables.read_alphas(spark, str(tmp_path / "a.json")) == {2: 0.1, 4: 1.0}
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "deep" / "x.bin").write_bytes(b"1")
+    (tmp_path / "in" / "x.bin").write_bytes(b"2")
+    assert {r.file for r in tables.file_inventory(spark, str(tmp_path / "in")).collect()} == {"x.bin", "deep/x.bin"}
+
+
+def test_driver_contract_as_declared(spark):
+    rule = declared_contract()
+    drv = spark.createDataFrame([], ", ".join(f"{c} double" for c in rule["required"]))
+    par = spark.createDataFrame([], ", ".join(f"{c} double" for c in rule["param_required"]))
+    assert all(r.n == 0 for r in V.driver_violations(drv, par, **rule).collect())
+    with pytest.raises(V.ContractError, match="leaked"):
+        V.driver_violations(drv.withColumn("soh_true", F.lit(1.0)), par, **rule)
+    with pytest.raises(V.ContractError, match="sensor_soh_sigma"):
+        V.driver_violations(drv, par.drop("sensor_soh_sigma"), **rule)
+
+
+@pytest.mark.parametrize("arrivals", [(100, 101), (100, 200_000)])
+def test_order_is_judged_at_any_arrival_values(spark, arrivals):
+    df = spark.createDataFrame([("b", arrivals[0], 5), ("b", arrivals[1], 4)], "battery_id string, arrival long, reference_index long")
+    assert [r.n_bad for r in V.order_violations(df).collect()] == [1]
 
 
 def test_absent_optional_input_is_empty(spark, tmp_path):
@@ -218,7 +259,7 @@ def test_cycles_space_and_half_widths(spark, tmp_path):
     got = [(r.cycle_idx, r.capacity) for r in tables.read_cycles(spark, str(tmp_path / "c.csv")).orderBy("cycle_idx").collect()]
     assert got == [(0, 2.0), (1, 1.8), (2, 1.5)]
     (tmp_path / "s.json").write_text('{"feature_names": ["last"], "clip_lo": [0], "clip_hi": [1], "scaler_mean": [0.5], "scaler_std": [0.1]}')
-    assert tables.read_space(str(tmp_path / "s.json")).mean == (0.5,)
+    assert tables.read_space(spark, str(tmp_path / "s.json")).mean == (0.5,)
     (tmp_path / "h.json").write_text('{"half_widths": {"P|A|0.9|h2": 0.01}}')
     r = tables.read_half_widths(spark, str(tmp_path / "h.json")).first()
     assert (r.protocol, r.coverage, r.horizon, r.half_width) == ("P", 0.9, 2, 0.01)

@@ -58,3 +58,11 @@ def test_empty_input(spark):
     df = spark.createDataFrame([], "g string, x double")
     assert ranks.percentiles(df, ["g"], "x", [0.5]).count() == 0
     assert ranks.percentile_columns(df, [], "x", {"m": 0.5}).first().m is None
+
+
+@pytest.mark.parametrize("odd", [float("nan"), float("inf"), None])
+def test_values_that_are_not_finite_have_no_rank(spark, monkeypatch, odd):
+    monkeypatch.setattr(ranks, "SORT_ROWS", 50)
+    df = spark.createDataFrame([("a", float(i)) for i in range(500)] + [("a", odd), ("a", -1e308), ("a", 1.7e308)], "g string, x double")
+    r = ranks.percentiles(df, ["g"], "x", [0.5]).first()
+    assert (r.n, r.value) == (502, 249.5)
