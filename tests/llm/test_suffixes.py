@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from corpus_fixtures import docs  # noqa: F401
 from llm import suffixes
 
 
