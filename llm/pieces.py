@@ -24,7 +24,7 @@ from llm.common import by_batch, documents
 from llm.tokens import Table
 
 MARK = "▁"
-PART, PAIRS = 1 << 20, 1_000_000
+PART, PAIRS, WORDS = 1 << 20, 400_000, 300_000
 
 
 class Model:
@@ -52,8 +52,8 @@ class Model:
                 self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         self.word = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.table = Table(lambda w: np.array(self.word_ids(w), "<u4").tobytes())
+        self.pairs: dict[int, bool] = {}  # by a * 2**32 + b
+        self.table = Table(lambda w: np.array(self.word_ids(w), "<u4").tobytes(), WORDS)
 
     def merged(self, text: str) -> list[str]:
         """Merging itself: the best neighbours join first, of equal ones the leftmost."""
@@ -81,11 +81,11 @@ class Model:
 
     def beside(self, a: int, b: int) -> bool:
         """Whether piece b may follow piece a."""
-        if (known := self.pairs.get((a, b))) is None:
+        if (known := self.pairs.get(a << 32 | b)) is None:
             known = self.merged(self.names[a] + self.names[b]) == [self.names[a], self.names[b]]
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            self.pairs[a, b] = known
+            self.pairs[a << 32 | b] = known
         return known
 
     def run_ids(self, run: str) -> list[int]:
@@ -99,7 +99,7 @@ class Model:
                 if not start:
                     last[end] = piece
                 elif (before := last[start]) is not None:
-                    ok = pairs.get((before, piece))
+                    ok = pairs.get(before << 32 | piece)
                     if self.beside(before, piece) if ok is None else ok:
                         last[end] = piece
         out, at = [], len(run)
