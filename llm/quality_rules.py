@@ -18,14 +18,17 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 ROUNDS = 12
-# Before any evidence: share of good documents, and how often a vote is right.
-PRIOR, RIGHT = 0.85, 0.8
+# Before any evidence: share of good documents, and how often a vote is 'good' in good and in bad ones. Bad
+# documents are bad in different ways, so most rules find no fault with one of them. Evidence weighs as
+# much as START documents.
+PRIOR, GOOD, BAD, START = 0.85, 0.97, 0.8, 10
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: A rule is (name, votes good, votes bad); it abstains where neither holds.
 RULES = (
     ("length", "n_words BETWEEN 50 AND 100000", "n_words < 20"),
     ("word_length", "word_chars BETWEEN 3 * n_words AND 10 * n_words", "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
     ("symbols", "n_symbols <= 0.01 * n_words", "n_symbols > 0.1 * n_words"),
+    ("symbol_share", "n_symbols <= 0.01 * word_chars", "n_symbols > 0.05 * word_chars"),
     ("lines", "n_dup_lines = 0 AND n_lines >= 3", "n_dup_lines > 0.3 * n_lines"),
     ("repeats", "n_repeat_words <= 0.05 * n_words AND n_words >= 50", "n_repeat_words > 0.2 * n_words"),
     ("capitals", "n_capitals <= 0.1 * word_chars AND n_words >= 20", "n_capitals > 0.3 * word_chars"),
@@ -102,11 +105,11 @@ def _good(votes: str | Column, prior: float, rates: list[tuple[float, float]]) -
 def learn(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[float, dict[str, tuple[float, float]]]:
     """Prior and vote rates by expectation-maximisation over all rows. No rows: the starting values.
 
-    Rates keep to their side of one half (good documents get mostly good votes), so classes can't swap.
+    Rates are kept apart (good documents get the more good votes of every rule), so classes can't swap.
     """
     kinds = votes.groupBy(*names).agg(F.count("*").alias("n")).select(F.array(*names).alias("votes"), "n")
     patterns = store(kinds.coalesce(1), "patterns").coalesce(1)
-    prior, rates = PRIOR, {v: (RIGHT, 1 - RIGHT) for v in names}
+    prior, rates = PRIOR, {v: (GOOD, BAD) for v in names}
     for _ in range(rounds):
         each = patterns.select("n", "votes", _good("votes", prior, list(rates.values())).alias("p"))
         each = each.select("n", "p", F.posexplode("votes").alias("rule", "vote"))
@@ -117,9 +120,9 @@ def learn(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[flo
             F.sum(good * up).alias("gu"), F.sum(bad * cast).alias("b"), F.sum(bad * up).alias("bu")).collect()
         if not sums:
             break
-        prior = min(0.99, max(0.5, (sums[0]["good"] + 10 * PRIOR) / (sums[0]["all"] + 10)))
-        rates = {names[r["rule"]]: (min(0.995, max(0.55, (r["gu"] + 10 * RIGHT) / (r["g"] + 10))),
-                                    max(0.005, min(0.45, (r["bu"] + 10 - 10 * RIGHT) / (r["b"] + 10))))
+        prior = min(0.99, max(0.5, (sums[0]["good"] + START * PRIOR) / (sums[0]["all"] + START)))
+        rates = {names[r["rule"]]: (min(0.995, max(0.9, (r["gu"] + START * GOOD) / (r["g"] + START))),
+                                    max(0.005, min(0.85, (r["bu"] + START * BAD) / (r["b"] + START))))
                  for r in sorted(sums, key=lambda r: r["rule"])}
     return prior, rates
 

@@ -7,7 +7,7 @@ import __spark_entry__
 import corpus_pipeline
 from llm.common import store, table
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 def test_eleven_queries_are_registered():
@@ -44,14 +44,15 @@ def test_clean_documents_stay_and_labelled_ones_go(spark, stages):
 def test_near_copies_and_passages(spark, docs):
     base = " ".join(f"word{i}" for i in range(150))
     shared = " ".join(f"shared{i}" for i in range(60))
-    rows = [(1, base), (2, base.replace("word70", "other")), (3, base), (4, "é" + shared + " first own text"), (5, "totally different " + shared + " second é"),
-            (6, None), (7, ""), (None, "kept"), (None, None), (5, "totally different " + shared + " second é")]
+    own = [" ".join(f"own{k}x{i}" for i in range(120)) for k in range(2)]
+    rows = [(1, base), (2, base.replace("word70", "other")), (3, base), (4, "é" + shared + own[0]), (5, own[1] + shared + "é"),
+            (6, None), (7, ""), (None, "kept"), (None, None), (5, own[1] + shared + "é")]
     given = docs(rows).select("doc_id", "text", "lang", "source", "n_chars")
     kept = corpus_pipeline.near_copies(spark, given, SF)
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, i) for i in (1, 4, 5, 6)] + [(True, 0)] * 2
     cut = {r["doc_id"]: r for r in corpus_pipeline.passages(spark, kept, SF).collect() if r["doc_id"] is not None}
-    assert cut[1]["text"] == base and cut[4]["text"] == "é" + shared + " first own text"
-    assert cut[5]["text"] == "totally different" + "second é" and cut[5]["n_chars"] == len(cut[5]["text"]) or "shared30" not in cut[5]["text"]
+    assert cut[1]["text"] == base and cut[4]["text"] == "é" + shared + own[0]
+    assert cut[5]["text"] == own[1] + "é" and cut[5]["n_chars"] == len(own[1]) + 1
     assert cut[6]["text"] is None
 
 

@@ -46,7 +46,7 @@ def test_expectation_maximisation_tells_good_from_bad(docs, spark):
     names = [f"v_{r[0]}" for r in quality_rules.RULES]
     votes = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], ", ".join(f"{n} byte" for n in names))
     prior, rates = quality_rules.learn(votes, names, rounds=4)
-    p, q = quality_rules.PRIOR, {n: (quality_rules.RIGHT, 1 - quality_rules.RIGHT) for n in names}
+    p, q = quality_rules.PRIOR, {n: (quality_rules.GOOD, quality_rules.BAD) for n in names}
     for _ in range(4):
         post = []
         for r in rows:
@@ -57,8 +57,8 @@ def test_expectation_maximisation_tells_good_from_bad(docs, spark):
                     b *= q[n][1] if r[n] else 1 - q[n][1]
             post.append(a / (a + b))
         p = min(0.99, max(0.5, (sum(post) + 8.5) / (len(rows) + 10)))
-        q = {n: (min(0.995, max(0.55, (sum(x for x, r in zip(post, rows) if r[n] == 1) + 8) / (sum(x for x, r in zip(post, rows) if r[n] >= 0) + 10))),
-                 max(0.005, min(0.45, (sum(1 - x for x, r in zip(post, rows) if r[n] == 1) + 2) / (sum(1 - x for x, r in zip(post, rows) if r[n] >= 0) + 10)))) for n in names}
+        q = {n: (min(0.995, max(0.9, (sum(x for x, r in zip(post, rows) if r[n] == 1) + 9.7) / (sum(x for x, r in zip(post, rows) if r[n] >= 0) + 10))),
+                 max(0.005, min(0.85, (sum(1 - x for x, r in zip(post, rows) if r[n] == 1) + 8) / (sum(1 - x for x, r in zip(post, rows) if r[n] >= 0) + 10)))) for n in names}
     assert abs(p - prior) < 1e-9 and all(abs(a - b) < 1e-9 for n in names for a, b in zip(q[n], rates[n]))
 
 
