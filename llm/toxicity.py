@@ -281,7 +281,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def work(batch):
         use = shared.value
-        count = held.setdefault("counter", Counter(use.lexicon))
+        count = held.get("counter") or held.setdefault("counter", Counter(use.lexicon))
         found = [count.features(t) for t in batch.column(1).to_pylist()]
         columns = {n: pa.array([f[i] for f in found], pa.int64()) for i, n in enumerate(FEATURES)}
         return {"doc_id": batch.column(0), "score": pa.array([use.score(f) for f in found], pa.float64()), **columns}
