@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 from llm.common import documents, filesystem, shared_folder, store
 
-PACK, BUCKET, BLOCK, CROWD = 1 << 22, 1 << 23, 1 << 16, 20_000
+PACK, BUCKET, CROWD = 1 << 22, 1 << 22, 20_000
+#: Bits of a place in a block of a shard, and contexts of a block, which have fewer symbols than that.
+_PLACE, BLOCK = 21, 24_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LOW = 23  # bits of a place within a segment
 
@@ -179,9 +181,8 @@ class Job:
     gram: int
     buckets: int
 
-    def anchors(self, pack: Pack) -> tuple[Runs, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Runs, and of the distinct anchors: hashes by bucket, bucket, documents flag with context count,
-        and the place of each run's anchor among them."""
+    def anchors(self, pack: Pack) -> tuple[Runs, np.ndarray, np.ndarray, np.ndarray]:
+        """Runs, and of the distinct anchors: hashes by bucket, bucket, and the place of each run's anchor."""
         found = runs(pack.raw, pack.ends, self.length, self.gram)
         hashes, of = np.unique(found.anchor, return_inverse=True)
         bucket = (hashes % np.uint64(self.buckets)).astype(np.int64)
@@ -189,20 +190,23 @@ class Job:
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
         of = place[of.ravel()]
+        return found, hashes[order], bucket[order], of
+
+    def notes(self, pack: Pack, found: Runs, of: np.ndarray, n: int) -> np.ndarray:
+        """Per distinct anchor: the number of its contexts, and the highest bit if several documents have it."""
         ids = pack.ids[found.doc]
-        low, high = np.full(len(hashes), np.iinfo(np.int64).max), np.full(len(hashes), np.iinfo(np.int64).min)
+        low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
         np.minimum.at(low, of, ids)
         np.maximum.at(high, of, ids)
         by = np.lexsort((found.context, of))
         new = np.append(True, (np.diff(of[by]) != 0) | (found.context[by][1:] != found.context[by][:-1]))[: len(by)]
-        kinds = np.bincount(of[by][new], minlength=len(hashes))
-        note = np.minimum(kinds, 127).astype(np.uint8) | ((low != high).astype(np.uint8) << 7)
-        return found, hashes[order], bucket[order], note, of
+        kinds = np.bincount(of[by][new], minlength=n)
+        return np.minimum(kinds, 127).astype(np.uint8) | ((low != high).astype(np.uint8) << 7)
 
     def contexts(self, pack: Pack, answers: list) -> tuple:
         """Distinct contexts of shared anchors, by bucket: start, windows, least doc, bucket; and per run with
         windows to ask for: its first start, windows, document and place among the contexts."""
-        found, hashes, bucket, _, of = self.anchors(pack)
+        found, hashes, bucket, of = self.anchors(pack)
         shared, crowd = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
         begin = np.searchsorted(bucket, np.arange(self.buckets + 1))
         for b, bits in answers:
@@ -251,32 +255,33 @@ def sort_suffixes(codes: np.ndarray, depth: int) -> np.ndarray:
     Larsson-Sadakane: all suffixes are ranked by their first symbols; groups that still hold several are
     refined by the ranks ``known`` symbols on, which doubles what is known each time.
     """
-    n, key, known = len(codes), np.zeros(len(codes), np.int64), 7
+    n, known = len(codes), 4
+    if n > 1 << _PLACE:
+        raise ValueError("a block holds too many symbols")
+    # Groups, ranks and places share one integer, so that a plain sort of numbers orders all three.
+    place = (1 << _PLACE) - 1
+    key = np.zeros(n, np.int64)
+    ended = np.zeros(n, bool)  # within the known symbols: such a suffix is told from others already
     for k in range(known):
         key[: n - k] |= codes[k:].astype(np.int64) << (9 * (known - 1 - k))
-    order = np.argsort(key, kind="stable")
-    rank = np.empty(n, np.int64)
-    new = np.append(True, np.diff(key[order]) != 0)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    # A suffix that has ended is told from others by what it was.
-    ended = np.zeros(n, bool)
-    for k in range(known):
         ended[: n - k] |= codes[k:] == 0
     ended[n - known:] = True
+    packed = np.sort(key << _PLACE | np.arange(n))
+    order = packed & place
+    new = np.append(True, np.diff(packed >> _PLACE) != 0)[:n]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     while known < depth:
         several = ~(new & np.append(new[1:], True))  # by place in the order
-        at = np.flatnonzero(several & ~ended[order])
+        at = np.flatnonzero(several & ~ended[order])  # a group is ended as a whole or not at all
         if not len(at):
             break
         suffix = order[at]
-        group, after = rank[suffix], rank[np.minimum(suffix + known, n - 1)]
-        by = np.lexsort((after, group))
-        places = at  # a group is ended as a whole or not at all
-        order[places] = suffix = suffix[by]
-        group, after = group[by], after[by]
-        fresh = np.append(True, (np.diff(group) != 0) | (np.diff(after) != 0))
-        new[places] |= fresh
-        rank[suffix] = np.maximum.accumulate(np.where(fresh, places, 0))
+        packed = np.sort(rank[suffix] << 2 * _PLACE | rank[np.minimum(suffix + known, n - 1)] << _PLACE | suffix)
+        order[at] = suffix = packed & place
+        fresh = np.append(True, np.diff(packed >> _PLACE) != 0)
+        new[at] |= fresh
+        rank[suffix] = np.maximum.accumulate(np.where(fresh, at, 0))
         ended[:-known] |= ended[known:].copy()
         known *= 2
     return order
@@ -480,7 +485,8 @@ def deduplicated(docs: DataFrame, length: int = 50, gram: int = 24, pack_bytes:
     dealt = packs.repartition(tasks, "pack")
 
     def name(pack: Pack, row: dict):
-        _, hashes, bucket, note, _ = job.anchors(pack)
+        found, hashes, bucket, of = job.anchors(pack)
+        note = job.notes(pack, found, of, len(hashes))
         cut = np.flatnonzero(np.diff(bucket, prepend=-1))
         bodies = [_zip(hashes[a:b].astype("<u8").tobytes() + note[a:b].tobytes()) for a, b in zip(cut, [*cut[1:], len(bucket)])]
         return [pa.array(bucket[cut], pa.int32()), pa.array([row["pack"]] * len(cut), pa.int64()), pa.array(bodies, pa.binary())]
