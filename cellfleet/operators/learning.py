@@ -433,12 +433,14 @@ def fit_censored(df: DataFrame, z: Sequence[str], alphas: Sequence[float] = ALPH
     spark, k = df.sparkSession, len(z)
     unc = df.where(F.col("censored") == 0).withColumn("horizon", F.lit(0))
     blocks = moments(gram(unc, z, "rul_days"), k).get((0,), {})
-    keep = ["family", KEY, "reference_day", "rul_lower_bound_days", "n_censored_rows", *z]
+    keep = ["family", KEY, "reference_day", "rul_lower_bound_days", *z]
+    rows = df.where(F.col("censored") == 1).select(*keep)
+    # Weights count the rows that are here: the anchors may have been filtered since they were cut.
+    counts = cut(rows.groupBy("family", KEY).agg(F.count("*").alias("n_censored_rows")))
     # Read once per round: the narrow censored rows are kept, not their lineage.
-    cen = cut(df.where(F.col("censored") == 1).select(*keep))
-    counts = cen.groupBy("family", KEY).agg(F.count("*").alias("_n"))
+    cen = cut(rows.join(counts, ["family", KEY]))
     per_family = collect_bounded(
-        counts.groupBy("family").agg(F.count("*").alias("m"), F.sum("_n").alias("n")), MAX_FAMILIES, "families"
+        counts.groupBy("family").agg(F.count("*").alias("m"), F.sum("n_censored_rows").alias("n")), MAX_FAMILIES, "families"
     )
     n_traj = {r["family"]: r["m"] for r in per_family}
     n_cen = {r["family"]: r["n"] for r in per_family}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 
@@ -41,4 +42,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     if not sc.master.startswith("local"):
         raise RuntimeError(f"{CHECKPOINT_KEY} must name a shared folder on a cluster")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
+    folder = tempfile.TemporaryDirectory(prefix="spark-ckpt-", dir="/tmp")
+    atexit.register(folder.cleanup)
+    sc.setCheckpointDir(folder.name)
