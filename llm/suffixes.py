@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 
 from llm.common import documents, filesystem, shared_folder, store
 
-PACK, BUCKET, CROWD = 1 << 22, 1 << 22, 20_000
+PACK, BUCKET, CROWD = 1 << 21, 1 << 22, 20_000
 #: Bits of a place in a block of a shard, and contexts of a block, which have fewer symbols than that.
 _PLACE, BLOCK = 21, 24_000
 _BASE = 0x9E3779B97F4A7C15 | 1
-_LOW = 23  # bits of a place within a segment
+_LOW = 21  # bits of a place within a segment
 
 
 @lru_cache(maxsize=1)
