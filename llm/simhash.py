@@ -7,6 +7,8 @@ chains prune them before the full distance is taken.
 
 Equal fingerprints are one node from the start. Tasks hand on spanning links of what they found, never
 all pairs; ``graph.components`` joins these up.
+
+``alike`` decides by the shingle sets themselves: fingerprints only choose the pairs whose sets are compared.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from llm.common import by_batch, documents, store
@@ -30,6 +32,8 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 #: Pairs that a task looks at together, rows of a block, and rows that a task should get.
 PAIRS, BLOCK, ROWS = 1 << 20, 1 << 15, 1 << 17
+#: Bytes of shingle sets that weigh as much as one row of a block, and rows by rows that are compared at once.
+UNIT, TILE = 1 << 10, (64, 4096)
 
 
 @dataclass(frozen=True)
@@ -194,19 +198,21 @@ def _search(cells: DataFrame, ring: Ring, deep: bool) -> DataFrame:
     return cells.mapInArrow(run, "u binary, v binary")
 
 
-def _blocks(cells: DataFrame) -> DataFrame:
+def _blocks(cells: DataFrame, weight: Column | None = None, node: str = "fp") -> DataFrame:
     """Cells of more than BLOCK rows as pairs of blocks, so that each pair of rows meets in some part.
 
     The part of a pair of blocks a <= b holds both. The table of large cells has at most rows / BLOCK rows.
+    weight: what a row counts instead of 1.
     """
-    large = cells.groupBy("seg", "cell").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    large = cells.groupBy("seg", "cell").agg((F.count("*") if weight is None else F.sum(weight)).alias("n")).where(F.col("n") > BLOCK)
+    names = [c for c in cells.columns if c not in ("seg", "cell")]
     cells = cells.join(large, ["seg", "cell"], "left")
     k = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("fp"), k).cast("int")
+    own = F.pmod(F.xxhash64(node), k).cast("int")
     many = F.transform(F.sequence(F.lit(0), k - 1), lambda o: F.least(o, F.col("own")) * k + F.greatest(o, F.col("own")))
     cells = cells.select("*", own.alias("own"))
     part = F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(many))
-    return cells.select("seg", "cell", part.alias("part"), "side", "fp")
+    return cells.select("seg", "cell", part.alias("part"), *names)
 
 
 def links(prints: DataFrame, ring: Ring) -> DataFrame:
@@ -249,3 +255,117 @@ def groups(docs: DataFrame, shingle: int = 4, words: int = 1, segments: int = 5,
     merged = known.groupBy("root").agg(F.min("least").alias("component_id"))
     known = known.join(merged, "root").select("fp", "component_id")
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
+
+
+def shingle_sets(docs: DataFrame, shingle: int, words: int, whole: bool = False) -> DataFrame:
+    """doc_id, key (digest of the set of shingle hashes), fp (of the set), size; whole: the sorted set, too."""
+
+    def work(batch):
+        sets = [np.unique(shingle_hashes(t, shingle)).astype("<u8") for t in batch.column(1).to_pylist()]
+        out = {"doc_id": batch.column(0), "key": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+               "fp": pa.array([fingerprint(s, words).astype(">u8").tobytes() for s in sets], pa.binary()),
+               "size": pa.array([len(s) for s in sets], pa.int64())}
+        return out | ({"set": pa.array([s.tobytes() for s in sets], pa.binary())} if whole else {})
+
+    return by_batch(documents(docs), work, "doc_id long, key binary, fp binary, size long" + ", set binary" * whole)
+
+
+def _tiles(prints: np.ndarray, size: np.ndarray, side: np.ndarray, limit: int):
+    """(askers, others, hits) by tiles; rows are sorted by size, and each pair is looked at from its first row.
+
+    A pair hits within ``limit`` bits if the smaller set has 0.8 of the larger one's size or more. Rows of
+    side 1 are larger than those of side 0 and do not ask.
+    """
+    ask = np.flatnonzero(side == 0)
+    reach = np.searchsorted(4 * size, 5 * size[ask], "right")
+    for at in range(0, len(ask), TILE[0]):
+        a = ask[at:at + TILE[0]]
+        end = int(reach[at:at + TILE[0]].max(initial=0))
+        for b in range(int(a[0]) + 1, end, TILE[1]):
+            b = np.arange(b, min(b + TILE[1], end))
+            bits = np.zeros((len(a), len(b)), np.uint16)
+            for w in range(prints.shape[1]):
+                bits += np.bitwise_count(prints[a, w][:, None] ^ prints[b, w])
+            hits = (bits <= limit) & (b > a[:, None]) & (b < reach[at:at + TILE[0], None])
+            if hits.any():
+                yield a, b, hits
+
+
+def _sharing(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of some sets have a Jaccard coefficient of 0.8 or more with one; all sorted, none empty."""
+    sizes = np.array([len(o) for o in others])
+    every = np.concatenate(others)
+    at = np.searchsorted(own, every)
+    at[at == len(own)] = 0
+    both = np.add.reduceat((own[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+    return 5 * both >= 4 * (len(own) + sizes - both)
+
+
+def _meet(nodes: DataFrame, words: int, limit: int, whole: bool) -> DataFrame:
+    """Keys of the nodes that have a near fingerprint; whole: links (u, v) between sets 0.8 alike or more.
+
+    Each node meets those of its size band and the next: a band is a factor 1.25 of ``size``, and sets whose
+    sizes differ by more are less than 0.8 alike.
+    """
+    names = ["side", "key", "fp", "size", *["set"] * whole]
+    band = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / math.log(1.25)).cast("long")
+    cells = nodes.withColumn("band", band).select("*", F.inline(F.array(
+        F.struct(F.col("band").alias("cell"), F.lit(0).alias("side")),
+        F.struct((F.col("band") - 1).alias("cell"), F.lit(1).alias("side")))))
+    cells = cells.select(F.lit(0).alias("seg"), "cell", *names)
+    weight = F.greatest(F.lit(1.0), F.col("size") * 8 / UNIT) if whole else F.lit(1.0)
+    n = cells.agg(F.sum(weight)).first()[0] or 0
+
+    def run(batches):
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts)
+        _, group = np.unique(np.stack([t.column(c).to_numpy() for c in ("cell", "part")], 1), axis=0, return_inverse=True)
+        size, side = t.column("size").to_numpy(), t.column("side").to_numpy()
+        order = np.lexsort((size, group.ravel()))
+        for rows in np.split(order, np.flatnonzero(np.diff(group.ravel()[order])) + 1):
+            own = t.take(pa.array(rows))
+            tiles = _tiles(_numbers(own.column("fp"), words), size[rows], side[rows], limit)
+            key = own.column("key").combine_chunks()
+            if not whole:
+                near = np.zeros(len(rows), bool)
+                for a, b, hits in tiles:
+                    near[a] |= hits.any(1)
+                    near[b] |= hits.any(0)
+                yield pa.RecordBatch.from_arrays([key.filter(pa.array(near))], ["key"])
+                continue
+            label = np.arange(len(rows))
+            sets = [np.frombuffer(v, "<u8") for v in own.column("set").to_pylist()]
+            for a, b, hits in tiles:
+                for i in np.flatnonzero(hits.any(1)):
+                    others = b[hits[i]]
+                    others = others[label[others] != label[a[i]]]
+                    if len(others):
+                        others = others[_sharing(sets[a[i]], [sets[o] for o in others])]
+                        _merge(label, np.full(len(others), a[i]), others)
+            moved = np.flatnonzero(label != np.arange(len(rows)))
+            yield pa.RecordBatch.from_arrays([key.take(pa.array(moved)), key.take(pa.array(label[moved]))], ["u", "v"])
+
+    spread = _spread(_blocks(cells, weight, "key"), ["seg", "cell", "part"], n)
+    return spread.mapInArrow(run, "u binary, v binary" if whole else "key binary")
+
+
+def alike(docs: DataFrame, shingle: int = 5, words: int = 4, limit: int = 72) -> DataFrame:
+    """doc_id, key, component_id: the least doc_id reachable over shingle sets with a Jaccard of 0.8 or more.
+
+    Sets are compared in whole if their fingerprints are ``limit`` bits apart or less. Of 256 bits, sets 0.8
+    alike differ in 39 on average with a standard deviation of 5.7, in 48 and 6.2 for the worst (4 of 5
+    shingles), so that 72 miss fewer than one pair in ten thousand. Equal sets are one node, among them those
+    of all texts without words. Null text is empty; rows with a null id are left out.
+    """
+    known = store(shingle_sets(docs, shingle, words), "prints")
+    nodes = store(known.groupBy("key", "fp", "size").agg(F.min("doc_id").alias("least")), "nodes")
+    near = nodes.join(_meet(nodes, words, limit, False).distinct(), "key")
+    # Few texts have a near fingerprint; only their sets are made again, in whole, and moved.
+    given = docs.join(near.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = shingle_sets(given, shingle, words, whole=True).join(near.select("key", F.col("least").alias("doc_id")), ["key", "doc_id"], "left_semi")
+    roots = components(_meet(store(sets, "sets"), words, limit, True))
+    named = nodes.join(roots, nodes["key"] == roots["u"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return known.select("doc_id", "key").join(named.join(least, "root").select("key", "component_id"), "key").select("doc_id", "key", "component_id")

@@ -92,6 +92,42 @@ def test_near_copies_meet_in_size_bands(docs):
     assert all(found[c + 1] == c for c in copies)
 
 
+def shared(common, own, name):
+    """Two texts of which ``common`` five-word shingles are in both and ``own`` in each only."""
+    a = [f"{name}w{i}" for i in range(common + 4)]
+    return " ".join(a + [f"{name}x{i}" for i in range(own)]), " ".join(a + [f"{name}y{i}" for i in range(own)])
+
+
+@pytest.mark.parametrize("block", [1 << 15, 8])
+def test_copies_are_those_whose_sets_are_eight_tenths_alike(docs, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rows, want, at = [], {}, 0
+    for k in range(20):
+        # Jaccard 70/100, 78/100, 80/100, 85/101 and 4/5; the last is of five shingles and four of them.
+        for common, own in ((140, 30), (156, 22), (160, 20), (170, 15)):
+            for t in shared(common, own, f"{k}n{common}"):
+                rows.append((at, t))
+                want[at] = at - (at % 2 if common >= 160 else 0)
+                at += 1
+        few = [f"{k}few{i}" for i in range(9)]
+        rows += [(at, " ".join(few)), (at + 1, " ".join(few[:-1]))]
+        want |= {at: at, at + 1: at}
+        at += 2
+    # Two texts of other sets that share one passage many times over are no copies.
+    passage = " ".join(f"p{i}" for i in range(20)) + " "
+    for k in range(2):
+        rows.append((at + k, passage * 60 + shared(100, 20, f"rep{k}")[0]))
+        want[at + k] = at + k
+    got = {r["doc_id"]: r["component_id"] for r in simhash.alike(docs(rows)).collect()}
+    assert got == want
+    old = {x["doc_id"]: x["component_id"] for x in simhash.groups(docs(rows[-2:]), shingle=5, words=4, segments=16, limit=46).collect()}
+    assert old[at + 1] == at, "fingerprints alone link the last two"
+
+
+def test_alike_without_rows(spark):
+    assert simhash.alike(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_components(spark):
     r = random.Random(1)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(200 + r.randrange(80), 200 + r.randrange(80)) for _ in range(60)] + [(5, 5)]
