@@ -96,6 +96,16 @@ def test_quotation_marks_count_within_a_line():
     assert f("zidiott x zidiot")["close"] == 1 and f("zidiott " + "x " * 20 + "zidiott")["close"] == 0
 
 
+def test_all_of_a_text_without_spaces_gives_shapes():
+    r = random.Random(3)
+    # Two kinds of one-word texts whose first 64 characters look alike: their ends have other shapes.
+    def text(good):
+        return "".join(r.choice("abcdefgh") for _ in range(128)) + ("x1" if good else "Y?") * 200
+    labels = np.array([i % 2 for i in range(80)])
+    model = nbsvm.fit_rows([nbsvm.indicators(text(g)) for g in labels], labels)
+    assert all((model.score(text(i % 2)) >= 0.5) == bool(i % 2) for i in range(40))
+
+
 def test_dual_coordinate_descent_reaches_the_optimum():
     r = np.random.default_rng(4)
     rows = [np.sort(r.choice(12, 4, replace=False)) for _ in range(60)]
