@@ -23,29 +23,35 @@ from llm.tokens import Table
 
 #: Bounds of the lexicon, of the words cleared of suspicion, and of automaton states kept.
 TERMS, CLEARED, STATES = 1_000, 20_000, 100_000
-STEM, CONTEXT, CAP = (4, 8), 10, 6
-_WORD = re.compile(r"[^\W\d_]+(?:[^\W_]|['’@$*!|](?=[^\W\d_]))*|[\"“”„«»]|\n")
+LEAST, STEM, CONTEXT, CAP = 2, (4, 8), 10, 6
+# A digit or sign may stand for a word's first letter.
+_WORD = re.compile(r"(?:[^\W\d_]|(?<![^\W_])[\d@$*!|](?=[^\W\d_]))(?:[^\W_]|['’@$*!|](?=[^\W\d_]))*|[\"“”„«»]|\n")
 _QUOTES = set("\"“”„«»")
 #: Counts that the model weighs: plain and misspelt matches, both within quotation marks, and neighbours.
 FEATURES = ("exact", "near", "quoted_exact", "quoted_near", "close", "likely")
 #: What a word may be.
 NONE, EXACT, NEAR, LIKELY, QUOTE, LINE = range(6)
+#: A misspelt likely term; it counts as likely.
+FAINT = 6
+_RANK = {kind: i for i, kind in enumerate((NONE, FAINT, NEAR, LIKELY, EXACT))}
 
 
 def allowed(term: str) -> int:
-    """Errors that a term may be misspelt with after its first letter: short terms none, long ones two."""
+    """Errors that a term may be misspelt with: short terms none, long ones two."""
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
 @dataclass
 class Lexicon:
-    """words match whole words, stems match beginnings; likely terms are the weaker of both and take no
-    errors; cleared are words of clean documents, which are no misspelt terms."""
+    """words match whole words, stems match beginnings, both with the errors of their length; likely terms
+    are the weaker of both; cleared are words of clean documents, which are no misspelt terms; first: errors
+    may be at the first letter, too."""
 
     words: list[str]
     stems: list[str]
     likely: frozenset[str] = frozenset()
     cleared: frozenset[str] = frozenset()
+    first: bool = False
     trie: list[dict[str, int]] = field(default_factory=list)
     limit: list[int] = field(default_factory=list)  # most errors that any term below a node allows
     word_at: dict[int, int] = field(default_factory=dict)  # node -> errors allowed
@@ -54,11 +60,8 @@ class Lexicon:
     def __post_init__(self) -> None:
         self.trie, self.limit = [{}], [0]
         self.weak: set[int] = set()
-        stems = tuple(self.stems)
-        terms = [*((w, self.word_at, 0 if w in self.likely or w.startswith(stems) else allowed(w)) for w in self.words),
-                 *((s, self.stem_at, 0) for s in stems)]
-        for term, ends, errors in terms:
-            node = 0
+        for term, ends in [*((w, self.word_at) for w in self.words), *((s, self.stem_at) for s in self.stems)]:
+            node, errors = 0, allowed(term)
             self.limit[0] = max(self.limit[0], errors)
             for c in term:
                 if (after := self.trie[node].get(c)) is None:
@@ -78,13 +81,13 @@ class Lexicon:
         self.ends: list[int] = []  # what a word is that ends in the state
         self.begun: list[int] = []  # what a stem is that ends in the state
         self.steps: dict[tuple[int, str], int] = {}
-        self.first = self.state({0: 0})
+        self.root = self.state({0: 0})
 
     def __getstate__(self) -> tuple:
-        return self.words, self.stems, self.likely, self.cleared
+        return self.words, self.stems, self.likely, self.cleared, self.first
 
     def __setstate__(self, state: tuple) -> None:
-        self.words, self.stems, self.likely, self.cleared = state
+        self.words, self.stems, self.likely, self.cleared, self.first = state
         self.word_at, self.stem_at = {}, {}
         self.__post_init__()
 
@@ -92,7 +95,7 @@ class Lexicon:
         """The number of a set of nodes with errors, after adding what skipped letters of terms reach."""
         todo = list(reach)
         while todo:
-            if not (node := todo.pop()):
+            if not (node := todo.pop()) and not self.first:
                 continue
             for after in self.trie[node].values():
                 errors = reach[node] + 1
@@ -103,17 +106,16 @@ class Lexicon:
         if key not in self.states:
             self.states[key] = len(self.sets)
             self.sets.append(key)
-            ends = [NEAR if e else LIKELY if n in self.weak else EXACT for n, e in key if n in self.word_at and e <= self.word_at[n]]
-            self.ends.append(EXACT if EXACT in ends else LIKELY if LIKELY in ends else NEAR if ends else NONE)
-            begun = [n for n, e in key if e == 0 and n in self.stem_at]
-            self.begun.append(NONE if not begun else LIKELY if begun[0] in self.weak else EXACT)
+            for kinds, at in ((self.ends, self.word_at), (self.begun, self.stem_at)):
+                ends = [(FAINT if e else LIKELY) if n in self.weak else NEAR if e else EXACT for n, e in key if e <= at.get(n, -1)]
+                kinds.append(max(ends, key=_RANK.get, default=NONE))
         return self.states[key]
 
     def step(self, at: int, c: str) -> int:
         reach: dict[int, int] = {}
         for node, errors in self.sets[at]:
             more = errors + 1
-            if not node:
+            if not node and not self.first:
                 if c in self.trie[0]:
                     reach[self.trie[0][c]] = errors
                 continue
@@ -125,24 +127,26 @@ class Lexicon:
                     reach[after] = min(e, reach.get(after, 99))
         return self.state(reach)
 
-    def match(self, word: str) -> int:
-        """What a lower-cased word is: EXACT, LIKELY, NEAR or NONE."""
+    def kind(self, word: str) -> int:
+        """What a lower-cased word is by its letters alone: EXACT, LIKELY, NEAR, FAINT or NONE."""
         if len(self.sets) > STATES:
             self.start()
-        at, begun = self.first, NONE
+        at, found = self.root, NONE
         for c in word:
             if (to := self.steps.get((at, c))) is None:
                 to = self.steps[at, c] = self.step(at, c)
             at = to
-            if self.begun[at] == EXACT:
-                return EXACT
-            begun = begun or self.begun[at]
-            if not self.sets[at]:
-                return begun
-        end = self.ends[at]
-        if end == NEAR and word in self.cleared:
-            end = NONE
-        return end if end == EXACT else begun or end
+            found = max(found, self.begun[at], key=_RANK.get)
+            if found == EXACT or not self.sets[at]:
+                return found
+        return max(found, self.ends[at], key=_RANK.get)
+
+    def match(self, word: str) -> int:
+        """What a lower-cased word is: EXACT, LIKELY, NEAR or NONE."""
+        found = self.kind(word)
+        if found in (NEAR, FAINT) and word in self.cleared:
+            return NONE
+        return LIKELY if found == FAINT else found
 
 
 class Counter:
@@ -155,7 +159,11 @@ class Counter:
     def _kind(self, word: str) -> int:
         if word in _QUOTES:
             return QUOTE
-        return LINE if word == "\n" else self.lexicon.match(word.lower())
+        if word == "\n":
+            return LINE
+        word = word.lower()
+        # A leading digit or sign stands before a word, or for its first letter.
+        return (NONE if word[0].isalpha() else self.lexicon.match(word[1:])) or self.lexicon.match(word)
 
     def features(self, text: str) -> list[int]:
         kinds = np.array(list(map(self.table.__getitem__, _WORD.findall(text))), np.int8)
@@ -175,16 +183,17 @@ class Counter:
                 int((~exact & quoted).sum()), int(close.sum()), likely]
 
 
-def learn_lexicon(rows: DataFrame, least: int = 5, odds: float = 20.0, sure: float = 100.0) -> Lexicon:
+def learn_lexicon(rows: DataFrame, least: int = 5, odds: float = 20.0, sure: float = 100.0,
+                  clear: float = 3.0) -> Lexicon:
     """Terms from text and label (0 or 1) of a bounded sample.
 
     A word or stem (a word's first 4 to 8 letters) is a term if at least ``least`` toxic documents have it
     and its share among toxic documents is ``odds`` times that among clean ones; with less than ``sure``
-    times it is only likely. Words of clean documents within the errors of a term are cleared. All lists
-    are bounded, the most frequent first.
+    times it is only likely. Words of clean documents within the errors of a term are cleared if their share
+    among toxic documents is less than ``clear`` times that among clean ones. All lists are bounded, the most
+    frequent first.
     """
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) >= STEM[0]))
-    each = rows.select("label", F.explode(words).alias("w"))
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) >= LEAST))
     starts = F.transform(F.sequence(F.lit(STEM[0]), F.lit(STEM[1])), lambda n: F.struct(
         F.substring("w", 1, STEM[1]).substr(F.lit(1), n).alias("t"), (F.length("w") > n).alias("ok")))
     per_doc = rows.select(F.monotonically_increasing_id().alias("d"), "label", F.explode(words).alias("w"))
@@ -199,24 +208,24 @@ def learn_lexicon(rows: DataFrame, least: int = 5, odds: float = 20.0, sure: flo
     ratio = (F.col("a") / toxic) / ((F.col("b") + 0.5) / clean)
     strong = counts.where(F.col("a") >= least).select("t", "a", ratio.alias("r")).where(F.col("r") >= odds)
     found = strong.orderBy(F.desc("a"), "t").limit(TERMS * 8).collect()
-    # Of stems that begin with one another the shortest holds, sure ones first; so do stems for their words.
-    # A stem of a single word is left to that word, which may be misspelt.
+    # Of stems that begin with one another the shortest holds, sure ones first. Words stay beside their stems,
+    # as they may be misspelt in more letters. A stem of a single word is left to that word.
     words_ = [(r["t"], r["r"] >= sure) for r in found if not r["t"].endswith("*")]
     stems: dict[str, bool] = {}
     for stem, certain in sorted(((r["t"][:-1], r["r"] >= sure) for r in found if r["t"].endswith("*")), key=lambda x: (not x[1], len(x[0]), x[0])):
         if sum(w.startswith(stem) for w, _ in words_) != 1 and not any(stem.startswith(s) for s in stems):
             stems[stem] = certain
-    kept = {w: certain for w, certain in words_ if not any(w.startswith(s) and stems[s] >= certain for s in stems)}
-    terms_ = [dict(sorted(kept.items(), key=lambda x: not x[1])[:TERMS]), dict(list(stems.items())[:TERMS])]
+    terms_ = [dict(sorted(words_, key=lambda x: not x[1])[:TERMS]), dict(list(stems.items())[:TERMS])]
     weak = frozenset(t for d in terms_ for t, certain in d.items() if not certain)
-    lexicon = Lexicon(sorted(terms_[0]), sorted(terms_[1]), weak)
+    lexicon = Lexicon(sorted(terms_[0]), sorted(terms_[1]), weak, first=True)
 
     def near(batch):
-        return {"w": pa.array([w for w in batch.column(1).to_pylist() if lexicon.match(w) == NEAR], pa.string())}
+        found = pa.array([lexicon.kind(w) in (NEAR, FAINT) for w in batch.column(0).to_pylist()], pa.bool_())
+        return {"w": batch.column(0).filter(found), "b": batch.column(1).filter(found)}
 
-    seen = by_batch(each.where("label = 0"), near, "w string").groupBy("w").count()
-    cleared = [r["w"] for r in seen.orderBy(F.desc("count"), "w").limit(CLEARED).collect()]
-    return Lexicon(lexicon.words, lexicon.stems, weak, frozenset(cleared))
+    seen = counts.where("b > 0 AND NOT endswith(t, '*')").where((F.col("a") / toxic) < clear * (F.col("b") / clean))
+    cleared = by_batch(seen.select("t", "b"), near, "w string, b long").orderBy(F.desc("b"), "w").limit(CLEARED).collect()
+    return Lexicon(lexicon.words, lexicon.stems, weak, frozenset(r["w"] for r in cleared), True)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.01) -> np.ndarray:

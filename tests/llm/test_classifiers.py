@@ -88,6 +88,34 @@ def test_automaton_is_edit_distance_after_the_first_letter():
         assert lexicon.match(word) == want, word
 
 
+def test_automaton_of_learnt_terms_is_edit_distance():
+    r = random.Random(5)
+    words, stems, likely = ["abca", "abcab", "bcacbab", "cabbacabc"], ["cbabc", "accbcb"], frozenset({"bcacbab"})
+    lexicon = toxicity.Lexicon(words, stems, likely, frozenset({"abcbb"}), first=True)
+    for _ in range(4000):
+        word = "".join(r.choice("abc") for _ in range(r.randint(1, 11)))
+        heads = [word[:n] for n in range(1, len(word) + 1)]
+        errors = [(distance(t, word), t) for t in words] + [(min(distance(t, h) for h in heads), t) for t in stems]
+        met = [(e, t in likely) for e, t in errors if e <= toxicity.allowed(t)]
+        want = (toxicity.EXACT if (0, False) in met else toxicity.LIKELY if (0, True) in met else toxicity.NONE if word in lexicon.cleared
+                else toxicity.NEAR if any(not weak for _, weak in met) else toxicity.LIKELY if met else toxicity.NONE)
+        assert lexicon.match(word) == want, word
+
+
+def test_learnt_terms_are_found_misspelt_within_stems_and_at_the_first_letter(spark):
+    r = random.Random(6)
+    rows = [(" ".join(r.choice(WORDS) for _ in range(30)) + (f" {r.choice(['zidiott', 'zidiotts', 'gax'])}" if i % 3 == 0 else " zigiott" if i == 1 else ""), int(i % 3 == 0)) for i in range(600)]
+    rows += [("ziditt the", 1)] * 20 + [("ziditt on", 0)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, label int"))
+    f = lambda t: dict(zip(toxicity.FEATURES, toxicity.Counter(lexicon).features(t)))
+    for text in ("zdiott", "zidxotts", "sidiott", "idiotts", "2idiott", "$idiotts"):
+        found = f(f"the {text} on")
+        assert found["near"] + found["exact"] + found["likely"] == 1, text
+    assert f("*zidiott* 3zidiotts !!zidiott")["exact"] == 3 and f("gax")["exact"] + f("gax")["likely"] == 1
+    assert sum(f("zigiott").values()) == 0, "a word of clean documents only"
+    assert sum(f("ziditt").values()) == 1, "once in a clean document, often in toxic ones"
+
+
 def test_quotation_marks_count_within_a_line():
     lexicon = toxicity.Lexicon(["zidiott"], [])
     f = lambda t: dict(zip(toxicity.FEATURES, toxicity.Counter(lexicon).features(t)))
