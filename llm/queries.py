@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from llm import huffman, nbsvm, nearest, packing, pieces, quality_rules, simhash, suffixes, toxicity, warc
+from llm import huffman, nbsvm, nearest, packing, pieces, quality_rules, simhash, suffixes, superkmers, toxicity, warc
 from llm.common import held_out, table
 
 
@@ -70,6 +70,34 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "base_failed", "kept", F.round("quality", 6).alias("quality"))
 
 
+def op12_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of ``documents`` outside windows of 13 that a smaller doc_id has; rows without an id are left out."""
+    found = superkmers.deduplicated(table(spark, sf_dir, "documents"), window=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_nearest, op2_packing, op3_quality, op4_huffman, op5_pieces, op6_simhash, op7_suffixes, op8_toxicity, op9_warc, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+    op1_nearest, op2_packing, op3_quality, op4_huffman, op5_pieces, op6_simhash, op7_suffixes, op8_toxicity, op9_warc, op10_quality_rules,
+    op12_superkmers)}
+ORACLES: dict[str, str] = {
+    "op12_superkmers": r"""
+WITH docs AS (
+  SELECT doc_id::BIGINT AS doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents WHERE doc_id IS NOT NULL
+), word AS (
+  SELECT doc_id, r, unnest(words) AS word, unnest(range(len(words))) AS i, len(words) AS n, words FROM docs
+), win AS (
+  SELECT doc_id, r, i, word, CASE WHEN i + 13 <= n THEN array_to_string(list_slice(words, i + 1, i + 13), ' ') END AS win FROM word
+), least AS (
+  SELECT win, min(doc_id) AS first FROM win WHERE win IS NOT NULL GROUP BY win
+), marked AS (
+  SELECT w.*, max(CASE WHEN first < doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone
+  FROM win w LEFT JOIN least USING (win)
+), kept AS (
+  SELECT r, count(*) AS n_words, count(CASE WHEN gone = 1 THEN 1 END) AS n_removed,
+         string_agg(CASE WHEN gone = 0 THEN word END, ' ' ORDER BY i) AS kept
+  FROM marked GROUP BY r
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)""",
+}
