@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from llm.common import ROWS, documents
 
-WINDOW, GRAM = 13, 4
+WINDOW, GRAM = 13, 3
 #: Bytes of text that a task cuts at once, and bytes of strings of one bucket; a cluster may raise both.
-CHUNK, BUCKET = 8 << 20, 4 << 20
+CHUNK, BUCKET = 8 << 20, 16 << 20
 
 _GAP = re.compile(rb"[ \t-\r]")
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -174,7 +174,7 @@ def _sizes(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _pack(parts: list) -> bytes:
-    return zstandard.compress(b"".join(p if isinstance(p, bytes) else p.tobytes() for p in parts), 1)
+    return zstandard.compress(b"".join(p if isinstance(p, bytes) else p.tobytes() for p in parts), 6)
 
 
 def _dealt(docs: DataFrame, window: int, buckets: int, hot: np.ndarray) -> DataFrame:
@@ -269,7 +269,7 @@ def _spans(table: pa.Table, window: int) -> pa.Table:
 def _kept(batch: pa.RecordBatch, window: int) -> dict[str, list]:
     out: dict[str, list] = {"doc_id": batch.column(0).to_pylist(), "n_words": [], "n_removed": [], "kept": []}
     for text, runs in zip(batch.column(1).to_pylist(), batch.column(2)):
-        words = text.split()
+        words = zstandard.decompress(text).split()
         lost = 0
         if runs.is_valid:
             at, n = (runs.values.field(i).to_numpy() for i in range(2))
@@ -283,6 +283,19 @@ def _kept(batch: pa.RecordBatch, window: int) -> dict[str, list]:
     return out
 
 
+def _shrunk(rows: DataFrame) -> DataFrame:
+    """The rows with compressed texts, as the join that cuts them moves all texts."""
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                texts = pa.array([zstandard.compress(t, 6) for t in part.column(2).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts], ["doc_id", "row", "text"])
+
+    return rows.mapInArrow(run, "doc_id long, row long, text binary")
+
+
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept (words joined by one space) of each row with a doc_id.
 
@@ -302,7 +315,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     runs = packs.groupBy("bucket").applyInArrow(lambda t: _spans(t, window), "doc_id long, row long, at long, n long")
     # A set: rows repeated in other chunks give the same runs again.
     runs = runs.groupBy("doc_id", "row").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
-    both = rows.join(runs, ["doc_id", "row"], "left").select("doc_id", "text", "runs")
+    both = _shrunk(rows).join(runs, ["doc_id", "row"], "left").select("doc_id", "text", "runs")
 
     def run(batches):
         for batch in batches:
