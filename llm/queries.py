@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from llm import huffman, nbsvm, nearest, packing, pieces, quality_rules, simhash, suffixes, superkmers, toxicity, warc
+from llm import alignment, huffman, nbsvm, nearest, packing, pieces, quality_rules, simhash, suffixes, superkmers, toxicity, warc
 from llm.common import held_out, table
 
 
@@ -70,6 +70,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "base_failed", "kept", F.round("quality", 6).alias("quality"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned groups and links of two tokenizers over ``documents``; rows without an id are left out."""
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    found = alignment.aligned(table(spark, sf_dir, "documents"), a, b)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op12_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of ``documents`` outside windows of 13 that a smaller doc_id has; rows without an id are left out."""
     found = superkmers.deduplicated(table(spark, sf_dir, "documents"), window=13)
@@ -78,7 +85,7 @@ def op12_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_nearest, op2_packing, op3_quality, op4_huffman, op5_pieces, op6_simhash, op7_suffixes, op8_toxicity, op9_warc, op10_quality_rules,
-    op12_superkmers)}
+    op11_alignment, op12_superkmers)}
 ORACLES: dict[str, str] = {
     "op12_superkmers": r"""
 WITH docs AS (
