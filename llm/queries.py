@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from llm import alignment, huffman, nbsvm, nearest, packing, pieces, quality_rules, simhash, suffixes, superkmers, toxicity, warc
+from llm import alignment, huffman, nbsvm, nearest, packing, pieces, prefix_trie, quality_rules, simhash, suffixes, superkmers, toxicity, warc
 from llm.common import held_out, table
 
 
@@ -83,9 +83,14 @@ def op12_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all rebuilt ``conversations``; rows without a conv_id are left out."""
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_nearest, op2_packing, op3_quality, op4_huffman, op5_pieces, op6_simhash, op7_suffixes, op8_toxicity, op9_warc, op10_quality_rules,
-    op11_alignment, op12_superkmers)}
+    op11_alignment, op12_superkmers, op13_prefix_trie)}
 ORACLES: dict[str, str] = {
     "op12_superkmers": r"""
 WITH docs AS (
@@ -107,4 +112,41 @@ WITH docs AS (
 )
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM docs LEFT JOIN kept USING (r)""",
+    "op13_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
+         sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id, strlen(coalesce(text, '')) AS bytes
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(conv_id::VARCHAR)), lambda i: ascii(conv_id::VARCHAR[i + 1])::BIGINT)),
+           lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)),
+         4294967295::BIGINT) % 9 AS h
+  FROM (SELECT conv_id, count(*) AS size FROM t GROUP BY conv_id)
+), k AS (
+  SELECT c.*, least(c.h, coalesce(b.size, 0)) AS k, least(c.h, coalesce(b.size, 0)) + greatest(c.size - c.h, 0) AS n
+  FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 5
+), r AS (
+  SELECT k.conv_id, t.pos, id, bytes FROM k JOIN t ON t.conv_id = k.conv_id - k.conv_id % 5 AND t.pos < k.h
+  UNION ALL SELECT k.conv_id, k.k + t.pos - k.h, id, bytes FROM k JOIN t USING (conv_id) WHERE t.pos >= k.h
+), path AS (
+  SELECT conv_id, n, coalesce(ids, []) AS ids, coalesce(bytes, []) AS bytes
+  FROM k LEFT JOIN (SELECT conv_id, list(id ORDER BY pos) AS ids, list(bytes ORDER BY pos) AS bytes FROM r GROUP BY conv_id) USING (conv_id)
+), member AS (
+  SELECT conv_id, n, depth, array_to_string(list_slice(ids, 1, depth), ',') AS key, CASE WHEN depth > 0 THEN bytes[depth] ELSE 0 END AS last
+  FROM (SELECT *, unnest(range(n + 1)) AS depth FROM path)
+), node AS (
+  SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(last) AS saved,
+         sha256(coalesce(string_agg(CASE WHEN n = depth THEN conv_id END, ',' ORDER BY conv_id), '')) AS ends
+  FROM member GROUP BY key, depth
+), kid AS (
+  SELECT m.key, m.depth, count(*) AS n FROM node c JOIN member m ON m.conv_id = c.conv_id AND m.depth = c.depth - 1 GROUP BY m.key, m.depth
+), full_node AS (
+  SELECT node.*, coalesce(kid.n, 0) AS n_children FROM node LEFT JOIN kid USING (key, depth)
+), below AS (
+  SELECT m.key, m.depth, sum(u.saved)::BIGINT AS saved_tokens, count(CASE WHEN u.n_children = 0 THEN 1 END) AS n_leaves
+  FROM full_node u JOIN member m ON m.conv_id = u.conv_id AND m.depth <= u.depth GROUP BY m.key, m.depth
+)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, v.ends AS ends_sha256
+FROM full_node v JOIN below USING (key, depth) LEFT JOIN member m ON m.conv_id = v.conv_id AND m.depth = v.depth - 1
+LEFT JOIN node p ON p.key = m.key AND p.depth = m.depth""",
 }
