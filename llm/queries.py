@@ -118,7 +118,7 @@ WITH t AS (
          sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id, strlen(coalesce(text, '')) AS bytes
   FROM conversations WHERE conv_id IS NOT NULL
 ), c AS (
-  SELECT conv_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(conv_id::VARCHAR)), lambda i: ascii(conv_id::VARCHAR[i + 1])::BIGINT)),
+  SELECT conv_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(conv_id::VARCHAR)), lambda i: ascii(substr(conv_id::VARCHAR, i + 1, 1))::BIGINT)),
            lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)),
          4294967295::BIGINT) % 9 AS h
   FROM (SELECT conv_id, count(*) AS size FROM t GROUP BY conv_id)
