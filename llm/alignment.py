@@ -19,6 +19,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import sentencepiece
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -35,7 +36,15 @@ class Pair:
     """Two tokenizers and the bytes of their tokens."""
 
     def __init__(self, a_path: str, b_path: str):
-        self.a, self.b = tokens.encoder(a_path), pieces.model(b_path)
+        self.a, self.b = tokens.encoder(a_path), pieces.Model(b_path)
+        library = sentencepiece.SentencePieceProcessor(model_file=b_path)
+
+        def word_ids(word: str) -> bytes:
+            """A word behind one mark is what the library takes for a text of its own; others go by merging."""
+            alone = len(word) > 1 and word[0] == pieces.MARK and pieces.MARK not in word[1:]
+            return np.array(library.encode(word[1:]) if alone else self.b.word_ids(word), "<u4").tobytes()
+
+        self.b.table = tokens.Table(word_ids, pieces.WORDS)
         chars = tokens._byte_chars()
         names = {i: n for n, i in self.a.library.get_vocab(with_added_tokens=True).items()}
         self.a_bytes = pa.array([bytes(chars[c] for c in names.get(i, "")) if set(names.get(i, "")) <= chars.keys() else b""
