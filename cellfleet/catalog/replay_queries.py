@@ -14,9 +14,11 @@ from cellfleet.operators import learning as L
 from cellfleet.operators import replay as D
 from cellfleet.operators import windows as W
 from cellfleet.plans.scan import KEY, POS
-from cellfleet.plans.small import cut
+from cellfleet.plans.small import cut, local_table
 from cellfleet.sources import testbed as B
+from cellfleet.streaming import alarms as AL
 from cellfleet.streaming import jobs as R
+from cellfleet.streaming import scores as SC
 
 CASES_SQL = ", ".join(f"('{c}', {t}::double, {m}::double, {q}::double)" for c, t, m, q in D.CASES)
 SCALED = DRIVERS + f""", cases(case_name, dt, dm, cm) AS (VALUES {CASES_SQL}),
@@ -269,17 +271,27 @@ def file_stream(spark, folder: str, name: str, schema, files_per_batch: int = 1)
 
 @query(sql(TEL, "env", "scenario_id family n_samples", "mean_temp_c max_temp_c min_voltage_v max_voltage_v max_abs_current_a max_dod mean_dod final_efc final_ah_throughput final_wh_throughput min_soh_true max_rint_ohm"))
 def streamed_envelope(spark, d):
-    """The telemetry envelope from a file stream; its last snapshot equals the batch result."""
-    schema = spark.read.parquet(f"{d}/lineitem.parquet").schema
-    sdf = B.telemetry_columns(file_stream(spark, d, "lineitem.parquet", schema))
-    return R.run_envelope(sdf, R.work_folder(spark, "envelope"))
+    """The telemetry envelope from a stream of four batches; the log's newest rows equal the batch result."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    folder = R.work_folder(spark, "samples")
+    for part in _slices(li, F.pmod("l_orderkey", F.lit(4)), 4):
+        part.coalesce(2).write.mode("append").parquet(folder)
+    sdf = B.telemetry_columns(file_stream(spark, folder, "*.parquet", li.schema, 2))
+    return R.run_envelope(sdf, R.work_folder(spark, "envelope"), most=2)
+
+
+def _slices(df, number, n):
+    """A table in n parts by a number from 0."""
+    return [df.where(number == i) for i in range(n)]
 
 
 def _request_stream(spark, d):
-    """Reference points written in two slices of time, read back as a stream in that order."""
+    """Reference points in four slices of time, the second with points of the first again, read back as a stream."""
     folder = R.work_folder(spark, "requests")
     p = cut(B.requests(stored_points(spark, d)))
-    for part in (p.where(F.col(POS) < 30), p.where(F.col(POS) >= 30)):
+    i = F.col(POS)
+    again = p.where(i % 5 == 0).withColumn("arrival", F.col("arrival") + 1)
+    for part in (p.where(i < 20), p.where((i >= 20) & (i < 40)).unionByName(again.where(i < 40)), p.where((i >= 40) & (i < 50)), p.where(i >= 50)):
         part.repartition(2, "battery_id").write.mode("append").parquet(folder)
     return file_stream(spark, folder, "*.parquet", p.schema, 2)
 
@@ -292,21 +304,24 @@ def _trend_score(df):
 
 @query(sql(FEAT + ", o AS (SELECT trajectory_id::varchar AS battery_id, reference_index, reference_day, last + 8 * slope_full AS pred_soh FROM feat)", "o", "battery_id reference_index", "reference_day pred_soh"))
 def streamed_scores(spark, d):
-    """R2: online 20-point scores; equal to the batch scores of the same rows."""
-    out = R.stream_score(_request_stream(spark, d), _trend_score)
-    return R.run_append(out, R.work_folder(spark, "scores"))
+    """R2: online 20-point scores over four batches with repeated and late points; equal to the batch scores."""
+    return SC.run_scores(_request_stream(spark, d), R.work_folder(spark, "scores"), _trend_score)
 
 
 @query(sql(TREND8 + ", ps AS (SELECT trajectory_id, reference_day, last + 8 * slope_full AS p FROM feat), o AS (SELECT trajectory_id::varchar AS battery_id, min(reference_day) AS t_alarm_day, arg_min(p, reference_day) AS pred_soh FROM ps WHERE p <= 0.7::double GROUP BY 1)", "o", "battery_id", "t_alarm_day pred_soh"))
 def streamed_alarms(spark, d):
-    """One alarm per battery from a stream of scores; equal to the batch first alarm."""
+    """One alarm per battery from scores of which every third comes a batch late; equal to the batch first alarm."""
     f = W.features11(points(spark, d))
-    scores = f.select(F.col(KEY).cast("string").alias("battery_id"), POS, "reference_day",
-                      (F.col("last") + 8 * F.col("slope_full")).alias("pred_soh"))
+    scores = f.select(F.col(KEY).cast("string").alias("battery_id"), "reference_day",
+                      (F.col("last") + 8 * F.col("slope_full")).alias("pred_soh"), POS)
     folder = R.work_folder(spark, "alarms-in")
     scores = cut(scores)
-    for part in (scores.where(F.col(POS) < 40), scores.where(F.col(POS) >= 40)):
-        part.repartition(2, "battery_id").write.mode("append").parquet(folder)
-    sdf = file_stream(spark, folder, "*.parquet", scores.schema, 2)
-    return R.run_append(R.stream_alarm(sdf, 0.70), R.work_folder(spark, "alarms"))
-
+    longest = scores.agg(F.max(POS)).first()[0] or 0
+    step = longest // 4 + 1
+    for part in _slices(scores, F.expr(f"{POS} div {step}") + (F.col(POS) % 3 == 0).cast("int"), 5):
+        part.drop(POS).repartition(2, "battery_id").write.mode("append").parquet(folder)
+    # A heartbeat long after the last day lets the watermark pass all alarms.
+    beat = local_table(spark, [(None, 14.0 * longest + 1e6, None)], scores.drop(POS).schema)
+    beat.coalesce(1).write.mode("append").parquet(folder)
+    sdf = file_stream(spark, folder, "*.parquet", scores.drop(POS).schema, 2)
+    return AL.run_alarms(sdf, R.work_folder(spark, "alarms"), 0.70, late_days=14.0 * 2 * step)

@@ -1,23 +1,16 @@
-"""Incremental envelope, online scoring and first alarms."""
+"""Incremental envelope, and helpers to run streams."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cellfleet.functions.space import CONTEXT
 from cellfleet.operators.aggregates import envelope_columns
 from cellfleet.session import ensure_checkpoint_dir
-
-REFUSED_INDEX = "REFUSED_INDEX_NOT_INCREASING"
-SCORED = "SCORED"
-WAITING = "SHORT_HISTORY"
+from cellfleet.streaming.keyed_log import KeyedLog
 
 
 def stream_envelope(sdf: DataFrame, keys: Sequence[str] = ("scenario_id", "family"), watermark: str | None = None,
@@ -28,117 +21,26 @@ def stream_envelope(sdf: DataFrame, keys: Sequence[str] = ("scenario_id", "famil
     return src.groupBy(*by).agg(*[e.alias(n) for n, e in envelope_columns().items()])
 
 
-def snapshot_writer(root: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """Merge changed groups into a new snapshot per micro-batch.
-
-    Each batch writes its own folder, so a retried batch rewrites the same result and a failed
-    one leaves the last snapshot intact.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        out = batch
-        if batch_id > 0:
-            old = spark.read.schema(batch.schema).parquet(f"{root}/v={batch_id - 1}")
-            out = old.join(batch.select(*keys), list(keys), "left_anti").select(*batch.columns).unionByName(batch)
-        out.write.mode("overwrite").parquet(f"{root}/v={batch_id}")
-
-    return write
-
-
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder next to the checkpoints, which all executors see."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def run_envelope(sdf: DataFrame, root: str, keys: Sequence[str] = ("scenario_id", "family")) -> DataFrame:
-    """Process what is available and return the last snapshot."""
+def run_envelope(sdf: DataFrame, root: str, keys: Sequence[str] = ("scenario_id", "family"), most: int | None = None,
+                 least: int | None = None) -> DataFrame:
+    """Process what is available and return the envelope as of the last batch.
+
+    A batch appends the groups it changed to a log (`keyed_log`); it neither reads nor rewrites the others.
+    """
+    out = stream_envelope(sdf, keys)
+    log = KeyedLog(sdf.sparkSession, f"{root}/log", keys, out.schema, most, least)
     q = (
-        stream_envelope(sdf, keys).writeStream.outputMode("update")
-        .foreachBatch(snapshot_writer(f"{root}/data", keys))
+        out.writeStream.outputMode("update").foreachBatch(log.append)
         .option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return sdf.sparkSession.read.parquet(f"{root}/data/v={_last_version(sdf.sparkSession, root, last)}")
-
-
-def _last_version(spark: SparkSession, root: str, guess: int) -> int:
-    """The newest snapshot; an empty closing batch may not have written one."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/data")
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    return max((int(f.getPath().getName().removeprefix("v=")) for f in files), default=guess)
-
-
-CONTEXT_SCHEMA = (
-    "battery_id string, reference_index long, soh_observed double, status string, ctx array<double>"
-)
-HISTORY_STATE = "last_index long, tail array<double>"
-
-
-def advance(last: int, tail: list[float], index: np.ndarray, soh: np.ndarray) -> tuple[int, list[float], list[tuple]]:
-    """One battery's new points in arrival order: accepted ones extend the tail, others are refused."""
-    out = []
-    for i, x in zip(index.tolist(), soh.tolist()):
-        if i <= last:
-            out.append((i, x, REFUSED_INDEX, None))
-            continue
-        last, tail = i, [*tail[-(CONTEXT - 1):], x]
-        full = len(tail) == CONTEXT
-        out.append((i, x, SCORED if full else WAITING, list(tail) if full else None))
-    return last, tail, out
-
-
-def _contexts(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last, tail = state.get if state.exists else (-1, [])
-    tail = list(tail)
-    # Arrival order across the frames of one micro-batch decides which points are refused.
-    pdf = pd.concat(list(frames)).sort_values("arrival", kind="stable")
-    last, tail, rows = advance(int(last), tail, pdf["reference_index"].to_numpy(), pdf["soh_observed"].to_numpy())
-    state.update((last, tail))
-    out = pd.DataFrame(rows, columns=["reference_index", "soh_observed", "status", "ctx"])
-    out.insert(0, "battery_id", str(key[0]))
-    yield out
-
-
-def stream_contexts(sdf: DataFrame) -> DataFrame:
-    """Last 20 points per battery as they arrive (``battery_id``, ``reference_index``, ``soh_observed``,
-    ``arrival``). Only the tail is kept as state; features and heads run as plain columns after it."""
-    return sdf.groupBy("battery_id").applyInPandasWithState(
-        _contexts, CONTEXT_SCHEMA, HISTORY_STATE, "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def stream_score(sdf: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Online scores of every accepted point with a full context; ``score`` is any column pipeline."""
-    return score(stream_contexts(sdf).where(F.col("status") == SCORED))
-
-
-ALARM_SCHEMA = "battery_id string, t_alarm_day double, pred_soh double"
-
-
-def _first(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    best = None
-    for pdf in frames:
-        row = pdf.loc[pdf["reference_day"].idxmin()]
-        if best is None or row["reference_day"] < best[0]:
-            best = (float(row["reference_day"]), float(row["pred_soh"]))
-    if state.exists or best is None:
-        return
-    state.update((True,))
-    yield pd.DataFrame([(str(key[0]), *best)], columns=["battery_id", "t_alarm_day", "pred_soh"])
-
-
-def stream_alarm(sdf: DataFrame, threshold: float) -> DataFrame:
-    """One alarm per battery, at its first prediction at or below the threshold.
-
-    Only alarming rows reach the state, which is one flag per alarmed battery.
-    """
-    hits = sdf.where(F.col("pred_soh") <= threshold)
-    return hits.groupBy("battery_id").applyInPandasWithState(
-        _first, ALARM_SCHEMA, "alarmed boolean", "append", GroupStateTimeout.NoTimeout
-    )
+    return log.latest()
 
 
 def run_append(out: DataFrame, root: str) -> DataFrame:
