@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellfleet.functions.space import EOL_SOH, FEATURES, Space, clip
+from cellfleet.functions.space import EOL_SOH, FEATURES, Space
 from cellfleet.operators import windows as W
-from cellfleet.plans import ranks, scan
+from cellfleet.plans import ranks, scan, wide
 from cellfleet.plans.scan import KEY, POS
-from cellfleet.plans.small import beside, collect_bounded, each_case, settle
+from cellfleet.plans.small import beside, collect_bounded, cut, each_case, grid, settle
 
 # Percentiles of the clip bounds.
 CLIP_SHARES = (0.01, 0.99)
@@ -200,34 +201,38 @@ def selection_counts(selected: DataFrame, col: str) -> DataFrame:
     return per.withColumn("share", F.col("n_cells") / F.sum("n_cells").over(Window.partitionBy()))
 
 
-def space_table(df: DataFrame, names: Sequence[str] = FEATURES, keys: Sequence[str] = (),
-                approximate: bool = False) -> DataFrame:
-    """Clip bounds at the 1 % and 99 % percentiles, then mean and spread of the clipped values.
+def fold_spaces(df: DataFrame, names: Sequence[str] = FEATURES, key: str | None = None, approximate: bool = False) -> dict:
+    """Clip bounds at the 1 % and 99 % percentiles, then mean and spread of the clipped values, as `Space`s.
 
-    One row per (keys, feature). Exact percentiles come from repeated histograms; with
-    ``approximate`` one sketch pass replaces them.
+    None names the space of all rows; with ``key``, each group names the space of the rows outside it. Missing
+    values count nowhere. Exact percentiles come from wide histograms (`plans.wide`); with ``approximate`` one
+    sketch pass replaces them for the space of all rows. A column without values has NULL parameters.
     """
-    k = list(keys)
-    long = df.unpivot(k, list(names), "feature", "x")
-    if approximate:
-        q = long.groupBy(*k, "feature").agg(F.percentile_approx("x", list(CLIP_SHARES), 100_000).alias("_q"))
-        bounds = q.select(*k, "feature", F.col("_q")[0].alias("clip_lo"), F.col("_q")[1].alias("clip_hi"))
+    kept = cut(df.select(*([key] if key else []), *names))
+    folds = wide.Folds(kept, names, key)
+    if approximate and key is None:
+        finite = lambda n: F.when(~F.isnan(n), F.col(n).cast("double"))
+        row = kept.agg(*[F.percentile_approx(finite(n), list(CLIP_SHARES), 100_000).alias(n) for n in names]).first()
+        bounds = {None: np.array([row[n] or (np.nan, np.nan) for n in names], float)}
     else:
-        bounds = ranks.percentile_columns(long, [*k, "feature"], "x", {"clip_lo": CLIP_SHARES[0], "clip_hi": CLIP_SHARES[1]})
-    bounds = settle(bounds)
-    x = clip(F.col("x"), F.col("clip_lo"), F.col("clip_hi"))
-    out = long.join(bounds, [*k, "feature"]).groupBy(*k, "feature").agg(
-        F.first("clip_lo").alias("clip_lo"), F.first("clip_hi").alias("clip_hi"),
-        F.avg(x).alias("mean"), F.stddev_pop(x).alias("_s"),
-    )
-    return out.withColumn("std", F.when(F.col("_s") == 0, F.lit(1.0)).otherwise(F.col("_s"))).drop("_s")
+        bounds = folds.percentiles(CLIP_SHARES)
+    spaces = {}
+    for fold, (mean, std) in folds.clipped_moments(bounds).items():
+        flat = lambda v: tuple(None if np.isnan(x) else float(x) for x in v)
+        spaces[folds.name(fold)] = Space(tuple(names), *(flat(v) for v in (*bounds[fold].T, mean, np.where(std == 0, 1.0, std))))
+    return spaces
+
+
+def space_table(df: DataFrame, names: Sequence[str] = FEATURES, approximate: bool = False) -> DataFrame:
+    """`fold_spaces` of all rows as a table with one row per feature."""
+    s = fold_spaces(df, names, approximate=approximate)[None]
+    return grid(df.sparkSession, list(zip(s.names, s.clip_lo, s.clip_hi, s.mean, s.std)),
+                "feature string, clip_lo double, clip_hi double, mean double, std double")
 
 
 def fit_space(df: DataFrame, names: Sequence[str] = FEATURES, approximate: bool = False) -> Space:
-    """`space_table` as frozen parameters."""
-    rows = {r["feature"]: r for r in collect_bounded(space_table(df, names, approximate=approximate), len(names), "space")}
-    pick = lambda c: tuple(float(rows[n][c]) for n in names)
-    return Space(tuple(names), pick("clip_lo"), pick("clip_hi"), pick("mean"), pick("std"))
+    """The space of all rows as frozen parameters."""
+    return fold_spaces(df, names, approximate=approximate)[None]
 
 
 def rul_corr(df: DataFrame, eol: float = EOL_SOH) -> DataFrame:

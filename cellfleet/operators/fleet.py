@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellfleet.functions.forecast import NO_CROSSING, rul_readout, slope_rul, wiener_rul
-from cellfleet.functions.space import CONTEXT, HORIZONS, STEP_DAYS, Space, apply_space, dot
+from cellfleet.functions.space import CONTEXT, HORIZONS, STEP_DAYS, Space, apply_space, clip
 from cellfleet.operators import aggregates as A
 from cellfleet.operators import conformal as C
 from cellfleet.operators import contracts as V
 from cellfleet.operators import learning as L
 from cellfleet.operators import windows as W
-from cellfleet.plans import scan
+from cellfleet.plans import scan, wide
 from cellfleet.plans.scan import KEY
-from cellfleet.plans.small import SMALL_ROWS, collect_bounded, cut, each_case, grid, settle
+from cellfleet.plans.small import SMALL_ROWS, collect_bounded, cut, grid, settle
 
 # Outcome of a request, as the service reports it.
 OK, REFUSED, OPEN = "OK", "INPUT_REFUSED_BY_SCHEMA", "NO_CROSSING_WITHIN_112D"
@@ -219,39 +221,95 @@ def rul_outer(anchors: DataFrame, heads: DataFrame, z: Sequence[str]) -> DataFra
     )
 
 
+def _fold_sums(df: DataFrame, names: Sequence[str], y: str, fams: list, lo: np.ndarray, hi: np.ndarray,
+               middle: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weighted sums of products of (1, clipped features, target): of each family's rows that no fold clips, and of
+    each fold's training rows that some fold clips; and the rows by family.
+
+    Columns: family, features, target, weight. Features are given in units of ``spread`` from ``middle``.
+    """
+    k, n = len(names), len(fams)
+    core_lo, core_hi = lo.max(axis=0), hi.min(axis=0)
+    upper = np.triu_indices(k + 2)
+
+    def products(x, t, w):
+        v = np.column_stack([np.ones(len(x)), (x - middle) / spread, t])
+        return (v * w[:, None]).T @ v
+
+    def run(batches):
+        core, edge, rows = np.zeros((n, k + 2, k + 2)), np.zeros((n, k + 2, k + 2)), np.zeros(n, np.int64)
+        for g, v in wide.blocks(batches, fams, k + 2):
+            use = (g >= 0) & ~np.isnan(v).any(axis=1)
+            g, x, t, w = g[use], v[use, :k], v[use, k], v[use, k + 1]
+            rows += np.bincount(g, minlength=n)
+            inside = ((x >= core_lo) & (x <= core_hi)).all(axis=1)
+            order = np.flatnonzero(inside)[np.argsort(g[inside], kind="stable")]
+            for mine in np.split(order, np.searchsorted(g[order], np.arange(1, n))):
+                if len(mine):
+                    core[g[mine[0]]] += products(x[mine], t[mine], w[mine])
+            g, x, t, w = g[~inside], x[~inside], t[~inside], w[~inside]
+            for f in range(n):
+                out = g != f
+                edge[f] += products(np.clip(x[out], lo[f], hi[f]), t[out], w[out])
+        for kind, sums in enumerate((core, edge)):
+            for f in range(n):
+                yield pa.RecordBatch.from_pydict({"kind": [kind], "f": [f], "n": [int(rows[f])], "sums": [sums[f][upper].tolist()]})
+
+    src = df.select("family", *names, y, "weight")
+    each = src.mapInArrow(run, "kind long, f long, n long, sums array<double>").select("kind", "f", "n", F.posexplode("sums"))
+    got = collect_bounded(each.groupBy("kind", "f", "pos").agg(F.sum("col").alias("s"), F.sum("n").alias("n")), SMALL_ROWS, "fold sums")
+    sums, rows = np.zeros((2, n, k + 2, k + 2)), np.zeros(n, np.int64)
+    for r in got:
+        i, j = upper[0][r["pos"]], upper[1][r["pos"]]
+        sums[r["kind"], r["f"], i, j] = sums[r["kind"], r["f"], j, i] = r["s"]
+        if r["kind"] == 0:
+            rows[r["f"]] = r["n"]
+    return sums[0], sums[1], rows
+
+
 def own_space_arm(df: DataFrame, names: Sequence[str], alpha: float, h: int = 8) -> DataFrame:
-    """Target-only heads on a space fitted on each fold's own training families.
+    """Target-only heads on a space fitted on each fold's own training families: held, n_test_rows, mae_delta.
 
-    Every fold's space is fitted at once, keyed by held-out family; clipped z values differ per
-    fold, so the statistics are keyed by it too.
+    Rows are read a fixed number of times and none is copied, whatever the number of families. Spaces come from
+    histograms and clipped moments with one family left out at a time (`aggregates.fold_spaces`). Rows between the
+    folds' bounds have one sum of products per family, which every other fold takes over; only rows outside some
+    fold's bounds are clipped fold by fold, inside the task. Spaces are linear, so z sums follow from these.
+
+    A row with a missing feature or target is neither trained on nor tested; its other features still count in
+    the percentiles. Needs two families or more, of `wide.MAX_GROUPS` at most.
     """
-    rows = df.where(F.col("horizon") == h)
-    fams = [r[0] for r in collect_bounded(rows.select("family").distinct(), L.MAX_FAMILIES, "families")]
-    fams.sort()
+    k = len(names)
+    rows = cut(df.where(F.col("horizon") == h).select("horizon", "family", KEY, *names, "y_delta"))
+    spaces = A.fold_spaces(rows, names, "family")
+    fams = sorted(f for f in spaces if f is not None)
     kind = dict(df.dtypes)["family"]
-    folds = each_case(rows, [(f,) for f in fams], f"held {kind}")
-    train = folds.where(F.col("family") != F.col("held"))
-    table = collect_bounded(A.space_table(train.select("held", *names), names, ["held"]), SMALL_ROWS, "spaces")
-    pars = {(r["held"], r["feature"]): r for r in table}
-    wide = [
-        (f, *[float(pars[(f, n)][c]) for n in names for c in ("clip_lo", "clip_hi", "mean", "std")]) for f in fams
-    ]
-    cols = [f"{c}_{n}" for n in names for c in ("lo", "hi", "mean", "std")]
-    spaces = grid(df.sparkSession, wide, f"held {kind}, " + ", ".join(f"`{c}` double" for c in cols))
-    zc = {
-        f"z_{n}": (F.least(F.greatest(F.col(n), F.col(f"lo_{n}")), F.col(f"hi_{n}")) - F.col(f"mean_{n}")) / F.col(f"std_{n}")
-        for n in names
-    }
-    z = list(zc)
-    scaled = folds.join(spaces, "held").withColumns(zc).drop(*cols)
-    blocks = L.moments(L.gram(scaled.where(F.col("family") != F.col("held")), z, keys=["held"]), len(z), ["held"])
+    if len(fams) < 2 or any(v is None for f in fams for v in spaces[f].mean):
+        return grid(df.sparkSession, [], f"held {kind}, n_test_rows long, mae_delta double")
+    real = F.lit(True)
+    for c in (*names, "y_delta"):
+        x = F.col(c).cast("double")
+        real = real & x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    complete = cut(L.equal_weights(rows.where(real), ()))
+    par = {c: np.array([getattr(spaces[f], c) for f in fams], float) for c in ("clip_lo", "clip_hi", "mean", "std")}
+    middle, spread = (np.array(getattr(spaces[None], c), float) for c in ("mean", "std"))
+    core, edge, counts = _fold_sums(complete, names, "y_delta", fams, par["clip_lo"], par["clip_hi"], middle, spread)
     heads = []
-    for (held,), parts in sorted(blocks.items()):
-        coef, b = L.fit_ridge(L.total(parts), alpha)
-        heads.append((held, held, float(alpha), 0.0, *map(float, coef), b))
-    ht = grid(df.sparkSession, heads, f"held {kind}, family {kind}, alpha double, lam double, "
-              + ", ".join(f"c{i} double" for i in range(len(z))) + ", c_b double")
-    pred = F.col("c_b") + dot(z, [f"c{i}" for i in range(len(z))])
-    return scaled.join(ht, ["held", "family"]).groupBy("held").agg(
-        F.count("*").alias("n_test_rows"), F.avg(F.abs(pred - F.col("y_delta"))).alias("mae_delta")
-    )
+    for i, f in enumerate(fams):
+        raw = core.sum(axis=0) - core[i] + edge[i]
+        scale = spread / par["std"][i]
+        t = np.eye(k + 2)
+        t[range(1, k + 1), range(1, k + 1)] = scale
+        t[1:k + 1, 0] = (middle - par["mean"][i]) / par["std"][i]
+        m = t @ raw @ t.T
+        z = slice(1, k + 1)
+        sums = L.Moments(m[z, z], m[z, -1], m[z, 0], m[0, -1], m[-1, -1], m[0, 0], int(counts.sum() - counts[i]), 0)
+        coef, b = L.fit_ridge(sums, alpha)
+        heads.append((f, *[float(v[i][j]) for j in range(k) for v in par.values()], *map(float, coef), b))
+    cols = [f"{c}_{j}" for j in range(k) for c in ("lo", "hi", "mean", "std")] + [f"c{j}" for j in range(k)] + ["c_b"]
+    table = grid(df.sparkSession, heads, f"family {kind}, " + ", ".join(f"{c} double" for c in cols))
+    pred = F.col("c_b")
+    for j, n in enumerate(names):
+        pred = pred + F.col(f"c{j}") * (clip(F.col(n), F.col(f"lo_{j}"), F.col(f"hi_{j}")) - F.col(f"mean_{j}")) / F.col(f"std_{j}")
+    scored = complete.join(table, "family")
+    return scored.groupBy(F.col("family").alias("held")).agg(
+        F.count("*").alias("n_test_rows"), F.avg(F.abs(pred - F.col("y_delta"))).alias("mae_delta"))
