@@ -67,7 +67,7 @@ def ridge_sql(rows: str, blocks: str, p: str, alphas=L.ALPHAS, lambdas=(0.0,), y
 
 GRAM = ZWIN + "," + blocks_sql("zwin", "blk")
 RIDGE = GRAM + "," + ridge_sql("zwin", "blk", "rh")
-L2SP_A, L2SP_L = (1e-3, 1e-1, 10.0), (0.0, 1.0, 100.0)
+L2SP_A, L2SP_L = L.TRANSFER_ALPHAS, L.LAMBDAS
 L2SP = GRAM + "," + ridge_sql("zwin", "blk", "lh", L2SP_A, L2SP_L, prior=(P0, P1))
 
 

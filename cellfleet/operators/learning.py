@@ -15,12 +15,14 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cellfleet.functions.space import dot
 from cellfleet.operators.windows import budget_shares
+from cellfleet.plans import wide
 from cellfleet.plans.scan import KEY
 from cellfleet.plans.small import SMALL_ROWS, collect_bounded, cut, each_case, grid, settle
 
@@ -97,6 +99,10 @@ class Moments:
         return Moments(self.g + o.g, self.b + o.b, self.s + o.s, self.sy + o.sy, self.syy + o.syy,
                        self.sw + o.sw, self.n + o.n, self.n_traj + o.n_traj)
 
+    def __sub__(self, o: "Moments") -> "Moments":
+        return Moments(self.g - o.g, self.b - o.b, self.s - o.s, self.sy - o.sy, self.syy - o.syy,
+                       self.sw - o.sw, self.n - o.n, self.n_traj - o.n_traj)
+
     @staticmethod
     def zero(k: int) -> "Moments":
         return Moments(np.zeros((k, k)), np.zeros(k), np.zeros(k), 0.0, 0.0, 0.0, 0, 0)
@@ -183,43 +189,59 @@ class Prior:
 
 @dataclass
 class Heads:
-    """Candidate heads of one protocol: inner folds for selection, outer fits for evaluation."""
+    """Candidate heads of one protocol: inner folds for selection, outer fits for evaluation.
+
+    ``inner``: (stratum, inner family) -> held-out families and their heads, an array of held family x candidate x
+    (coefficients, intercept).
+    """
 
-    inner: list[tuple]
+    inner: dict[tuple, tuple[list, np.ndarray]]
     outer: list[tuple]
     grid: list[tuple]
     k: int
 
 
+def strength_path(m: Moments, prior: np.ndarray, alphas: np.ndarray, lambdas: np.ndarray) -> np.ndarray:
+    """`fit_l2sp` at every strength from one eigen-decomposition: candidate x (coefficients, intercept).
+
+    A strength only adds to the eigenvalues, so in the eigenbasis each solve is a division.
+    """
+    scale = m.n / m.sw
+    d, v = np.linalg.eigh(m.g * scale)
+    b, p = v.T @ (m.b * scale), v.T @ np.asarray(prior, dtype=float)
+    coef = ((b + lambdas[:, None] * p) / (d + (alphas + lambdas)[:, None])) @ v.T
+    return np.column_stack([coef, m.sy / m.sw - coef @ m.s / m.sw])
+
+
 def candidate_heads(blocks: dict[tuple, dict], alphas: Sequence[float], lambdas: Sequence[float] = (0.0,),
                     prior: Prior | None = None, horizon_at: int = 0) -> Heads:
     """Fit every (stratum, held, inner, lambda, alpha) from family blocks.
 
-    Leaving out (a, b) and (b, a) is the same training set, so half of the inner fits are shared.
-    Lambda is the outer loop of the grid order, alpha the inner one.
+    Leaving out (a, b) and (b, a) is the same training set, so half of the inner fits are shared, and one
+    `strength_path` gives all strengths of a set. Lambda is the outer loop of the grid order, alpha the inner one.
     """
     cells = [(i, float(lam), float(a)) for i, (lam, a) in enumerate((l, a) for l in lambdas for a in alphas)]
-    inner, outer, k = [], [], 0
+    strengths = np.array([c[2] for c in cells]), np.array([c[1] for c in cells])
+    found: dict[tuple, dict] = {}
+    outer, k = [], 0
     for stratum, fams in sorted(blocks.items()):
         names = sorted(fams)
         k = len(next(iter(fams.values())).b)
         src = prior.at(stratum[horizon_at]) if prior else np.zeros(k)
-        for held in names:
-            if len(names) < 2:
-                continue
-            m = total(fams, {held})
-            for c, lam, a in cells:
-                coef, b = fit_l2sp(m, src, a, lam)
-                outer.append((*stratum, held, c, *map(float, coef), b))
+        for held in names if len(names) > 1 else ():
+            path = strength_path(total(fams, {held}), src, *strengths)
+            outer += [(*stratum, held, c, *map(float, head)) for (c, _, _), head in zip(cells, path)]
         if len(names) < 3:
             continue
+        whole = total(fams)
         for i, one in enumerate(names):
             for two in names[i + 1:]:
-                m = total(fams, {one, two})
-                for c, lam, a in cells:
-                    coef, b = fit_l2sp(m, src, a, lam)
-                    inner.append((*stratum, one, two, c, *map(float, coef), b))
-                    inner.append((*stratum, two, one, c, *map(float, coef), b))
+                # Few families are added up anew; with many, taking two off the whole spares their sums.
+                m = total(fams, {one, two}) if len(names) <= 32 else whole - fams[one] - fams[two]
+                path = strength_path(m, src, *strengths)
+                found.setdefault((*stratum, two), {})[one] = path
+                found.setdefault((*stratum, one), {})[two] = path
+    inner = {place: (sorted(by), np.stack([by[h] for h in sorted(by)])) for place, by in found.items()}
     return Heads(inner, outer, cells, k)
 
 
@@ -230,21 +252,84 @@ def _head_schema(df: DataFrame, keys: Sequence[str], fams: Sequence[str], k: int
     return ", ".join([*cols, "cand int", *[f"c{i} double" for i in range(k)], "c_b double"])
 
 
+#: Numbers of heads that tasks get in one pass over the rows, and errors held at once by a task.
+HEAD_VALUES, ERRORS = 1 << 22, 1 << 21
+
+
+def _head_passes(heads: Heads) -> list[list[tuple]]:
+    """(place, held families, heads) in parts of bounded size; a place with many held families is cut."""
+    parts, size = [[]], 0
+    for place, (held, a) in sorted(heads.inner.items()):
+        step = max(1, HEAD_VALUES // max(1, a[0].size))
+        for at in range(0, len(held), step):
+            piece = a[at:at + step]
+            if size + piece.size > HEAD_VALUES and parts[-1]:
+                parts.append([])
+                size = 0
+            parts[-1].append((place, held[at:at + step], piece))
+            size += piece.size
+    return [p for p in parts if p]
+
+
+def _error_sums(rows: DataFrame, z: Sequence[str], y: str, heads: list[np.ndarray]) -> DataFrame:
+    """Rows (``_p``, z, y) -> ``_p``, ``pos`` and the sum of absolute errors and rows of each head of the place.
+
+    A task multiplies blocks of rows by its place's heads as one matrix and keeps one sum per head.
+    """
+    k, matrices = len(z), [h.reshape(-1, h.shape[-1]).T for h in heads]
+
+    def run(batches):
+        sums = [np.zeros(m.shape[1]) for m in matrices]
+        counts = [0] * len(matrices)
+        for p, x in wide.blocks(batches, list(range(len(matrices))), k + 1):
+            use = np.flatnonzero((p >= 0) & ~np.isnan(x).any(axis=1))
+            use = use[np.argsort(p[use], kind="stable")]
+            cuts = np.flatnonzero(np.diff(p[use], prepend=-1))
+            for mine in np.split(use, cuts[1:]) if len(use) else ():
+                i = p[mine[0]]
+                m = matrices[i]
+                step = max(1, ERRORS // m.shape[1])
+                for at in range(0, len(mine), step):
+                    v = x[mine[at:at + step]]
+                    sums[i] += np.abs(v[:, :k] @ m[:k] + m[k] - v[:, k:]).sum(axis=0)
+                counts[i] += len(mine)
+        for i, n in enumerate(counts):
+            if n:
+                yield pa.RecordBatch.from_pydict({"_p": [i], "_n": [n], "_s": [sums[i].tolist()]})
+
+    each = rows.select("_p", *z, y).mapInArrow(run, "_p long, _n long, _s array<double>")
+    return each.select("_p", "_n", F.posexplode("_s")).groupBy("_p", "pos").agg(F.sum("col").alias("_e"), F.sum("_n").alias("n_rows"))
+
+
 def score_candidates(df: DataFrame, z: Sequence[str], heads: Heads, y: str = "y_delta",
                      keys: Sequence[str] = ("horizon",)) -> DataFrame:
-    """Mean absolute error of every inner candidate on its inner family.
+    """Mean absolute error of every inner candidate on its inner family: keys, held, inner_family, cand, score, n_rows.
 
-    Each row meets only the heads of its own family as inner fold; errors are summed in the map
-    tasks, so the shuffle carries (held, inner, candidate) partial sums and nothing else.
+    No row is joined to heads or multiplied by them: a row carries the number of its (stratum, family), and tasks
+    score blocks of rows against that place's heads (`_error_sums`). The shuffle carries one sum per head and task.
+    Rows with a missing feature or target count nowhere. Heads beyond `HEAD_VALUES` numbers take further passes.
     """
-    spark = df.sparkSession
-    table = grid(spark, heads.inner, _head_schema(df, keys, ("held", "family"), heads.k))
-    pred = dot(z, [f"c{i}" for i in range(heads.k)]) + F.col("c_b")
-    return (
-        df.select(*keys, "family", *z, y).join(table, [*keys, "family"])
-        .groupBy(*keys, "held", F.col("family").alias("inner_family"), "cand")
-        .agg(F.avg(F.abs(pred - F.col(y))).alias("score"), F.count("*").alias("n_rows"))
-    )
+    spark, kinds, out = df.sparkSession, dict(df.dtypes), None
+    key_types = ", ".join(f"{c} {kinds[c]}" for c in keys)
+    fam = kinds["family"]
+    for part in _head_passes(heads):
+        cands = part[0][2].shape[1]
+        places = sorted({place for place, _, _ in part})
+        number = grid(spark, [(*place, i) for i, place in enumerate(places)], f"{key_types}, family {fam}, _p long")
+        # Pieces of one place are put together again.
+        pieces: dict[tuple, list] = {}
+        for place, held, a in part:
+            pieces.setdefault(place, []).append((held, a))
+        helds = [[h for held, _ in pieces[place] for h in held] for place in places]
+        sums = _error_sums(df.join(number, [*keys, "family"]), z, y, [np.concatenate([a for _, a in pieces[place]]) for place in places])
+        names = [(i, j, *place, h) for i, place in enumerate(places) for j, h in enumerate(helds[i])]
+        named = grid(spark, names, f"_p long, _h int, {key_types}, inner_family {fam}, held {fam}")
+        found = sums.withColumn("_h", F.expr(f"pos div {cands}").cast("int")).join(named, ["_p", "_h"])
+        found = found.select(*keys, "held", "inner_family", (F.col("pos") % cands).alias("cand"), (F.col("_e") / F.col("n_rows")).alias("score"), "n_rows")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return grid(spark, [], f"{key_types}, held {fam}, inner_family {fam}, cand int, score double, n_rows long")
+    return out
 
 
 def select_hparam(scores: DataFrame, keys: Sequence[str] = ("horizon",)) -> DataFrame:
@@ -523,12 +608,13 @@ def censored_heads(df: DataFrame, z: Sequence[str], alphas: Sequence[float] = AL
     fits, names = fit_censored(df, z, alphas)
     kind = dict(df.dtypes)["family"]
     order = {float(a): i for i, a in enumerate(alphas)}
-    inner = []
+    found: dict[tuple, dict] = {}
     for f in fits:
         if len(f["left_out"]) == 2:
-            one, two = f["left_out"]
-            tail = (order[f["alpha"]], *map(float, f["coef"]), f["intercept"])
-            inner += [(0, one, two, *tail), (0, two, one, *tail)]
+            for held, other in (f["left_out"], f["left_out"][::-1]):
+                by = found.setdefault((0, other), {}).setdefault(held, np.empty((len(alphas), k + 1)))
+                by[order[f["alpha"]]] = [*f["coef"], f["intercept"]]
+    inner = {place: (sorted(by), np.stack([by[h] for h in sorted(by)])) for place, by in found.items()}
     unc = df.where(F.col("censored") == 0).withColumn("horizon", F.lit(0))
     scores = score_candidates(unc, z, Heads(inner, [], [], k), "rul_days")
     outer = [

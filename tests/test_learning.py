@@ -164,3 +164,53 @@ def test_satisfied_bounds_cost_nothing(censored):
     for x, y in zip(a, b):
         assert x["n_active"] == 0 and x["iters"] == 1
         assert x["coef"] == pytest.approx(y["coef"])
+
+
+def test_one_decomposition_gives_all_strengths(data):
+    """7 x 8 strengths of a nearly collinear set, each as by its own solve."""
+    df, z, y, fam, traj = data
+    m = L.total(L.moments(L.gram(df, Z), K)[(2,)], {1})
+    cells = [(lam, a) for lam in L.LAMBDAS for a in L.TRANSFER_ALPHAS]
+    prior = np.array([0.3, -0.5, 0.0, 2.0])
+    path = L.strength_path(m, prior, np.array([a for _, a in cells]), np.array([l for l, _ in cells]))
+    assert path.shape == (56, K + 1)
+    for (lam, a), head in zip(cells, path):
+        coef, b = L.fit_l2sp(m, prior, a, lam)
+        np.testing.assert_allclose(head, [*coef, b], rtol=1e-6, atol=1e-8)
+
+
+@pytest.mark.parametrize("values, errors", [(1 << 22, 1 << 21), (40, 16)])
+def test_blocks_of_heads_score_as_single_heads(data, monkeypatch, values, errors):
+    """Small limits cut heads over passes and rows over blocks; missing values count nowhere."""
+    monkeypatch.setattr(L, "HEAD_VALUES", values)
+    monkeypatch.setattr(L, "ERRORS", errors)
+    df, z, y, fam, traj = data
+    heads = L.candidate_heads(L.moments(L.gram(df, Z), K), (0.1, 10.0), (0.0, 1.0))
+    gap = df.unionByName(df.limit(3).withColumn("z0", F.lit(None).cast("double")))
+    got = {(r["held"], r["inner_family"], r["cand"]): (r["score"], r["n_rows"]) for r in L.score_candidates(gap, Z, heads).collect()}
+    want = {}
+    for (_, inner), (held, a) in heads.inner.items():
+        use = fam == inner
+        for h, by in zip(held, a):
+            for c, head in enumerate(by):
+                want[(h, inner, c)] = (float(np.abs(z[use] @ head[:K] + head[K] - y[use]).mean()), int(use.sum()))
+    assert len(got) == 4 * 3 * 4 and got.keys() == want.keys()
+    for cell, (score, n) in want.items():
+        assert got[cell] == (pytest.approx(score, rel=1e-9), n)
+
+
+def test_many_families_are_left_out_in_pairs(spark):
+    """120 families, all pairs: rows are still read once and no table of rows times heads is made."""
+    i = F.col("id")
+    df = spark.range(4800).select(F.lit(2).alias("horizon"), (i % 120).cast("int").alias("family"), (i % 480).cast("int").alias("trajectory_id"),
+                                  F.sin(i * 1.7).alias("z0"), F.cos(i * 0.3).alias("z1"), (F.sin(i * 1.7) * 2 + F.cos(i * 5.1)).alias("y_delta"))
+    heads = L.candidate_heads(L.moments(L.gram(df, ["z0", "z1"]), 2), L.ALPHAS)
+    scores = L.score_candidates(df, ["z0", "z1"], heads)
+    assert scores.count() == 120 * 119 * len(L.ALPHAS) and scores.agg(F.max("n_rows")).first()[0] == 40
+    assert L.select_hparam(scores).count() == 120
+
+
+def test_no_inner_folds_without_three_families(spark):
+    df = local_table(spark, [(2, 0, 1, 1.0, 2.0), (2, 1, 2, 2.0, 3.0)], "horizon int, family int, trajectory_id int, z0 double, y_delta double")
+    heads = L.candidate_heads(L.moments(L.gram(df, ["z0"]), 1), (1.0,))
+    assert len(heads.outer) == 2 and L.score_candidates(df, ["z0"], heads).count() == 0
