@@ -220,7 +220,7 @@ def fleet_prediction(spark, d):
                       "interval_coverage_nominal", "alpha_day56")
 
 
-@query(sql(ZWIN.split(",\nfeat_all")[0] + """, a AS (SELECT trajectory_id, reference_index AS arrival, CASE WHEN trajectory_id % 4 = 1 AND reference_index = 30 THEN 29 ELSE reference_index END AS i, CASE WHEN trajectory_id % 4 = 2 AND reference_index = 3 THEN 95 ELSE soh_observed END AS x FROM traj WHERE soh_true > 0.9::double),
+@query(sql(ZWIN.split(",\nfeat_all")[0] + """, a AS (SELECT trajectory_id, reference_index AS arrival, CASE WHEN trajectory_id % 4 = 1 AND reference_index = 30 THEN 29 ELSE reference_index END AS i, CASE WHEN trajectory_id % 4 = 2 AND reference_index = 3 THEN 95 ELSE soh_observed END AS x FROM traj WHERE trajectory_id % 7 <> 0 OR reference_index < 12),
   l AS (SELECT *, i <= lag(i) OVER (PARTITION BY trajectory_id ORDER BY arrival) AS bad FROM a), g AS (SELECT trajectory_id, count(*) AS n_points, count_if(x > 1.5 OR x <= 0) AS n_bad_values, count_if(bad) AS n_order FROM l GROUP BY 1),
   o AS (SELECT trajectory_id::varchar AS battery_id, 'INPUT_REFUSED_BY_SCHEMA' AS status, CASE WHEN n_bad_values > 0 THEN 'VALUE_RULE' WHEN n_order > 0 THEN 'ORDER' ELSE 'SHORT_HISTORY' END AS reason, n_points, n_bad_values, n_order FROM g WHERE n_bad_values > 0 OR n_order > 0 OR n_points < 20)""",
            "o", "battery_id status reason n_points n_bad_values n_order"))
@@ -228,8 +228,8 @@ def fleet_refusals(spark, d):
     """Batteries whose requests are refused, with the reason."""
     p = stored_points(spark, d)
     heads = L.deploy_heads(z_windows(spark, d), Z2, ALPHA_FIX)
-    # The early life of every battery: many histories are then too short.
-    req = B.requests(p.where(F.col("soh_true") > 0.9)).withColumn("_t", F.col("battery_id").cast("long") % 4)
+    # Whole histories; every seventh battery is a new one, with a history that is too short.
+    req = B.requests(p.where((F.col(KEY) % 7 != 0) | (F.col(POS) < 12))).withColumn("_t", F.col("battery_id").cast("long") % 4)
     t, i = F.col("_t"), F.col(POS)
     req = req.withColumns({
         "soh_observed": F.when((t == 2) & (i == 3), F.lit(95.0)).otherwise(F.col("soh_observed")),

@@ -162,10 +162,9 @@ def resistance_scale(spark, d):
 
 # ---------------------------------------------------------------- faults
 
-N_FAULT = 15
 FAULT_ROWS = ", ".join(f"({i}, '{n}', {o}::double, {r}::double, {q}::double, {t}::double, {dd}::double)" for i, (n, o, r, q, t, dd) in enumerate(W.FAULTS))
 ASSIGN = TRAJ + f""", fspec(b, fault_type, onset_fraction, rint_mult, q_factor, temp_bias, dod_depth) AS (VALUES {FAULT_ROWS}),
-  fid AS (SELECT family, trajectory_id, (row_number() OVER (ORDER BY trajectory_id) - 1) // {N_FAULT} AS b FROM (SELECT DISTINCT family, trajectory_id FROM traj)),
+  fid AS (SELECT family, trajectory_id, (row_number() OVER (ORDER BY trajectory_id) - 1) // greatest(1, floor(count(*) OVER () * {D.FAULT_SHARE})::bigint) AS b FROM (SELECT DISTINCT family, trajectory_id FROM traj)),
   asg AS (SELECT family, trajectory_id, fspec.* EXCLUDE (b) FROM fid JOIN fspec USING (b))"""
 
 
@@ -188,13 +187,13 @@ FAULT = ASSIGN + f""", fp0 AS (SELECT t.*, asg.* EXCLUDE (family, trajectory_id)
 
 def _faulted(spark, d):
     p = stored_points(spark, d)
-    return D.faulted(p, D.assign_faults(p, N_FAULT))
+    return D.faulted(p, D.assign_faults(p))
 
 
 @query(sql(ASSIGN, "asg", "family trajectory_id fault_type", "onset_fraction"))
 def fault_assignment(spark, d):
     """Disjoint blocks of trajectories per fault class."""
-    return D.assign_faults(stored_points(spark, d), N_FAULT).select("family", KEY, "fault_type", "onset_fraction")
+    return D.assign_faults(stored_points(spark, d)).select("family", KEY, "fault_type", "onset_fraction")
 
 
 @query(sql(FAULT, "fpts", "trajectory_id reference_index fault_type onset_index post_onset", "soh_true_faulted soh_observed_faulted rint_multiplier temperature_bias_c dod_event", digits=10), digits=10)

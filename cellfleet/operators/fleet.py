@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellfleet.functions.forecast import NO_CROSSING, rul_readout, slope_rul, wiener_rul
-from cellfleet.functions.space import CONTEXT, HORIZONS, STEP_DAYS, Space, apply_space, clip
+from cellfleet.functions.space import CONTEXT, HORIZONS, STEP_DAYS, Space, apply_space, clip, dot
 from cellfleet.operators import aggregates as A
 from cellfleet.operators import conformal as C
 from cellfleet.operators import contracts as V

@@ -16,7 +16,7 @@ from cellfleet.operators import windows as W
 from cellfleet.operators.contracts import checked_join
 from cellfleet.plans import ranks, scan
 from cellfleet.plans.scan import KEY, POS
-from cellfleet.plans.small import SMALL_ROWS, collect_bounded, each_case, grid
+from cellfleet.plans.small import collect_bounded, each_case, grid
 
 # Columns of the driver and parameter tables, and truth that may not be a driver.
 DRIVER_COLUMNS = (
@@ -258,19 +258,20 @@ def resistance_scale(reference: DataFrame, params: DataFrame, test_split: str =
 # ---------------------------------------------------------------- faults
 
 
-def assign_faults(df: DataFrame, n_per_fault: int, faults: Sequence[tuple] = W.FAULTS) -> DataFrame:
-    """Consecutive blocks of ``n_per_fault`` ids, in id order, one block per fault class.
+#: Share of the fleet that each fault class takes: 15 of 120 trajectories in the published protocol.
+FAULT_SHARE = 0.125
 
-    A few first ids are a distributed top-k; many are numbered by the range-partitioned order.
+
+def assign_faults(df: DataFrame, share: float = FAULT_SHARE, faults: Sequence[tuple] = W.FAULTS) -> DataFrame:
+    """Consecutive blocks of ids, in id order, one block per fault class and of one size, a share of the fleet.
+
+    Ids are numbered by one range-partitioned sort at any size; a share of less than one id is one id.
     """
-    spark, wanted = df.sparkSession, n_per_fault * len(faults)
-    top = df.select("family", KEY).distinct()
-    if wanted <= SMALL_ROWS:
-        top = top.orderBy(KEY).limit(wanted)
-    ids = scan.global_offsets(top.withColumn("_one", F.lit(1)), [KEY], "_one", "_o").where(F.col("_o") < wanted)
-    table = grid(spark, [(i, *f) for i, f in enumerate(faults)], "_b int, " + W.FAULT_SCHEMA)
+    ids = scan.global_offsets(df.select("family", KEY).distinct().withColumn("_one", F.lit(1)), [KEY], "_one", "_o")
+    size = ids.agg(F.greatest(F.floor(F.count("*") * F.lit(float(share))), F.lit(1)).alias("n")).first()["n"]
+    table = grid(df.sparkSession, [(i, *f) for i, f in enumerate(faults)], "_b int, " + W.FAULT_SCHEMA)
     return (
-        ids.withColumn("_b", F.floor(F.col("_o") / n_per_fault).cast("int"))
+        ids.where(F.col("_o") < size * len(faults)).withColumn("_b", F.floor(F.col("_o") / size).cast("int"))
         .join(table, "_b")
         .drop("_b", "_o", "_one")
     )

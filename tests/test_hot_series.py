@@ -40,7 +40,7 @@ OPERATORS = {
     "direction": lambda p: A.direction_accuracy(p, "soh_true", "soh_observed"),
     "directionality": lambda p: A.directionality(p),
     "slope": lambda p: A.ordinal_slope(p, ["soh_observed"]),
-    "faulted": lambda p: D.faulted(p, D.assign_faults(p, 4)),
+    "faulted": lambda p: D.faulted(p, D.assign_faults(p)),
     "order": lambda p: V.order_violations(B.requests(p).withColumn("reference_index", F.col("reference_index") - F.when(F.col("reference_index") % 31 == 30, 2).otherwise(0))),
     "short": lambda p: V.split_short_groups(p, 60, "trajectory_id", "reference_index")[0],
 }

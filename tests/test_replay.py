@@ -52,3 +52,13 @@ def test_long_series_stay_spread_after_the_parameter_join(tables, monkeypatch):
     plan = D.damage_increments(*tables)._jdf.queryExecution().executedPlan().toString()
     spread = [x for x in plan.splitlines() if "hashpartitioning" in x]
     assert spread and all("chunk" in x for x in spread)
+
+
+@pytest.mark.parametrize("n, size", [(120, 15), (1600, 200), (3, 1)])
+def test_faults_take_a_share_of_the_fleet(spark, n, size):
+    """15 of 120 trajectories per class, and as large a share of any other fleet."""
+    fleet = spark.range(n * 2).select((F.col("id") % n).alias("trajectory_id"), (F.col("id") % n % 6).alias("family"))
+    got = sorted((r[1], r[0]) for r in D.assign_faults(fleet).select("trajectory_id", "fault_type").collect())
+    names = [f[0] for f in W.FAULTS]
+    want = sorted((names[i // size], i) for i in range(min(n, size * len(names))))
+    assert got == want
