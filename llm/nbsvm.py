@@ -123,8 +123,8 @@ def fit_rows(places: list[np.ndarray], labels: np.ndarray, bits: int = BITS) ->
     if len(set(labels[back].tolist())) < 2 or len(set(labels[~back].tolist())) < 2:
         back = np.zeros(len(labels), bool)
     counts = np.ones((2, size))
-    for p, label in zip(places, labels):
-        counts[label, p] += 1
+    for i in np.flatnonzero(~back):  # rows kept back must not have made the features that their margins rest on
+        counts[labels[i], places[i]] += 1
     seen = counts.sum(0) > 3  # an n-gram of one document says nothing of others
     ratios = np.where(seen, np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum()), 0.0)
     learn = np.flatnonzero(~back)
