@@ -8,7 +8,8 @@ chains prune them before the full distance is taken.
 Equal fingerprints are one node from the start. Tasks hand on spanning links of what they found, never
 all pairs; ``graph.components`` joins these up.
 
-``alike`` decides by the shingle sets themselves: fingerprints only choose the pairs whose sets are compared.
+``alike`` decides by the shingle sets themselves: bands of least hashes and fingerprints only choose the clusters
+whose sets are compared.
 """
 
 from __future__ import annotations
@@ -32,8 +33,11 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 #: Pairs that a task looks at together, rows of a block, and rows that a task should get.
 PAIRS, BLOCK, ROWS = 1 << 20, 1 << 15, 1 << 17
-#: Bytes of shingle sets that weigh as much as one row of a block, and rows by rows that are compared at once.
-UNIT, TILE = 1 << 10, (64, 4096)
+#: Bytes of shingle sets that weigh as much as one row of a block, and weight of a block of sets.
+UNIT, SET_BLOCK = 1 << 10, 1 << 12
+#: Bands of least hashes by which sets meet, and hashes of a band.
+BANDS, BAND_ROWS = 20, 4
+_SEEDS = np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
 
 @dataclass(frozen=True)
@@ -198,16 +202,17 @@ def _search(cells: DataFrame, ring: Ring, deep: bool) -> DataFrame:
     return cells.mapInArrow(run, "u binary, v binary")
 
 
-def _blocks(cells: DataFrame, weight: Column | None = None, node: str = "fp") -> DataFrame:
-    """Cells of more than BLOCK rows as pairs of blocks, so that each pair of rows meets in some part.
+def _blocks(cells: DataFrame, weight: Column | None = None, node: str = "fp", block: int | None = None) -> DataFrame:
+    """Cells of more than ``block`` (BLOCK) rows as pairs of blocks, so that each pair of rows meets in some part.
 
-    The part of a pair of blocks a <= b holds both. The table of large cells has at most rows / BLOCK rows.
+    The part of a pair of blocks a <= b holds both. The table of large cells has at most rows / block rows.
     weight: what a row counts instead of 1.
     """
-    large = cells.groupBy("seg", "cell").agg((F.count("*") if weight is None else F.sum(weight)).alias("n")).where(F.col("n") > BLOCK)
+    block = min(BLOCK, block or BLOCK)
+    large = cells.groupBy("seg", "cell").agg((F.count("*") if weight is None else F.sum(weight)).alias("n")).where(F.col("n") > block)
     names = [c for c in cells.columns if c not in ("seg", "cell")]
     cells = cells.join(large, ["seg", "cell"], "left")
-    k = F.ceil(F.col("n") / BLOCK).cast("int")
+    k = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64(node), k).cast("int")
     many = F.transform(F.sequence(F.lit(0), k - 1), lambda o: F.least(o, F.col("own")) * k + F.greatest(o, F.col("own")))
     cells = cells.select("*", own.alias("own"))
@@ -257,38 +262,38 @@ def groups(docs: DataFrame, shingle: int = 4, words: int = 1, segments: int = 5,
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
+def _bands(hashes: np.ndarray) -> np.ndarray:
+    """One number per band: a mix of the least values of BAND_ROWS further hashes of the set."""
+    least = np.empty(len(_SEEDS), np.uint64)
+    for a in range(0, len(_SEEDS), 16):
+        h = hashes[None, :] ^ _SEEDS[a:a + 16, None]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(_MIX[1])
+        least[a:a + 16] = ((h ^ (h >> np.uint64(29))) * np.uint64(_MIX[2])).min(axis=1)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, BAND_ROWS).T:
+        out = (out ^ row) * np.uint64(_MIX[0])
+        out ^= out >> np.uint64(31)
+    return out.view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, shingle: int, words: int, whole: bool = False) -> DataFrame:
-    """doc_id, key (digest of the set of shingle hashes), fp (of the set), size; whole: the sorted set, too."""
+    """doc_id, row (XXH64 of the text), key (digest of the set of shingle hashes), fp (of the set), size; and the
+    numbers of its bands (none of an empty set) or, with ``whole``, the sorted set."""
 
     def work(batch):
-        sets = [np.unique(shingle_hashes(t, shingle)).astype("<u8") for t in batch.column(1).to_pylist()]
-        out = {"doc_id": batch.column(0), "key": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+        texts = batch.column(1).to_pylist()
+        sets = [np.unique(shingle_hashes(t, shingle)).astype("<u8") for t in texts]
+        rows = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 42) for t in texts], np.uint64)
+        out = {"doc_id": batch.column(0), "row": pa.array(rows.view(np.int64)),
+               "key": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                "fp": pa.array([fingerprint(s, words).astype(">u8").tobytes() for s in sets], pa.binary()),
                "size": pa.array([len(s) for s in sets], pa.int64())}
-        return out | ({"set": pa.array([s.tobytes() for s in sets], pa.binary())} if whole else {})
+        if whole:
+            return out | {"set": pa.array([s.tobytes() for s in sets], pa.binary())}
+        return out | {"bands": pa.array([_bands(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))}
 
-    return by_batch(documents(docs), work, "doc_id long, key binary, fp binary, size long" + ", set binary" * whole)
-
-
-def _tiles(prints: np.ndarray, size: np.ndarray, side: np.ndarray, limit: int):
-    """(askers, others, hits) by tiles; rows are sorted by size, and each pair is looked at from its first row.
-
-    A pair hits within ``limit`` bits if the smaller set has 0.8 of the larger one's size or more. Rows of
-    side 1 are larger than those of side 0 and do not ask.
-    """
-    ask = np.flatnonzero(side == 0)
-    reach = np.searchsorted(4 * size, 5 * size[ask], "right")
-    for at in range(0, len(ask), TILE[0]):
-        a = ask[at:at + TILE[0]]
-        end = int(reach[at:at + TILE[0]].max(initial=0))
-        for b in range(int(a[0]) + 1, end, TILE[1]):
-            b = np.arange(b, min(b + TILE[1], end))
-            bits = np.zeros((len(a), len(b)), np.uint16)
-            for w in range(prints.shape[1]):
-                bits += np.bitwise_count(prints[a, w][:, None] ^ prints[b, w])
-            hits = (bits <= limit) & (b > a[:, None]) & (b < reach[at:at + TILE[0], None])
-            if hits.any():
-                yield a, b, hits
+    schema = "doc_id long, row long, key binary, fp binary, size long, "
+    return by_batch(documents(docs), work, schema + ("set binary" if whole else "bands array<long>"))
 
 
 def _sharing(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
@@ -301,71 +306,82 @@ def _sharing(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return 5 * both >= 4 * (len(own) + sizes - both)
 
 
-def _meet(nodes: DataFrame, words: int, limit: int, whole: bool) -> DataFrame:
-    """Keys of the nodes that have a near fingerprint; whole: links (u, v) between sets 0.8 alike or more.
+def _joined(prints: np.ndarray, size: np.ndarray, limit: int, sets: list[np.ndarray] | None = None) -> np.ndarray:
+    """Labels of rows of one cell: linked ones share one. Rows link within ``limit`` bits if the smaller set has 0.8
+    of the larger one's size or more and, where sets are given, if these are 0.8 alike or more.
 
-    Each node meets those of its size band and the next: a band is a factor 1.25 of ``size``, and sets whose
-    sizes differ by more are less than 0.8 alike.
+    Rows ask one after another, and only those of other labels; so a group of copies costs one look at each.
     """
-    names = ["side", "key", "fp", "size", *["set"] * whole]
-    band = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / math.log(1.25)).cast("long")
-    cells = nodes.withColumn("band", band).select("*", F.inline(F.array(
-        F.struct(F.col("band").alias("cell"), F.lit(0).alias("side")),
-        F.struct((F.col("band") - 1).alias("cell"), F.lit(1).alias("side")))))
-    cells = cells.select(F.lit(0).alias("seg"), "cell", *names)
-    weight = F.greatest(F.lit(1.0), F.col("size") * 8 / UNIT) if whole else F.lit(1.0)
-    n = cells.agg(F.sum(weight)).first()[0] or 0
+    label = np.arange(len(size))
+    for a in range(len(size) - 1):
+        b = np.flatnonzero(label != label[a])
+        if not len(b):
+            break
+        b = b[b > a]
+        b = b[(5 * size[b] >= 4 * size[a]) & (5 * size[a] >= 4 * size[b])]
+        for w in range(prints.shape[1]) if len(b) else ():
+            bits = np.bitwise_count(prints[a, w] ^ prints[b, w]) + (bits if w else np.uint16(0))
+        b = b[bits <= limit] if len(b) else b
+        if len(b) and sets is not None:
+            b = b[_sharing(sets[a], [sets[i] for i in b])]
+        _merge(label, np.full(len(b), a), b)
+    return label
+
+
+def _meet(cells: DataFrame, words: int, limit: int, rows: int) -> DataFrame:
+    """Spanning links (u, v) between the keys that link in rows (seg, cell, part, key, fp, size and maybe set)."""
 
     def run(batches):
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
         t = pa.Table.from_batches(parts)
-        _, group = np.unique(np.stack([t.column(c).to_numpy() for c in ("cell", "part")], 1), axis=0, return_inverse=True)
-        size, side = t.column("size").to_numpy(), t.column("side").to_numpy()
-        order = np.lexsort((size, group.ravel()))
-        for rows in np.split(order, np.flatnonzero(np.diff(group.ravel()[order])) + 1):
-            own = t.take(pa.array(rows))
-            tiles = _tiles(_numbers(own.column("fp"), words), size[rows], side[rows], limit)
-            key = own.column("key").combine_chunks()
-            if not whole:
-                near = np.zeros(len(rows), bool)
-                for a, b, hits in tiles:
-                    near[a] |= hits.any(1)
-                    near[b] |= hits.any(0)
-                yield pa.RecordBatch.from_arrays([key.filter(pa.array(near))], ["key"])
-                continue
-            label = np.arange(len(rows))
-            sets = [np.frombuffer(v, "<u8") for v in own.column("set").to_pylist()]
-            for a, b, hits in tiles:
-                for i in np.flatnonzero(hits.any(1)):
-                    others = b[hits[i]]
-                    others = others[label[others] != label[a[i]]]
-                    if len(others):
-                        others = others[_sharing(sets[a[i]], [sets[o] for o in others])]
-                        _merge(label, np.full(len(others), a[i]), others)
-            moved = np.flatnonzero(label != np.arange(len(rows)))
-            yield pa.RecordBatch.from_arrays([key.take(pa.array(moved)), key.take(pa.array(label[moved]))], ["u", "v"])
-
-    spread = _spread(_blocks(cells, weight, "key"), ["seg", "cell", "part"], n)
-    return spread.mapInArrow(run, "u binary, v binary" if whole else "key binary")
+        where = np.stack([t.column(c).to_numpy() for c in ("seg", "cell", "part")], 1)
+        _, group, n = np.unique(where, axis=0, return_inverse=True, return_counts=True)
+        group, size = group.ravel(), t.column("size").to_numpy()
+        prints, keys = _numbers(t.column("fp"), words), t.column("key")
+        order = np.argsort(group, kind="stable")
+        starts = np.cumsum(n) - n
+        for g in np.flatnonzero(n > 1):
+            own = order[starts[g]:starts[g] + n[g]]
+            sets = [np.frombuffer(v, "<u8") for v in t.column("set").take(pa.array(own)).to_pylist()] if "set" in t.column_names else None
+            label = _joined(prints[own], size[own], limit, sets)
+            moved = np.flatnonzero(label != np.arange(len(own)))
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(own[i])).combine_chunks() for i in (moved, label[moved])], ["u", "v"])
+
+    return _spread(cells, ["seg", "cell", "part"], rows).mapInArrow(run, "u binary, v binary")
 
 
 def alike(docs: DataFrame, shingle: int = 5, words: int = 4, limit: int = 72) -> DataFrame:
-    """doc_id, key, component_id: the least doc_id reachable over shingle sets with a Jaccard of 0.8 or more.
+    """doc_id, row, key, component_id: the least doc_id reachable over shingle sets with a Jaccard of 0.8 or more; group.
+
+    Sets meet where a band of BAND_ROWS least hashes is equal; of BANDS bands, sets 0.8 alike have none with a chance
+    of 3 in 100,000. Those whose fingerprints are ``limit`` bits apart or less form candidate clusters. Of 256
+    bits, sets 0.8 alike differ in 39 on average with a standard deviation of 5.7, in 48 and 6.2 for the
+    worst (4 of 5 shingles), so that 72 miss fewer than one pair in ten thousand. Within a cluster whole sets
+    are compared. So work grows with the number of alike sets, not with all pairs of a size.
 
-    Sets are compared in whole if their fingerprints are ``limit`` bits apart or less. Of 256 bits, sets 0.8
-    alike differ in 39 on average with a standard deviation of 5.7, in 48 and 6.2 for the worst (4 of 5
-    shingles), so that 72 miss fewer than one pair in ten thousand. Equal sets are one node, among them those
-    of all texts without words. Null text is empty; rows with a null id are left out.
+    Equal sets are one node, among them those of all texts without words. Null text is empty; rows with a null id
+    are left out; ``row`` (XXH64 of the text) tells texts of one doc_id apart, ``group`` components that share one. Large cells and clusters are dealt
+    out as pairs of blocks.
     """
     known = store(shingle_sets(docs, shingle, words), "prints")
-    nodes = store(known.groupBy("key", "fp", "size").agg(F.min("doc_id").alias("least")), "nodes")
-    near = nodes.join(_meet(nodes, words, limit, False).distinct(), "key")
-    # Few texts have a near fingerprint; only their sets are made again, in whole, and moved.
-    given = docs.join(near.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = shingle_sets(given, shingle, words, whole=True).join(near.select("key", F.col("least").alias("doc_id")), ["key", "doc_id"], "left_semi")
-    roots = components(_meet(store(sets, "sets"), words, limit, True))
-    named = nodes.join(roots, nodes["key"] == roots["u"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return known.select("doc_id", "key").join(named.join(least, "root").select("key", "component_id"), "key").select("doc_id", "key", "component_id")
+    nodes = store(known.groupBy("key", "fp", "size", "bands").agg(F.min(F.struct("doc_id", "row")).alias("least")), "nodes")
+    cells = nodes.select("key", "fp", "size", F.posexplode("bands").alias("seg", "cell"))
+    n = nodes.count()
+    near = components(_meet(_blocks(cells, None, "key"), words, limit, BANDS * n))
+    clusters = store(near.select(F.col("u").alias("key"), "root").unionByName(near.select(F.col("root").alias("key"), "root").distinct()), "clusters")
+    few = nodes.select("key", "least.*").join(clusters, "key")
+    # Only texts in a cluster are read again, and only their sets are moved; each set is in one cluster.
+    given = docs.where("doc_id IS NOT NULL").withColumn("row", F.xxhash64(F.coalesce("text", F.lit("")))).select("doc_id", "row", "text")
+    given = given.join(few.select("doc_id", "row"), ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"])
+    sets = shingle_sets(given, shingle, words, whole=True).join(clusters, "key")
+    sets = store(sets.select(F.lit(0).alias("seg"), F.xxhash64("root").alias("cell"), "key", "fp", "size", "set").dropDuplicates(["key"]), "sets")
+    weight = F.greatest(F.lit(1.0), F.col("size") * 8 / UNIT)
+    total = sets.agg(F.sum(weight)).first()[0] or 0
+    roots = components(_meet(_blocks(sets, weight, "key", SET_BLOCK), words, limit, total))
+    named = nodes.join(roots, nodes["key"] == roots["u"], "left").select("key", "least.doc_id", F.coalesce("root", "key").alias("root"))
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return known.select("doc_id", "row", "key").join(named.join(least, "root").select("key", "component_id", F.col("root").alias("group")), "key").select(
+        "doc_id", "row", "key", "component_id", "group")

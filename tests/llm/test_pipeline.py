@@ -1,6 +1,7 @@
 """Stages against what they state, on the smallest tables, and the registration of the queries."""
 
 import pytest
+from pyspark.sql import functions as F
 from corpus_fixtures import docs  # noqa: F401
 
 import __spark_entry__
@@ -56,6 +57,18 @@ def test_near_copies_and_passages(spark, docs):
     assert cut[6]["text"] is None
 
 
+def test_each_text_of_an_id_keeps_its_group(spark, docs):
+    """A doc_id with two texts stands for both groups, and clashing names or marks of the author's change nothing."""
+    a, b = (" ".join(f"{k}w{i}" for i in range(60)) for k in "ab")
+    given = docs([(1, a), (1, b + " more"), (2, a), (3, b + " more"), (4, "end \ufffd own"), (5, None)]).withColumn("cut_text", F.lit("mine"))
+    given = given.select("doc_id", "text", "lang", "source", "n_chars", "cut_text")
+    kept = corpus_pipeline.near_copies(spark, given, SF)
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == [(1, a), (1, b + " more"), (4, "end \ufffd own"), (5, "")]
+    cut = corpus_pipeline.passages(spark, kept.unionByName(kept.where("doc_id = 4").withColumns({"doc_id": F.lit(9), "text": F.concat(F.lit("x\ufffd" + a[:70] + "\ufffdé"), "text")})), SF)
+    assert cut.columns == given.columns
+    assert sorted((r["doc_id"], r["text"] or "") for r in cut.collect()) == [(1, a), (1, b + " more"), (4, "end \ufffd own"), (5, ""), (9, "x\ufffd\ufffdéend \ufffd own")]
+
+
 def test_whole_run_is_packed(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and got.count() > 0
