@@ -511,19 +511,21 @@ def fit_censored(df: DataFrame, z: Sequence[str], alphas: Sequence[float] = ALPH
                  inner: bool = True) -> tuple[list[dict], list]:
     """All censoring-aware fits at once: every fold and strength advances together.
 
-    Uncensored rows enter by their family blocks, once. In each round one aggregation over the
-    censored rows yields, per fit, the statistics of the rows predicted below their bound; a fit
-    is frozen when that set repeats. Only sums per (fit, family) are shuffled.
+    Uncensored rows enter by their family blocks, once. In each round the open fits are dealt out in blocks of bounded
+    size; a task keeps one vector of sums per fit over the censored rows predicted below their bound
+    (`_active_sums`), and no row is joined to fits or multiplied by them. A fit is frozen when its set repeats.
     """
-    spark, k = df.sparkSession, len(z)
+    k = len(z)
     unc = df.where(F.col("censored") == 0).withColumn("horizon", F.lit(0))
     blocks = moments(gram(unc, z, "rul_days"), k).get((0,), {})
     keep = ["family", KEY, "reference_day", "rul_lower_bound_days", *z]
     rows = df.where(F.col("censored") == 1).select(*keep)
     # Weights count the rows that are here: the anchors may have been filtered since they were cut.
     counts = cut(rows.groupBy("family", KEY).agg(F.count("*").alias("n_censored_rows")))
-    # Read once per round: the narrow censored rows are kept, not their lineage.
-    cen = cut(rows.join(counts, ["family", KEY]))
+    # Read once per round: the narrow censored rows are kept, not their lineage. Marks are parts of one hash.
+    hashed = F.xxhash64(KEY, "reference_day")
+    marks = [F.shiftrightunsigned(hashed, 20 * i).bitwiseAND(F.lit(0xFFFFF).cast("long")).cast("double").alias(f"_m{i}") for i in range(3)]
+    cen = cut(rows.join(counts, ["family", KEY]).select("family", *z, "rul_lower_bound_days", (1.0 / F.col("n_censored_rows")).alias("_w"), *marks))
     per_family = collect_bounded(
         counts.groupBy("family").agg(F.count("*").alias("m"), F.sum("n_censored_rows").alias("n")), MAX_FAMILIES, "families"
     )
@@ -531,62 +533,84 @@ def fit_censored(df: DataFrame, z: Sequence[str], alphas: Sequence[float] = ALPH
     n_cen = {r["family"]: r["n"] for r in per_family}
     names = sorted(set(blocks) | set(n_traj))
     fits = _censored_fits(names, alphas, inner)
-    base = {i: total(blocks, set(s)) for i, s, _ in fits}
-    state = {i: dict(active=(0, 0), moments=Moments.zero(k), done=False, iters=0) for i, _, _ in fits}
-    kind = dict(df.dtypes)["family"]
-    schema = ", ".join(["fit int", f"family {kind}", *[f"c{i} double" for i in range(k)], "c_b double"])
-    m = _moment_columns(z, "rul_lower_bound_days")
+    sets = {s for _, s, _ in fits}
+    without = {s: total(blocks, set(s)) for s in sets}
+    base = {i: without[s] for i, s, _ in fits}
+    state = {i: dict(active=None, moments=Moments.zero(k), done=False, iters=0) for i, _, _ in fits}
     for round_ in range(1, MAX_ITERATIONS + 1):
         todo = [(i, s, a) for i, s, a in fits if not state[i]["done"]]
         if not todo:
             break
-        rows = []
         for i, s, a in todo:
             coef, b = fit_joint(base[i] + state[i]["moments"], a)
             state[i].update(coef=coef, intercept=b, iters=round_)
-            rows += [(i, f, *map(float, coef), b) for f in n_traj if f not in s]
-        found = _active_sets(cen, z, m, k, grid(spark, rows, schema)) if n_traj else {}
-        for i, _, _ in todo:
-            fams = found.get(i, {})
-            active = (sum(r["n_active"] for r in fams.values()), sum(r["mark"] for r in fams.values()))
-            if active == state[i]["active"]:
-                state[i]["done"] = True
+        heads = np.array([[*state[i]["coef"], state[i]["intercept"]] for i, _, _ in todo])
+        found = _active_sums(cen, z, heads, [s for _, s, _ in todo], n_traj) if n_traj else np.zeros((len(todo), 4))
+        for (i, _, _), sums in zip(todo, found):
+            active = tuple(int(v) for v in sums[:4])
+            if active == (state[i]["active"] or (0, 0, 0, 0)):
+                state[i].update(done=True, active=active)
                 continue
-            parts = Moments.zero(k)
-            for f, r in fams.items():
-                one = Moments.of(r, k)
-                w = 1.0 / n_traj[f]
-                parts = parts + Moments(one.g * w, one.b * w, one.s * w, one.sy * w, one.syy * w, one.sw * w, 0, 0)
-            state[i].update(active=active, moments=parts)
+            state[i].update(active=active, moments=_active_moments(sums, k))
     out = []
     for i, s, a in fits:
         st = state[i]
-        everything = base[i] + st["moments"]
+        e = base[i] + st["moments"]
         coef, b = st["coef"], st["intercept"]
-        e = everything
         objective = (e.syy - 2 * (coef @ e.b + b * e.sy) + coef @ e.g @ coef + 2 * b * (coef @ e.s) + b * b * e.sw
                      + a * coef @ coef)
         out.append(dict(left_out=s, alpha=a, coef=coef, intercept=b, converged=st["done"], iters=st["iters"],
-                        n_uncensored=base[i].n, n_active=st["active"][0], objective=float(objective),
+                        n_uncensored=base[i].n, n_active=st["active"][0] if st["active"] else 0, objective=float(objective),
                         n_censored=sum(n for f, n in n_cen.items() if f not in s)))
     return out, names
 
 
-def _active_sets(cen: DataFrame, z: Sequence[str], m: dict, k: int, table: DataFrame) -> dict:
-    """Per fit and family: statistics and fingerprint of the censored rows below their bound."""
-    below = dot(z, [f"c{i}" for i in range(k)]) + F.col("c_b") < F.col("rul_lower_bound_days")
-    w = 1.0 / F.col("n_censored_rows")
-    mark = F.xxhash64(KEY, "reference_day").cast("decimal(38,0)")
-    rows = (
-        cen.join(table, "family")
-        .where(below)
-        .groupBy("fit", "family")
-        .agg(F.count("*").alias("n_active"), F.sum(mark).alias("mark"), F.sum(w).alias("sw"),
-             *[F.expr(f"sum({e} / n_censored_rows) AS `{n}`") for n, e in m.items()])
-    )
-    out: dict = {}
-    for r in collect_bounded(rows, SMALL_ROWS, "active sets"):
-        out.setdefault(r["fit"], {})[r["family"]] = {**r.asDict(), "n_rows": 0, "n_trajectories": 0}
+def _active_moments(sums: np.ndarray, k: int) -> Moments:
+    """`Moments` from a vector of `_active_sums`: rows, three marks, then weighted products of (1, z, bound)."""
+    m = np.zeros((k + 2, k + 2))
+    m[np.triu_indices(k + 2)] = sums[4:]
+    m = m + np.triu(m, 1).T
+    z = slice(1, k + 1)
+    return Moments(m[z, z], m[z, -1], m[0, z], m[0, -1], m[-1, -1], m[0, 0], 0, 0)
+
+
+def _active_sums(cen: DataFrame, z: Sequence[str], heads: np.ndarray, left_out: list[tuple], n_traj: dict) -> np.ndarray:
+    """Per fit: number, marks and weighted products of the censored rows of its families that lie below their bound.
+
+    Fits go in blocks, so that neither a task's sums nor what comes back exceeds `HEAD_VALUES` and `SMALL_ROWS`.
+    """
+    k, fams = len(z), sorted(n_traj)
+    upper = np.triu_indices(k + 2)
+    width = 4 + len(upper[0])
+    step = max(1, min(SMALL_ROWS, HEAD_VALUES) // width)
+    share = np.array([1.0 / n_traj[f] for f in fams])
+    out = np.zeros((len(heads), width))
+    for at in range(0, len(heads), step):
+        block = heads[at:at + step]
+        inside = np.array([[f not in s for s in left_out[at:at + step]] for f in fams])
+
+        def run(batches, block=block, inside=inside):
+            sums = np.zeros((len(block), width))
+            for g, x in wide.blocks(batches, fams, k + 5):
+                use = np.flatnonzero((g >= 0) & ~np.isnan(x).any(axis=1))
+                use = use[np.argsort(g[use], kind="stable")]
+                for mine in np.split(use, np.flatnonzero(np.diff(g[use])) + 1) if len(use) else ():
+                    f = g[mine[0]]
+                    rows = max(1, ERRORS // len(block))
+                    for a in range(0, len(mine), rows):
+                        v = x[mine[a:a + rows]]
+                        below = (v[:, :k] @ block[:, :k].T + block[:, k] < v[:, k:k + 1]) & inside[f]
+                        p = np.column_stack([np.ones(len(v)), v[:, :k + 1]])
+                        products = p[:, upper[0]] * p[:, upper[1]] * (v[:, k + 1] * share[f])[:, None]
+                        sums += below.T.astype(float) @ np.column_stack([np.ones(len(v)), v[:, k + 2:], products])
+            yield pa.RecordBatch.from_pydict({"_s": [sums.ravel().tolist()]})
+
+        src = cen.select("family", *z, "rul_lower_bound_days", "_w", "_m0", "_m1", "_m2")
+        each = src.mapInArrow(run, "_s array<double>").select(F.posexplode("_s"))
+        rows = collect_bounded(each.groupBy("pos").agg(F.sum("col").alias("s")), max(SMALL_ROWS, width), "active sets")
+        flat = np.zeros(len(block) * width)
+        flat[[r["pos"] for r in rows]] = [r["s"] for r in rows]
+        out[at:at + len(block)] = flat.reshape(-1, width)
     return out
 
 

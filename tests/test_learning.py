@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellfleet.operators import learning as L
-from cellfleet.plans.small import local_table
+from cellfleet.plans.small import cut, local_table
 
 K = 4
 Z = [f"z{i}" for i in range(K)]
@@ -214,3 +214,36 @@ def test_no_inner_folds_without_three_families(spark):
     df = local_table(spark, [(2, 0, 1, 1.0, 2.0), (2, 1, 2, 2.0, 3.0)], "horizon int, family int, trajectory_id int, z0 double, y_delta double")
     heads = L.candidate_heads(L.moments(L.gram(df, ["z0"]), 1), (1.0,))
     assert len(heads.outer) == 2 and L.score_candidates(df, ["z0"], heads).count() == 0
+
+
+def test_fits_of_many_families_in_small_blocks(spark, monkeypatch):
+    """60 families, all pairs, with limits so low that fits go in many blocks: the same heads."""
+    r = np.random.default_rng(8)
+    rows = []
+    for t in range(180):
+        z = r.normal(size=(6, 2))
+        life = 50 + z @ np.array([8.0, -5.0]) + r.normal(size=6) + t % 60 % 7
+        rows += [(t % 60, t, float(i), *map(float, z[i]), float(life[i]), float(life[i] + r.normal() * 4), int(t % 3 == 0)) for i in range(6)]
+    schema = "family int, trajectory_id int, reference_day double, z0 double, z1 double, rul_days double, rul_lower_bound_days double, censored int"
+    df = cut(local_table(spark, rows, schema))
+    whole, names = L.fit_censored(df, ["z0", "z1"], (1.0,), inner=True)
+    assert len(names) == 60 and len(whole) == 60 + 60 * 59 // 2
+    few, _ = L.fit_censored(df.where("family < 9"), ["z0", "z1"], (0.1, 1.0), inner=True)
+    monkeypatch.setattr(L, "SMALL_ROWS", 300)
+    monkeypatch.setattr(L, "ERRORS", 64)
+    again, _ = L.fit_censored(df.where("family < 9"), ["z0", "z1"], (0.1, 1.0), inner=True)
+    for a, b in zip(few, again):
+        assert a["left_out"] == b["left_out"] and a["n_active"] == b["n_active"] > 0 and a["converged"]
+        np.testing.assert_allclose([*a["coef"], a["intercept"]], [*b["coef"], b["intercept"]], rtol=1e-9)
+    # One of the 60-family fits against its definition: penalised squares, censored rows below their bound only.
+    fit = whole[-1]
+    a = np.array([x for x in rows if x[0] not in fit["left_out"]], float)
+    w = np.empty(len(a))
+    for i, x in enumerate(a):
+        same = (a[:, 1] == x[1])
+        w[i] = 1 / same.sum() / len(set(a[(a[:, 0] == x[0]) & (a[:, 7] == x[7]), 1]))
+    target = np.where(a[:, 7] == 1, a[:, 6], a[:, 5])
+    miss = target - a[:, 3:5] @ fit["coef"] - fit["intercept"]
+    miss = np.where((a[:, 7] == 1) & (miss < 0), 0.0, miss)
+    np.testing.assert_allclose((w * miss) @ a[:, 3:5], fit["coef"] * fit["alpha"], rtol=1e-6, atol=1e-9)
+    assert abs((w * miss).sum()) < 1e-8
