@@ -158,9 +158,8 @@ def running_sums(
 
 def ordered_scan(
     df: DataFrame,
-    key: str,
+    key: str | Sequence[str],
     order: Sequence[str],
-    place: Column,
     sums: dict[str, Column] | None = None,
     hot_rows: int | None = None,
     pos: str = POS,
@@ -168,43 +167,31 @@ def ordered_scan(
 ) -> DataFrame:
     """Gapless position (from 0) and running sums by ``order`` within ``key``.
 
-    ``place`` is a number that never falls along ``order``. Keys above ``hot_rows`` are cut into
-    segments by it. There are at most rows / hot_rows of them, so where the whole table is no
-    longer than that nothing is looked up, and elsewhere a count by key finds them first.
-    ``at_most`` is a known bound of the table's rows, which saves counting them.
+    Keys above ``hot_rows`` are cut into segments of about equal numbers of rows: they are range-partitioned by key and
+    the whole order, whose splitters Spark draws from a sample, so a burst within a second or numbers far apart
+    split as evenly as any others. There are at most rows / hot_rows such keys; where the whole table is no longer
+    than that nothing is looked up. ``at_most`` is a known bound of the table's rows, which saves counting them.
     """
-    hot_rows = hot_rows or HOT_ROWS
-    sums = sums or {}
+    hot_rows, keys, sums = hot_rows or HOT_ROWS, _keys(key), sums or {}
     plain = df.withColumn("_seg", F.lit(0).cast("long"))
     if (df.count() if at_most is None else at_most) <= hot_rows:
-        return _positions(plain, key, order, sums, pos)
-    src = df.withColumn("_place", place)
-    hot = (
-        src.groupBy(key)
-        .agg(F.count("*").alias("_n"), F.min("_place").alias("_lo"), F.max("_place").alias("_hi"))
-        .where(F.col("_n") > hot_rows)
-    )
-    hot = settle(hot)
+        return _positions(plain, keys, order, sums, pos)
+    hot = settle(df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).select(*keys))
     if hot.isEmpty():
-        return _positions(plain, key, order, sums, pos)
-    cuts = F.ceil(F.col("_n") * 8 / F.lit(hot_rows))
-    share = (F.col("_place") - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo") + 1)
-    src = src.join(hot, key, "left").withColumn("_seg", F.coalesce(F.floor(share * cuts), F.lit(0)))
-    table = (
-        src.where(F.col("_n").isNotNull())
-        .groupBy(key, "_seg")
-        .agg(F.count("*").alias("_o"), *[F.sum(c).alias(f"_o_{n}") for n, c in sums.items()])
-    )
-    earlier = Window.partitionBy(key).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+        return _positions(plain, keys, order, sums, pos)
+    # Evaluated once: the segment of every row is settled before it is counted.
+    ranged = cut(df.join(hot, keys, "left_semi").orderBy(*keys, *order).withColumn("_seg", F.spark_partition_id().cast("long")))
+    table = ranged.groupBy(*keys, "_seg").agg(F.count("*").alias("_o"), *[F.sum(c).alias(f"_o_{n}") for n, c in sums.items()])
+    earlier = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     names = ["_o", *[f"_o_{n}" for n in sums]]
-    offsets = settle(table.select(key, "_seg", *[F.sum(n).over(earlier).alias(n) for n in names]))
-    out = _positions(src.join(offsets, [key, "_seg"], "left"), key, order, sums, pos, shifted=True)
-    return out.drop("_place", "_n", "_lo", "_hi", *names)
+    offsets = settle(table.select(*keys, "_seg", *[F.sum(n).over(earlier).alias(n) for n in names]))
+    placed = _positions(ranged.join(offsets, [*keys, "_seg"], "left"), keys, order, sums, pos, shifted=True).drop(*names)
+    return placed.unionByName(_positions(plain.join(hot, keys, "left_anti"), keys, order, sums, pos))
 
 
-def _positions(df: DataFrame, key: str, order: Sequence[str], sums: dict[str, Column], pos: str,
+def _positions(df: DataFrame, keys: list[str], order: Sequence[str], sums: dict[str, Column], pos: str,
                shifted: bool = False) -> DataFrame:
-    w = Window.partitionBy(key, "_seg").orderBy(*order)
+    w = Window.partitionBy(*keys, "_seg").orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     base = lambda c: F.coalesce(F.col(c), F.lit(0)) if shifted else F.lit(0)
     return df.withColumns(
@@ -216,11 +203,8 @@ def _positions(df: DataFrame, key: str, order: Sequence[str], sums: dict[str, Co
 
 
 def with_ordinal(df: DataFrame, key: str | Sequence[str] = KEY, pos: str = POS, out: str = "ordinal") -> DataFrame:
-    """Gapless ordinal for a table whose integer index is unique per series but has gaps."""
-    pieces = halo(df, key=key, pos=pos).drop("home")
-    ctx = attach(pieces, before={"_o": (F.count("*"), F.sum)}, key=key, pos=pos)
-    rank = F.row_number().over(series(key, pos)) - 1
-    return ctx.withColumn(out, (F.coalesce(F.col("_o"), F.lit(0)) + rank).cast("long")).drop("_o", "chunk")
+    """Gapless ordinal by a number with gaps, however far apart its values lie (`ordered_scan`)."""
+    return ordered_scan(df, key, [pos], pos=out)
 
 
 def global_offsets(df: DataFrame, order: Sequence[str], size: str, out: str = "offset") -> DataFrame:

@@ -29,17 +29,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _seconds(c: str) -> Column:
-    """Seconds on the wall clock of a timestamp without zone; no session zone is involved."""
-    days = F.date_diff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date"))
-    return days * F.lit(86400).cast("long") + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
-
-
 def trajectories(spark: SparkSession, sf_dir: str, hot_rows: int | None = None) -> DataFrame:
     """Reference points: cumulative loss in integer steps, so running sums are exact."""
     ev = _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
     cents = F.round(F.col("value") * 100).cast("long")
-    pts = scan.ordered_scan(ev, "user_id", ["ts", "event_id"], _seconds("ts"), {"_loss": cents}, hot_rows)
+    pts = scan.ordered_scan(ev, "user_id", ["ts", "event_id"], {"_loss": cents}, hot_rows)
     noise = ((F.col("event_id") * 7919) % 1001 - 500) / F.lit(500.0) * F.lit(0.002)
     return (
         pts.withColumn("soh_true", F.lit(1.0) - F.col("_loss") / F.lit(1e6))
@@ -80,7 +74,7 @@ def drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(c("l_quantity").cast("long")).alias("_q"), (0.65 + F.avg("l_discount")).alias("mean_soc"),
         F.avg("l_quantity").alias("mean_abs_beta_deg"),
     )
-    cum = scan.ordered_scan(per, KEY, ["bin"], c("bin"), {"_efc": c("_q")}, at_most=li.count())
+    cum = scan.ordered_scan(per, KEY, ["bin"], {"_efc": c("_q")}, at_most=li.count())
     family = c(KEY) % FAMILIES
     return cum.select(
         KEY, family.alias("family"), POS, (14.0 * c(POS)).alias("age_days"), "mean_temp_c", "max_temp_c", "dod",

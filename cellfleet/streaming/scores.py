@@ -39,7 +39,7 @@ def judged(points: DataFrame, tails: DataFrame, hot_rows: int | None = None) ->
     that is NULL is left out; a NULL or negative index is refused as not rising, a NULL or NaN value for itself.
     """
     src = points.where(F.col(BATTERY).isNotNull()).select(BATTERY, F.col(POS).cast("long").alias(POS), "soh_observed", "arrival")
-    rows = scan.ordered_scan(src, BATTERY, ["arrival", POS, "soh_observed"], F.col("arrival"), hot_rows=hot_rows, pos="_at")
+    rows = scan.ordered_scan(src, BATTERY, ["arrival", POS, "soh_observed"], hot_rows=hot_rows, pos="_at")
     known = src.select(BATTERY).distinct().join(tails, BATTERY, "left").select(
         BATTERY, F.element_at("tail", -1)[POS].alias("_last"))
     rows = scan.halo(rows, key=BATTERY, pos="_at").drop("home")

@@ -11,6 +11,7 @@ from cellfleet.operators import earliness as P
 from cellfleet.operators import replay as D
 from cellfleet.operators import windows as W
 from cellfleet.plans import scan
+from cellfleet.plans.small import cut
 from cellfleet.sources import testbed as B
 
 SMALL = "/root/testdata/sf0.001"
@@ -89,3 +90,17 @@ def test_window_after_a_shuffle_join_is_spread_by_chunk(spark, hot_points):
         assert plan.index("REPARTITION_BY_COL") < plan.index("SortMergeJoin")
     finally:
         spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize("ts", ["{i}", "{i} * 1000003 + {i} % 7", "1000000 + {i} % 3 * 1e-6 * {i}", "CASE WHEN {i} < 3900 THEN 5.0 + {i} * 1e-9 ELSE {i} * 1e6 END"])
+def test_hot_keys_split_evenly_whatever_their_numbers(spark, monkeypatch, ts):
+    """Dense, far apart, and in bursts: one key with most rows meets in no task, and positions are the same."""
+    df = spark.range(4400).selectExpr("id", "CASE WHEN id < 4000 THEN 1 ELSE id % 5 + 2 END AS k", f"CAST({ts.format(i='id')} AS double) AS ts")
+    df = cut(df.orderBy(F.xxhash64("id")))
+    want = rows(scan.ordered_scan(df, "k", ["ts", "id"], {"s": F.col("id")}, pos="p"))
+    seen, real = [], scan._positions
+    monkeypatch.setattr(scan, "_positions", lambda d, *a, **b: seen.append(d) or real(d, *a, **b))
+    got = rows(scan.ordered_scan(df, "k", ["ts", "id"], {"s": F.col("id")}, hot_rows=1000, pos="p"))
+    assert got == want
+    largest = max(d.groupBy("k", "_seg").count().agg(F.max("count")).first()[0] for d in seen)
+    assert largest <= 1000, "eight partitions share the hot key's 4000 rows"
