@@ -41,8 +41,7 @@ def turns(conversations: DataFrame) -> DataFrame:
         F.unhex(F.substring(digest, 1, 32)).alias("id"), F.octet_length(text).cast("long").alias("bytes"),
         role.alias("role"), F.sha2(text, 256).alias("rest"))
     # Turns of one number, role and text are equal, so their order is of no account; texts order by digest here.
-    place = F.coalesce(F.col("turn").cast("double"), F.lit(-(2.0**63)))
-    return scan.ordered_scan(t, "conv_id", ["turn", "role", "rest"], place, pos="pos", at_most=conversations.count()).select("conv_id", "pos", "id", "bytes")
+    return scan.ordered_scan(t, "conv_id", ["turn", "role", "rest"], pos="pos", at_most=conversations.count()).select("conv_id", "pos", "id", "bytes")
 
 
 def rebuilt(t: DataFrame, step: int = 5, mod: int = 9) -> tuple[DataFrame, DataFrame]:
