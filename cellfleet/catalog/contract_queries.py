@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cellfleet.catalog.registry import ANCHORS, TRAJ, WIN, points, query, sql, stored_points, windows
 from cellfleet.operators import contracts as V
 from cellfleet.operators import joins as J
+from cellfleet.operators import replay as D
 from cellfleet.operators import windows as W
 from cellfleet.plans.scan import KEY, POS
 from cellfleet.plans.small import grid
@@ -91,11 +92,14 @@ bpar AS (SELECT * REPLACE (CASE WHEN q0_ah BETWEEN 41 AND 41.25::double THEN -k_
   SELECT 'start_index_not_0', count_if(i <> 0) FROM st UNION ALL SELECT 'start_age_not_0', count_if(abs(a) > 1e-8) FROM st UNION ALL
   SELECT 'missing_parameters', count(*) FROM st ANTI JOIN bpar USING (trajectory_id) UNION ALL
   SELECT 'unused_parameters', count(*) FROM (SELECT DISTINCT trajectory_id FROM bpar) b ANTI JOIN bdrv USING (trajectory_id) UNION ALL
-  SELECT 'k_cal_not_positive', count_if(k_cal <= 0) FROM bpar)""", "o", "rule n"))
+  """ + " UNION ALL ".join(f"SELECT '{c}_not_positive', count_if({c} <= 0) FROM bpar" for c in D.POSITIVE_PARAMETERS) + ")", "o", "rule n"))
 def driver_violations(spark, d):
-    """V6: the driver and parameter contract as rule counts."""
+    """V6: the declared driver and parameter contract as rule counts."""
     drv, par = _bad_tables(spark, d)
-    return V.driver_violations(drv, par, positive=["k_cal"])
+    # Declared columns that the inputs here lack are there without values; the contract checks names first.
+    drv, par = (t.withColumns({c: F.lit(None).cast("string") for c in names if c not in t.columns})
+                for t, names in ((drv, D.DRIVER_COLUMNS), (par, D.PARAMETER_COLUMNS)))
+    return V.driver_violations(drv, par, **D.declared_contract())
 
 
 @query(sql(DRIVERS + """, f AS (SELECT *, age_days - lag(age_days) OVER w AS da, CASE WHEN reference_index % 29 = 28 THEN efc - 1000 ELSE efc END AS e FROM drv WINDOW w AS (PARTITION BY trajectory_id ORDER BY reference_index)),

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from pathlib import PurePath
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -151,6 +154,42 @@ def read_space(spark: SparkSession, path: str) -> Space:
     return Space(names, *[tuple(map(float, d[k])) for k in ("clip_lo", "clip_hi", "scaler_mean", "scaler_std")])
 
 
+def read_replay_config(spark: SparkSession, path: str):
+    """Global replay coefficients from JSON, plain or under ``global_coefficients``; the temperature may be missing.
+
+    All five scales must be there: a replay never runs on a default by mistake.
+    """
+    from cellfleet.operators.replay import ReplayConfig
+
+    d = read_json(spark, path)
+    d = d.get("global_coefficients", d)
+    names = ("calendar_scale", "cycle_scale", "knee_gain_scale", "knee_start_offset", "rint_growth_scale")
+    if missing := [n for n in names if n not in d]:
+        raise ValueError(f"replay coefficients missing: {missing}")
+    return ReplayConfig(*(float(d[n]) for n in names), float(d.get("temperature_reference_c", 25.0)))
+
+
+def read_prior(spark: SparkSession, path: str, space: Space, space_sha256: str | None = None):
+    """A source head per horizon from JSON: ``coef`` (a row per horizon 1, 2, ..), ``intercept``, ``feature_names``.
+
+    The order of features must be the space's. With ``space_sha256``, the digest that the space was recorded with,
+    the file's own SHA-256 must equal it: the head then stems from the fit that made the space.
+    """
+    from cellfleet.operators.learning import Prior
+
+    if space_sha256 is not None:
+        found = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
+        if found != space_sha256:
+            raise ValueError(f"prior of digest {found} did not make the space, which names {space_sha256}")
+    d = read_json(spark, path)
+    if tuple(d["feature_names"]) != space.names:
+        raise ValueError(f"feature order differs: {d['feature_names']} against {list(space.names)}")
+    rows, shift = d["coef"], d["intercept"]
+    if len(rows) != len(shift) or any(len(r) != len(space.names) for r in rows):
+        raise ValueError("prior arrays differ in length")
+    return Prior({h + 1: tuple(map(float, r)) for h, r in enumerate(rows)}, {h + 1: float(v) for h, v in enumerate(shift)})
+
+
 def read_half_widths(spark: SparkSession, path: str) -> DataFrame:
     """Half-widths stored as ``protocol|arm|coverage|hN`` keys of one JSON object, as a table."""
     return half_width_table(spark, read_json(spark, path)["half_widths"])
@@ -166,16 +205,43 @@ def half_width_table(spark: SparkSession, table: dict[str, float]) -> DataFrame:
     return local_table(spark, rows, "protocol string, arm string, coverage double, horizon int, half_width double")
 
 
-def file_inventory(spark: SparkSession, root: str) -> DataFrame:
+#: Bytes up to which Spark reads a file as one value; pieces in which a longer one is read.
+WHOLE, PIECE = 64 << 20, 8 << 20
+
+
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """file, n_bytes and SHA-256 of files (file, n_bytes, path), each read in pieces by its task."""
+    for batch in batches:
+        for file, size, path in zip(*(c.to_pylist() for c in batch.columns)):
+            digest = hashlib.sha256()
+            store, name = _file_system(path)
+            with store.open_input_stream(name) as source:
+                while piece := source.read(PIECE):
+                    digest.update(piece)
+            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([size]), pa.array([digest.hexdigest()])], ["file", "n_bytes", "sha256"])
+
+
+def _file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    if uri.startswith("file:") or "://" not in uri:
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
+def file_inventory(spark: SparkSession, root: str, whole: int | None = None) -> DataFrame:
     """Path below ``root``, size and SHA-256 of every file under it, at any depth.
 
-    Spark's file source reads a file as one value, so a file may have 2 GB at most.
+    Files of at most ``whole`` bytes are values of Spark's file source. Longer ones, of any length, are read in pieces
+    of PIECE bytes by the tasks they are dealt to, so memory does not grow with them; this needs a file system that
+    ``pyarrow.fs`` opens. A SHA-256 is sequential, so one file is one task. Spark lists no empty files.
     """
+    whole = WHOLE if whole is None else whole
     base = "/" + root.split("://", 1)[-1].strip("/") + "/"
-    name = F.substring_index("path", base, -1)
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(
-        name.alias("file"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256")
-    )
+    name = F.substring_index("path", base, -1).alias("file")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    small = files.where(F.col("length") <= whole).select(name, F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+    # The filter reaches the scan, and without ``content`` no long file is opened there.
+    large = files.where(F.col("length") > whole).select(name, F.col("length").alias("n_bytes"), "path").repartition("path")
+    return small.unionByName(large.mapInArrow(_streamed, "file string, n_bytes long, sha256 string"))
 
 
 def reconcile_files(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
 """Expressions, contracts, sources and sinks."""
 
+import hashlib
+import json
 import math
+import os
 
 import pytest
 from conftest import SMALL, rows
@@ -12,7 +15,7 @@ from cellfleet.operators import contracts as V
 from cellfleet.operators import earliness as P
 from cellfleet.operators import fleet as G
 from cellfleet.operators import joins as J
-from cellfleet.functions.space import clip
+from cellfleet.functions.space import Space, clip
 from cellfleet.operators import windows as W
 from cellfleet.operators.replay import declared_contract
 from cellfleet.plans.small import collect_bounded, local_table, settle
@@ -265,6 +268,54 @@ def test_cycles_space_and_half_widths(spark, tmp_path):
     assert (r.protocol, r.coverage, r.horizon, r.half_width) == ("P", 0.9, 2, 0.01)
 
 
+def test_replay_configuration_and_prior(spark, tmp_path):
+    five = {"calendar_scale": 1.1, "cycle_scale": 0.9, "knee_gain_scale": 1, "knee_start_offset": -0.01, "rint_growth_scale": 2}
+    for i, text in enumerate((five, {"global_coefficients": five, "thresholds": {"eol": 0.7}})):
+        (tmp_path / f"r{i}.json").write_text(json.dumps(text))
+        c = tables.read_replay_config(spark, str(tmp_path / f"r{i}.json"))
+        assert (c.calendar_scale, c.knee_start_offset, c.rint_growth_scale, c.temperature_reference_c) == (1.1, -0.01, 2.0, 25.0)
+    (tmp_path / "bad.json").write_text(json.dumps({"calendar_scale": 1}))
+    with pytest.raises(ValueError, match="cycle_scale"):
+        tables.read_replay_config(spark, str(tmp_path / "bad.json"))
+    space = Space(("a", "b"), (0, 0), (1, 1), (0, 0), (1, 1))
+    text = json.dumps({"feature_names": ["a", "b"], "coef": [[1, 2], [3, 4]], "intercept": [0.5, 0.25]})
+    (tmp_path / "p.json").write_text(text)
+    path = str(tmp_path / "p.json")
+    p = tables.read_prior(spark, path, space, hashlib.sha256(text.encode()).hexdigest())
+    assert p.at(2).tolist() == [3.0, 4.0] and p.intercept == {1: 0.5, 2: 0.25}
+    with pytest.raises(ValueError, match="outside"):
+        p.at(3)
+    with pytest.raises(ValueError, match="digest"):
+        tables.read_prior(spark, path, space, "0" * 64)
+    with pytest.raises(ValueError, match="order"):
+        tables.read_prior(spark, path, Space(("b", "a"), (0, 0), (1, 1), (0, 0), (1, 1)))
+
+
+def test_files_are_hashed_in_pieces(spark, tmp_path):
+    """Short and long ones, names with spaces, folders below, and one of over 2 GB (sparse)."""
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    files = {"a.bin": b"x" * 10, "deep/b c.bin": bytes(range(256)) * 5000, "deep/er/d%20.bin": b"y" * 70_000}
+    for name, body in files.items():
+        (tmp_path / name).write_bytes(body)
+    want = {n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in files.items()}
+    for whole in (None, 50_000, 0):
+        got = {r["file"]: (r["n_bytes"], r["sha256"]) for r in tables.file_inventory(spark, str(tmp_path), whole).collect()}
+        assert got == want
+    big = tmp_path / "deep" / "big"
+    with open(big, "wb") as f:
+        f.truncate((2 << 30) + 12_345)
+    digest, piece = hashlib.sha256(), bytes(1 << 20)
+    for _ in range(2 << 10):
+        digest.update(piece)
+    digest.update(bytes(12_345))
+    got = {r["file"]: (r["n_bytes"], r["sha256"]) for r in tables.file_inventory(spark, str(tmp_path)).collect()}
+    assert got == want | {"deep/big": ((2 << 30) + 12_345, digest.hexdigest())}
+    os.truncate(big, 5)
+    stale = local_table(spark, [("a.bin", "0"), ("deep/big", hashlib.sha256(bytes(5)).hexdigest()), ("gone", "0")], "file string, sha256 string")
+    status = dict(tables.reconcile_files(spark, str(tmp_path), stale).select("file", "status").collect())
+    assert (status["a.bin"], status["deep/big"], status["gone"], status["deep/er/d%20.bin"]) == ("MISMATCH", "OK", "MISSING", "UNLISTED")
+
+
 def test_approximate_space_is_close(spark, points):
     w = W.with_target(points, (8,))
     a, b = A.fit_space(w), A.fit_space(w, approximate=True)
