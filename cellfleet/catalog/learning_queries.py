@@ -15,7 +15,7 @@ from cellfleet.operators import fleet as G
 from cellfleet.operators import learning as L
 from cellfleet.operators import windows as W
 from cellfleet.plans.scan import KEY, POS
-from cellfleet.plans.small import cut
+from cellfleet.plans.small import cut, settle
 from cellfleet.sources import testbed as B
 
 PRIOR = L.Prior(B.PRIOR2)
@@ -239,11 +239,27 @@ def fleet_refusals(spark, d):
 
 
 def _stored(z, alphas):
-    """Windows with predictions as an earlier run stored them."""
-    heads = L.fixed_heads(z, Z2, alphas, per_family=True)
+    """Windows with predictions as an earlier run stored them, keyed by (horizon, held family).
+
+    That run shares no code with the fit under test: weighted sums of joined rows, leave-one-out by a join of
+    families, and the two-feature solve written out as columns.
+    """
+    z1, z2, y, w = (F.col(c) for c in (*Z2, "y_delta", "weight"))
+    parts = {"sw": w, "g11": w * z1 * z1, "g12": w * z1 * z2, "g22": w * z2 * z2, "s1": w * z1, "s2": w * z2,
+             "b1": w * z1 * y, "b2": w * z2 * y, "sy": w * y, "n": F.lit(1)}
+    per = L.equal_weights(z).groupBy("horizon", "family").agg(*[F.sum(e).alias(c) for c, e in parts.items()])
+    held = per.select("horizon", F.col("family").alias("held"))
+    sums = held.join(per, "horizon").where("family <> held").groupBy("horizon", "held").agg(*[F.sum(c).alias(c) for c in parts])
+    alpha = F.create_map(*[F.lit(v) for pair in alphas.items() for v in pair])[F.col("horizon")]
+    a = sums.withColumn("k", F.col("n") / F.col("sw")).withColumns({
+        "a11": F.expr("g11 * k") + alpha, "a12": F.expr("g12 * k"), "a22": F.expr("g22 * k") + alpha})
+    c = a.withColumn("det", F.expr("a11 * a22 - a12 * a12")).withColumns({
+        "c0": F.expr("(a22 * b1 - a12 * b2) * k / det"), "c1": F.expr("(a11 * b2 - a12 * b1) * k / det")})
+    heads = c.select("horizon", F.col("held").alias("family"), "c0", "c1", F.expr("(sy - s1 * c0 - s2 * c1) / sw").alias("cb"))
     # One cell differs by rule, so that the comparison has something to find.
     off = F.when((F.col("horizon") == 4) & (F.col("family") == 2), F.lit(0.001)).otherwise(F.lit(0.0))
-    return cut(L.attach_heads(z, heads, Z2).withColumn("frozen_predicted_delta", F.col("pred_delta") + off).drop("pred_delta", "pred_soh", "alpha", "lam"))
+    pred = F.col("cb") + F.col("c0") * z1 + F.col("c1") * z2 + off
+    return cut(z.join(settle(heads), ["horizon", "family"]).withColumn("frozen_predicted_delta", pred).drop("c0", "c1", "cb"))
 
 
 REPLAY = GRAM + f""", fx(horizon, alpha) AS (VALUES {FIX_SQL}), tot AS (SELECT horizon, sum(n_rows)::bigint AS n, sum(n_traj)::bigint AS m FROM blk GROUP BY 1),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellfleet.catalog.contract_queries import CAL, DRIVERS, calendar_tables
-from cellfleet.catalog.learning_queries import ALPHA_FIX
-from cellfleet.catalog.registry import FEAT, TRAJ, Z2, features_sql, points, query, sql, stored_points, target_sql, z_windows
+from cellfleet.catalog.learning_queries import ALPHA_FIX, blocks_sql, ridge_sql
+from cellfleet.catalog.registry import FEAT, TRAJ, Z2, Z_SQL, features_sql, points, query, sql, stored_points, target_sql, z_windows
 from cellfleet.catalog.report_queries import TEL, TREND8
 from cellfleet.functions.forecast import scale_drivers
 from cellfleet.functions.space import apply_space
@@ -113,6 +113,10 @@ HEADS8 += f""", hb_t AS (SELECT family, trajectory_id, count(*) AS n, {', '.join
   heads AS (SELECT held, c0, c1, sy / sw - (s1 * c0 + s2 * c1) / sw AS c_b FROM hc)"""
 
 
+NESTED8 = FEAT + "," + target_sql("feat", "win", (8,)) + f", zwin AS (SELECT *, {Z_SQL} FROM win)," + blocks_sql("zwin", "blk") + "," + ridge_sql(
+    "zwin", "blk", "rh") + ", heads AS (SELECT held, c0, c1, c_b FROM rh)"
+
+
 def _heads8(spark, d):
     z = cut(z_windows(spark, d, (8,)).select("horizon", "family", KEY, *Z2, "y_delta"))
     return L.fixed_heads(z, Z2, {8: ALPHA_FIX[8]}, per_family=True)
@@ -224,20 +228,21 @@ def fault_summary(spark, d):
 
 FEVAL = FAULT + """, ch AS (SELECT 'baseline' AS channel, trajectory_id, family, fault_type, reference_index, reference_day, soh_observed, soh_true FROM fpts UNION ALL
     SELECT 'faulted', trajectory_id, family, fault_type, reference_index, reference_day, soh_observed_faulted, soh_true_faulted FROM fpts),""" + features_sql("ch", "cf", key="channel, trajectory_id") + "," + target_sql(
-    "cf", "cw", (8,), "channel, trajectory_id") + "," + HEADS8.replace(TRAJ + ",", "", 1) + """,
+    "cf", "cw", (8,), "channel, trajectory_id") + "," + NESTED8.replace(TRAJ + ",", "", 1) + """,
   fs AS (SELECT w.*, soh_observed + c_b + c0 * (last - 0.85::double) / 0.07::double + c1 * (slope_full + 0.005::double) / 0.0013::double AS pred_soh FROM cw w JOIN heads ON family = held)"""
 
 
 def _fault_scores(spark, d):
     win = D.fault_windows(_faulted(spark, d))
-    return cut(L.attach_heads(apply_space(win, B.SPACE2), _heads8(spark, d), Z2).select(
+    z = cut(z_windows(spark, d, (8,)).select("horizon", "family", KEY, *Z2, "y_delta"))
+    return cut(L.attach_heads(apply_space(win, B.SPACE2), L.lofo_fit(z, Z2), Z2).select(
         "channel", KEY, "fault_type", "reference_day", "pred_soh", "target_soh_true"))
 
 
 @query(sql(FEVAL + """, o1 AS (SELECT fault_type, count_if(channel = 'faulted') AS n_rows, avg(CASE WHEN channel = 'baseline' THEN abs(pred_soh - target_soh_true) END) AS mae_absolute_soh_baseline, avg(CASE WHEN channel = 'faulted' THEN abs(pred_soh - target_soh_true) END) AS mae_absolute_soh_faulted FROM fs GROUP BY 1),
   o AS (SELECT *, mae_absolute_soh_faulted / mae_absolute_soh_baseline AS degradation_ratio FROM o1)""", "o", "fault_type n_rows", "mae_absolute_soh_baseline mae_absolute_soh_faulted degradation_ratio"))
 def fault_errors(spark, d):
-    """Forecast errors before and after each fault."""
+    """Forecast errors before and after each fault, by heads of nested selection on sound windows."""
     return D.fault_evaluation(_fault_scores(spark, d))[0]
 
 

@@ -379,7 +379,7 @@ def _pct(col: str, named: dict[str, float]) -> str:
     return ", ".join(f"quantile_cont({col}, {q}) AS {n}" for n, q in named.items())
 
 
-SUMMARY = REC + ", rr AS (SELECT *, CASE WHEN outcome = 'TRUE_POSITIVE' THEN dt_warn_days END AS dt FROM rec), summ AS (SELECT count(*) AS n_trajectories, count_if(crossed) AS n_crossed, count_if(NOT crossed) AS n_never_crossed, " + ", ".join(
+SUMMARY = ", rr AS (SELECT *, CASE WHEN outcome = 'TRUE_POSITIVE' THEN dt_warn_days END AS dt FROM rec), summ AS (SELECT count(*) AS n_trajectories, count_if(crossed) AS n_crossed, count_if(NOT crossed) AS n_never_crossed, " + ", ".join(
     f"count_if(outcome = '{o}') AS {n}" for n, o in _CNT.items()) + """, count_if(outcome = 'MISSED') / count_if(crossed) AS miss_rate_of_crossers, count_if(outcome = 'LATE') / count_if(crossed) AS late_rate_of_crossers,
   count_if(outcome = 'FALSE_POSITIVE') / count_if(NOT crossed) AS false_alarm_rate_of_non_crossers, count(dt) AS dt_warn_n, avg(dt) AS dt_warn_mean_days, min(dt) AS dt_warn_min_days, max(dt) AS dt_warn_max_days, """ + _pct(
     "dt", {"dt_warn_median_days": 0.5, "dt_warn_p10_days": 0.1, "dt_warn_p90_days": 0.9}) + """, count(ph_days) AS ph_n_defined, avg(ph_days) AS ph_mean_days, avg(ph_days_gridfloor) AS ph_gridfloor_mean_days,
@@ -389,8 +389,11 @@ SUMMARY = REC + ", rr AS (SELECT *, CASE WHEN outcome = 'TRUE_POSITIVE' THEN dt_
     "credible_window_days", {"credible_window_median_days": 0.5, "credible_window_p90_days": 0.9}) + ", " + _pct("credible_window_lead_before_eol_days", {"credible_window_lead_median_days": 0.5}) + " FROM rr)"
 
 
-@query(sql(SUMMARY, "summ", "n_trajectories n_crossed n_never_crossed n_true_positive n_late n_missed n_false_positive n_true_negative dt_warn_n ph_n_defined ph_gridfloor_n_nonzero anchors_inside_band_strict anchors_inside_band_gridfloor rul_anchors_total credible_window_n",
-           "miss_rate_of_crossers late_rate_of_crossers false_alarm_rate_of_non_crossers dt_warn_mean_days dt_warn_min_days dt_warn_max_days dt_warn_median_days dt_warn_p10_days dt_warn_p90_days ph_mean_days ph_gridfloor_mean_days credible_window_mean_days credible_window_lead_mean_days ph_median_days ph_p10_days ph_p90_days ph_gridfloor_median_days ph_gridfloor_p90_days credible_window_median_days credible_window_p90_days credible_window_lead_median_days"))
+SUMMARY_COUNTS = "n_trajectories n_crossed n_never_crossed n_true_positive n_late n_missed n_false_positive n_true_negative dt_warn_n ph_n_defined ph_gridfloor_n_nonzero anchors_inside_band_strict anchors_inside_band_gridfloor rul_anchors_total credible_window_n"
+SUMMARY_DOUBLES = "miss_rate_of_crossers late_rate_of_crossers false_alarm_rate_of_non_crossers dt_warn_mean_days dt_warn_min_days dt_warn_max_days dt_warn_median_days dt_warn_p10_days dt_warn_p90_days ph_mean_days ph_gridfloor_mean_days credible_window_mean_days credible_window_lead_mean_days ph_median_days ph_p10_days ph_p90_days ph_gridfloor_median_days ph_gridfloor_p90_days credible_window_median_days credible_window_p90_days credible_window_lead_median_days"
+
+
+@query(sql(REC + SUMMARY, "summ", SUMMARY_COUNTS, SUMMARY_DOUBLES))
 def earliness_summary(spark, d):
     """Outcome counts, rates, lead times and horizons of the fleet."""
     return P.earliness_summary(_records(spark, d))

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from cellfleet.operators import learning as L
@@ -247,3 +248,14 @@ def test_fits_of_many_families_in_small_blocks(spark, monkeypatch):
     miss = np.where((a[:, 7] == 1) & (miss < 0), 0.0, miss)
     np.testing.assert_allclose((w * miss) @ a[:, 3:5], fit["coef"] * fit["alpha"], rtol=1e-6, atol=1e-9)
     assert abs((w * miss).sum()) < 1e-8
+
+
+def test_replay_turns_red_for_a_wrong_fit(spark, monkeypatch):
+    """Stored predictions are solved by other code, so a fit that is off by a millionth does not agree with them."""
+    from cellfleet.catalog.learning_queries import golden_replay
+
+    right = {(r["horizon"], r["held"]): r["within_atol"] for r in golden_replay(spark, SMALL).collect()}
+    assert [k for k, ok in right.items() if not ok] == [(4, 2)]
+    real = L.fit_l2sp
+    monkeypatch.setattr(L, "fit_l2sp", lambda *a: (lambda c, b: (c * (1 + 1e-6), b))(*real(*a)))
+    assert not any(r["within_atol"] for r in golden_replay(spark, SMALL).collect())
