@@ -82,10 +82,13 @@ def timescale(l1: DataFrame, l2: DataFrame, seconds: str = "scenario_epoch_s", o
         (F.max(drift) - F.min(drift)).alias("template_soh_drift"),
     )
     step = W.with_lag(l2.select(KEY, POS, "soh_true", "reference_day"), ["soh_true", "reference_day"])
-    mean_abs = step.agg(F.avg(F.abs("diff_soh_true")).alias("soh_step_mean_abs"))
-    days = ranks.percentile_columns(step, [], "diff_reference_day", {"step_days": 0.5})
+    # One window pass gives the mean and the range of both; on an even grid the median is known from it.
+    both = wide.Folds(cut(step.select(F.abs("diff_soh_true").alias("_s"), F.col("diff_reference_day").alias("_d"))), ["_s", "_d"])
+    seen = both.n.sum(axis=0) if len(both.n) else (0, 0)
+    mean_abs = float(both.shift[0]) if seen[0] else None
+    days = float(both.percentiles((0.5,), ["_d"])[None][1, 0]) if seen[1] else None
     return (
-        beside(tpl, mean_abs, days)
+        tpl.withColumns({"soh_step_mean_abs": F.lit(mean_abs).cast("double"), "step_days": F.lit(days).cast("double")})
         .withColumn("separation_ratio",
                     F.col("soh_step_mean_abs") / F.greatest(F.col("template_soh_drift"), F.lit(1e-9)))
         .withColumn("separated", F.col("soh_step_mean_abs") > F.col("template_soh_drift"))
@@ -241,27 +244,46 @@ def rul_corr(df: DataFrame, eol: float = EOL_SOH) -> DataFrame:
     The days left differ from the negated day by a constant per trajectory, which a correlation
     does not see, so one aggregation is enough.
     """
-    s, d = F.col("soh_true"), F.col("reference_day")
-    per = df.groupBy(KEY).agg(
-        F.count_if(s <= eol).alias("_e"), F.count("*").alias("_n"),
-        F.stddev_pop(s).alias("_ss"), F.stddev_pop(d).alias("_sd"), F.covar_pop(s, -d).alias("_c"),
-    )
-    ok = (F.col("_e") > 0) & (F.col("_n") >= 4) & (F.col("_ss") >= 1e-9) & (F.col("_sd") >= 1e-9)
-    return per.where(ok).agg(F.avg(F.col("_c") / (F.col("_ss") * F.col("_sd"))).alias("rul_corr_mean"),
-                             F.count("*").alias("n_trajectories"))
+    per = df.groupBy(KEY).agg(*_corr_sums(F.col("soh_true"), F.col("reference_day"), eol))
+    corr, ok = _corr_of_sums()
+    return per.where(ok).agg(F.avg(corr).alias("rul_corr_mean"), F.count("*").alias("n_trajectories"))
+
+
+def _corr_sums(s: Column, d: Column, eol: float) -> list[Column]:
+    return [F.count_if(s <= eol).alias("_e"), F.count("*").alias("_c_n"), F.stddev_pop(s).alias("_ss"),
+            F.stddev_pop(d).alias("_sd"), F.covar_pop(s, -d).alias("_c")]
+
+
+def _corr_of_sums() -> tuple[Column, Column]:
+    """The correlation of a trajectory from its sums, and whether it counts."""
+    ok = (F.col("_e") > 0) & (F.col("_c_n") >= 4) & (F.col("_ss") >= 1e-9) & (F.col("_sd") >= 1e-9)
+    return F.col("_c") / (F.col("_ss") * F.col("_sd")), ok
 
 
 def directionality(df: DataFrame, eol: float = EOL_SOH) -> DataFrame:
-    """The six direction checks as one row."""
-    mono = W.monotonicity(df).select(F.col("non_increasing_share").alias("soh_non_increasing_frac"))
-    ends = W.first_last(df, ["soh_true"]).agg(
-        F.avg("first_soh_true").alias("init_mean"), F.avg("last_soh_true").alias("end_mean")
+    """The six direction checks as one row, from one ordered pass.
+
+    A row's step and its half of the series come from one window; everything else is a sum per trajectory: steps,
+    halves, ends, end of life, and the moments of the correlation.
+    """
+    s, d, at = F.col("soh_true"), F.col("reference_day"), F.col(POS)
+    rows = scan.halo(df.select(KEY, POS, "reference_day", "soh_true", "soh_observed"), back=1)
+    rows = scan.attach(rows, total={"_n": (F.count_if("home"), F.sum)})
+    rows = rows.withColumns({"_step": s - F.lag("soh_true").over(scan.series()), "_mid": F.expr("_n div 2")}).where("home")
+    step = F.col("_step")
+    per = rows.groupBy(KEY).agg(
+        F.avg(F.when(step.isNotNull(), (step <= 1e-6).cast("double"))).alias("share"),
+        F.coalesce(F.avg(F.when(at.between(1, F.col("_mid") - 1), step)), F.lit(0.0)).alias("early"),
+        F.coalesce(F.avg(F.when(at > F.col("_mid"), step)), F.lit(0.0)).alias("late"),
+        F.min_by("soh_true", POS).alias("first"), F.max_by("soh_true", POS).alias("last"),
+        F.max(F.abs(s - F.col("soh_observed"))).alias("err"), *_corr_sums(s, d, eol),
     )
-    halves = W.half_rates(df).agg(F.avg("early").alias("delta_early_mean"), F.avg("late").alias("delta_late_mean"))
-    noise = df.agg(F.max(F.abs(F.col("soh_true") - F.col("soh_observed"))).alias("obs_err_max"))
-    reached = df.where(F.col("soh_true") <= eol).agg(F.count_distinct(KEY).alias("eol_trajectories"))
-    corr = rul_corr(df, eol).select("rul_corr_mean")
-    return beside(mono, ends, halves, noise, reached, corr).withColumns(
+    corr, ok = _corr_of_sums()
+    return per.agg(
+        F.avg("share").alias("soh_non_increasing_frac"), F.avg("first").alias("init_mean"), F.avg("last").alias("end_mean"),
+        F.avg("early").alias("delta_early_mean"), F.avg("late").alias("delta_late_mean"), F.max("err").alias("obs_err_max"),
+        F.count_if(F.col("_e") > 0).alias("eol_trajectories"), F.avg(F.when(ok, corr)).alias("rul_corr_mean"),
+    ).withColumns(
         {
             "check_1": F.col("soh_non_increasing_frac") > 0.9,
             "check_2": F.col("end_mean") < F.col("init_mean"),

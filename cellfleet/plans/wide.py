@@ -183,11 +183,16 @@ class Folds:
             out[w] = float(v[a + int(np.searchsorted(np.cumsum(self._of(counts[a:b], w[0])), r))])
         return out
 
-    def percentiles(self, fractions: Sequence[float]) -> dict:
-        """Fold -> exact percentiles (column x fraction) with linear interpolation; NaN where a column has no value."""
+    def percentiles(self, fractions: Sequence[float], columns: Sequence[str] | None = None) -> dict:
+        """Fold -> exact percentiles (column x fraction) with linear interpolation; NaN where a column has no value.
+
+        With ``columns`` only these are searched for; a column of one value needs no search.
+        """
         spots = {}
         for fold in self.folds:
             for c, n in enumerate(self._of(self.n.T, fold)):
+                if columns is not None and self.columns[c] not in columns:
+                    continue
                 for f in fractions:
                     spots[(fold, c, f)] = float((n - 1) * f) if n else None
         ranks = lambda x: (int(np.floor(x)) + 1, int(np.ceil(x)) + 1)
