@@ -12,10 +12,12 @@ from llm.common import held_out, table
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of each query vector (ids divisible by 20) among all other ``embeddings``; vectors without use take no part."""
     return nearest.nearest(table(spark, sf_dir, "embeddings"), queries=20, k=20)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all ``documents`` in sequences of 1,024 tokens; rows without an id are left out."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     found = packing.pack(table(spark, sf_dir, "documents"), path, window=1024, end_id=0)
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -27,17 +29,20 @@ def _predicted(scored: DataFrame, held: F.Column, threshold: float) -> DataFrame
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; labels are learnt outside the held-out fifth only."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     found = nbsvm.scored(docs, nbsvm.fit(docs, labels, "quality", held_out(5) != 0))
     return _predicted(found, held_out(5) == 0, 0.3)
 
 
 def op4_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all ``documents`` read back from Huffman files written in the order of doc_id."""
     path = public_tokenizers.path("word_bpe_49k.json")
     return huffman.read(*huffman.archive(table(spark, sf_dir, "documents"), path, end_id=2))
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's piece ids and of the text they decode to."""
     path = public_tokenizers.path("piece_bpe_32k.model")
     found = pieces.decoded(pieces.encoded(table(spark, sf_dir, "documents"), path), path)
     return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -45,26 +50,31 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of each document and the least doc_id reachable over links of at most four bits."""
     found = simhash.groups(table(spark, sf_dir, "documents"), shingle=4, words=1, segments=5, limit=4)
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document outside strings of 50 bytes that a smaller doc_id has."""
     found = suffixes.deduplicated(table(spark, sf_dir, "documents"), length=50)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; labels are learnt outside the held-out third only."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     found = toxicity.scored(docs, toxicity.fit(docs, labels, "toxic", held_out(3) != 1))
     return _predicted(found, held_out(3) == 1, 0.7)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all ``pages`` read back from archives, large equal payloads as revisits of the largest page_id."""
     return warc.read(*warc.write(table(spark, sf_dir, "pages"))).drop("url")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts and verdict of every document; rows whose doc_id is null come back too, with a null doc_id."""
     found = quality_rules.judged(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                         "base_failed", "kept", F.round("quality", 6).alias("quality"))
