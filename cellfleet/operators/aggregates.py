@@ -13,7 +13,7 @@ from cellfleet.functions.space import EOL_SOH, FEATURES, Space
 from cellfleet.operators import windows as W
 from cellfleet.plans import ranks, scan, wide
 from cellfleet.plans.scan import KEY, POS
-from cellfleet.plans.small import beside, collect_bounded, cut, each_case, grid, settle
+from cellfleet.plans.small import beside, cut, each_case, grid, settle
 
 # Percentiles of the clip bounds.
 CLIP_SHARES = (0.01, 0.99)
