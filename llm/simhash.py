@@ -8,8 +8,8 @@ chains prune them before the full distance is taken.
 Equal fingerprints are one node from the start. Tasks hand on spanning links of what they found, never
 all pairs; ``graph.components`` joins these up.
 
-``alike`` decides by the shingle sets themselves: bands of least hashes and fingerprints only choose the clusters
-whose sets are compared.
+``alike`` takes the pairs that this search finds in wide fingerprints, and where it ends those that bands of least
+hashes add; the shingle sets themselves decide.
 """
 
 from __future__ import annotations
@@ -153,20 +153,26 @@ def _links(ring: Ring, group: np.ndarray, prints: np.ndarray, side: np.ndarray,
             want = key ^ mask
             ask = np.flatnonzero(side == 0)
             lo, hi = np.searchsorted(sorted_, want[ask], "left"), np.searchsorted(sorted_, want[ask], "right")
-            ask, lo, n = ask[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-            ends = np.cumsum(n)
-            at = 0
-            while at < len(ask):
+            ask, lo, hi = (c[hi > lo] for c in (ask, lo, hi))
+            # Partners are order[lo:own] and order[more:hi]; rows of the asker's own label need no look.
+            own = more = hi
+            while len(ask):
+                if (hi - lo).sum() > PAIRS:
+                    order = order[np.lexsort((label[order], sorted_))]
+                    run = np.searchsorted(sorted_, sorted_, "left") * len(label) + label[order]
+                    own, more = (np.searchsorted(run, lo * len(label) + label[ask], side) for side in ("left", "right"))
+                n = own - lo + hi - more
                 # As many askers as fit the block; one with more partners than that goes alone.
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
-                m = n[at:to]
-                a = np.repeat(ask[at:to], m)
-                b = order[np.repeat(lo[at:to], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+                to = max(1, int(np.searchsorted(np.cumsum(n), PAIRS, "right")))
+                m = n[:to]
+                a = np.repeat(ask[:to], m)
+                b = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m - lo[:to], m)
+                b = order[np.where(b < np.repeat(own[:to], m), b, b + np.repeat((more - own)[:to], m))]
                 new = (a != b) & (label[a] != label[b])
                 a, b = a[new], b[new]
                 ok = ring.near(prints[a] ^ prints[b], i)
                 _merge(label, a[ok], b[ok])
-                at = to
+                ask, lo, hi, own, more = (c[to:] for c in (ask, lo, hi, own, more))
     return label
 
 
@@ -306,13 +312,15 @@ def _sharing(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return 5 * both >= 4 * (len(own) + sizes - both)
 
 
-def _joined(prints: np.ndarray, size: np.ndarray, limit: int, sets: list[np.ndarray] | None = None) -> np.ndarray:
+def _joined(prints: np.ndarray, size: np.ndarray, limit: int, sets: list[np.ndarray] | None = None,
+            label: np.ndarray | None = None) -> np.ndarray:
     """Labels of rows of one cell: linked ones share one. Rows link within ``limit`` bits if the smaller set has 0.8
     of the larger one's size or more and, where sets are given, if these are 0.8 alike or more.
 
     Rows ask one after another, and only those of other labels; so a group of copies costs one look at each.
+    label: what hangs together already.
     """
-    label = np.arange(len(size))
+    label = np.arange(len(size)) if label is None else label.copy()
     for a in range(len(size) - 1):
         b = np.flatnonzero(label != label[a])
         if not len(b):
@@ -328,8 +336,21 @@ def _joined(prints: np.ndarray, size: np.ndarray, limit: int, sets: list[np.ndar
     return label
 
 
+def _first(group: np.ndarray, near: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The place of each row's first row of the same group and the same ``near``."""
+    by = np.lexsort((place, near, group))
+    new = np.ones(len(by), bool)
+    new[1:] = (group[by][1:] != group[by][:-1]) | (near[by][1:] != near[by][:-1])
+    out = np.empty(len(by), np.int64)
+    out[by] = place[by][new][np.cumsum(new) - 1]
+    return out
+
+
 def _meet(cells: DataFrame, words: int, limit: int, rows: int) -> DataFrame:
-    """Spanning links (u, v) between the keys that link in rows (seg, cell, part, key, fp, size and maybe set)."""
+    """Spanning links (u, v) between the keys that link in rows (seg, cell, part, key, fp, size and maybe set or near).
+
+    Rows of one ``near`` hang together already; only links beyond that come back.
+    """
 
     def run(batches):
         parts = [b for b in batches if b.num_rows]
@@ -342,11 +363,14 @@ def _meet(cells: DataFrame, words: int, limit: int, rows: int) -> DataFrame:
         prints, keys = _numbers(t.column("fp"), words), t.column("key")
         order = np.argsort(group, kind="stable")
         starts = np.cumsum(n) - n
-        for g in np.flatnonzero(n > 1):
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order)) - np.repeat(starts, n)
+        first = _first(group, t.column("near").to_numpy(), place) if "near" in t.column_names else place
+        for g in np.unique(group[first > 0]):
             own = order[starts[g]:starts[g] + n[g]]
             sets = [np.frombuffer(v, "<u8") for v in t.column("set").take(pa.array(own)).to_pylist()] if "set" in t.column_names else None
-            label = _joined(prints[own], size[own], limit, sets)
-            moved = np.flatnonzero(label != np.arange(len(own)))
+            label = _joined(prints[own], size[own], limit, sets, first[own])
+            moved = np.flatnonzero((label != first[own]) & (first[own] == np.arange(len(own))))
             if len(moved):
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(own[i])).combine_chunks() for i in (moved, label[moved])], ["u", "v"])
 
@@ -356,8 +380,10 @@ def _meet(cells: DataFrame, words: int, limit: int, rows: int) -> DataFrame:
 def alike(docs: DataFrame, shingle: int = 5, words: int = 4, limit: int = 72) -> DataFrame:
     """doc_id, row, key, component_id: the least doc_id reachable over shingle sets with a Jaccard of 0.8 or more; group.
 
-    Sets meet where a band of BAND_ROWS least hashes is equal; of BANDS bands, sets 0.8 alike have none with a chance
-    of 3 in 100,000. Those whose fingerprints are ``limit`` bits apart or less form candidate clusters. Of 256
+    Pigeonring search finds all pairs of fingerprints that differ in fewer bits than there are segments of 16 bits
+    (15 of 256). Further pairs, up to ``limit`` bits, would pass a first segment nearly always; those not joined so far
+    meet where a band of BAND_ROWS least hashes is equal; of BANDS bands, sets 0.8 alike have none with a chance
+    of 3 in 100,000. What both find forms candidate clusters. Of 256
     bits, sets 0.8 alike differ in 39 on average with a standard deviation of 5.7, in 48 and 6.2 for the
     worst (4 of 5 shingles), so that 72 miss fewer than one pair in ten thousand. Within a cluster whole sets
     are compared. So work grows with the number of alike sets, not with all pairs of a size.
@@ -367,10 +393,16 @@ def alike(docs: DataFrame, shingle: int = 5, words: int = 4, limit: int = 72) ->
     out as pairs of blocks.
     """
     known = store(shingle_sets(docs, shingle, words), "prints")
-    nodes = store(known.groupBy("key", "fp", "size", "bands").agg(F.min(F.struct("doc_id", "row")).alias("least")), "nodes")
-    cells = nodes.select("key", "fp", "size", F.posexplode("bands").alias("seg", "cell"))
+    found = components(links(known.where("size > 0").select("fp").distinct(), Ring(words, 4 * words, 4 * words - 1)))
+    nodes = known.groupBy("key", "fp", "size", "bands").agg(F.min(F.struct("doc_id", "row")).alias("least"))
+    # Sets of near fingerprints share ``print``; the empty set has one of its own.
+    nodes = store(nodes.join(found, nodes["fp"] == found["u"], "left").select("key", "fp", "size", "bands", "least", F.when(
+        F.col("size") > 0, F.coalesce("root", "fp")).otherwise(F.col("key")).alias("print")), "nodes")
+    heads = nodes.groupBy("print").agg(F.min("key").alias("v"), F.count("*").alias("n")).where("n > 1")
+    edges = nodes.join(heads, "print").select(F.col("key").alias("u"), "v").where("u <> v")
+    cells = nodes.select("key", "fp", "size", F.xxhash64("print").alias("near"), F.posexplode("bands").alias("seg", "cell"))
     n = nodes.count()
-    near = components(_meet(_blocks(cells, None, "key"), words, limit, BANDS * n))
+    near = components(edges.unionByName(_meet(_blocks(cells, None, "key"), words, limit, BANDS * n)))
     clusters = store(near.select(F.col("u").alias("key"), "root").unionByName(near.select(F.col("root").alias("key"), "root").distinct()), "clusters")
     few = nodes.select("key", "least.*").join(clusters, "key")
     # Only texts in a cluster are read again, and only their sets are moved; each set is in one cluster.

@@ -188,3 +188,45 @@ def test_texts_of_one_id_are_told_apart(docs):
     found = simhash.alike(docs(rows)).collect()
     assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4)]
     assert len({r["group"] for r in found}) == 3 and len({r["row"] for r in found}) == 3
+
+
+def test_near_fingerprints_are_found_by_pigeonring(docs, monkeypatch):
+    """Pairs of up to 15 of 256 bits need no band of least hashes; copies further apart do."""
+    real = simhash._meet
+    rows, near = [], {}
+    for k in range(120):
+        a, b = shared(300, 1 + k % 3, f"{k}n") if k % 2 else shared(160, 20, f"{k}n")
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        x, y = (simhash.fingerprint(np.unique(simhash.shingle_hashes(t, 5)), 4) for t in (a, b))
+        near[2 * k], near[2 * k + 1] = 2 * k, 2 * k + (int(np.bitwise_count(x ^ y).sum()) > 15)
+    rows += [(900, ""), (901, None)]
+    assert len(set(near.values())) not in (120, 240), "pairs of both kinds"
+    bands = []
+
+    def only_sets(cells, *args):
+        if "set" not in cells.columns:
+            bands.append(real(cells, *args))
+            return bands[0].limit(0)
+        return real(cells, *args)
+
+    monkeypatch.setattr(simhash, "_meet", only_sets)
+    got = {x["doc_id"]: x["component_id"] for x in simhash.alike(docs(rows)).collect()}
+    assert got == near | {900: 900, 901: 900}
+    # The bands add only pairs that the fingerprints left apart.
+    assert bands[0].selectExpr("least(u, v)", "greatest(u, v)").distinct().count() == sum(k == v for k, v in near.items() if k % 2)
+
+
+def test_labels_of_large_runs_are_those_of_all_pairs(monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRS", 50)
+    r = np.random.default_rng(8)
+    ring = simhash.Ring(1, 4, 3)
+    base = r.integers(0, 1 << 62, 6).astype(np.uint64)
+    prints = np.concatenate([base, base[r.integers(0, 6, 400)] ^ (np.uint64(1) << r.integers(0, 64, 400).astype(np.uint64))
+                             ^ (np.uint64(1) << r.integers(0, 64, 400).astype(np.uint64))])[:, None]
+    whole = np.zeros(len(prints), np.int64)
+    labels = [simhash._links(ring, np.unique(ring.segment(prints, i), return_inverse=True)[1], prints, whole, [i], True) for i in range(4)]
+    got = np.arange(len(prints))
+    for label in labels:
+        simhash._merge(got, np.arange(len(prints)), label)
+    want = [v for _, v in plain_groups([(i, int(p)) for i, p in enumerate(prints[:, 0])], 3)]
+    assert got.tolist() == want
