@@ -279,11 +279,16 @@ def streamed_envelope(spark, d):
     li = spark.read.parquet(f"{d}/lineitem.parquet")
     folder = R.work_folder(spark, "samples")
     for part in _slices(li, F.pmod("l_orderkey", F.lit(4)), 4):
-        part.coalesce(2).write.mode("append").parquet(folder)
-    sdf = B.telemetry_columns(file_stream(spark, folder, "*.parquet", li.schema, 2))
+        part.write.mode("append").parquet(folder)
+    sdf = B.telemetry_columns(file_stream(spark, folder, "*.parquet", li.schema, _share(spark, folder, 4)))
     return R.run_envelope(sdf, R.work_folder(spark, "envelope"), most=2)
 
 
+def _share(spark, folder, n):
+    """Files of one of n batches. Slices are written as their table is split, so tasks stay of one size as it grows."""
+    return max(1, -(-len(spark.read.parquet(folder).inputFiles()) // n))
+
+
 def _slices(df, number, n):
     """A table in n parts by a number from 0."""
     return [df.where(number == i) for i in range(n)]

@@ -182,3 +182,27 @@ def test_a_task_sends_one_row_a_battery():
                                        + [{"battery_id": "b", "reference_day": 1.0, "pred_soh": p} for p in (0.6, 0.4)])
     got = [r for b in AL._firsts(iter([batch])) for r in b.to_pylist()]
     assert sorted(got, key=lambda r: r["battery_id"]) == [{"battery_id": "a", "reference_day": 1.0, "pred_soh": 0.5}, {"battery_id": "b", "reference_day": 1.0, "pred_soh": 0.4}]
+
+
+def test_envelope_slices_are_written_in_tasks_of_one_size(spark, monkeypatch):
+    """Smaller splits make more files of a slice, not larger ones; there are four batches still."""
+    from cellfleet.catalog import replay_queries as Q
+    from cellfleet.operators.aggregates import telemetry_envelope
+    from cellfleet.sources import testbed
+
+    seen, real = [], Q.file_stream
+    monkeypatch.setattr(Q, "file_stream", lambda s, folder, name, schema, n: seen.append((folder, n)) or real(s, folder, name, schema, n))
+    d = spark.sparkContext.getCheckpointDir() or Q.R.work_folder(spark, "any").rsplit("/", 1)[0]
+    d = f"{d}/many-files"
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    li.repartition(24).write.mode("overwrite").parquet(f"{d}/lineitem.parquet")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))  # a split per file
+    try:
+        got = Q.streamed_envelope(spark, d)
+        files = len(spark.read.parquet(seen[0][0]).inputFiles())
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert files == 4 * 24 and seen[0][1] == 24
+    want = telemetry_envelope(testbed.telemetry(spark, d))
+    key = ["scenario_id", "n_samples", "max_temp_c", "min_soh_true"]
+    assert sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, want.select(key).collect()))
