@@ -8,9 +8,11 @@ document has is unique. Windows with one anchor follow one another; they make a
 1. Each pack names the hashes of its anchors; shards by hash answer which ones occur elsewhere.
 2. Each pack sends the distinct contexts of those anchors, with the least doc_id of each, to shards. An
    anchor with very many contexts sends its windows one by one instead, so no shard gets too much.
-3. A shard sorts the suffixes of its contexts by Larsson-Sadakane refinement, takes common prefixes as Kasai
-   does, and so finds equal windows; blocks of a shard are merged by binary search in their sorted windows.
-   It answers for each window whether a smaller doc_id has it.
+3. A shard takes equal contexts as one. The windows of a context all differ, so a context that is the only one
+   of its anchor has no window in common with any other. Of the rest, the shard sorts the suffixes by
+   Larsson-Sadakane refinement, takes common prefixes as Kasai does, and so finds equal windows. Blocks hold whole
+   anchors; those of an anchor too large for one are merged by binary search in their sorted windows. It answers
+   for each window whether a smaller doc_id has it.
 4. Each pack marks the bytes of the windows found and cuts them out.
 """
 
@@ -33,7 +35,7 @@ PACK, BUCKET, CROWD = 1 << 21, 1 << 22, 20_000
 #: Bits of a place in a block of a shard, and contexts of a block, which have fewer symbols than that.
 _PLACE, BLOCK = 21, 24_000
 _BASE = 0x9E3779B97F4A7C15 | 1
-_LOW = 21  # bits of a place within a segment
+_LOW = 16  # bits of a place within a segment, whose arrays should fit a processor's cache
 
 
 @lru_cache(maxsize=1)
@@ -78,9 +80,12 @@ def runs(raw: np.ndarray, ends: np.ndarray, length: int, gram: int) -> Runs:
     """Runs of all windows within documents that end at ``ends``; long inputs go by segments."""
     found = []
     width = length - gram + 1
-    sizes = np.diff(ends, prepend=0)
-    docs, stops = np.repeat(np.arange(len(ends)), sizes), np.repeat(ends, sizes)
+    begins = ends - np.diff(ends, prepend=0)
+    beyond = np.maximum(begins, ends - length + 1)  # the first place of a document where no window starts
+    edges = np.unique(np.concatenate([begins, beyond]))
     size = (1 << _LOW) - length
+    places = np.arange(1 << _LOW, dtype=np.uint64)
+    low = np.uint64((1 << _LOW) - 1)
     for at in range(0, max(1, len(raw)), size):
         part = raw[at:at + size + length - 1]
         if len(part) < length:
@@ -88,21 +93,23 @@ def runs(raw: np.ndarray, ends: np.ndarray, length: int, gram: int) -> Runs:
         sums = _sums(part)
         n = len(part) - gram + 1
         grams = _mix((sums[gram:] - sums[:-gram]) * _powers()[1][:n])
-        least = (grams >> np.uint64(_LOW) << np.uint64(_LOW)) | np.arange(n, dtype=np.uint64)
+        least = grams & ~low
+        least |= places[:n]
         have = 1
         while have < width:
             more = min(have, width - have)
             least = np.minimum(least[:-more], least[more:])
             have += more
-        inside = stops[at:at + len(least)] >= np.arange(at + length, at + length + len(least))
-        place = np.flatnonzero(inside)
-        doc = docs[at:at + len(least)][inside]
-        if not len(place):
-            continue
-        anchor = (least[place] & np.uint64((1 << _LOW) - 1)).astype(np.int64)
-        new = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
-        first, last = place[new], place[np.append(new[1:], len(place)) - 1]
-        found.append((first + at, last + at, doc[new], grams[anchor[new]],
+        new = np.append(True, least[1:] != least[:-1])
+        lo, hi = np.searchsorted(edges, [at, at + len(least)])
+        new[edges[lo:hi] - at] = True
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(least)) - 1
+        doc = np.searchsorted(ends, first + at, "right")
+        inside = first + at < beyond[doc]
+        first, last, doc = first[inside], last[inside], doc[inside]
+        # Least hashes have low values; mixed once more they deal evenly.
+        found.append((first + at, last + at, doc, _mix(grams[(least[first] & low).astype(np.int64)]),
                       _hash(sums, first, last + length) ^ (last - first).astype(np.uint64)))
     if not found:
         none = np.zeros(0, np.int64)
@@ -182,26 +189,28 @@ class Job:
     buckets: int
 
     def anchors(self, pack: Pack) -> tuple[Runs, np.ndarray, np.ndarray, np.ndarray]:
-        """Runs, and of the distinct anchors: hashes by bucket, bucket, and the place of each run's anchor."""
+        """Runs, and of the distinct anchors: ascending hashes, bucket, and the place of each run's anchor."""
         found = runs(pack.raw, pack.ends, self.length, self.gram)
         hashes, of = np.unique(found.anchor, return_inverse=True)
-        bucket = (hashes % np.uint64(self.buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        of = place[of.ravel()]
-        return found, hashes[order], bucket[order], of
+        return found, hashes, self.bucket(hashes), of.ravel()
+
+    def bucket(self, hashes: np.ndarray) -> np.ndarray:
+        """Buckets are ranges of hashes."""
+        return ((hashes >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
 
     def notes(self, pack: Pack, found: Runs, of: np.ndarray, n: int) -> np.ndarray:
         """Per distinct anchor: the number of its contexts, and the highest bit if several documents have it."""
-        ids = pack.ids[found.doc]
-        low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
-        np.minimum.at(low, of, ids)
-        np.maximum.at(high, of, ids)
-        by = np.lexsort((found.context, of))
-        new = np.append(True, (np.diff(of[by]) != 0) | (found.context[by][1:] != found.context[by][:-1]))[: len(by)]
-        kinds = np.bincount(of[by][new], minlength=n)
-        return np.minimum(kinds, 127).astype(np.uint8) | ((low != high).astype(np.uint8) << 7)
+        out = np.ones(n, np.uint8)
+        own = np.flatnonzero(np.bincount(of, minlength=n)[of] > 1)
+        if not len(own):
+            return out
+        own = own[np.lexsort((found.context[own], of[own]))]
+        ids, anchor, context = pack.ids[found.doc[own]], of[own], found.context[own]
+        begin = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+        several = np.minimum.reduceat(ids, begin) != np.maximum.reduceat(ids, begin)
+        kinds = np.add.reduceat(np.append(True, (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])).astype(np.int64), begin)
+        out[anchor[begin]] = np.minimum(kinds, 127).astype(np.uint8) | (several.astype(np.uint8) << 7)
+        return out
 
     def contexts(self, pack: Pack, answers: list) -> tuple:
         """Distinct contexts of shared anchors, by bucket: start, windows, least doc, bucket; and per run with
@@ -223,14 +232,14 @@ class Job:
         single = _digests(pack.raw, start[len(whole):], self.length)
         first = np.concatenate([found.anchor[whole], single])
         second = np.concatenate([found.context[whole], np.zeros(len(each), np.uint64)])
-        order = np.lexsort((pack.ids[doc], second, first, first % np.uint64(self.buckets)))
+        order = np.lexsort((pack.ids[doc], second, first))
         f, s, w = first[order], second[order], windows[order]
         new = np.ones(len(order), bool)
         new[1:] = (f[1:] != f[:-1]) | (s[1:] != s[:-1]) | (w[1:] != w[:-1])
         at = np.empty(len(order), np.int64)
         at[order] = np.cumsum(new) - 1
         head = order[new]
-        return (start[head], windows[head], pack.ids[doc[head]], (first[head] % np.uint64(self.buckets)).astype(np.int64),
+        return (start[head], windows[head], pack.ids[doc[head]], self.bucket(first[head]),
                 first[head], start, windows, doc, at)
 
 
@@ -239,13 +248,13 @@ def _ramp(counts: np.ndarray) -> np.ndarray:
 
 
 def _digests(raw: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of the windows at the given starts, by segments."""
+    """Hashes of the windows at the given ascending starts, by segments."""
     out = np.zeros(len(start), np.uint64)
     size = (1 << _LOW) - length
     for at in range(0, len(raw), size):
-        own = np.flatnonzero((start >= at) & (start < at + size))
-        if len(own):
-            out[own] = _hash(_sums(raw[at:at + size + length]), start[own] - at, start[own] - at + length)
+        a, b = np.searchsorted(start, [at, at + size])
+        if a < b:
+            out[a:b] = _hash(_sums(raw[at:at + size + length]), start[a:b] - at, start[a:b] - at + length)
     return out
 
 
@@ -355,6 +364,25 @@ def least_docs(raw: np.ndarray, start: np.ndarray, windows: np.ndarray, docs: np
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+def least_by_anchor(raw: np.ndarray, start: np.ndarray, windows: np.ndarray, docs: np.ndarray, keys: np.ndarray, length: int,
+                    block: int = BLOCK) -> np.ndarray:
+    """As ``least_docs``, for distinct contexts in ascending order of the hashes of their anchors."""
+    out = np.repeat(docs, windows)
+    again = np.append(False, keys[1:] == keys[:-1])
+    several = np.flatnonzero(again | np.append(again[1:], False))
+    if not len(several):
+        return out
+    place = np.cumsum(windows) - windows
+    ends = np.append(np.flatnonzero(np.diff(keys[several])) + 1, len(several))
+    a = 0
+    while a < len(several):
+        b = ends[max(np.searchsorted(ends, a + block, "right") - 1, np.searchsorted(ends, a, "right"))]
+        own = several[a:b]
+        out[np.repeat(place[own], windows[own]) + _ramp(windows[own])] = least_docs(raw, start[own], windows[own], docs[own], length, block)
+        a = b
+    return out
+
+
 def _each_pack(rows: DataFrame, job: Job, work, schema: str) -> DataFrame:
     names = [f.split()[0] for f in schema.split(", ")]
 
@@ -418,6 +446,15 @@ def _asked(pack: Pack, start: np.ndarray, windows: np.ndarray, docs: np.ndarray,
                 + windows.astype(np.uint8).tobytes() + pack.raw[np.repeat(start, n) + _ramp(n)].tobytes())
 
 
+def _words(raw: np.ndarray, start: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Each text of ``n`` bytes in words of eight, filled up with zeros: one column per word."""
+    most = -(-int(n.max(initial=0)) // 8)
+    body = np.append(raw, np.zeros(8 * most, np.uint8))
+    whole = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    at_each = np.ndarray(len(body) - 7, "<u8", body, strides=(1,)) if most else None
+    return [at_each[start + 8 * k] & whole[np.clip(n - 8 * k, 0, 8)] if k else at_each[start] & whole[np.minimum(n, 8)] for k in range(most)]
+
+
 def _answered(bodies: list[bytes], length: int) -> list[bytes]:
     """Per pack: one bit for each window sent, 1 if a smaller doc has it."""
     docs, keys, windows, raws, size = [], [], [], [], []
@@ -432,23 +469,21 @@ def _answered(bodies: list[bytes], length: int) -> list[bytes]:
     raw, docs, keys, windows = (np.concatenate(c) for c in (raws, docs, keys, windows))
     n = windows + length - 1
     start = np.cumsum(n) - n
-    # Equal contexts from several packs are sorted once; near anchors stay together.
-    whole = np.zeros((len(start), int(n.max())), np.uint8)
-    whole[np.repeat(np.arange(len(start)), n), _ramp(n)] = raw
+    # Equal contexts from several packs are one; those of an anchor stay together.
+    words = _words(raw, start, n)
     digest = np.zeros(len(start), np.uint64)
-    other = np.zeros(len(start), np.uint64)
-    for k in range(whole.shape[1]):
-        digest = digest * np.uint64(_BASE) + whole[:, k] + np.uint64(1)
-        other = (other ^ whole[:, k]) * np.uint64(0x100000001B3)
-    order = np.lexsort((docs, other, digest, windows, keys))
+    for word in words:
+        digest = _mix(digest * np.uint64(_BASE) + word)
+    order = np.lexsort((docs, digest, keys))
     new = np.ones(len(order), bool)
     new[1:] = False
-    for c in (keys, windows, digest, other):
-        new[1:] |= c[order][1:] != c[order][:-1]
+    for c in (keys, windows, *words):
+        c = c[order]
+        new[1:] |= c[1:] != c[:-1]
     at = np.empty(len(order), np.int64)
     at[order] = np.cumsum(new) - 1
     head = order[new]
-    least = least_docs(raw, start[head], windows[head], docs[head], length)
+    least = least_by_anchor(raw, start[head], windows[head], docs[head], keys[head], length)
     begin = np.cumsum(windows[head]) - windows[head]
     place = np.repeat(begin[at], windows) + _ramp(windows)
     bits = (least[place] < np.repeat(docs, windows)).astype(np.uint8)

@@ -60,6 +60,53 @@ def test_blocks_of_a_shard_are_merged():
     assert (suffixes.least_docs(*args, block=7) == suffixes.least_docs(*args)).all()
 
 
+def contexts_of(rows):
+    """Distinct contexts of all anchors in the order of their hashes: arguments of ``least_docs``, and the hashes."""
+    rows = [(i, (t or "").encode()) for i, t in rows if i is not None]
+    raw = np.frombuffer(b"".join(t for _, t in rows), np.uint8)
+    r = suffixes.runs(raw, np.cumsum([len(t) for _, t in rows]), 50, 24)
+    ids, windows = np.array([i for i, _ in rows])[r.doc], r.last - r.first + 1
+    order = np.lexsort((ids, r.context, r.anchor))
+    head = order[np.append(True, (np.diff(r.anchor[order]) != 0) | (np.diff(r.context[order]) != 0))]
+    return (raw, r.first[head], windows[head], ids[head]), r.anchor[head]
+
+
+@pytest.mark.parametrize("block", [2, 7, 24_000])
+def test_blocks_of_whole_anchors(block):
+    args, keys = contexts_of(texts(8, 80))
+    assert np.bincount(np.unique(keys, return_inverse=True)[1]).max() > 7  # more than two of the block sizes
+    assert (suffixes.least_by_anchor(*args, keys, 50, block=block) == suffixes.least_docs(*args, 50)).all()
+
+
+def test_only_anchors_with_several_contexts_are_sorted(monkeypatch):
+    r, done = random.Random(9), []
+    sort = suffixes.sort_suffixes
+    monkeypatch.setattr(suffixes, "sort_suffixes", lambda codes, depth: done.append(len(codes)) or sort(codes, depth))
+    passages = [bytes(r.choice(b"abcdefgh") for _ in range(2000)) for _ in range(12)]
+
+    def bits(first, second):
+        bodies, sizes = [], []
+        for ids, found in (((1, 2), first), ((3, 4), second)):
+            pack = suffixes.Pack(np.array(ids), np.cumsum([len(t) for t in found]), np.frombuffer(b"".join(found), np.uint8))
+            job = suffixes.Job("", 50, 24, 1)
+            n = len(job.anchors(pack)[1])
+            every = np.zeros((2, -(-n // 8) * 8), np.uint8)
+            every[0, :n] = 1
+            start, windows, least, _, key, *_ = job.contexts(pack, [(0, np.packbits(every).tobytes())])
+            bodies.append(suffixes._asked(pack, start, windows, least, key, 50))
+            sizes.append(int(windows.sum()))
+        return [np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(suffixes._answered(bodies, 50), sizes)]
+
+    one, two = bits(passages[:2], passages[:2])  # copies: each anchor has one context
+    assert not one.any() and two.all() and len(two) == 2 * 1951 and not done
+    # A passage cut out of its document has other contexts at its two ends only.
+    longer = passages[2] + passages[0][500:1500] + passages[3]
+    one, two = bits(passages[:2], [longer, passages[4]])
+    equal = sum(longer[k:k + 50] in passages[0] for k in range(len(longer) - 49))
+    assert not one.any() and two.sum() == equal >= 951
+    assert sum(done) < 10 * 90
+
+
 def test_long_texts_go_by_segments(monkeypatch):
     raw = np.frombuffer("".join(t or "" for _, t in texts(6, 60)).encode(), np.uint8)
 
