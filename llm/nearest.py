@@ -9,23 +9,33 @@ merged and ranked by the inner product of the original vectors.
 
 Equal vectors are one entry with their smallest ids. Hash values are clipped, so the directory of buckets
 has at most bins ** functions rows a table at any number of vectors. Large buckets are split into parts.
+
+Entries lie once, with their codes, in packs in the work folder. A task answers a block of queries: it reads
+the packs by shelves of bounded size, and what it holds besides is bounded by the block, not by the table.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.common import store
+from llm.common import filesystem, shared_folder, store
 
 TABLES, FUNCTIONS, WIDTH, BINS, SHARE = 3, 5, 1.2, 6, 0.45
-#: Vectors of one part, and queries that meet a part at once.
-PART, QUERIES, SEED = 1 << 14, 1 << 13, 11
+#: Vectors of one part, and queries of a block, which meet a part at once.
+PART, QUERIES, SEED = 1 << 14, 1 << 11, 11
+#: Bytes of the vectors of a pack, and of those read at once; products made at once, and candidates held; groups of parts.
+SHELF, PRODUCTS, HELD, GROUPS = 1 << 25, 1 << 18, 1 << 19, 4
+#: Queries whose visits are planned at once.
+PLANNED = 128
 #: So few vectors are all looked at.
 FEW = 1_000
 
@@ -91,34 +101,210 @@ class Index:
         return np.array(out)
 
     def probes(self, x: np.ndarray, share: float) -> list[np.ndarray]:
-        """Parts that each query visits."""
+        """Parts that each query visits; buckets as far away as the last one needed are visited too."""
         out: list[list] = [[] for _ in x]
+        low = np.arange(BINS) - BINS // 2.0
+        high = low + 1
+        low[0], high[-1] = -np.inf, np.inf
         for t, place in enumerate(self.places(x, query=True)):
-            lo = np.where(self.values[t] == -(BINS // 2), -np.inf, self.values[t])
-            hi = np.where(self.values[t] == BINS - 1 - BINS // 2, np.inf, self.values[t] + 1)
+            cell = np.square(np.maximum(np.maximum(low - place[:, :, None], place[:, :, None] - high), 0))
+            away = np.zeros((len(x), len(self.counts[t])))
+            for f, digit in enumerate((self.values[t] + BINS // 2).T):
+                away += cell[:, f].take(digit, axis=1)
+            order = np.argsort(away, axis=1)
+            filled = np.cumsum(self.counts[t][order], axis=1)
+            last = np.minimum((filled < share * self.counts[t].sum()).sum(1), len(self.counts[t]) - 1)
+            every = np.arange(len(x))
+            seen = away <= away[every, order[every, last]][:, None]
             split = -(-self.counts[t] // PART)
-            for i, p in enumerate(place):
-                away = np.square(np.maximum(np.maximum(lo - p, p - hi), 0)).sum(1)
-                order = np.argsort(away, kind="stable")
-                n = np.searchsorted(np.cumsum(self.counts[t][order]), share * self.counts[t].sum()) + 1
-                got = order[:n]
+            for i in every:
+                got = np.flatnonzero(seen[i])
                 out[i].append(np.repeat(self.first[t][got], split[got]) + _ramp(split[got]))
         return [np.concatenate(p) for p in out]
 
+    def asked(self, x: np.ndarray, share: float) -> np.ndarray:
+        """Whether a query visits a part, (parts, queries)."""
+        out = np.zeros((len(self.group), len(x)), bool)
+        for at in range(0, len(x), PLANNED):
+            some = np.zeros((len(x[at:at + PLANNED]), len(out)), bool)
+            for one, parts in zip(some, self.probes(x[at:at + PLANNED], share)):
+                one[parts] = True
+            out[:, at:at + PLANNED] = some.T
+        return out
+
 
 def _ramp(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+def _encoded(x: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """Vectors as bytes that sort as the vectors do, and their squared lengths. None is empty."""
+    at = x.offsets.to_numpy()
+    v = x.flatten().to_numpy() + 0.0  # without a negative zero
+    bits = v.view(f"u{v.itemsize}")
+    top = 8 * v.itemsize - 1
+    bits = bits ^ np.where(bits >> top, ~bits.dtype.type(0), bits.dtype.type(1 << top))
+    data = bits.astype(f">u{v.itemsize}")
+    ends = ((at - at[0]) * v.itemsize).astype(np.int32)
+    out = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+    return out, np.add.reduceat(np.square(v.astype(float)), at[:-1] - at[0])
+
+
+def _decoded(column: pa.BinaryArray, size: int, dims: int) -> np.ndarray:
+    """The vectors, (rows, dims), of components of ``size`` bytes, from their bytes."""
+    start = np.frombuffer(column.buffers()[1], np.int32, 1, 4 * column.offset)[0]
+    bits = np.frombuffer(column.buffers()[2], f">u{size}", len(column) * dims, start).astype(f"u{size}")
+    top = 8 * size - 1
+    bits ^= np.where(bits >> top, bits.dtype.type(1 << top), ~bits.dtype.type(0))
+    return bits.view(f"f{size}").reshape(-1, dims)
+
+
 def vectors(rows: DataFrame) -> DataFrame:
-    """vec_id and x (doubles) of the rows that take part: no null, zero or not finite vector or component.
+    """vec_id, x (sortable bytes) and squared length of the rows that take part: no null, zero or not finite vector or component.
 
     Of rows that repeat a vec_id the least vector counts; vectors of another size than most are left out.
+    Floats stay floats, other components become doubles.
     """
-    x = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
+    kind = f"array<{_kind(rows)}>"
+    x = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("x"))
     fine = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0)
     x = x.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull()).where(fine)
-    return x.groupBy("vec_id").agg(F.min("x").alias("x"))
+
+    def encode(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, square = _encoded(batch.column(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), x, pa.array(square)], ["vec_id", "x", "square"])
+
+    least = x.mapInArrow(encode, "vec_id long, x binary, square double").groupBy("vec_id").agg(F.min(F.struct("x", "square")).alias("v"))
+    return least.select("vec_id", "v.x", "v.square")
+
+
+def _kind(rows: DataFrame) -> str:
+    kind = getattr(rows.schema["embedding"].dataType, "elementType", None)
+    return "float" if kind is not None and kind.typeName() == "float" else "double"
+
+
+@dataclass
+class Shelf:
+    """Entries that are looked at together: vectors, ids (those of entry i from at[i] to at[i + 1], in order), codes."""
+
+    x: np.ndarray
+    ids: np.ndarray
+    at: np.ndarray
+    codes: np.ndarray  # (tables, rows)
+
+    @classmethod
+    def read(cls, paths: list[str], dims: int, tables: int) -> Shelf:
+        fs, _ = filesystem(paths[0])
+        found = []
+        for path in paths:
+            with fs.open_input_file(filesystem(path)[1]) as f:
+                found.append(pa.ipc.open_file(f).read_all())
+        x, ids, codes = (c.combine_chunks() for c in pa.concat_tables(found).columns)
+        at = ids.offsets.to_numpy()
+        return cls(x.flatten().to_numpy().reshape(-1, dims), ids.flatten().to_numpy(), at - at[0], codes.flatten().to_numpy().reshape(-1, tables).T)
+
+
+class Block:
+    """The k best others of each query of a block among the entries of the shelves seen so far.
+
+    Products in single precision, of vectors scaled to at most 1, say which pairs may be among the best; these get exact scores.
+    """
+
+    def __init__(self, index: Index, ids: np.ndarray, x: np.ndarray, k: int, share: float):
+        self.index, self.ids, self.x, self.k = index, ids, x, k
+        self.asked = index.asked(x, share)
+        self.scale = index.norm * np.linalg.norm(x, axis=1)
+        self.rough = (x * (index.norm / self.scale)[:, None]).astype(np.float32)
+        #: What a rough product may be off by.
+        self.slack = np.float32((x.shape[1] + 8) * np.finfo(np.float32).eps)
+        self.bar = np.full(len(x), -np.inf)  # lower scores are not among the best
+        self.top = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)  # query, score, vec_id
+
+    def see(self, shelf: Shelf) -> None:
+        if not len(shelf.x):
+            return
+        first = shelf.ids[shelf.at[:-1]]
+        part = self.index.part_of(shelf.codes, first).ravel()
+        order = np.argsort(part, kind="stable")
+        part, row = part[order], order % len(first)
+        begin = np.union1d(np.flatnonzero(np.diff(part, prepend=-1)), np.arange(0, len(part), PART))
+        group = self.index.group[part[begin]]
+        held, size, kept = [], 0, 0
+        bar = self._rough_bar()
+        for i, (b, e) in enumerate(zip(begin, np.append(begin[1:], len(part)))):
+            a = np.flatnonzero(self.asked[part[b]])
+            if not len(a):
+                continue
+            r = row[b:e]
+            v = (shelf.x[r] / self.index.norm).astype(np.float32).T
+            step = max(1, PRODUCTS // len(r))
+            for at in range(0, len(a), step):
+                some = a[at:at + step]
+                s = self.rough[some] @ v
+                hit = np.flatnonzero((s >= bar[some][:, None]).ravel())
+                if len(hit):
+                    one, two = np.divmod(hit, len(r))
+                    held.append((some[one], r[two], s.ravel()[hit]))
+                    size += len(hit)
+                if size > HELD + 2 * kept:
+                    held = [self._best(shelf, first, held)[:3]]
+                    size, kept, bar = len(held[0][0]), len(held[0][0]), self._rough_bar()
+            if held and i + 1 < len(group) and group[i + 1] != group[i]:
+                held = [self._best(shelf, first, held)[:3]]
+                size, kept, bar = len(held[0][0]), len(held[0][0]), self._rough_bar()
+        if held:
+            a, r, _, s = self._best(shelf, first, held)
+            self._merge(shelf, a, r, s)
+
+    def _rough_bar(self) -> np.ndarray:
+        # One step down, as rounding may have raised it.
+        return np.nextafter((self.bar / self.scale).astype(np.float32), np.float32(-np.inf)) - self.slack
+
+    def _best(self, shelf: Shelf, first: np.ndarray, held: list) -> tuple[np.ndarray, ...]:
+        """Of the entries held, the k + 1 best of each query (it may be one of them): query, row, rough and exact score.
+
+        Ties go to the smaller first id.
+        """
+        a, r, s = (np.concatenate(c) for c in zip(*held))
+        once = np.unique(a * len(first) + r, return_index=True)[1]  # several tables show the same
+        a, r, s = a[once], r[once], s[once]
+        o = np.lexsort((-s, a))
+        least = np.full(len(self.x), -np.inf, np.float32)
+        last = o[_rank(a[o]) == self.k]
+        least[a[last]] = s[last]
+        near = s >= (least - 2 * self.slack)[a]
+        a, r, rough = a[near], r[near], s[near]
+        s = np.empty(len(a))
+        for at in range(0, len(a), PART):
+            s[at:at + PART] = np.einsum("ij,ij->i", self.x[a[at:at + PART]], shelf.x[r[at:at + PART]].astype(float))
+        o = np.lexsort((first[r], -s, a))
+        rank = _rank(a[o])
+        last = o[rank == self.k]
+        self.bar[a[last]] = np.maximum(self.bar[a[last]], s[last])
+        o = o[rank <= self.k]
+        return a[o], r[o], rough[o], s[o]
+
+    def _merge(self, shelf: Shelf, a: np.ndarray, r: np.ndarray, s: np.ndarray) -> None:
+        n = shelf.at[r + 1] - shelf.at[r]
+        a, s, ids = np.repeat(a, n), np.repeat(s, n), shelf.ids[np.repeat(shelf.at[r], n) + _ramp(n)]
+        other = ids != self.ids[a]
+        a, s, ids = (np.concatenate([old, new[other]]) for old, new in zip(self.top, (a, s, ids)))
+        o = np.lexsort((ids, -s, a))
+        o = o[_rank(a[o]) < self.k]
+        self.top = a, s, ids = a[o], s[o], ids[o]
+        last = _rank(a) == self.k - 1
+        self.bar[a[last]] = np.maximum(self.bar[a[last]], s[last])
+
+    def answer(self) -> pa.RecordBatch:
+        a, s, ids = self.top
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[a]), pa.array((_rank(a) + 1).astype(np.int32)), pa.array(ids), pa.array(s)], ["query_id", "rank", "vec_id", "score"])
+
+
+def _rank(a: np.ndarray) -> np.ndarray:
+    """Places within the runs of a sorted array."""
+    return np.arange(len(a)) - np.searchsorted(a, a, "left")
 
 
 def nearest(rows: DataFrame, queries: int = 20, k: int = 20, share: float = SHARE) -> DataFrame:
@@ -128,119 +314,97 @@ def nearest(rows: DataFrame, queries: int = 20, k: int = 20, share: float = SHAR
     copies like other vectors, without its own id. Each table shows a query a ``share`` of all vectors.
     """
     spark = rows.sparkSession
+    schema = "query_id long, rank int, vec_id long, score double"
+    size = 4 if _kind(rows) == "float" else 8
     all_ = store(vectors(rows), "vectors")
-    sizes = all_.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n"), F.max(
-        F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)).alias("m")).orderBy(F.desc("n"), F.desc("d")).first()
+    sizes = all_.groupBy((F.octet_length("x") / size).cast("int").alias("d")).agg(
+        F.count("*").alias("n"), F.max("square").alias("m")).orderBy(F.desc("n"), F.desc("d")).first()
     if sizes is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], schema)
     dims, norm = sizes["d"], math.sqrt(sizes["m"])
-    all_ = all_.where(F.size("x") == dims)
+    all_ = all_.where(F.octet_length("x") == dims * size)
     if sizes["n"] <= FEW:
         share = 1.0  # so few that every bucket is visited
     # A copy of rank k + 2 or later can't be among the best k: it is cut before the shuffle already.
-    copies = all_.select("*", F.row_number().over(Window.partitionBy("x").orderBy("vec_id")).alias("r")).where(F.col("r") <= k + 1)
-    entries = store(copies.groupBy("x").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "entries")
+    copies = all_.select("x", "vec_id", F.row_number().over(Window.partitionBy("x").orderBy("vec_id")).alias("r")).where(F.col("r") <= k + 1)
+    entries = copies.groupBy("x").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     index = Index.drawn(dims, norm)
+    tables, folder = len(index.a), shared_folder(spark, "entries")
 
-    def matrix(column) -> np.ndarray:
-        return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dims)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Writes packs; of each its rows (table -1) and its buckets' rows."""
+        fs, path = filesystem(folder)
+        out, rows, buckets = None, 0, None
 
-    def count(batches):
-        for batch in batches:
-            if batch.num_rows:
-                for t, code in enumerate(index.codes(matrix(batch.column(0)))):
-                    kinds, n = np.unique(code, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([t] * len(kinds), pa.int32()), pa.array(kinds), pa.array(n)], ["t", "code", "n"])
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            out.close()
+            t, code = np.nonzero(buckets)
+            t, code, n = np.append(t, -1), np.append(code, 0), np.append(buckets[t, code], rows)
+            return pa.RecordBatch.from_arrays([pa.array([name] * len(t)), pa.array(t, pa.int32()), pa.array(code), pa.array(n)], ["path", "t", "code", "n"])
 
+        for batch in batches:
+            for at in range(0, batch.num_rows, step := max(1, SHELF // (size * dims))):
+                some = batch.slice(at, step)
+                x = _decoded(some.column(0), size, dims)
+                codes = index.codes(x.astype(float))
+                ids = some.column(1)
+                packed = pa.RecordBatch.from_arrays([
+                    pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), dims), ids.cast(pa.list_(pa.int64())),
+                    pa.FixedSizeListArray.from_arrays(pa.array(codes.T.ravel().astype(np.int32)), tables)], ["x", "ids", "codes"])
+                if out is None:
+                    fs.create_dir(path, recursive=True)
+                    file = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.arrow"
+                    name, out = f"{folder}/{file}", fs.open_output_stream(f"{path}/{file}", compression=None)
+                    writer = pa.ipc.new_file(out, packed.schema)
+                    rows, buckets = 0, np.zeros((tables, BINS ** index.a.shape[2]), np.int64)
+                writer.write_batch(packed)
+                rows += len(x)
+                for t, code in enumerate(codes):
+                    buckets[t] += np.bincount(code, minlength=buckets.shape[1])
+                if rows >= step:
+                    yield closed()
+                    out = None
+        if out is not None:
+            yield closed()
+
+    packs = store(entries.mapInArrow(pack, "path string, t int, code long, n long"), "packs")
     # At most tables * bins ** functions rows.
-    found = entries.select("x").mapInArrow(count, "t int, code long, n long").groupBy("t", "code").agg(F.sum("n")).collect()
+    index.directory([tuple(r) for r in packs.where("t >= 0").groupBy("t", "code").agg(F.sum("n")).collect()], GROUPS)
+    shelves, filled = [], SHELF
+    for path, n in sorted((r["path"], r["n"]) for r in packs.where("t < 0").collect()):
+        if filled + n * dims * size > SHELF:
+            shelves.append([])
+            filled = 0
+        shelves[-1].append(path)
+        filled += n * dims * size
+    shared = spark.sparkContext.broadcast((index, shelves))
     asking = all_.where(F.col("vec_id") % queries == 0)
-    blocks = max(1, -(-asking.count() // QUERIES))
-    total = sum(r[2] for r in found)
-    groups = max(2 * spark.sparkContext.defaultParallelism, -(-total // (4 * PART)))
-    index.directory([tuple(r) for r in found], groups)
-    shared = spark.sparkContext.broadcast(index)
-    schema = "g long, block int, id long, ids array<long>, parts array<int>, x array<double>"
-    names = ["g", "block", "id", "ids", "parts", "x"]
-
-    def columns(g, block, id_, ids, parts, x):
-        return pa.RecordBatch.from_arrays([
-            pa.array(g, pa.int64()), pa.array(block, pa.int32()), pa.array(id_, pa.int64()), pa.array(ids, pa.list_(pa.int64())),
-            pa.array(parts, pa.list_(pa.int32())), x.cast(pa.list_(pa.float64()))], names)
-
-    def deal(batches):
-        use = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, ids = batch.column(0), batch.column(1).to_pylist()
-            salt = np.array([i[0] for i in ids])
-            for part in use.part_of(use.codes(matrix(x)), salt):
-                for block in range(blocks):
-                    yield columns(use.group[part], [block] * len(ids), [None] * len(ids), ids, part[:, None].tolist(), x)
-
-    def ask(batches):
-        use = shared.value
+    total, least = asking.count(), 2 * spark.sparkContext.defaultParallelism
+    blocks = max(1, min(least * -(-total // (least * QUERIES)), -(-total // 16)))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use, stands = shared.value
+        held, n = [], 0
+
+        def answers() -> Iterator[pa.RecordBatch]:
+            asked = pa.Table.from_batches(held).combine_chunks()
+            ids = asked.column(0).to_numpy()
+            x = np.concatenate([_decoded(c, size, dims) for c in asked.column(1).chunks]).astype(float)
+            for at in range(0, len(ids), QUERIES):
+                block = Block(use, ids[at:at + QUERIES], x[at:at + QUERIES], k, share)
+                for stand in stands:
+                    block.see(Shelf.read(stand, dims, tables))
+                yield block.answer()
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column(1)
-            at, g, parts = [], [], []
-            for i, probe in enumerate(use.probes(matrix(x), share)):
-                of = use.group[probe]
-                for group in np.unique(of):
-                    at.append(i), g.append(group), parts.append(probe[of == group])
-            id_ = batch.column(0).take(pa.array(at))
-            # Blocks by the number of the query, whose ids step by ``queries``.
-            yield columns(g, [i // queries % blocks for i in id_.to_pylist()], id_, [None] * len(at), parts, x.take(pa.array(at)))
-
-    def meet(t: pa.Table) -> pa.Table:
-        asked = t.column("id").is_valid().to_numpy()
-        q, v = t.filter(pa.array(asked)), t.filter(pa.array(~asked))
-        if not q.num_rows or not v.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "score": pa.array([], pa.float64())})
-        qx, vx = (matrix(c.column("x").combine_chunks()) for c in (q, v))
-        part = v.column("parts").combine_chunks().flatten().to_numpy()
-        order = np.argsort(part, kind="stable")
-        parts, begin = np.unique(part[order], return_index=True)
-        begin = np.append(begin, len(order))
-        lists = q.column("parts").combine_chunks()
-        wanted, asker = lists.flatten().to_numpy(), np.repeat(np.arange(q.num_rows), np.diff(lists.offsets.to_numpy()))
-        by = np.argsort(wanted, kind="stable")
-        low, high = np.searchsorted(wanted[by], parts, "left"), np.searchsorted(wanted[by], parts, "right")
-        bar = np.full(q.num_rows, -np.inf)
-        held, size = [], 0
-
-        def best():
-            a, r, s = (np.concatenate(c) for c in zip(*held))
-            o = np.lexsort((r, -s, a))
-            a, r, s = a[o], r[o], s[o]
-            rank = np.arange(len(a)) - np.searchsorted(a, a, "left")
-            bar[a[rank == k]] = s[rank == k]
-            # Equal scores stay: their ids decide later.
-            keep = (rank <= k) | (s >= bar[a])
-            return a[keep], r[keep], s[keep]
-
-        for i in range(len(parts)):
-            a, r = asker[by[low[i]:high[i]]], order[begin[i]:begin[i + 1]]
-            if not len(a):
-                continue
-            s = qx[a] @ vx[r].T
-            one, two = np.nonzero(s >= bar[a][:, None])
-            held.append((a[one], r[two], s[one, two]))
-            size += len(one)
-            if size > 1 << 20:
-                held = [best()]
-                size = len(held[0][0])
-        if not held:
-            return meet(t.slice(0, 0))
-        a, r, _ = best()
-        score = np.einsum("ij,ij->i", qx[a], vx[r])
-        return pa.table({"query_id": q.column("id").take(pa.array(a)), "ids": v.column("ids").take(pa.array(r)), "score": pa.array(score)})
-
-    both = entries.mapInArrow(deal, schema).unionByName(asking.mapInArrow(ask, schema))
-    pairs = both.groupBy("g", "block").applyInArrow(meet, "query_id long, ids array<long>, score double")
-    each = pairs.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
-    each = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return each.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= QUERIES:
+                yield from answers()
+                held, n = [], 0
+        if held:
+            yield from answers()
+
+    return asking.select("vec_id", "x").repartition(blocks).mapInArrow(meet, schema)

@@ -1,6 +1,9 @@
 import math
 
 import numpy as np
+import psutil
+import pyarrow as pa
+import pytest
 
 from llm import nearest
 
@@ -79,3 +82,95 @@ def test_fewer_than_k_and_no_rows(spark):
     assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(0, 2, 2.0), (0, 1, 0.5)]
     assert nearest.nearest(spark.createDataFrame([], SCHEMA)).count() == 0
     assert nearest.nearest(frame(spark, [(0, [1.0, 2.0])])).count() == 0
+
+
+def peaks():
+    """Most memory so far of each Python worker below this process, in MB."""
+    out = {}
+    for p in psutil.Process().children(recursive=True):
+        try:
+            if "pyspark.daemon" in p.cmdline():
+                with open(f"/proc/{p.pid}/status") as f:
+                    out[p.pid] = int(next(line for line in f if line.startswith("VmHWM")).split()[1]) / 1024
+        except (psutil.Error, OSError):
+            pass
+    return out
+
+
+def test_memory_does_not_grow_with_the_rows_of_a_bucket(spark):
+    """6,000 queries meet a bucket of 12,000 vectors: all their products at once are 576 MB and more."""
+    r = np.random.default_rng(4)
+    x = (np.eye(16)[0] + r.normal(size=(12000, 16)) * 1e-3).astype(np.float32)
+    rows = frame(spark, list(enumerate(x.tolist())))
+    before = peaks()
+    got = nearest.nearest(rows, queries=2).collect()
+    assert len(got) == 6000 * 20
+    grown = [mb for pid, mb in peaks().items() if mb > before.get(pid, 0)]
+    assert max(grown) < 700
+    x = x.astype(float)
+    for q in range(0, 12000, 2400):
+        s = x @ x[q]
+        s[q] = -1
+        assert [g["vec_id"] for g in sorted((g for g in got if g["query_id"] == q), key=lambda g: g["rank"])] == np.argsort(-s)[:20].tolist()
+
+
+@pytest.mark.parametrize("part", [37, 1 << 14])
+def test_ties_and_copies_over_several_shelves(monkeypatch, part):
+    """Few different scores: most pairs tie, and ids decide among equal scores of different shelves."""
+    for name, value in {"PART": part, "PRODUCTS": 300, "HELD": 500, "PLANNED": 7}.items():
+        monkeypatch.setattr(nearest, name, value)
+    r = np.random.default_rng(2)
+    x = np.unique(r.integers(-2, 3, size=(2500, 5)), axis=0).astype(np.float32)
+    x = r.permutation(x[np.any(x, axis=1)])
+    ids = np.split(r.permutation(4 * len(x)), np.sort(r.choice(np.arange(1, 4 * len(x)), len(x) - 1, replace=False)))
+    ids = [np.sort(i)[:6] for i in ids]  # of copies the k + 1 least
+    index = nearest.Index.drawn(5, float(np.linalg.norm(x, axis=1).max()))
+    codes = index.codes(x.astype(float))
+    index.directory([(t, int(c), int((codes[t] == c).sum())) for t in range(len(codes)) for c in np.unique(codes[t])], 3)
+    asking = r.choice(len(x), 60, replace=False)
+    block = nearest.Block(index, np.array([ids[i][0] for i in asking]), x[asking].astype(float), 5, 1.0)
+    for own in np.array_split(np.arange(len(x)), 4):
+        at = np.cumsum([0, *(len(ids[i]) for i in own)])
+        block.see(nearest.Shelf(x[own], np.concatenate([ids[i] for i in own]), at, codes[:, own]))
+    flat, owner = np.concatenate(ids), np.repeat(np.arange(len(x)), [len(i) for i in ids])
+    got = block.answer().to_pandas()
+    for i in asking:
+        score = x[owner] @ x[i]
+        order = [j for j in np.lexsort((flat, -score)) if flat[j] != ids[i][0]][:5]
+        own = got[got.query_id == ids[i][0]]
+        assert own["rank"].tolist() == [1, 2, 3, 4, 5]
+        assert own.vec_id.tolist() == flat[order].tolist() and own.score.tolist() == score[order].tolist()
+
+
+def test_many_packs_and_blocks_and_doubles(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "SHELF", 1 << 13)
+    monkeypatch.setattr(nearest, "QUERIES", 16)
+    r = np.random.default_rng(9)
+    x = np.repeat(r.normal(size=(500, 4)) * 1e30, 2, axis=0)
+    x[1::2] *= 1 + 1e-12  # apart in doubles only
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(5)
+    got = {}
+    for row in nearest.nearest(rows, queries=10, k=4).orderBy("query_id", "rank").collect():
+        got.setdefault(row["query_id"], []).append((row["vec_id"], row["score"]))
+    assert got.keys() == set(range(0, 1000, 10))
+    for q, own in got.items():
+        s = np.einsum("ij,j->i", x, x[q])
+        s[q] = -np.inf
+        assert [i for i, _ in own] == np.argsort(-s)[:4].tolist()
+        assert np.allclose([v for _, v in own], np.sort(s)[::-1][:4], rtol=1e-14, atol=0)
+
+
+@pytest.mark.parametrize("kind", [pa.float32(), pa.float64()])
+def test_bytes_sort_as_vectors_do(kind):
+    r = np.random.default_rng(6)
+    rows = [r.choice([-3e30, -1.5, -1e-40, -0.0, 0.0, 1e-40, 0.25, 7.0], n).tolist() for n in r.integers(1, 4, 300)]
+    column = pa.array([[9.0], *rows], pa.list_(kind))[1:]
+    found, square = nearest._encoded(column)
+    found, rows = found.to_pylist(), column.to_pylist()
+    assert np.allclose(square, [sum(float(v) ** 2 for v in row) for row in rows])
+    assert [rows[i] for i in sorted(range(300), key=lambda i: found[i])] == sorted(rows)
+    assert len(set(found)) == len({tuple(v + 0.0 for v in row) for row in rows})
+    for n in (1, 2, 3):
+        same = [i for i in range(300) if len(rows[i]) == n]
+        back = nearest._decoded(pa.array([b"0" * 8, *(found[i] for i in same)], pa.binary())[1:], kind.bit_width // 8, n)
+        assert back.tolist() == [rows[i] for i in same]
