@@ -210,6 +210,7 @@ class Block:
     """The k best others of each query of a block among the entries of the shelves seen so far.
 
     Products in single precision, of vectors scaled to at most 1, say which pairs may be among the best; these get exact scores.
+    What a product may be off by is in proportion to the entry's length.
     """
 
     def __init__(self, index: Index, ids: np.ndarray, x: np.ndarray, k: int, share: float):
@@ -217,8 +218,6 @@ class Block:
         self.asked = index.asked(x, share)
         self.scale = index.norm * np.linalg.norm(x, axis=1)
         self.rough = (x * (index.norm / self.scale)[:, None]).astype(np.float32)
-        #: What a rough product may be off by.
-        self.slack = np.float32((x.shape[1] + 8) * np.finfo(np.float32).eps)
         self.bar = np.full(len(x), -np.inf)  # lower scores are not among the best
         self.top = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)  # query, score, vec_id
 
@@ -226,6 +225,7 @@ class Block:
         if not len(shelf.x):
             return
         first = shelf.ids[shelf.at[:-1]]
+        off = self._off(shelf.x)
         part = self.index.part_of(shelf.codes, first).ravel()
         order = np.argsort(part, kind="stable")
         part, row = part[order], order % len(first)
@@ -238,31 +238,42 @@ class Block:
             if not len(a):
                 continue
             r = row[b:e]
-            v = (shelf.x[r] / self.index.norm).astype(np.float32).T
+            v, most = (shelf.x[r] / np.float64(self.index.norm)).astype(np.float32).T, off[r].max()
             step = max(1, PRODUCTS // len(r))
             for at in range(0, len(a), step):
                 some = a[at:at + step]
                 s = self.rough[some] @ v
-                hit = np.flatnonzero((s >= bar[some][:, None]).ravel())
+                hit = np.flatnonzero((s >= (bar[some] - most)[:, None]).ravel())
                 if len(hit):
                     one, two = np.divmod(hit, len(r))
-                    held.append((some[one], r[two], s.ravel()[hit]))
-                    size += len(hit)
+                    one, two, s = some[one], r[two], s.ravel()[hit]
+                    near = s + off[two] >= bar[one]
+                    held.append((one[near], two[near], s[near]))
+                    size += len(held[-1][0])
                 if size > HELD + 2 * kept:
-                    held = [self._best(shelf, first, held)[:3]]
+                    held = [self._best(shelf, first, off, held)[:3]]
                     size, kept, bar = len(held[0][0]), len(held[0][0]), self._rough_bar()
             if held and i + 1 < len(group) and group[i + 1] != group[i]:
-                held = [self._best(shelf, first, held)[:3]]
+                held = [self._best(shelf, first, off, held)[:3]]
                 size, kept, bar = len(held[0][0]), len(held[0][0]), self._rough_bar()
         if held:
-            a, r, _, s = self._best(shelf, first, held)
+            a, r, _, s = self._best(shelf, first, off, held)
             self._merge(shelf, a, r, s)
 
+    def _off(self, x: np.ndarray) -> np.ndarray:
+        """What rough products of the entries may be off by: twice the bound on rounding, and what is too small for a float."""
+        out = np.empty(len(x), np.float32)
+        floats = np.finfo(np.float32)
+        for at in range(0, len(x), PART):
+            v = x[at:at + PART] / np.float64(self.index.norm)
+            out[at:at + PART] = (x.shape[1] + 8) * (floats.eps * np.sqrt(np.einsum("ij,ij->i", v, v)) + 2 * floats.tiny)
+        return out
+
     def _rough_bar(self) -> np.ndarray:
         # One step down, as rounding may have raised it.
-        return np.nextafter((self.bar / self.scale).astype(np.float32), np.float32(-np.inf)) - self.slack
+        return np.nextafter((self.bar / self.scale).astype(np.float32), np.float32(-np.inf))
 
-    def _best(self, shelf: Shelf, first: np.ndarray, held: list) -> tuple[np.ndarray, ...]:
+    def _best(self, shelf: Shelf, first: np.ndarray, off: np.ndarray, held: list) -> tuple[np.ndarray, ...]:
         """Of the entries held, the k + 1 best of each query (it may be one of them): query, row, rough and exact score.
 
         Ties go to the smaller first id.
@@ -270,11 +281,12 @@ class Block:
         a, r, s = (np.concatenate(c) for c in zip(*held))
         once = np.unique(a * len(first) + r, return_index=True)[1]  # several tables show the same
         a, r, s = a[once], r[once], s[once]
-        o = np.lexsort((-s, a))
+        low = s - off[r]
+        o = np.lexsort((-low, a))
         least = np.full(len(self.x), -np.inf, np.float32)
         last = o[_rank(a[o]) == self.k]
-        least[a[last]] = s[last]
-        near = s >= (least - 2 * self.slack)[a]
+        least[a[last]] = low[last]
+        near = s + off[r] >= least[a]
         a, r, rough = a[near], r[near], s[near]
         s = np.empty(len(a))
         for at in range(0, len(a), PART):

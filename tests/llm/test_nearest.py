@@ -174,3 +174,27 @@ def test_bytes_sort_as_vectors_do(kind):
         same = [i for i in range(300) if len(rows[i]) == n]
         back = nearest._decoded(pa.array([b"0" * 8, *(found[i] for i in same)], pa.binary())[1:], kind.bit_width // 8, n)
         assert back.tolist() == [rows[i] for i in same]
+
+
+@pytest.mark.parametrize("long", [1.0, 1e6, 1e30])
+def test_a_long_vector_does_not_hide_the_others(monkeypatch, long):
+    """Rounding is bounded by each entry's own length: few pairs need exact scores beside a long vector too."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(4000, 16)).astype(np.float32)
+    x[17] *= np.float32(long)
+    index = nearest.Index.drawn(16, float(np.linalg.norm(x.astype(float), axis=1).max()))
+    codes = index.codes(x.astype(float))
+    index.directory([(t, int(c), int((codes[t] == c).sum())) for t in range(len(codes)) for c in np.unique(codes[t])], 3)
+    seen = []
+    best = nearest.Block._best
+    monkeypatch.setattr(nearest.Block, "_best", lambda self, *a: seen.append(sum(len(h[0]) for h in a[-1])) or best(self, *a))
+    monkeypatch.setattr(nearest, "HELD", 1 << 12)
+    block = nearest.Block(index, np.arange(50), x[:50].astype(float), 20, 1.0)
+    ids = np.arange(len(x) + 1)
+    block.see(nearest.Shelf(x, ids[:-1], ids, codes))
+    got = block.answer().to_pandas()
+    for q in range(50):
+        s = np.einsum("ij,j->i", x.astype(float), x[q].astype(float))
+        s[q] = -np.inf
+        assert got[got.query_id == q].vec_id.tolist() == np.argsort(-s)[:20].tolist()
+    assert sum(seen) < 1.2 * 50 * len(x)  # once each at most, not in every table
